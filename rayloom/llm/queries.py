@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rayloom.llm import mixing, quality, tokens
+from rayloom.llm import chat, decontam, mixing, quality, secrets, tokens
 from rayloom.llm.common import table
 
 
@@ -28,18 +29,54 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.col("found")
+    return secrets.scan_secrets(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *[secrets.count_kind(found, k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(secrets.listed(found, True), 256).alias("base_sha256"),
+        secrets.listed(found, False).alias("spans"),
+    )
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontam.items_digest(F.col("items")).alias("items_sha256"), "contaminated")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.lit("</s>[INST] ok [/INST]")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    written = chat.format_chats(chat.from_turn_rows(rows))
+    turns, under = chat.read_back(F.col("formatted")), chat.masked_text(F.col("formatted"), F.col("loss"))
+    line = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
+    return written.select("conv_id", turns.alias("turns"), under.alias("under"), F.length("formatted").cast("long").alias("formatted_chars")).select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", line), ""), 256).alias("turns_sha256"),
+        F.length("under").cast("long").alias("loss_chars"),
+        F.sha2("under", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op3_token_counts": op3_token_counts,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_decontamination": op7_decontamination,
     "op8_quality_rules": op8_quality_rules,
+    "op9_chat_formatting": op9_chat_formatting,
 }
 
 ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.ORACLE_SQL,
+    "op9_chat_formatting": chat.ORACLE_SQL,
 }
