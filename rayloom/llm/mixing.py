@@ -79,12 +79,14 @@ def mix_sources(
     id_col: str = "doc_id",
     source_col: str = "source",
     text_col: str = "text",
+    carried: Column | None = None,
 ) -> DataFrame:
     """One row per document of ``docs`` with what the mix takes of it.
 
     Returns ``doc_id, source, size, weight, source_size, target, epochs,
     partial, taken``: ``epochs`` whole passes plus the first ``partial`` words
-    of the document; ``taken`` is the sum in words.
+    of the document; ``taken`` is the sum in words.  ``carried``, an expression
+    on ``docs``, comes along as ``node``.
 
     Null or empty text has size 0 and is never taken.  A null source is a
     source of its own, last in order.  A null id gets the key of the string
@@ -93,11 +95,14 @@ def mix_sources(
     id, source and text are ignored, whatever their names.
     """
     size = word_count(F.col("text"))
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    sized = base.select("doc_id", "source", "text", size.alias("size"))
+    more = [] if carried is None else [carried.alias("node")]
+    names = ["node"] if more else []
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), *more)
+    sized = base.withColumn("size", size)
     weight = default_quality(F.col("size"), F.length("text")) if quality is None else F.greatest(F.lit(1e-6), quality)
     keyed = stored(
         sized.select(
+            *names,
             "doc_id",
             "source",
             key_of(F.col("source")).alias("skey"),
@@ -123,7 +128,7 @@ def mix_sources(
         .withColumn("epochs", epochs)
         .withColumn("left", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
         .withColumn("partial", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("left") - F.col("start") - F.col("before"))))
-        .select("doc_id", "source", "size", "quality", "source_size", "target", "epochs", "partial", (F.col("epochs") * F.col("size") + F.col("partial")).alias("taken"))
+        .select(*names, "doc_id", "source", "size", "quality", "source_size", "target", "epochs", "partial", (F.col("epochs") * F.col("size") + F.col("partial")).alias("taken"))
     )
 
 
@@ -133,21 +138,25 @@ def first_words(text: Column, words: Column) -> Column:
     return F.array_join(parts, "")
 
 
-def expand_mix(docs: DataFrame, mix: DataFrame) -> DataFrame:
+def mix_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixed corpus: each document once per epoch, complete epochs before the sampled one.
 
-    Adds ``epoch`` to the columns of ``docs``; the last pass over a document
-    holds its first ``partial`` words.  Document ids must be unique.
+    Adds ``epoch`` (from 1) to the columns of ``docs``; the last pass over a
+    document holds its first words only, where the budget ends within it.
+    Options and edge cases are those of :func:`mix_sources`.  Of rows alike in
+    id, source and text, each gets its own passes, with the columns of one.
     """
-    plan = mix.filter("taken > 0").select("doc_id", "size", "epochs", "partial")
-    passes = F.sequence(F.lit(1).cast("long"), F.col("epochs") + F.when(F.col("partial") > 0, 1).otherwise(0))
-    whole = (F.col("epoch") <= F.col("epochs")) | (F.col("partial") == F.col("size"))
-    return (
-        docs.join(plan, "doc_id")
-        .withColumn("epoch", F.explode(passes))
-        .withColumn("text", F.when(whole, F.col("text")).otherwise(first_words(F.col("text"), F.col("partial"))))
-        .select(*docs.columns, "epoch")
-    )
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in (id_col, source_col, text_col)]
+    node = F.unhex(F.md5(F.concat_ws("\1", *parts).cast("binary")))
+    mix = mix_sources(docs, id_col=id_col, source_col=source_col, text_col=text_col, carried=node, **options)
+    whole = F.struct(F.lit(None).cast("long").alias("words"))
+    passes = F.concat(F.array_repeat(whole, F.col("epochs").cast("int")), F.when(F.col("partial") > 0, F.array(F.struct(F.when(F.col("partial") < F.col("size"), F.col("partial")).alias("words")))).otherwise(F.array().cast("array<struct<words:bigint>>")))
+    planned = mix.filter("taken > 0").select("node", F.posexplode(passes).alias("nth", "pass")).select("node", (F.col("nth") + 1).cast("long").alias("epoch"), "pass.words")
+    rows = docs.select(node.alias("node"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).dropDuplicates(["node"])
+    text = F.when(F.col("words").isNull(), F.col("row")[text_col]).otherwise(first_words(F.col("row")[text_col], F.col("words")))
+    fresh = [text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
+    name = "epoch" if "epoch" not in docs.columns else "mix_epoch"
+    return rows.join(planned, "node").select(*fresh, F.col("epoch").alias(name))
 
 
 #: DuckDB SQL for the contract's columns; it shares the keys, not the plan.

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rayloom.llm import chat, decontam, mixing, neardup, quality, secrets, tokens
+from rayloom.llm import chat, cotrain, decontam, mixing, neardup, quality, secrets, substrings, tokens, warc
 from rayloom.llm.common import table
 
 
@@ -25,10 +25,25 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_back(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    models = cotrain.co_train(docs, table(spark, sf_dir, "labels"), ("quality", "toxic"))
+    return cotrain.classify(docs, models).withColumn("kept", cotrain.good(F.col("quality"), F.col("toxic")))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.col("found")
     return secrets.scan_secrets(table(spark, sf_dir, "documents")).select(
@@ -73,7 +88,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_warc": op2_warc,
     "op3_token_counts": op3_token_counts,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_secret_scan": op6_secret_scan,
     "op7_decontamination": op7_decontamination,
     "op8_quality_rules": op8_quality_rules,
