@@ -1 +1 @@
-"""Package."""
+"""Column functions: names, planar geometry, cameras and scores."""

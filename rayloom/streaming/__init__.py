@@ -1 +1 @@
-"""Package."""
+"""Stateful operators on streams."""

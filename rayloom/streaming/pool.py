@@ -1,0 +1,58 @@
+"""A pool of candidates that follows a stream of frames.
+
+Each trajectory holds its active candidates as state: a new sighting near one
+updates it, others begin a new one, and a candidate that misses more than
+``limit`` frames in a row leaves the pool and comes out.  State is bounded by
+what is active, not by what was ever seen.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+RESULT = "trajectory bigint, x double, y double, elevation double, sightings bigint, first_seen bigint, last_seen bigint"
+
+
+def follow(pool: list[list[float]], sightings: list[tuple[float, float, float]], frame: int, reach: float, limit: int) -> tuple[list[list[float]], list[list[float]]]:
+    """The pool after a frame and what left it; an entry is x, y, z, sightings, first frame, last frame, missed frames."""
+    seen = set()
+    for x, y, z in sightings:
+        near = [(d, i) for i, c in enumerate(pool) if (d := ((c[0] - x) ** 2 + (c[1] - y) ** 2 + (c[2] - z) ** 2) ** 0.5) < reach]
+        if near:
+            c = pool[min(near)[1]]
+            n = c[3] + 1
+            c[:] = [c[0] + (x - c[0]) / n, c[1] + (y - c[1]) / n, c[2] + (z - c[2]) / n, n, c[4], frame, 0]
+            seen.add(min(near)[1])
+        else:
+            pool.append([x, y, z, 1, frame, frame, 0])
+            seen.add(len(pool) - 1)
+    for i, c in enumerate(pool):
+        if i not in seen:
+            c[6] += 1
+    return [c for c in pool if c[6] <= limit], [c for c in pool if c[6] > limit]
+
+
+def candidate_pool(sightings: DataFrame, reach: float = 1.0, limit: int = 5) -> DataFrame:
+    """Candidates that have left the pool, of a stream of ``trajectory, frame, x, y, z``.
+
+    Frames of a trajectory must come in order; a frame without sightings
+    comes as one row of nulls, or it doesn't count as missed.  Rows of a frame
+    must come in one batch.
+    """
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pool = json.loads(state.get[0]) if state.exists else []
+        gone: list[list[float]] = []
+        for frame, some in pd.concat(list(batches)).sort_values(["frame", "x", "y", "z"]).groupby("frame"):
+            pool, left = follow(pool, list(some[["x", "y", "z"]].dropna().itertuples(index=False, name=None)), int(frame), reach, limit)
+            gone += left
+        state.update((json.dumps(pool),))
+        if gone:
+            yield pd.DataFrame([(key[0], *c[:3], int(c[3]), int(c[4]), int(c[5])) for c in gone], columns=["trajectory", "x", "y", "elevation", "sightings", "first_seen", "last_seen"])
+
+    return sightings.groupBy("trajectory").applyInPandasWithState(update, RESULT, "pool string", "append", GroupStateTimeout.NoTimeout)
