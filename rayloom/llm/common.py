@@ -48,6 +48,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most so many rows in an Arrow batch of this session: texts are long, and a worker holds some copies of a batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch path through the file system that holds it."""
     jvm = spark._jvm

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rayloom.lineage import stored
+from rayloom.llm.common import modest_batches
 
 #: Bytes of a repeated string, and of the grams that anchors are chosen from.
 LENGTH, GRAM = 400, 24
@@ -34,7 +35,7 @@ SHARD_BYTES = 1 << 20
 LONGEST_SHARD = 1 << 23
 #: Rows of the collections that a task builds at once.
 CHUNK_ROWS = 20_000
-#: Anchors that occur more often are not gathered; their windows are counted one by one.
+#: Anchors in more texts are not gathered; their windows are counted one by one.
 HOT_ANCHOR = 50_000
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -276,6 +277,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeat each other and lose everything, null ids and repeated rows
     included.  An empty table gives no rows; other columns are ignored.
     """
+    modest_batches(docs.sparkSession)
     key, node = _node(F.col(text_col), F.col(id_col))
     whole = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     measured = stored(
@@ -288,12 +290,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     place = F.struct("key", "nth")
     often = entries.groupBy("hash").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("n")).filter("low != high").select("hash", "n")
     often = stored(often, "anchors")
-    wanted = (
-        facts.filter("hashes IS NOT NULL").select("node", F.explode(F.array_distinct("hashes")).alias("hash")).join(often.select("hash"), "hash").groupBy("node").agg(F.collect_list("hash").alias("wanted"))
-    )
+    in_texts = facts.filter("hashes IS NOT NULL").select("node", F.explode(F.array_distinct("hashes")).alias("hash"))
+    wanted = in_texts.join(often.select("hash"), "hash").groupBy("node").agg(F.collect_list("hash").alias("wanted"))
     texts = docs.select(_node(F.col(text_col), F.col(id_col))[1].alias("node"), F.col(text_col).alias("text"))
     passages = texts.join(stored(wanted, "wanted"), "node").select("node", F.explode(contexts("text", "wanted")).alias("c")).select("node", "c.*")
-    hot = often.filter(F.col("n") > HOT_ANCHOR).select("hash")
+    hot = often.filter(F.col("n") > HOT_ANCHOR).select("hash")  # counted with repeats in a text, which are one passage
+    if not hot.isEmpty():
+        hot = stored(in_texts.join(hot, "hash").groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_ANCHOR).select("hash"), "hot")
     if hot.isEmpty():
         spans = spans_of_collections(passages)
     else:
