@@ -1,13 +1,14 @@
 """Cameras as columns: spherical panoramas, cube maps, rotations, rays.
 
 A vector is a struct ``x, y, z``; a matrix is a list of nine columns, row by
-row.  Everything is arithmetic on columns, so a projection stays inside the
-code that Spark generates for the row.
+row.  Everything is arithmetic on columns and stays in the JVM; a vector that
+is needed more than once is bound with :func:`let`, so that a chain of
+projections doesn't grow with each link.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,6 +23,11 @@ FACE_DIRECTIONS = ((0, 0, -1), (0, 0, 1), (-1, 0, 0), (1, 0, 0), (0, 1, 0), (0,
 BORESIGHT = (0.0, -90.0, 0.0)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def vector(x: Column, y: Column, z: Column) -> Column:
     return F.struct(x.alias("x"), y.alias("y"), z.alias("z"))
 
@@ -30,22 +36,26 @@ def dot(a: Column, b: Column) -> Column:
     return a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"]
 
 
+def _pair(a: Column, b: Column, body: Callable[[Column, Column], Column]) -> Column:
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda t: body(t["a"], t["b"]))
+
+
 def minus(a: Column, b: Column) -> Column:
-    return vector(a["x"] - b["x"], a["y"] - b["y"], a["z"] - b["z"])
+    return _pair(a, b, lambda u, v: vector(u["x"] - v["x"], u["y"] - v["y"], u["z"] - v["z"]))
 
 
 def plus(a: Column, b: Column) -> Column:
-    return vector(a["x"] + b["x"], a["y"] + b["y"], a["z"] + b["z"])
+    return _pair(a, b, lambda u, v: vector(u["x"] + v["x"], u["y"] + v["y"], u["z"] + v["z"]))
 
 
 def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
+    return let(a, lambda v: F.sqrt(dot(v, v)))
 
 
 def unit(a: Column) -> Column:
-    """The vector at length 1; null for the zero vector."""
-    n = F.nullif(norm(a), F.lit(0.0))
-    return vector(a["x"] / n, a["y"] / n, a["z"] / n)
+    """The vector at length 1; nulls for the zero vector."""
+    scaled = lambda t: vector(*[t["v"][c] / t["n"] for c in "xyz"])
+    return let(a, lambda v: let(F.struct(v.alias("v"), F.nullif(F.sqrt(dot(v, v)), F.lit(0.0)).alias("n")), scaled))
 
 
 def product(a: Matrix, b: Matrix) -> list[Column]:
@@ -57,7 +67,7 @@ def transposed(m: Matrix) -> list[Column]:
 
 
 def applied(m: Matrix, v: Column) -> Column:
-    return vector(*[m[3 * i] * v["x"] + m[3 * i + 1] * v["y"] + m[3 * i + 2] * v["z"] for i in range(3)])
+    return let(v, lambda u: vector(*[m[3 * i] * u["x"] + m[3 * i + 1] * u["y"] + m[3 * i + 2] * u["z"] for i in range(3)]))
 
 
 def opk_matrix(omega: Column, phi: Column, kappa: Column) -> list[Column]:
@@ -109,7 +119,7 @@ def to_world(point: Column, pose: Column) -> Column:
 def spherical_projection(v: Column, width: Column, height: Column) -> Column:
     """Pixel ``u, v`` of a direction in a panorama."""
     f = width / (2 * F.pi())
-    return F.struct((width / 2 + f * F.atan2(v["x"], v["z"])).alias("u"), (height / 2 + f * F.atan2(v["y"], F.hypot(v["x"], v["z"]))).alias("v"))
+    return let(v, lambda d: F.struct((width / 2 + f * F.atan2(d["x"], d["z"])).alias("u"), (height / 2 + f * F.atan2(d["y"], F.hypot(d["x"], d["z"]))).alias("v")))
 
 
 def spherical_unprojection(u: Column, v: Column, reach: Column, width: Column, height: Column) -> Column:
@@ -139,13 +149,13 @@ def face_matrix(face: Column) -> list[Column]:
 
 def face_of(v: Column) -> Column:
     """Number of the face that a direction in the frame's axes points at; the first of several."""
-    seen = F.array(*[v["x"] * float(x) + v["y"] * float(y) + v["z"] * float(z) for x, y, z in FACE_DIRECTIONS])
-    return (F.array_position(seen, F.array_max(seen)) - 1).cast("int")
+    seen = let(v, lambda d: F.array(*[d["x"] * float(x) + d["y"] * float(y) + d["z"] * float(z) for x, y, z in FACE_DIRECTIONS]))
+    return let(seen, lambda a: (F.array_position(a, F.array_max(a)) - 1).cast("int"))
 
 
 def lat_lon(v: Column) -> Column:
     """Latitude and longitude, in degrees, of a direction in the frame's axes."""
-    return F.struct(F.degrees(F.atan2(v["y"], F.hypot(v["x"], v["y"]))).alias("lat"), F.degrees(F.atan2(v["x"], -v["z"])).alias("lon"))
+    return let(v, lambda d: F.struct(F.degrees(F.atan2(d["y"], F.hypot(d["x"], d["y"]))).alias("lat"), F.degrees(F.atan2(d["x"], -d["z"])).alias("lon")))
 
 
 def in_mosaic(place: Column, cell: Column) -> Column:
@@ -179,18 +189,22 @@ def model_to_frame(point: Column, offset: Column, face: Column) -> Column:
 
 
 def model_to_image(v: Column, focal: Column) -> Column:
-    """Place on the image plane; null for a direction along it."""
-    depth = F.nullif(v["z"], F.lit(0.0))
-    return F.struct((-focal * v["x"] / depth).alias("x"), (-focal * v["y"] / depth).alias("y"))
+    """Place on the image plane; nulls for a direction along it."""
+
+    def place(u: Column) -> Column:
+        depth = F.nullif(u["z"], F.lit(0.0))
+        return F.struct((-focal * u["x"] / depth).alias("x"), (-focal * u["y"] / depth).alias("y"))
+
+    return let(v, place)
 
 
 def image_to_model(image: Column, focal: Column) -> Column:
     """The direction, of length 1, through a place on the image plane."""
-    return unit(vector(image["x"], image["y"], -focal))
+    return let(image, lambda p: unit(vector(p["x"], p["y"], -focal)))
 
 
 def image_to_pixel(image: Column, pixel: Column, width: Column, height: Column) -> Column:
-    return F.struct((image["x"] / pixel + width / 2).alias("u"), (height / 2 - image["y"] / pixel).alias("v"))
+    return let(image, lambda p: F.struct((p["x"] / pixel + width / 2).alias("u"), (height / 2 - p["y"] / pixel).alias("v")))
 
 
 def pixel_to_image(u: Column, v: Column, pixel: Column, width: Column, height: Column) -> Column:
@@ -208,14 +222,13 @@ def cube_ray(u: Column, v: Column, frame: Column, face: Column, offset: Column,
     The focal length of a face is half of its width.
     """
     seen = image_to_model(pixel_to_image(u, v, pixel, size, size), size * pixel / 2)
-    there = frame_to_world(model_to_frame(seen, offset, face), frame)
-    origin = sensor_origin(frame, offset)
-    return F.struct(origin.alias("origin"), unit(minus(there, origin)).alias("direction"))
+    ends = F.struct(frame_to_world(model_to_frame(seen, offset, face), frame).alias("there"), sensor_origin(frame, offset).alias("here"))
+    return let(ends, lambda t: F.struct(t["here"].alias("origin"), unit(minus(t["there"], t["here"])).alias("direction")))
 
 
 def disc_radius(mask_area: Column, direction: Column, reach: Column, width: Column, height: Column, normal: Sequence[float] = (0.0, 1.0, 0.0)) -> Column:
     """Radius of a disc that covers so many pixels of a panorama at distance ``reach``."""
-    d, n = unit(direction), vector(*[F.lit(float(v)) for v in normal])
-    slope = F.abs(dot(n, d)) / norm(n) / F.sqrt(F.greatest(1 - d["y"] * d["y"], F.lit(1e-12)))
+    n = vector(*[F.lit(float(v)) for v in normal])
+    slope = let(unit(direction), lambda d: F.abs(dot(n, d)) / norm(n) / F.sqrt(F.greatest(1 - d["y"] * d["y"], F.lit(1e-12))))
     scale = width * height / (2 * F.pi() * F.pi()) * slope
     return reach * F.sqrt(mask_area / F.nullif(scale, F.lit(0.0)))

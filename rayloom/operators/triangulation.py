@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rayloom.functions.camera import disc_radius, dot, minus, norm, plus, vector
+from rayloom.functions.camera import disc_radius, dot, let, minus, norm, plus, vector
 from rayloom.lineage import stored
 from rayloom.operators.spatial import clusters, near_pairs
 
@@ -19,23 +19,28 @@ BELOW = (2.0, 3.8)
 RADIUS_GAP, PANORAMA = 0.2, (8000, 4000)
 
 
-def closest(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """``pairs`` with ``t_a, t_b, point, gap``: where two rays come closest; parallel ones are left out.
+def closest(a: Column, b: Column) -> Column:
+    """``t_a, t_b, point, gap`` where two rays come closest, nulls for parallel ones.
 
-    A ray is a column of ``origin`` and ``direction`` (length 1); ``t`` is the
-    way along it.  Each step is a column of its own, so that none is worked out
-    again for the next.
+    A ray is a struct of ``origin`` and ``direction`` (length 1); ``t`` is the
+    way along it.
     """
-    ray_a, ray_b = F.col(a), F.col(b)
-    between = minus(ray_b["origin"], ray_a["origin"])
-    told = pairs.withColumns({"_turn": dot(ray_a["direction"], ray_b["direction"]), "_along_a": dot(between, ray_a["direction"]), "_along_b": dot(between, ray_b["direction"])})
-    told = told.withColumn("_spread", 1 - F.col("_turn") * F.col("_turn")).filter(F.abs("_spread") >= 1e-6)
-    told = told.withColumns({"t_a": (F.col("_along_a") - F.col("_along_b") * F.col("_turn")) / F.col("_spread"), "t_b": (F.col("_along_a") * F.col("_turn") - F.col("_along_b")) / F.col("_spread")})
-    at = lambda ray, t: plus(ray["origin"], vector(*[ray["direction"][c] * F.col(t) for c in "xyz"]))
-    told = told.withColumns({"_p": at(ray_a, "t_a"), "_q": at(ray_b, "t_b")})
-    p, q = F.col("_p"), F.col("_q")
-    told = told.withColumn("_apart", minus(p, q)).withColumn("point", vector(*[(p[c] + q[c]) / 2 for c in "xyz"]))
-    return told.withColumn("gap", norm(F.col("_apart"))).drop("_turn", "_along_a", "_along_b", "_spread", "_p", "_q", "_apart")
+    along = lambda v: F.struct(dot(a["direction"], b["direction"]).alias("turn"), dot(v, a["direction"]).alias("a"), dot(v, b["direction"]).alias("b"))
+    first = let(minus(b["origin"], a["origin"]), along)
+    at = lambda ray, t: plus(ray["origin"], vector(*[ray["direction"][c] * t for c in "xyz"]))
+
+    def ways(k: Column) -> Column:
+        spread = F.when(F.abs(1 - k["turn"] * k["turn"]) >= 1e-6, 1 - k["turn"] * k["turn"])
+        return F.struct(((k["a"] - k["b"] * k["turn"]) / spread).alias("a"), ((k["a"] * k["turn"] - k["b"]) / spread).alias("b"))
+
+    def ends(t: Column) -> Column:
+        return let(F.struct(at(a, t["a"]).alias("p"), at(b, t["b"]).alias("q")), lambda e: told(t, e))
+
+    def told(t: Column, e: Column) -> Column:
+        middle = vector(*[(e["p"][c] + e["q"][c]) / 2 for c in "xyz"])
+        return F.struct(t["a"].alias("t_a"), t["b"].alias("t_b"), middle.alias("point"), norm(minus(e["p"], e["q"])).alias("gap"))
+
+    return let(first, lambda k: let(ways(k), ends))
 
 
 def crossings(rays: DataFrame, most_gap: float = 0.2, radius: float = 20.0, height: bool = True, mask: bool = False) -> DataFrame:
@@ -57,13 +62,18 @@ def crossings(rays: DataFrame, most_gap: float = 0.2, radius: float = 20.0, heig
         names.append("area_")
     side = lambda s: rays.select("trajectory", *cols).withColumnsRenamed({n: n + s for n in names})
     near = near_pairs(side("a"), side("b"), 2 * radius, ("x_a", "y_a", "z_a"), ("x_b", "y_b", "z_b"), ["trajectory"]).filter("frame_a < frame_b")
-    met = closest(near, "ray_of_a", "ray_of_b").filter(F.col("t_a").between(0, radius) & F.col("t_b").between(0, radius) & (F.col("gap") <= most_gap))
-    if mask:
-        size = lambda s: disc_radius(F.col(f"area_{s}"), F.col(f"ray_of_{s}")["direction"], F.col(f"t_{s}"), *map(F.lit, PANORAMA))
-        met = met.filter(F.abs(size("a") - size("b")) <= RADIUS_GAP)
-    if height:
-        low, high = F.least("z_a", "z_b") - BELOW[1], F.least("z_a", "z_b") - BELOW[0]
-        met = met.filter((F.col("point.z") > low) & (F.col("point.z") < high))
+
+    def counts(c: Column) -> Column:
+        fits = c["t_a"].between(0, radius) & c["t_b"].between(0, radius) & (c["gap"] <= most_gap)
+        if mask:
+            size = lambda s: disc_radius(F.col(f"area_{s}"), F.col(f"ray_of_{s}")["direction"], c[f"t_{s}"], *map(F.lit, PANORAMA))
+            fits = fits & (F.abs(size("a") - size("b")) <= RADIUS_GAP)
+        if height:
+            lower = F.least("z_a", "z_b")
+            fits = fits & (c["point"]["z"] > lower - BELOW[1]) & (c["point"]["z"] < lower - BELOW[0])
+        return F.when(fits, c)
+
+    met = near.withColumn("c", let(closest(F.col("ray_of_a"), F.col("ray_of_b")), counts)).filter("c IS NOT NULL").select("trajectory", "ray_a", "ray_b", "frame_a", "frame_b", "c.*")
     best = met.withColumn("length", F.col("t_a") + F.col("t_b")).groupBy("trajectory", "ray_b", "frame_a", "frame_b").agg(F.min(F.struct("gap", "ray_a", "point", "length")).alias("m"))
     return best.select("trajectory", F.col("m.ray_a").alias("ray_a"), "ray_b", "frame_a", "frame_b", F.col("m.point").alias("point"), F.col("m.gap").alias("gap"), F.col("m.length").alias("length"))
 
