@@ -25,10 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rayloom.llm.common import modest_batches
+
 #: Words of a phrase; items of fewer words are one phrase.
 WINDOW = 10
 #: Bytes of text in one index, and of phrases searched at once.
-SHARD_BYTES, BLOCK_BYTES = 4_000_000, 8_000_000
+SHARD_BYTES, BLOCK_BYTES = 1_000_000, 8_000_000
 #: Every so many positions of the indexed sequence is kept for locating.
 SAMPLE = 16
 
@@ -262,6 +264,7 @@ REPORT = T.StructType(
 
 def scanner(docs: DataFrame, benchmark: DataFrame, cleaned: bool, item_col: str = "item_id", phrase_col: str = "text"):
     """A column function: text to ``REPORT``."""
+    modest_batches(docs.sparkSession)
     held = [docs.sparkSession.sparkContext.broadcast(block) for block in phrase_blocks(benchmark, item_col, phrase_col)]
 
     @F.pandas_udf(REPORT)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rayloom.lineage import stored
-from rayloom.llm.common import maybe_broadcast
+from rayloom.llm.common import maybe_broadcast, modest_batches
 from rayloom.operators.graph import connected_components
 
 SHINGLE_WORDS = 5
@@ -267,6 +267,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     number of rows with text and that id; ``component_id`` is the least id of
     the text's component, ``rep_key`` the text that has it.
     """
+    modest_batches(docs.sparkSession)
     measured = stored(
         docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"), sketches(F.col(text_col)).alias("s")).select("doc_id", "key", "s.*"),
         "sketches",

@@ -23,9 +23,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rayloom.lineage import shared_dir, stored
-from rayloom.llm.common import maybe_broadcast
+from rayloom.llm.common import maybe_broadcast, modest_batches
 
 #: Bytes after which a task begins a new archive.
 ARCHIVE_BYTES = 1 << 30
@@ -100,6 +101,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_revisit: i
     or have only null ids, are all responses.  Null URLs have no header.  An
     empty table gives an empty index; other columns are ignored.
     """
+    modest_batches(pages.sparkSession)
     spark, kind = pages.sparkSession, pages.select(id_col).schema[0].dataType
     top = f"{(folder or shared_dir(spark)).rstrip('/')}/warc-{uuid.uuid4().hex}"
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
@@ -172,7 +174,7 @@ def read_records(index: DataFrame) -> DataFrame:
     return found.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def digest_of(payloads: pd.Series) -> pd.Series:
     import hashlib
 
