@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rayloom.llm.common import key_of, maybe_broadcast, stored
+from rayloom.llm.common import key_of, maybe_broadcast, modest_batches, stored
 
 #: Characters that count as symbols: a fixed value of the rules.
 SYMBOLS = "#*$%&|<>"
@@ -37,13 +37,14 @@ BROADCAST_GROUPS = 20_000
 
 #: A measure, the quantile spread it is judged by and the least threshold: a
 #: document fails where its value is above ``q75 + FENCE * (q75 - q25)`` of its
-#: group and above the least threshold.
+#: group and above the least threshold.  A group of nearly equal values counts
+#: as spread over ``LEAST_SPREAD`` of its upper quartile.
 RULES = {
     "symbol_ratio": 0.02,
     "dup_line_ratio": 0.50,
     "repeat_word_ratio": 0.45,
 }
-FENCE = 6.0
+FENCE, LEAST_SPREAD = 6.0, 0.25
 
 
 def measure(text: str | None) -> tuple[int, int, int, int, int, int]:
@@ -105,7 +106,8 @@ def thresholds(sketches: DataFrame) -> DataFrame:
     """``lang_key, source_key`` and ``max_<measure>``; infinite where all documents together are too few."""
     quartiles = {"q25": 0.25, "q75": 0.75}
     least = F.element_at(F.create_map(*[F.lit(x) for pair in RULES.items() for x in pair]), F.col("measure"))
-    bound = F.greatest(least, F.col("q75") + FENCE * (F.col("q75") - F.col("q25")))
+    spread = F.col("q75") + FENCE * F.greatest(F.col("q75") - F.col("q25"), LEAST_SPREAD * F.col("q75"))
+    bound = F.greatest(least, GAMMA * spread)  # not below the values that the sketch's bin holds
     enough = F.col("docs") >= LEAST_DOCS
 
     def level(keys: list[str], name: str) -> DataFrame:
@@ -130,6 +132,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     language or source is a group of its own.  Repeated rows count as often as
     they occur.  An empty table gives no rows; other columns are ignored.
     """
+    modest_batches(docs.sparkSession)
     measured = stored(
         docs.select(F.col(id_col).alias("doc_id"), key_of(F.col(lang_col)).alias("lang_key"), key_of(F.col(source_col)).alias("source_key"), measures(F.col(text_col)).alias("m")).select(
             "doc_id", "lang_key", "source_key", "m.*"
@@ -160,6 +163,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     Texts are measured twice rather than shuffled: once for the sketches, once
     next to the row that is kept or dropped.
     """
+    modest_batches(docs.sparkSession)
     held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     measured = docs.select(held, key_of(F.col(lang_col)).alias("lang_key"), key_of(F.col(source_col)).alias("source_key"), measures(F.col(text_col)).alias("m"))
     flat = measured.select("row", "lang_key", "source_key", "m.*")
