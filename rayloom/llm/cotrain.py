@@ -8,7 +8,8 @@ labels and combined to score every document.
 
 The models are logistic regressions that the driver fits on bounded samples:
 ``LABELLED`` labelled rows and ``EXCHANGED`` pseudo-labels per view, class and
-round.  Scoring runs in the tasks, on whole texts; a model is one array of
+round.  Whole texts are read once, for the features; every round then scores
+the stored features of all documents in the tasks.  A model is one array of
 ``TOKEN_BINS + META_BINS`` numbers, whatever the corpus.
 """
 
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rayloom.lineage import stored
+from rayloom.llm.common import modest_batches
 
 #: Most labelled rows a model is fitted on, those of least hash; a quarter of them calibrates.
 LABELLED = 8_000
@@ -34,8 +36,8 @@ LABELLED = 8_000
 EXCHANGED, ROUNDS = 200, 2
 #: Bins of hashed tokens and of hashed metadata.
 TOKEN_BINS, META_BINS = 1 << 18, 1 << 12
-#: Tokens in fewer of the rows fitted on have no weight.
-LEAST_ROWS = 4
+#: Bins in fewer of the rows fitted on, or whose share of a class is nearer to its base rate than so many deviations, have no weight.
+LEAST_ROWS, LEAST_DEVIATIONS = 4, 2.5
 #: Only scores beyond these become pseudo-labels.
 CERTAIN = (0.05, 0.95)
 
@@ -48,16 +50,19 @@ def token_ids(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter((zlib.crc32(t) & (TOKEN_BINS - 1) for t in set(TOKENS.findall(raw))), np.int64))
 
 
+_CAPITALS = bytes(range(65, 91))
+_MARKS = bytes(b for b in range(33, 127) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122))
+
+
 def layout(text: str | None) -> tuple[int, ...]:
-    """How a page is laid out, as small numbers: length, line length, shares of marks, capitals and fresh words."""
+    """How a page is laid out, as small numbers: length, line length, shares of marks, capitals and fresh words, words."""
     if not text:
         return (0,)
-    words = text.split()
-    letters = sum(map(len, words)) or 1
-    marks = letters - sum(map(len, re.findall(r"\w+", text)))
-    capitals = sum(map(len, re.findall(r"[A-Z]+", text)))
-    share = lambda a, b: int(20 * a / b)
-    return (int(2 * math.log(len(text))), int(2 * math.log(1 + len(text) / (1 + text.count("\n")))), share(marks, letters), share(capitals, letters), share(len(set(words)), len(words) or 1), int(math.log(1 + len(words)) * 2))
+    raw = text.encode("utf-8", "surrogatepass")
+    words = raw.split()
+    share = lambda a, b: int(20 * a / (b or 1))
+    marks, capitals = (len(raw) - len(raw.translate(None, kind)) for kind in (_MARKS, _CAPITALS))
+    return (int(2 * math.log(len(raw))), int(2 * math.log(1 + len(raw) / (1 + raw.count(b"\n")))), share(marks, len(raw)), share(capitals, len(raw)), share(len(set(words)), len(words)), int(2 * math.log(1 + len(words))))
 
 
 def meta_ids(values: Sequence[object], text: str | None) -> np.ndarray:
@@ -73,11 +78,14 @@ class Logistic:
     offset: float = 0.0
     scale: tuple[float, float] = (1.0, 0.0)
 
-    def raw(self, ids: np.ndarray) -> float:
-        return self.offset + float(self.weights[ids].sum())
+    def raw(self, rows: list[np.ndarray]) -> np.ndarray:
+        lengths = np.array([len(r) for r in rows])
+        owner = np.repeat(np.arange(len(rows)), lengths)
+        said = self.weights[np.concatenate(rows)] if lengths.sum() else np.empty(0)
+        return self.offset + np.bincount(owner, said, len(rows))
 
-    def logit(self, ids: np.ndarray) -> float:
-        return self.scale[0] * self.raw(ids) + self.scale[1]
+    def logits(self, rows: list[np.ndarray]) -> np.ndarray:
+        return self.scale[0] * self.raw(rows) + self.scale[1]
 
     @classmethod
     def fit(cls, rows: list[np.ndarray], said: np.ndarray, bins: int, steps: int = 200, rate: float = 0.08, ridge: float = 2e-4) -> Logistic:
@@ -88,8 +96,10 @@ class Logistic:
             return cls(np.zeros(bins), prior)
         lengths = np.array([len(r) for r in rows])
         columns, row = np.concatenate(rows), np.repeat(np.arange(n), lengths)
-        often = np.bincount(columns, minlength=bins) >= LEAST_ROWS
-        keep = often[columns]
+        met, rate_of = np.bincount(columns, minlength=bins), said.mean()
+        off_by = np.bincount(columns, said[row], bins) - met * rate_of
+        tells = (met >= LEAST_ROWS) & (np.abs(off_by) >= LEAST_DEVIATIONS * np.sqrt(met * rate_of * (1 - rate_of)))
+        keep = tells[columns]
         used, columns = np.unique(columns[keep], return_inverse=True)
         row, w, b = row[keep], np.zeros(len(used)), prior
         m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
@@ -109,17 +119,23 @@ class Logistic:
         """Platt scaling on rows that it wasn't fitted on; without both classes the scores stay."""
         if len(said) < 20 or said.min() == said.max():
             return
-        x = np.array([self.raw(r) for r in rows])
+        x = self.raw(rows)
         goal = np.where(said > 0, (said.sum() + 1) / (said.sum() + 2), 1 / (len(said) - said.sum() + 2))
+        def cost(a: float, b: float) -> float:
+            z = a * x + b
+            return float((np.logaddexp(0, z) - goal * z).sum() + 0.5 * (a - 1) ** 2)
+
         a, b = 1.0, 0.0
-        for _ in range(50):  # Newton steps
+        for _ in range(50):  # Newton steps, halved until they help
             p = 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
-            g, h = p - goal, np.maximum(p * (1 - p), 1e-6)
-            grad = np.array([(g * x).sum() + 1e-3 * (a - 1), g.sum()])
-            hess = np.array([[(h * x * x).sum() + 1e-3, (h * x).sum()], [(h * x).sum(), h.sum() + 1e-9]])
-            step = np.linalg.solve(hess, grad)
-            a, b = a - step[0], b - step[1]
-            if np.abs(step).max() < 1e-6:
+            g, h = p - goal, p * (1 - p)
+            grad = np.array([(g * x).sum() + a - 1, g.sum()])
+            hess = np.array([[(h * x * x).sum() + 1, (h * x).sum()], [(h * x).sum(), h.sum() + 1e-6]])
+            step, now, size = np.linalg.solve(hess, grad), cost(a, b), 1.0
+            while size > 1e-6 and cost(a - size * step[0], b - size * step[1]) > now:
+                size /= 2
+            a, b = a - size * step[0], b - size * step[1]
+            if np.abs(size * step).max() < 1e-6:
                 break
         if np.isfinite(a) and np.isfinite(b) and a > 0:
             self.scale = (float(a), float(b))
@@ -134,41 +150,44 @@ class CoTrained:
     prior: float = 0.0
     exchanged: int = field(default=0)
 
-    def logits(self, tokens: np.ndarray, meta: np.ndarray) -> tuple[float, float, float]:
-        a, b = self.text.logit(tokens), self.meta.logit(meta)
+    def logits(self, tokens: list[np.ndarray], meta: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b = self.text.logits(tokens), self.meta.logits(meta)
         return a, b, a + b - self.prior
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+FEATURES = T.StructType([T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("meta", T.ArrayType(T.IntegerType()))])
 
 
-def _features(columns: Sequence[str], text_col: str):
-    @F.pandas_udf(T.StructType([T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("meta", T.ArrayType(T.LongType()))]))
-    def of(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for text, *values in batches:
-            rows = list(zip(text, *values))
-            yield pd.DataFrame({"tokens": [token_ids(r[0]) for r in rows], "meta": [meta_ids(r[1:], r[0]) for r in rows]})
+@F.pandas_udf(FEATURES)
+def _features(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    for text, *values in batches:
+        rows = list(zip(text, *values))
+        yield pd.DataFrame({"tokens": [token_ids(r[0]).astype(np.int32) for r in rows], "meta": [meta_ids(r[1:], r[0]).astype(np.int32) for r in rows]})
 
-    return of(F.col(text_col), *[F.col(c).cast("string") for c in columns])
 
+def features(docs: DataFrame, meta_cols: Sequence[str] = ("lang", "source"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, tokens, meta`` of every row of ``docs``, stored: both views of whole texts.
+
+    A null text is empty, and null metadata is a value of its own.  Repeated
+    rows and null ids stay; other columns are ignored.
+    """
+    modest_batches(docs.sparkSession)
+    return stored(docs.select(F.col(id_col).alias("doc_id"), _features(text_col, *[F.col(c).cast("string") for c in meta_cols]).alias("f")).select("doc_id", "f.*"), "views")
 
-def _scores(docs: DataFrame, models: dict[str, CoTrained], id_col: str, columns: Sequence[str], text_col: str) -> DataFrame:
-    """``doc_id`` and ``<target>_text, <target>_meta, <target>`` probabilities of every row."""
-    held = docs.sparkSession.sparkContext.broadcast(models)
+
+def classify(views: DataFrame, models: dict[str, CoTrained]) -> DataFrame:
+    """``doc_id`` and ``<target>_text, <target>_meta, <target>`` probabilities of every row of ``views``; none of an empty table."""
+    held = views.sparkSession.sparkContext.broadcast(models)
     names = [f"{t}{v}" for t in models for v in ("_text", "_meta", "")]
 
     @F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in names]))
-    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         known = held.value
-        for text, *values in batches:
-            rows = []
-            for said, *rest in zip(text, *values):
-                tokens, meta = token_ids(said), meta_ids(rest, said)
-                rows.append([x for m in known.values() for x in m.logits(tokens, meta)])
-            yield pd.DataFrame(_sigmoid(np.array(rows, float).reshape(-1, len(names))), columns=names)
+        for tokens, meta in batches:
+            rows = [x for m in known.values() for x in m.logits(tokens.tolist(), meta.tolist())] if len(tokens) else [np.empty(0)] * len(names)
+            yield pd.DataFrame({n: 1 / (1 + np.exp(-np.clip(x, -40, 40))) for n, x in zip(names, rows)})
 
-    return docs.select(F.col(id_col).alias("doc_id"), score(F.col(text_col), *[F.col(c).cast("string") for c in columns]).alias("s")).select("doc_id", "s.*")
+    return views.select("doc_id", score("tokens", "meta").alias("s")).select("doc_id", "s.*")
 
 
 def _fit(sample: pd.DataFrame, added: dict[str, pd.DataFrame], target: str) -> CoTrained:
@@ -188,17 +207,15 @@ def _fit(sample: pd.DataFrame, added: dict[str, pd.DataFrame], target: str) -> C
 
 
 def co_train(
-    docs: DataFrame,
+    views: DataFrame,
     labels: DataFrame,
     targets: Sequence[str],
-    meta_cols: Sequence[str] = ("lang", "source"),
     rounds: int = ROUNDS,
     labelled: int = LABELLED,
     exchanged: int = EXCHANGED,
     id_col: str = "doc_id",
-    text_col: str = "text",
 ) -> dict[str, CoTrained]:
-    """A model for each 0/1 column of ``labels`` named in ``targets``.
+    """A model for each 0/1 column of ``labels`` named in ``targets``; ``views`` come from :func:`features`.
 
     Rows with a null id or label aren't used; repeated labels count as often
     as they occur; labels of unknown documents have no effect.  Without labels
@@ -206,13 +223,12 @@ def co_train(
     """
     known = labels.select(F.col(id_col).alias("doc_id"), *[F.col(t).cast("double").alias(t) for t in targets]).dropna()
     known = known.withColumn("lot", F.xxhash64("doc_id")).orderBy("lot", *targets).limit(labelled)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *meta_cols)
-    sample = base.join(F.broadcast(known), "doc_id").select("doc_id", *targets, (F.pmod("lot", F.lit(4)) == 0).alias("calibrates"), _features(meta_cols, "text").alias("f")).select("doc_id", *targets, "calibrates", "f.*").toPandas()
+    sample = views.join(F.broadcast(known), "doc_id").select("doc_id", *targets, (F.pmod("lot", F.lit(4)) == 0).alias("calibrates"), "tokens", "meta").toPandas()
     sample = sample.sort_values("doc_id", kind="stable", ignore_index=True)
     models = {t: _fit(sample, {}, t) for t in targets}
     given: dict[tuple[str, str], list[pd.DataFrame]] = {}
     for _ in range(rounds if len(sample) else 0):
-        scored = stored(_scores(base, models, "doc_id", meta_cols, "text"), "cotrain").join(F.broadcast(known.select("doc_id")), "doc_id", "left_anti").filter("doc_id IS NOT NULL")
+        scored = stored(classify(views, models).join(F.broadcast(known.select("doc_id")), "doc_id", "left_anti").filter("doc_id IS NOT NULL"), "cotrain")
         picks = []
         for t in targets:
             for view, other in (("_text", "meta"), ("_meta", "tokens")):
@@ -223,23 +239,12 @@ def co_train(
         chosen = picks[0]
         for more in picks[1:]:
             chosen = chosen.unionByName(more)
-        rows = base.join(F.broadcast(chosen), "doc_id").select("doc_id", "target", "view", "said", _features(meta_cols, "text").alias("f")).select("doc_id", "target", "view", "said", "f.*").toPandas()
-        rows = rows.sort_values(["doc_id", "target", "view"], kind="stable", ignore_index=True)
+        rows = views.join(F.broadcast(chosen), "doc_id").toPandas().sort_values(["doc_id", "target", "view"], kind="stable", ignore_index=True)
         for (t, view), some in rows.groupby(["target", "view"]):
             given.setdefault((t, view), []).append(some)
         models = {t: _fit(sample, {v: pd.concat(x) for (s, v), x in given.items() if s == t}, t) for t in targets}
     return models
 
 
-def classify(docs: DataFrame, models: dict[str, CoTrained], meta_cols: Sequence[str] = ("lang", "source"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and, for each target, its probability and those of both views, for every row of ``docs``.
-
-    A null text is empty, and null metadata is a value of its own.  Repeated
-    rows and null ids come out as they went in; an empty table gives no rows;
-    other columns are ignored.
-    """
-    return _scores(docs, models, id_col, meta_cols, text_col)
-
-
 def good(quality: Column, toxic: Column, least: float = 0.5) -> Column:
     return (quality >= least) & (toxic < 1 - least)

@@ -39,9 +39,9 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    models = cotrain.co_train(docs, table(spark, sf_dir, "labels"), ("quality", "toxic"))
-    return cotrain.classify(docs, models).withColumn("kept", cotrain.good(F.col("quality"), F.col("toxic")))
+    views = cotrain.features(table(spark, sf_dir, "documents"))
+    models = cotrain.co_train(views, table(spark, sf_dir, "labels"), ("quality", "toxic"))
+    return cotrain.classify(views, models).withColumn("kept", cotrain.good(F.col("quality"), F.col("toxic")))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
