@@ -86,3 +86,18 @@ def test_pool_on_a_stream(spark, tmp_path):
     run.awaitTermination(120)
     got = spark.sql("SELECT * FROM pool").collect()
     assert [(r.sightings, r.first_seen, r.last_seen) for r in got] == [(3, 0, 2)]
+
+
+def test_geopackage_round_trip(spark, tmp_path):
+    from rayloom.sources import geopackage
+
+    rows = [(1, "a", 1.5, 2.5, None, True), (2, None, None, None, [[0.0, 0.0, 4.0, 0.0, 4.0, 3.0]], None), (3, "c", None, None, [[0.0, 0.0, 1.0, 0.0, 1.0, 1.0], [5.0, 5.0, 6.0, 5.0, 6.0, 6.0]], False), (4, "none", None, None, None, None)]
+    df = spark.createDataFrame(rows, "id long, name string, x double, y double, rings array<array<double>>, ok boolean")
+    done = geopackage.write_geopackage(df.repartition(2), str(tmp_path / "g"), "found", rings="rings")
+    assert sum(r.n for r in done.collect()) == 4
+    got = {int(r.properties["id"]): r for r in geopackage.read_geopackage(spark, str(tmp_path / "g"), "found").collect()}
+    assert (got[1].kind, got[1].x, got[1].y, got[1].properties["name"]) == ("Point", 1.5, 2.5, "a")
+    assert got[2].rings == [[0.0, 0.0, 4.0, 0.0, 4.0, 3.0, 0.0, 0.0]] and "name" not in got[2].properties
+    assert got[3].kind == "MultiPolygon" and len(got[3].rings) == 2 and got[4].kind is None
+    empty = geopackage.write_geopackage(df.limit(0), str(tmp_path / "e"), "found").first()
+    assert empty.n == 0 and geopackage.read_geopackage(spark, str(tmp_path / "e")).count() == 0
