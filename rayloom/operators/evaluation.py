@@ -90,6 +90,29 @@ def confusion(tags: DataFrame, true_col: str, found_col: str, names: Sequence[st
     return table.fillna(0, every).withColumnRenamed(none, "missed_labels")
 
 
+def with_categories(tags: DataFrame, categories: DataFrame) -> DataFrame:
+    """Tagged rows with ``category`` of the label and ``det_category`` of the detection (``categories``: ``id, name``, ids from 1)."""
+    of_labels = categories.select(F.col("id").cast("int").alias("label_class"), F.col("name").alias("category"))
+    of_dets = categories.select((F.col("id") - 1).cast("int").alias("det_class"), F.col("name").alias("det_category"))
+    return tags.join(F.broadcast(of_labels), "label_class", "left").join(F.broadcast(of_dets), "det_class", "left")  # a row per class
+
+
+def report(tags: DataFrame, categories: DataFrame, method: str = "macro-average", by: Sequence[str] = ("dataset",)) -> dict[str, DataFrame]:
+    """The tables of an evaluation by dataset: ``tagged``, ``by_class``, ``global`` and ``confusion``.
+
+    ``categories`` is a table of a few rows; its names become columns.
+    """
+    known = categories.orderBy("id").collect()
+    named = with_categories(tags, categories)
+    classes = by_class(tags, [int(r.id) - 1 for r in known], by)
+    return {
+        "tagged": named,
+        "by_class": classes.join(F.broadcast(categories.select((F.col("id") - 1).cast("int").alias("class"), F.col("name").alias("category"))), "class").orderBy(*by, "class"),
+        "global": summary(classes, method, by),
+        "confusion": confusion(named, "category", "det_category", sorted(r.name for r in known), by),
+    }
+
+
 def described(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``column, n, mean, std, min, q25, median, q75, max`` with exact quantiles."""
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("r")

@@ -178,6 +178,11 @@ def without_repeats(df: DataFrame, id_col: str) -> DataFrame:
     return df.groupBy(*rest).agg(F.min(id_col).alias(id_col)).select(*df.columns)
 
 
+def ambiguous(df: DataFrame, *keys: str) -> DataFrame:
+    """Keys that more than one row has, and how many: what a lookup by them has to be free of."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+
+
 def fresh_only(jobs: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Jobs whose output isn't there yet."""
     return jobs.join(done.select(key), key, "left_anti")

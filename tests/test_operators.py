@@ -251,3 +251,13 @@ def test_split_shares(spark):
     got = {r.dataset: r.n for r in tiling.split(images, images.filter("image_id < 100")).groupBy("dataset").agg(F.count("*").alias("n")).collect()}
     assert got == {"trn": 70, "val": 15, "tst": 15, "oth": 3}
     assert {r.dataset for r in tiling.split(images, images, test_only=True).collect()} == {"tst"}
+
+
+def test_report_by_dataset(spark):
+    rows = [("val", "TP", 1, 0), ("val", "FP", None, 1), ("tst", "FN", 2, None)]
+    tags = spark.createDataFrame(rows, "dataset string, tag string, label_class int, det_class int")
+    told = evaluation.report(tags, spark.createDataFrame([(1, "round"), (2, "square")], "id int, name string"))
+    assert {(r.dataset, r.category): (r.tp, r.fp, r.fn) for r in told["by_class"].collect()} == {("val", "round"): (1, 0, 0), ("val", "square"): (0, 1, 0), ("tst", "round"): (0, 0, 0), ("tst", "square"): (0, 0, 1)}
+    assert {r.dataset: r.precision for r in told["global"].collect()} == {"val": 0.5, "tst": 0.0}
+    assert {(r.dataset, r.true_class): (r["round"], r.square, r.missed_labels) for r in told["confusion"].collect()} == {("val", "round"): (1, 0, 0), ("val", "background"): (0, 1, 0), ("tst", "square"): (0, 0, 1)}
+    assert tiling.ambiguous(tags, "dataset").collect()[0][:] == ("val", 2)

@@ -10,7 +10,7 @@ from rayloom.streaming.pool import candidate_pool, follow
 DOC = {
     "images": [{"id": 1, "file_name": "images/a.jpg", "width": 100, "height": 50}, {"id": 2, "file_name": "images/b.jpg", "width": 100, "height": 50}],
     "annotations": [{"id": 7, "image_id": 1, "category_id": 1, "iscrowd": 0, "bbox": [1, 2, 3, 4], "area": 12, "segmentation": [[1, 2, 4, 2, 4, 6, 1, 6]]}, {"id": 8, "image_id": 9, "category_id": 1, "segmentation": [[0, 0, 1, 0, 1, 1]]}],
-    "categories": [{"id": 1, "name": "manhole", "supercategory": "round plate"}],
+    "categories": [{"id": 1, "name": "cover", "supercategory": "plate"}],
 }
 
 
@@ -101,3 +101,10 @@ def test_geopackage_round_trip(spark, tmp_path):
     assert got[3].kind == "MultiPolygon" and len(got[3].rings) == 2 and got[4].kind is None
     empty = geopackage.write_geopackage(df.limit(0), str(tmp_path / "e"), "found").first()
     assert empty.n == 0 and geopackage.read_geopackage(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_config_section(tmp_path):
+    from rayloom.sources import config
+
+    (tmp_path / "c.yaml").write_text("job:\n  paths: ['{data}/a', 'b']\n  one: '{data}'\n  n: 3\n")
+    assert config.section(str(tmp_path / "c.yaml"), "job", {"data": "/d"}) == {"paths": ["/d/a", "b"], "one": "/d", "n": 3}
