@@ -40,6 +40,8 @@ LEAST_JACCARD = 85
 SMALL_GROUP, PIVOT_DOCS = 24, 24
 #: Keys of so many documents are broadcast to fetch their texts; more are joined by shuffle.
 BROADCAST_KEYS = 200_000
+#: Pivots and centres of so many large groups are broadcast, so that a group's members stay where they are.
+BROADCAST_PIVOTS, BROADCAST_CENTRES = 2_000, 100_000
 #: Bytes of text that a task hashes at once.
 SHARD_BYTES = 1_000_000
 
@@ -221,26 +223,26 @@ def large_group_links(members: DataFrame, sets: DataFrame, least: int) -> DataFr
     """``a, b`` that join what the links of groups of any size join; ``members``: ``root, key``."""
     more, less = 100 - least, 100 + least  # a link: more * (|x| + |y|) >= less * |x ^ y|
     first = members.withColumn("nth", F.row_number().over(Window.partitionBy("root").orderBy("key"))).filter(F.col("nth") <= PIVOT_DOCS).select("root", "key")
-    pivot = stored(pivots(first.join(sets, "key").select("root", "key", "set")), "pivots")
+    pivot = maybe_broadcast(stored(pivots(first.join(sets, "key").select("root", "key", "set")), "pivots"), BROADCAST_PIVOTS)
     differ = F.concat(F.array_except("set", "pivot"), F.array_except("pivot", "set"))
     apart = stored(
         members.join(sets, "key").join(pivot, "root").select("root", "key", differ.alias("diff"), F.size("set").alias("n")).withColumn("f", less * F.size("diff") - more * F.col("n")).drop("n"),
         "apart",
     )
     centre = stored(apart.groupBy("root").agg(F.min(F.struct("f", "key")).alias("c")), "centres").select("root", F.col("c.f").alias("least_f"), F.col("c.key").alias("centre"))
-    placed = apart.join(centre, "root").withColumn("star", F.col("f") + F.col("least_f") <= 0)
+    placed = apart.join(maybe_broadcast(centre, BROADCAST_CENTRES), "root").withColumn("star", F.col("f") + F.col("least_f") <= 0)
     stars = placed.filter("star AND key != centre").select(F.col("centre").alias("a"), F.col("key").alias("b"))
 
-    open_roots = placed.filter("NOT star").select("root").distinct()
-    rows = placed.join(open_roots, "root", "left_semi")
+    open_roots = stored(placed.filter("NOT star").select("root").distinct(), "open")
+    rows = placed.join(maybe_broadcast(open_roots, BROADCAST_CENTRES), "root", "left_semi")
     entries = rows.select("root", "key", F.explode("diff").alias("e"))
     often = entries.groupBy("root", "e").agg(F.count("*").alias("n")).filter("n > 1")
     shared = entries.join(often, ["root", "e"]).groupBy("root", "key").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("common"))
     step = 2 * less
     reach = stored(rows.select("root", "key", "f", "star").join(shared, ["root", "key"]).withColumn("most", step * F.size("common") - F.col("f")), "reach")
-    bounds = reach.groupBy("root").agg(F.max("most").alias("most_all"))
-    live = reach.join(bounds, "root").filter("f <= most_all").drop("most_all")
-    lowest = live.groupBy("root").agg(F.min("f").alias("low"))
+    bounds = stored(reach.groupBy("root").agg(F.max("most").alias("most_all")), "bounds")
+    live = reach.join(maybe_broadcast(bounds, BROADCAST_CENTRES), "root").filter("f <= most_all").drop("most_all")
+    lowest = maybe_broadcast(stored(live.groupBy("root").agg(F.min("f").alias("low")), "lowest"), BROADCAST_CENTRES)
     need = F.greatest(F.lit(1), F.ceil((F.col("f") + F.col("low")) / step)).cast("int")
     live = stored(
         live.join(lowest, "root").withColumn("need", need).filter(F.col("need") <= F.size("common")).select("root", "key", "f", "star", F.col("common.e").alias("common"), "need"),
@@ -323,3 +325,25 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     stays = met.filter(F.col("rep_key").isNull() | ((F.col("key") == F.col("rep_key")) & F.col("own_id").eqNullSafe(F.col("component_id"))))
     often = F.coalesce(F.col("rows"), F.lit(1)) > 1
     return stays.filter(~often).select("row.*").unionByName(stays.filter(often).dropDuplicates(["key"]).select("row.*"))
+
+
+#: DuckDB SQL for the contract's columns: every pair of documents that share a shingle.
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS shingle FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT p.a, p.b FROM pairs p JOIN sizes x ON x.doc_id = p.a JOIN sizes y ON y.doc_id = p.b WHERE 100 * p.n >= 85 * (x.n + y.n - p.n)
+), reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (
+  SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY a
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id, d.doc_id <= coalesce(low, d.doc_id) AS kept
+FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
