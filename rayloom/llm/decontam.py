@@ -238,17 +238,17 @@ def reports(texts: list[bytes], blocks: list[Phrases], cleaned: bool) -> list[tu
     return out
 
 
-def phrase_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[list[tuple[object, str | None]]]:
+def phrase_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[object, str | None]]]:
     """The items in blocks of ``BLOCK_BYTES``, streamed through the driver one at a time."""
-    blocks: list[list[tuple[object, str | None]]] = [[]]
+    block: list[tuple[object, str | None]] = []
     size = 0
     for item, text in benchmark.select(item_col, text_col).filter(F.col(text_col).isNotNull()).toLocalIterator(prefetchPartitions=True):
         if size > BLOCK_BYTES:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((item, text))
+            yield block
+            block, size = [], 0
+        block.append((item, text))
         size += len(text)
-    return blocks
+    yield block
 
 
 REPORT = T.StructType(
