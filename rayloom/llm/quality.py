@@ -168,3 +168,62 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     measured = docs.select(held, key_of(F.col(lang_col)).alias("lang_key"), key_of(F.col(source_col)).alias("source_key"), measures(F.col(text_col)).alias("m"))
     flat = measured.select("row", "lang_key", "source_key", "m.*")
     return verdicts(flat, limits(flat.drop("row"))).filter("kept").select("row.*")
+
+
+def _level(name: str, keys: str) -> str:
+    """SQL of the thresholds of one level of groups."""
+    by = f"{keys}, measure" if keys else "measure"
+    return f"""{name}_cum AS (
+  SELECT {by}, bin, sum(n) OVER (PARTITION BY {by} ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {by}) AS docs
+  FROM (SELECT {by}, bin, count(*) AS n FROM bins GROUP BY ALL)
+), {name} AS (
+  SELECT {by}, CASE WHEN docs >= {LEAST_DOCS} THEN greatest(lowest, {GAMMA} * (q75 + {FENCE} * greatest(q75 - q25, {LEAST_SPREAD} * q75))) END AS most
+  FROM (SELECT {by}, docs, min(value) FILTER (WHERE upto >= docs * 0.25) AS q25, min(value) FILTER (WHERE upto >= docs * 0.75) AS q75
+        FROM (SELECT *, CASE WHEN bin = 0 THEN 0 ELSE 2e-9 * pow({GAMMA}::DOUBLE, bin) / (1 + {GAMMA}) END AS value FROM {name}_cum) GROUP BY ALL)
+  JOIN least USING (measure)
+)"""
+
+
+#: DuckDB SQL for the contract's columns, with the sketches' bins.
+ORACLE_SQL = (
+    r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '\0') AS lang, coalesce(source, '\0') AS source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM d)
+), twice AS (
+  SELECT doc_id, g FROM windows GROUP BY ALL HAVING count(*) > 1
+), repeated AS (
+  SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM windows JOIN twice USING (doc_id, g)) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, count(*) AS n, count(DISTINCT l) AS fresh FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), m AS (
+  SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(lines.n - fresh, 0)::BIGINT AS n_dup_lines, coalesce(repeated.n, 0)::BIGINT AS n_repeat_words, coalesce(lines.n, 0) AS n_lines
+  FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN repeated USING (doc_id)
+), r AS (
+  SELECT *, n_symbols::DOUBLE / greatest(word_chars, 1) AS symbol_ratio, n_dup_lines::DOUBLE / greatest(n_lines, 1) AS dup_line_ratio, n_repeat_words::DOUBLE / greatest(n_words, 1) AS repeat_word_ratio FROM m
+), bins AS (
+  SELECT lang, source, measure, CASE WHEN v <= 1e-9 THEN 0 ELSE ceil(ln(v / 1e-9) / ln("""
+    + str(GAMMA)
+    + r"""::DOUBLE))::INT END AS bin
+  FROM (UNPIVOT (SELECT lang, source, symbol_ratio, dup_line_ratio, repeat_word_ratio FROM r) ON symbol_ratio, dup_line_ratio, repeat_word_ratio INTO NAME measure VALUE v)
+), least AS (
+  SELECT * FROM (VALUES """
+    + ", ".join(f"('{m}', {v}::DOUBLE)" for m, v in RULES.items())
+    + """) AS x(measure, lowest)
+), """
+    + ", ".join(_level(n, k) for n, k in (("own", "lang, source"), ("by_lang", "lang"), ("every", "")))
+    + """, most AS (
+  SELECT own.lang, own.source, measure, coalesce(own.most, by_lang.most, every.most, 'inf'::DOUBLE) AS most FROM own JOIN by_lang USING (lang, measure) JOIN every USING (measure)
+), bounds AS (
+  SELECT lang, source, """
+    + ", ".join(f"max(most) FILTER (WHERE measure = '{m}') AS max_{m}" for m in RULES)
+    + """ FROM most GROUP BY ALL
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM r JOIN bounds USING (lang, source)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND """
+    + " AND ".join(f"{m} <= max_{m}" for m in RULES)
+    + " AS kept FROM judged"
+)

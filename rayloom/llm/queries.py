@@ -102,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.ORACLE_SQL,
     "op7_decontamination": decontam.ORACLE_SQL,
+    "op8_quality_rules": quality.ORACLE_SQL,
     "op9_chat_formatting": chat.ORACLE_SQL,
     "op10_near_duplicates": neardup.ORACLE_SQL,
 }
