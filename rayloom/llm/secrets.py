@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rayloom.llm.common import stored
+from rayloom.llm.common import maybe_broadcast, stored
 
 #: Patterns of the base kinds: fixed values.  In "assign" letters of the names are in either case.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -28,6 +28,9 @@ EXAMPLE_OWNERS = 3
 #: Values that only show a form, in lower case: never live.
 PLACEHOLDER = r"example|changeme|your[_-]|placeholder|xxxx|dummy|sample|^(.)\1*$"
 
+#: Spans of so many texts are broadcast to be joined back.
+BROADCAST_TEXTS = 100_000
+
 CANDIDATE = "array<struct<start:bigint,nth:int,end:bigint,value:binary,shape:boolean>>"
 
 
@@ -172,15 +175,15 @@ def redacted(text: Column, entries: Column) -> Column:
 def redact_secrets(docs: DataFrame, text_col: str = "text", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """``docs`` with every secret replaced; all rows and columns stay.
 
-    Only texts with candidates are shuffled, to meet their spans.
+    Texts are searched once.  The spans of the few texts that have any are
+    joined back by the text's digest: broadcast where they are few, else by
+    shuffle.
     """
-    cands = F.coalesce(candidates(F.col(text_col)), F.array().cast(CANDIDATE))
+    tkey = F.unhex(F.md5(F.col(text_col)))
+    scanned = docs.select(tkey.alias("tkey"), F.col("source").alias("owner"), F.struct("source", "lang").alias("repository"), F.coalesce(candidates(F.col(text_col)), F.array().cast(CANDIDATE)).alias("cands"))
+    held = stored(scanned.filter(F.size("cands") > 0), "secrets")
+    spans = stored(annotate(held, example_owners).select("tkey", settled(F.col("found")).alias("found")), "spans")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    scanned = docs.select(row, cands.alias("cands"))
-    keyed = scanned.withColumn("tkey", F.unhex(F.md5(F.col("row")[text_col])))
-    held = stored(keyed.filter(F.size("cands") > 0).select("tkey", F.col("row.source").alias("owner"), F.struct("row.source", "row.lang").alias("repository"), "cands"), "secrets")
-    spans = annotate(held, example_owners).select("tkey", settled(F.col("found")).alias("found"))
-    touched = keyed.filter(F.size("cands") > 0).join(spans, "tkey", "left")
+    met = docs.select(row, tkey.alias("tkey")).join(maybe_broadcast(spans, BROADCAST_TEXTS), "tkey", "left")
     text = F.when(F.col("found").isNull(), F.col("row")[text_col]).otherwise(redacted(F.col("row")[text_col], F.col("found")))
-    changed = touched.withColumn("row", F.col("row").withField(text_col, text)).select("row.*")
-    return scanned.filter(F.size("cands") == 0).select("row.*").unionByName(changed)
+    return met.withColumn("row", F.col("row").withField(text_col, text)).select("row.*")
