@@ -70,13 +70,34 @@ def applied(m: Matrix, v: Column) -> Column:
     return let(v, lambda u: vector(*[m[3 * i] * u["x"] + m[3 * i + 1] * u["y"] + m[3 * i + 2] * u["z"] for i in range(3)]))
 
 
+def _sines(*angles: Column) -> Column:
+    """Cosine and sine of each angle, by ``c0, s0, c1, ...``."""
+    return F.struct(*[f(a).alias(f"{n}{k}") for k, a in enumerate(angles) for n, f in (("c", F.cos), ("s", F.sin))])
+
+
+def _about(axis: str, t: Column, k: int) -> list[Column]:
+    """Rotation about an axis by the ``k``-th angle of ``_sines``."""
+    one, zero, c, s = F.lit(1.0), F.lit(0.0), t[f"c{k}"], t[f"s{k}"]
+    return {"x": [one, zero, zero, zero, c, -s, zero, s, c], "y": [c, zero, s, zero, one, zero, -s, zero, c], "z": [c, -s, zero, s, c, zero, zero, zero, one]}[axis]
+
+
+def _opk(t: Column) -> list[Column]:
+    return product(product(_about("x", t, 0), _about("y", t, 1)), _about("z", t, 2))
+
+
 def opk_matrix(omega: Column, phi: Column, kappa: Column) -> list[Column]:
-    """Rotation by omega, phi and kappa, in radians: Rx(omega) Ry(phi) Rz(kappa)."""
-    one, zero = F.lit(1.0), F.lit(0.0)
-    about_x = [one, zero, zero, zero, F.cos(omega), -F.sin(omega), zero, F.sin(omega), F.cos(omega)]
-    about_y = [F.cos(phi), zero, F.sin(phi), zero, one, zero, -F.sin(phi), zero, F.cos(phi)]
-    about_z = [F.cos(kappa), -F.sin(kappa), zero, F.sin(kappa), F.cos(kappa), zero, zero, zero, one]
-    return product(product(about_x, about_y), about_z)
+    """Rotation by omega, phi and kappa, in radians: about x, then y, then z."""
+    return _opk(_sines(omega, phi, kappa))
+
+
+def turned(v: Column, angles: tuple[Column, ...], matrix: Callable[[Column], Matrix], back: bool = False) -> Column:
+    """A vector turned by a matrix of the sines of some angles, or turned back; sines and matrix are worked out once."""
+
+    def by(m: Column) -> Column:
+        cells = [F.get(m, F.lit(i)) for i in range(9)]
+        return applied(transposed(cells) if back else cells, v)
+
+    return let(_sines(*angles), lambda t: let(F.array(*matrix(t)), by))
 
 
 def opk_of_matrix(m: Matrix) -> tuple[Column, Column, Column]:
@@ -89,31 +110,30 @@ def opk_of_matrix(m: Matrix) -> tuple[Column, Column, Column]:
     return omega, phi, kappa
 
 
-def ypr_matrix(yaw: Column, pitch: Column, roll: Column) -> list[Column]:
-    """Rotation by yaw (turned round), pitch and roll in degrees: the yaw about z, then pitch about x, then roll about y."""
-    a, b, c = -F.radians(yaw), F.radians(pitch), F.radians(roll)
-    one, zero = F.lit(1.0), F.lit(0.0)
-    about_z = [F.cos(a), -F.sin(a), zero, F.sin(a), F.cos(a), zero, zero, zero, one]
-    about_x = [one, zero, zero, zero, F.cos(b), -F.sin(b), zero, F.sin(b), F.cos(b)]
-    about_y = [F.cos(c), zero, F.sin(c), zero, one, zero, -F.sin(c), zero, F.cos(c)]
-    return product(product(about_z, about_x), about_y)
+def _ypr(t: Column) -> list[Column]:
+    """Rotation by yaw about z, then pitch about x, then roll about y."""
+    return product(product(_about("z", t, 0), _about("x", t, 1)), _about("y", t, 2))
+
+
+def _ypr_angles(yaw: Column, pitch: Column, roll: Column) -> tuple[Column, ...]:
+    """In radians, the yaw turned round."""
+    return -F.radians(yaw), F.radians(pitch), F.radians(roll)
 
 
-def _camera_matrix(pose: Column) -> list[Column]:
+def _camera(t: Column) -> list[Column]:
     """World to camera: the flipped inverse of the pose's rotation and the boresight's."""
-    turned = product(ypr_matrix(pose["yaw"], pose["pitch"], pose["roll"]), transposed(ypr_matrix(*[F.lit(v) for v in BORESIGHT])))
-    back = transposed(turned)
+    back = transposed(product(_ypr(t), transposed(_ypr(_sines(*_ypr_angles(*[F.lit(v) for v in BORESIGHT]))))))
     return [*back[:3], *[-c for c in back[3:]]]
 
 
 def to_camera(point: Column, pose: Column) -> Column:
     """A world point in the camera's axes; ``pose`` has x, y, z and yaw, pitch, roll in degrees."""
-    return applied(_camera_matrix(pose), minus(point, pose))
+    return turned(minus(point, pose), _ypr_angles(pose["yaw"], pose["pitch"], pose["roll"]), _camera)
 
 
 def to_world(point: Column, pose: Column) -> Column:
     """A point in the camera's axes in the world."""
-    return plus(applied(transposed(_camera_matrix(pose)), point), pose)
+    return plus(turned(point, _ypr_angles(pose["yaw"], pose["pitch"], pose["roll"]), _camera, back=True), pose)
 
 
 def spherical_projection(v: Column, width: Column, height: Column) -> Column:
@@ -135,8 +155,8 @@ def spherical_ray(u: Column, v: Column, pose: Column, width: Column, height: Col
     return F.struct(vector(pose["x"], pose["y"], pose["z"]).alias("origin"), unit(minus(seen, pose)).alias("direction"))
 
 
-def face_matrix(face: Column) -> list[Column]:
-    """Rotation of a cube's face by its number."""
+def _face_angles(face: Column) -> tuple[Column, ...]:
+    """Omega, phi and kappa of a cube's face by its number."""
 
     def angle(k: int) -> Column:
         chosen = F.lit(None).cast("double")
@@ -144,7 +164,7 @@ def face_matrix(face: Column) -> list[Column]:
             chosen = F.when(face == number, F.radians(F.lit(turn[k]))).otherwise(chosen)
         return chosen
 
-    return opk_matrix(angle(0), angle(1), F.lit(0.0))
+    return angle(0), angle(1), F.lit(0.0)
 
 
 def face_of(v: Column) -> Column:
@@ -172,20 +192,20 @@ def sensor_of(place: Column, mosaic: Column) -> Column:
 
 def world_to_frame(point: Column, frame: Column) -> Column:
     """A world point in the axes of a frame (``x, y, z`` and ``omega, phi, kappa`` in radians)."""
-    return applied(transposed(opk_matrix(frame["omega"], frame["phi"], frame["kappa"])), minus(point, frame))
+    return turned(minus(point, frame), (frame["omega"], frame["phi"], frame["kappa"]), _opk, back=True)
 
 
 def frame_to_world(point: Column, frame: Column) -> Column:
-    return plus(applied(opk_matrix(frame["omega"], frame["phi"], frame["kappa"]), point), frame)
+    return plus(turned(point, (frame["omega"], frame["phi"], frame["kappa"]), _opk), frame)
 
 
 def frame_to_model(point: Column, offset: Column, face: Column) -> Column:
     """A frame's point seen by a sensor at ``offset`` through a face."""
-    return applied(transposed(face_matrix(face)), minus(point, offset))
+    return turned(minus(point, offset), _face_angles(face), _opk, back=True)
 
 
 def model_to_frame(point: Column, offset: Column, face: Column) -> Column:
-    return plus(applied(face_matrix(face), point), offset)
+    return plus(turned(point, _face_angles(face), _opk), offset)
 
 
 def model_to_image(v: Column, focal: Column) -> Column:
