@@ -8,6 +8,9 @@ from rayloom.lineage import stored
 from rayloom.llm import decontam, mixing, neardup, quality, secrets
 from rayloom.llm.common import table
 
+#: Jaccard, in hundredths, from which two documents are near copies in the pipeline; the query of op10 has its own.
+NEAR_JACCARD = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a rule rejects go."""
@@ -16,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return neardup.keep_one(docs)
+    return neardup.keep_one(docs, least=NEAR_JACCARD)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
