@@ -9,6 +9,8 @@ functions; the only shuffle gathers the rows of a conversation.
 
 from __future__ import annotations
 
+import hashlib
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -55,50 +57,65 @@ LAYOUTS = (
 
 
 def field_paths(schema: T.DataType, prefix: str = "") -> list[str]:
-    """Nested field paths of a DataFrame schema, sorted."""
-    if isinstance(schema, T.StructType):
-        return sorted(p for f in schema.fields for p in field_paths(f.dataType, f"{prefix}.{f.name}" if prefix else f.name))
+    """Nested field paths of a DataFrame schema, sorted; names are quoted as in the schema of a variant."""
+    if isinstance(schema, T.StructType) and schema.fields:
+        names = [f.name if re.fullmatch("[A-Za-z0-9_]*[A-Za-z_][A-Za-z0-9_]*", f.name) else "`" + f.name.replace("`", "``") + "`" for f in schema.fields]
+        return sorted(p for f, n in zip(schema.fields, names) for p in field_paths(f.dataType, f"{prefix}.{n}" if prefix else n))
     if isinstance(schema, T.ArrayType):
         return field_paths(schema.elementType, prefix + "[]")
     return [prefix]
 
 
-def structure(record: Column) -> Column:
-    """The nested fields of a JSON record without their scalar types, e.g. ``{messages:[{content,role}]}``."""
-    said = F.schema_of_variant(F.try_parse_json(record))
-    said = F.regexp_replace(said, r"OBJECT<", "{")
-    said = F.regexp_replace(said, r"ARRAY<", "[")
-    said = F.regexp_replace(said, r"DECIMAL\(\d+,\s*\d+\)", "DECIMAL")
-    said = F.regexp_replace(said, r":? ?\b(?:STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|VOID|DECIMAL|DATE|TIMESTAMP|TIMESTAMP_NTZ|BINARY|VARIANT)\b(?=[,>])", "")
-    return said
+#: What the schema of a variant is made of: field names, opened objects and arrays, their ends, and scalar types.
+_PIECES = r"(?:`(?:[^`]|``)*`|[A-Za-z0-9_]+): |OBJECT<>|OBJECT<|ARRAY<|>|[A-Z_]+(?:\(\d+,\s*\d+\))?"
+
+
+def paths(record: Column) -> Column:
+    """Nested field paths of a JSON record, each with its whole prefix, sorted as :func:`field_paths` does."""
+    pieces = F.regexp_extract_all(F.schema_of_variant(F.try_parse_json(record)), F.lit(_PIECES), F.lit(0))
+    texts = F.array().cast("array<string>")
+    start = F.struct(texts.alias("open"), F.lit("").alias("at"), texts.alias("found"))
+
+    def step(s: Column, piece: Column) -> Column:
+        outer = F.coalesce(F.get(s["open"], F.size(s["open"]) - 1), F.lit(""))
+        name = F.regexp_replace(piece, ": $", "")
+        named, opens, ends = piece.endswith(": "), piece.isin("OBJECT<", "ARRAY<"), piece == ">"
+        opened = F.when(opens, F.array_append(s["open"], s["at"])).when(ends, F.slice(s["open"], F.lit(1), F.greatest(F.size(s["open"]) - 1, F.lit(0)))).otherwise(s["open"])
+        at = F.when(named, F.when(outer == "", name).otherwise(F.concat(outer, F.lit("."), name))).when(piece == "ARRAY<", F.concat(s["at"], F.lit("[]"))).otherwise(s["at"])
+        found = F.when(named | opens | ends, s["found"]).otherwise(F.array_append(s["found"], s["at"]))
+        return F.struct(opened.alias("open"), at.alias("at"), found.alias("found"))
+
+    return F.array_sort(F.aggregate(pieces, start, step)["found"])
+
+
+def fingerprint_of(found: list[str]) -> str:
+    """The hash of sorted field paths, as :func:`fingerprint` has it."""
+    return hashlib.sha256("\n".join(found).encode()).hexdigest()
 
 
 def fingerprint(record: Column) -> Column:
-    return F.sha2(structure(record), 256)
+    return F.sha2(F.array_join(paths(record), "\n"), 256)
 
 
-def _has(said: Column, path: str) -> Column:
-    """Whether a path, of one level or of the elements of a top-level array, is in a structure."""
-    if "[]." in path:
-        items, field = path.split("[].")
-        return said.rlike(rf"[{{ ]{items}: \[\{{(?:[^\[\]{{}}>]*, )?{field}(?:[,>:])")
-    return said.rlike(rf"^\{{(?:.*, )?{path}(?:[,>:])")
+def _has(found: Column, path: str) -> Column:
+    """Whether a path, or one below it, is among the field paths."""
+    return F.exists(found, lambda p: (p == path) | p.startswith(path + ".") | p.startswith(path + "[]"))
 
 
-def _select(said: Column) -> Column:
+def _select(found: Column) -> Column:
     chosen = F.lit(None).cast("string")
     for layout in reversed(LAYOUTS):
         fits = F.lit(True)
         for path in layout.needs:
-            fits = fits & _has(said, path)
+            fits = fits & _has(found, path)
         chosen = F.when(fits, F.lit(layout.name)).otherwise(chosen)
     return chosen
 
 
 def layouts(records: DataFrame, raw_col: str) -> DataFrame:
-    """``fingerprint, structure, n, layout`` of the distinct field layouts of JSON records; null layout: unknown."""
-    told = records.select(structure(F.col(raw_col)).alias("structure"))
-    return told.groupBy("structure").agg(F.count("*").alias("n")).select(F.sha2("structure", 256).alias("fingerprint"), "structure", "n", _select(F.col("structure")).alias("layout"))
+    """``fingerprint, paths, n, layout`` of the distinct field layouts of JSON records; null layout: unknown."""
+    told = records.select(paths(F.col(raw_col)).alias("paths")).groupBy("paths").agg(F.count("*").alias("n"))
+    return told.select(F.sha2(F.array_join("paths", "\n"), 256).alias("fingerprint"), "paths", "n", _select(F.col("paths")).alias("layout"))
 
 
 def _role(name: Column) -> Column:
@@ -106,10 +123,17 @@ def _role(name: Column) -> Column:
     return F.coalesce(F.element_at(known, F.lower(name)), F.lower(name), F.lit(""))
 
 
+def _joined(item: Column, field: str) -> Column:
+    """The parts of a field that is a list, joined by blank lines: a part's text, or all of it where it has none; null if it is no list."""
+    parts = F.try_variant_get(item, f"$.{field}", "array<variant>")
+    return F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.try_variant_get(p, "$", "string"), F.lit(""))), "\n\n")
+
+
 def _turns(record: Column, layout: Layout) -> Column:
     if layout.items:
         items = F.from_json(F.get_json_object(record, f"$.{layout.items}"), f"array<struct<`{layout.role}`:string,`{layout.text}`:string>>")
-        return F.transform(items, lambda i: F.struct(_role(i[layout.role]).alias("role"), F.coalesce(i[layout.text], F.lit("")).alias("text")))
+        whole = F.try_variant_get(F.try_parse_json(record), f"$.{layout.items}", "array<variant>")
+        return F.transform(items, lambda i, k: F.struct(_role(i[layout.role]).alias("role"), F.coalesce(_joined(F.get(whole, k), layout.text), i[layout.text], F.lit("")).alias("text")))
     turns = []
     for role, fields in layout.parts:
         said = F.array_join(F.filter(F.array(*[F.get_json_object(record, f"$.{f}") for f in fields]), lambda x: F.length(x) > 0), "\n\n")
@@ -133,25 +157,35 @@ def from_records(records: DataFrame, raw_col: str) -> DataFrame:
     return joined.withColumn("turns", turns)
 
 
-#: Fingerprint paths of tables with a row per turn, and the columns in canonical order.
+#: Mappings of tables with a row per turn: field paths that a table must have, and its columns in canonical order.
 TURN_ROWS = {("conv_id", "role", "text", "turn"): ("conv_id", "turn", "role", "text")}
+#: Columns by fingerprint: of tables with the mappings' own fields, and of wider ones once they were met.
+BY_FINGERPRINT = {fingerprint_of(sorted(p)): c for p, c in TURN_ROWS.items()}
+
+
+def turn_columns(schema: T.StructType) -> tuple[str, str, str, str]:
+    """The mapping that the fingerprint of a table's field paths selects; a new fingerprint gets the first mapping whose paths are all there."""
+    found = field_paths(schema)
+    told = fingerprint_of(found)
+    if told not in BY_FINGERPRINT:
+        fit = [c for p, c in TURN_ROWS.items() if set(p) <= set(found)]
+        if not fit:
+            raise ValueError(f"no mapping for the fields {found}")
+        BY_FINGERPRINT[told] = fit[0]
+    return BY_FINGERPRINT[told]
 
 
 def from_turn_rows(rows: DataFrame, columns: tuple[str, str, str, str] | None = None) -> DataFrame:
     """``conv_id, turns`` of a table with a row per turn, in order of the turn number.
 
-    The table's own field paths select the mapping; ``columns`` (conversation,
+    The fingerprint of the table's field paths selects the mapping; ``columns`` (conversation,
     turn, role, text) overrides it.  Null texts and roles are empty.  Equal
     turn numbers are ordered by role, then text; null numbers come last; rows
     with a null conversation are one conversation; repeated rows are turns of
     their own.
     """
     if columns is None:
-        paths = tuple(field_paths(rows.schema))
-        fit = [c for p, c in TURN_ROWS.items() if set(p) <= set(paths)]
-        if not fit:
-            raise ValueError(f"no mapping for the fields {paths}")
-        columns = fit[0]
+        columns = turn_columns(rows.schema)
     conv, turn, role, text = (F.col(f"`{c}`") for c in columns)
     entry = F.struct(turn.isNull().alias("late"), turn.alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
     gathered = rows.select(conv.alias("conv_id"), entry.alias("e")).groupBy("conv_id").agg(F.array_sort(F.collect_list("e")).alias("e"))
