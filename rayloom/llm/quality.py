@@ -3,9 +3,13 @@
 Each document is measured once.  For every (language, source) a sketch holds
 the distribution of each measure: the counts of logarithmic bins, so any
 quantile comes back within a fixed relative error and two sketches merge by
-adding counts.  A group's thresholds are read off its sketch - off the merged
-sketch of its language, or of everything, where it has too few documents -
-and joined back to filter.
+adding counts.  A group's threshold is the quantile of its sketch at which a
+cut explains most of the spread of its documents: good ones below, junk above,
+the latter no more than half.
+Before that each sketch is drawn towards that of its language, and this towards
+that of all documents, by ``PRIOR_DOCS`` documents' weight, in groups of every
+size alike: a group of junk alone still knows what others look like.  The
+thresholds are joined back to filter.
 """
 
 from __future__ import annotations
@@ -30,21 +34,17 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 #: Ratio between bin edges of a sketch; quantiles are off by half of it at most, relatively.
 GAMMA = 1.02
-#: Groups with fewer documents use the sketch that they merge into.
-LEAST_DOCS = 50
+#: Documents that the sketch of the language, or of everything, weighs in that of a group.
+PRIOR_DOCS = 100
+#: Share of a measure's variance that the best cut must explain; else the group has no threshold for it.
+LEAST_EXPLAINED = 0.7
+#: Share of a group that a cut leaves at least: what most documents of a group have is its norm, not junk.
+LEAST_LEFT = 0.5
 #: Thresholds of up to so many groups are broadcast, more are joined by shuffle.
 BROADCAST_GROUPS = 20_000
 
-#: A measure, the quantile spread it is judged by and the least threshold: a
-#: document fails where its value is above ``q75 + FENCE * (q75 - q25)`` of its
-#: group and above the least threshold.  A group of nearly equal values counts
-#: as spread over ``LEAST_SPREAD`` of its upper quartile.
-RULES = {
-    "symbol_ratio": 0.02,
-    "dup_line_ratio": 0.50,
-    "repeat_word_ratio": 0.45,
-}
-FENCE, LEAST_SPREAD = 6.0, 0.25
+#: Measures with thresholds and the power of the value that is cut: counts per character spread as their square root, shares of a text evenly.
+RULES = {"symbol_ratio": 0.5, "dup_line_ratio": 1.0, "repeat_word_ratio": 1.0}
 
 
 def measure(text: str | None) -> tuple[int, int, int, int, int, int]:
@@ -83,9 +83,14 @@ def ratios() -> dict[str, Column]:
     }
 
 
+def bin_of(value: Column) -> Column:
+    """Bin 0 holds values up to 1e-9, bin b those up to ``1e-9 * GAMMA**b``."""
+    return F.when(value <= 1e-9, 0).otherwise(F.ceil(F.log(value / 1e-9) / math.log(GAMMA))).cast("int")
+
+
 def sketch(measured: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
-    """``keys, measure, bin, n``: bin 0 holds values up to 1e-9, bin b those up to ``1e-9 * GAMMA**b``."""
-    bins = [F.struct(F.lit(m).alias("measure"), F.when(v <= 1e-9, 0).otherwise(F.ceil(F.log(v / 1e-9) / math.log(GAMMA))).cast("int").alias("bin")) for m, v in values.items()]
+    """``keys, measure, bin, n``."""
+    bins = [F.struct(F.lit(m).alias("measure"), bin_of(v).alias("bin")) for m, v in values.items()]
     return measured.select(*keys, F.inline(F.array(*bins))).groupBy(*keys, "measure", "bin").agg(F.count("*").alias("n"))
 
 
@@ -102,25 +107,43 @@ def quantiles(sketches: DataFrame, keys: list[str], at: dict[str, float]) -> Dat
     return run.groupBy(*keys, "measure", "docs").agg(*[F.min(F.when(F.col("upto") >= F.col("docs") * q, value)).alias(name) for name, q in at.items()])
 
 
-def thresholds(sketches: DataFrame) -> DataFrame:
-    """``lang_key, source_key`` and ``max_<measure>``; infinite where all documents together are too few."""
-    quartiles = {"q25": 0.25, "q75": 0.75}
-    least = F.element_at(F.create_map(*[F.lit(x) for pair in RULES.items() for x in pair]), F.col("measure"))
-    spread = F.col("q75") + FENCE * F.greatest(F.col("q75") - F.col("q25"), LEAST_SPREAD * F.col("q75"))
-    bound = F.greatest(least, GAMMA * spread)  # not below the values that the sketch's bin holds
-    enough = F.col("docs") >= LEAST_DOCS
-
-    def level(keys: list[str], name: str) -> DataFrame:
-        s = merge(sketches, keys) if len(keys) < 2 else sketches
-        return quantiles(s, keys, quartiles).select(*keys, "measure", F.when(enough, bound).alias(name))
-
-    found = (
-        level(["lang_key", "source_key"], "own")
-        .join(level(["lang_key"], "lang"), ["lang_key", "measure"])
-        .join(level([], "all"), ["measure"])
-        .select("lang_key", "source_key", "measure", F.coalesce("own", "lang", "all", F.lit(float("inf"))).alias("most"))
+def drawn(sketches: DataFrame, keys: list[str], parents: DataFrame, parent_keys: list[str]) -> DataFrame:
+    """``sketches`` with ``PRIOR_DOCS`` documents spread as in their parents (``parent_keys, measure, bin, share``), and each bin's ``share``."""
+    groups = sketches.select(*keys, "measure").distinct()
+    every = groups.join(parents, [*parent_keys, "measure"]).join(sketches, [*keys, "measure", "bin"], "left")
+    weighed = every.select(*keys, "measure", "bin", (F.coalesce("n", F.lit(0)) + PRIOR_DOCS * F.col("share")).alias("weight"))
+    return weighed.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy(*keys, "measure"))).drop("weight")
+
+
+def cuts(shares: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, measure, bin, level, explained``: the last bin below the best cut, its quantile, and the share of the variance that it explains."""
+    power = F.element_at(F.create_map(*[F.lit(x) for pair in RULES.items() for x in pair]), F.col("measure"))
+    group = Window.partitionBy(*keys, "measure")
+    ordered = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = F.when(F.col("bin") == 0, 0.0).otherwise(F.pow(2e-9 * F.pow(F.lit(GAMMA), F.col("bin")) / (1 + GAMMA), power))
+    run = shares.withColumn("x", x).withColumns(
+        {
+            "below": F.sum("share").over(ordered),
+            "sum_below": F.sum(F.col("share") * F.col("x")).over(ordered),
+            "mean": F.sum(F.col("share") * F.col("x")).over(group),
+            "squares": F.sum(F.col("share") * F.col("x") * F.col("x")).over(group),
+            "top": F.max("bin").over(group),
+        }
     )
-    return found.groupBy("lang_key", "source_key").agg(*[F.max(F.when(F.col("measure") == m, F.col("most"))).alias(f"max_{m}") for m in RULES])
+    between = F.pow(F.col("mean") * F.col("below") - F.col("sum_below"), 2) / (F.col("below") * (1 - F.col("below")))
+    told = run.filter((F.col("bin") < F.col("top")) & (F.col("below") >= LEAST_LEFT)).withColumn("explained", between / (F.col("squares") - F.col("mean") * F.col("mean")))
+    best = told.groupBy(*keys, "measure").agg(F.max(F.struct("explained", F.col("bin"), F.col("below").alias("level"))).alias("b"))
+    return best.select(*keys, "measure", "b.bin", "b.level", "b.explained")
+
+
+def thresholds(sketches: DataFrame) -> DataFrame:
+    """``lang_key, source_key`` and ``max_<measure>``, the last bin that is kept; null where nothing is cut."""
+    total = merge(sketches, [])
+    every = total.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("measure"))).drop("n")
+    by_lang = drawn(merge(sketches, ["lang_key"]), ["lang_key"], every, [])
+    own = cuts(drawn(sketches, ["lang_key", "source_key"], by_lang, ["lang_key"]), ["lang_key", "source_key"])
+    clear = F.col("explained") >= LEAST_EXPLAINED
+    return own.groupBy("lang_key", "source_key").agg(*[F.max(F.when(clear & (F.col("measure") == m), F.col("bin"))).alias(f"max_{m}") for m in RULES])
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -128,7 +151,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     ``base_failed``: under 50 words, or more than half of them in repeated
     3-word windows.  ``kept``: base passed and every measure within its
-    group's threshold.  Null or empty text has no words and fails; a null
+    group's threshold; ``max_<measure>`` is the last bin that is kept.  Null or empty text has no words and fails; a null
     language or source is a group of its own.  Repeated rows count as often as
     they occur.  An empty table gives no rows; other columns are ignored.
     """
@@ -150,7 +173,7 @@ def limits(measured: DataFrame) -> DataFrame:
 
 def verdicts(measured: DataFrame, bounds: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    fits = [v <= F.col(f"max_{m}") for m, v in ratios().items()]
+    fits = [bin_of(v) <= F.col(f"max_{m}") for m, v in ratios().items()]
     kept = ~F.col("base_failed")
     for fit in fits:
         kept = kept & F.coalesce(fit, F.lit(True))
@@ -160,30 +183,18 @@ def verdicts(measured: DataFrame, bounds: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns.
 
-    Texts are measured twice rather than shuffled: once for the sketches, once
-    next to the row that is kept or dropped.
+    Rows are stored once beside their measures, so texts are measured once.
+    Null and empty texts go, as in :func:`judge`; null languages and sources
+    are groups of their own; repeated rows stay as often as they occur; an
+    empty table stays empty.  Columns may have any names.
     """
     modest_batches(docs.sparkSession)
     held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     measured = docs.select(held, key_of(F.col(lang_col)).alias("lang_key"), key_of(F.col(source_col)).alias("source_key"), measures(F.col(text_col)).alias("m"))
-    flat = measured.select("row", "lang_key", "source_key", "m.*")
+    flat = stored(measured.select("row", "lang_key", "source_key", "m.*"), "measured")
     return verdicts(flat, limits(flat.drop("row"))).filter("kept").select("row.*")
 
 
-def _level(name: str, keys: str) -> str:
-    """SQL of the thresholds of one level of groups."""
-    by = f"{keys}, measure" if keys else "measure"
-    return f"""{name}_cum AS (
-  SELECT {by}, bin, sum(n) OVER (PARTITION BY {by} ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {by}) AS docs
-  FROM (SELECT {by}, bin, count(*) AS n FROM bins GROUP BY ALL)
-), {name} AS (
-  SELECT {by}, CASE WHEN docs >= {LEAST_DOCS} THEN greatest(lowest, {GAMMA} * (q75 + {FENCE} * greatest(q75 - q25, {LEAST_SPREAD} * q75))) END AS most
-  FROM (SELECT {by}, docs, min(value) FILTER (WHERE upto >= docs * 0.25) AS q25, min(value) FILTER (WHERE upto >= docs * 0.75) AS q75
-        FROM (SELECT *, CASE WHEN bin = 0 THEN 0 ELSE 2e-9 * pow({GAMMA}::DOUBLE, bin) / (1 + {GAMMA}) END AS value FROM {name}_cum) GROUP BY ALL)
-  JOIN least USING (measure)
-)"""
-
-
 #: DuckDB SQL for the contract's columns, with the sketches' bins.
 ORACLE_SQL = (
     r"""
@@ -208,22 +219,34 @@ WITH d AS (
     + str(GAMMA)
     + r"""::DOUBLE))::INT END AS bin
   FROM (UNPIVOT (SELECT lang, source, symbol_ratio, dup_line_ratio, repeat_word_ratio FROM r) ON symbol_ratio, dup_line_ratio, repeat_word_ratio INTO NAME measure VALUE v)
-), least AS (
-  SELECT * FROM (VALUES """
-    + ", ".join(f"('{m}', {v}::DOUBLE)" for m, v in RULES.items())
-    + """) AS x(measure, lowest)
-), """
-    + ", ".join(_level(n, k) for n, k in (("own", "lang, source"), ("by_lang", "lang"), ("every", "")))
-    + """, most AS (
-  SELECT own.lang, own.source, measure, coalesce(own.most, by_lang.most, every.most, 'inf'::DOUBLE) AS most FROM own JOIN by_lang USING (lang, measure) JOIN every USING (measure)
+), counts AS (
+  SELECT lang, source, measure, bin, count(*) AS n FROM bins GROUP BY ALL
+), every AS (
+  SELECT measure, bin, sum(n)::DOUBLE / sum(sum(n)) OVER (PARTITION BY measure) AS share FROM counts GROUP BY measure, bin
+), lang_weights AS (
+  SELECT g.lang, e.measure, e.bin, coalesce(c.n, 0) + """ + str(PRIOR_DOCS) + """ * e.share AS w
+  FROM (SELECT DISTINCT lang FROM counts) g CROSS JOIN every e
+  LEFT JOIN (SELECT lang, measure, bin, sum(n) AS n FROM counts GROUP BY ALL) c ON c.lang = g.lang AND c.measure = e.measure AND c.bin = e.bin
+), by_lang AS (
+  SELECT lang, measure, bin, w / sum(w) OVER (PARTITION BY lang, measure) AS share FROM lang_weights
+), own_weights AS (
+  SELECT g.lang, g.source, l.measure, l.bin, coalesce(c.n, 0) + """ + str(PRIOR_DOCS) + """ * l.share AS w
+  FROM (SELECT DISTINCT lang, source FROM counts) g JOIN by_lang l USING (lang)
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.measure = l.measure AND c.bin = l.bin
+), own AS (
+  SELECT lang, source, measure, bin, w / sum(w) OVER (PARTITION BY lang, source, measure) AS share,
+         CASE WHEN bin = 0 THEN 0 ELSE pow(2e-9 * pow(""" + str(GAMMA) + """::DOUBLE, bin) / (1 + """ + str(GAMMA) + """), CASE measure """ + " ".join(f"WHEN '{m}' THEN {v}::DOUBLE" for m, v in RULES.items()) + """ END) END AS x
+  FROM own_weights
+), run AS (
+  SELECT *, sum(share) OVER o AS below, sum(share * x) OVER o AS sum_below, sum(share * x) OVER g AS mean, sum(share * x * x) OVER g AS squares, max(bin) OVER g AS top
+  FROM own WINDOW o AS (PARTITION BY lang, source, measure ORDER BY bin), g AS (PARTITION BY lang, source, measure)
+), best AS (
+  SELECT lang, source, measure, max(explained) AS explained, arg_max(bin, explained) AS bin
+  FROM (SELECT *, pow(mean * below - sum_below, 2) / (below * (1 - below)) / (squares - mean * mean) AS explained FROM run WHERE bin < top AND below >= """ + str(LEAST_LEFT) + """) GROUP BY ALL
 ), bounds AS (
-  SELECT lang, source, """
-    + ", ".join(f"max(most) FILTER (WHERE measure = '{m}') AS max_{m}" for m in RULES)
-    + """ FROM most GROUP BY ALL
+  SELECT lang, source, """ + ", ".join(f"max(bin) FILTER (WHERE measure = '{m}' AND explained >= {LEAST_EXPLAINED}) AS max_{m}" for m in RULES) + """ FROM best GROUP BY ALL
 ), judged AS (
-  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM r JOIN bounds USING (lang, source)
+  SELECT r.*, """ + ", ".join(f"max_{m}" for m in RULES) + """, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM r LEFT JOIN bounds USING (lang, source)
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND """
-    + " AND ".join(f"{m} <= max_{m}" for m in RULES)
-    + " AS kept FROM judged"
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND """ + " AND ".join(f"coalesce(CASE WHEN {m} <= 1e-9 THEN 0 ELSE ceil(ln({m} / 1e-9) / ln({GAMMA}::DOUBLE))::INT END <= max_{m}, true)" for m in RULES) + """ AS kept FROM judged"""
 )

@@ -44,6 +44,32 @@ def test_adaptive_thresholds_follow_the_group(spark):
     assert not kept[300] and all(kept[i] for i in range(80)) and all(kept[100 + i] for i in range(80))
 
 
+def test_the_same_text_is_judged_by_its_group(spark):
+    """On a real table: a text between the thresholds of two sources is kept in one and dropped in the other."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    limits = quality.limits(quality.judge(docs).select("lang_key", "source_key", *quality.MEASURES))
+    bounds = limits.withColumn("most", F.col("max_dup_line_ratio")).filter("lang_key = '1en' AND most IS NOT NULL").orderBy("most").collect()
+    low, high = bounds[0], bounds[-1]
+    edge = lambda b: 1e-9 * quality.GAMMA**b
+    n, k = next((n, k) for n in range(2, 60) for k in range(1, n) if edge(low.most) < k / n <= edge(high.most) / quality.GAMMA)
+    line = lambda i: " ".join(f"w{i}x{j}" for j in range(3 + 80 // n))
+    text = "\n".join(x for i in range(n - k - 1) for x in (("same words", line(i)) if i <= k else (line(i),)))
+    fresh = [(-1, text, "en", low.source_key[1:], 0), (-2, text, "en", high.source_key[1:], 0)]
+    measured = quality.judge(frame(spark, fresh)).select("doc_id", "lang_key", "source_key", *quality.MEASURES)
+    told = {r.doc_id: r for r in quality.verdicts(measured, limits).collect()}
+    assert not told[-1].base_failed and not told[-1].kept and told[-2].kept
+
+
+def test_a_cut_needs_a_clear_gap_and_most_of_the_group(spark):
+    even = spark.createDataFrame([("g", "symbol_ratio", 900 + b, 10) for b in range(40)], "g string, measure string, bin int, n long")
+    clear = spark.createDataFrame([("g", "symbol_ratio", 0, 90), ("g", "symbol_ratio", 950, 10)], even.schema)
+    norm = spark.createDataFrame([("g", "symbol_ratio", 0, 10), ("g", "symbol_ratio", 950, 90)], even.schema)
+    shares = lambda df: df.withColumn("share", F.col("n") / F.sum("n").over(__import__("pyspark").sql.Window.partitionBy("g", "measure")))
+    cut = lambda df: quality.cuts(shares(df), ["g"]).first()
+    assert cut(clear).bin == 0 and cut(clear).explained > 0.99 and abs(cut(clear).level - 0.9) < 1e-9
+    assert cut(norm) is None and cut(even).explained < 0.8
+
+
 def test_filter_keeps_rows_as_they_are(spark):
     df = frame(spark, clashes=True)
     kept = quality.keep_good(df)
