@@ -51,6 +51,8 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[secrets.count_kind(found, k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
         F.sha2(secrets.listed(found, True), 256).alias("base_sha256"),
         secrets.listed(found, False).alias("spans"),
+        secrets.count_live(found).alias("n_live"),
+        secrets.ownership(found).alias("ownership"),
     )
 
 
@@ -101,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.ORACLE_SQL,
+    "op6_secret_scan": secrets.ORACLE_SQL,
     "op7_decontamination": decontam.ORACLE_SQL,
     "op8_quality_rules": quality.ORACLE_SQL,
     "op9_chat_formatting": chat.ORACLE_SQL,

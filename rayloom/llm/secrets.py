@@ -2,95 +2,120 @@
 
 Patterns find candidates in every text.  The hash of each candidate's value is
 counted over the corpus by distinct owners and repositories: a value that many
-owners hold is an example that gets copied, one that stays with an owner looks
-live.  Everything is DataFrame functions; only hashes, ids and positions are
-shuffled, never texts, and each distinct text is annotated once.
+owners or repositories hold is an example that gets copied, one that stays with
+an owner looks live.  Everything is DataFrame functions; only hashes, ids and
+positions are shuffled, never texts, and each distinct text is annotated once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rayloom.llm.common import maybe_broadcast, stored
+from rayloom.llm.common import stored
 
 #: Patterns of the base kinds: fixed values.  In "assign" letters of the names are in either case.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]{24,}+"
+HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 #: Bare tokens, candidates of the method itself.
-TOKEN = r"[A-Za-z0-9+/_=-]{16,}+"
+TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
 
 #: Order of kinds at the same start.
 KINDS = ("assign", "access", "hex", "token")
-#: A value held by at least so many owners is an example.
-EXAMPLE_OWNERS = 3
-#: Values that only show a form, in lower case: never live.
-PLACEHOLDER = r"example|changeme|your[_-]|placeholder|xxxx|dummy|sample|^(.)\1*$"
+#: A value held by at least so many owners, or repositories, is an example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 6
+#: Bits that a live value's characters carry at least, by their own frequencies.
+LEAST_BITS = 40.0
 
-#: Spans of so many texts are broadcast to be joined back.
-BROADCAST_TEXTS = 100_000
+#: Spans of so many texts, and so many of them, are broadcast to be joined back.
+BROADCAST_TEXTS, BROADCAST_ENTRIES = 50_000, 200_000
+#: Elements that are summed one by one; longer arrays are summed by such parts.
+PART = 512
 
 CANDIDATE = "array<struct<start:bigint,nth:int,end:bigint,value:binary,shape:boolean>>"
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _sums(lengths: Column) -> Column:
+    """Sums of the elements before each, and of all; an append copies the array."""
+    return F.aggregate(lengths, F.array(F.lit(0).cast("long")), lambda sums, n: F.array_append(sums, F.element_at(sums, -1) + n))
+
+
 def _running(lengths: Column) -> Column:
-    """Sums of the lengths before each element, and of all."""
-    zero = F.array(F.lit(0).cast("long"))
-    return F.aggregate(lengths, zero, lambda sums, n: F.array_append(sums, F.element_at(sums, -1) + n))
+    """The same part by part, so that long arrays are not copied for each element."""
+    parts = _let(lengths, lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / PART).cast("int")), lambda i: _sums(F.slice(x, i * PART + 1, F.lit(PART)))))
+    put = lambda p: _let(_sums(F.transform(p, lambda x: F.element_at(x, -1))), lambda before: F.concat(F.flatten(F.transform(p, lambda x, i: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda n: n + F.get(before, i)))), F.array(F.element_at(before, -1))))
+    return _let(parts, put)
 
 
 def _lengths(parts: Column) -> Column:
     return F.transform(parts, lambda p: F.length(p).cast("long"))
 
 
-def found(text: Column, pattern: str, kind: str, value_group: int, least: int, least_in: int, more=None) -> Column:
+def bits(value: Column) -> Column:
+    """What the characters of a value carry, by their frequencies in it."""
+    n = F.length(value).cast("double")
+
+    def of(c: Column) -> Column:
+        times = n - F.length(F.replace(value, c, F.lit("")))
+        return times * (F.log2(n) - F.log2(times))
+
+    return F.aggregate(F.transform(F.array_distinct(F.split(value, "")), of), F.lit(0.0), lambda a, x: a + x)
+
+
+def looks_live(value: Column) -> Column:
+    """Letters and digits that carry ``LEAST_BITS`` at least; words, fillers and repeated characters don't."""
+    return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (bits(value) >= LEAST_BITS)
+
+
+def found(text: Column, pattern: str, kind: str, value_group: int, least: int, more=None) -> Column:
     """Matches of ``pattern``, leftmost and non-overlapping, as ``CANDIDATE``; positions in code points.
 
-    What lies between the matches gives their positions.  A match is dropped
-    where its group ``least_in`` has fewer than ``least`` characters.
+    What lies between the matches gives their positions; a text without any is
+    searched once, another twice.  A match is dropped where its value, the
+    group ``value_group``, has fewer than ``least`` characters.
     """
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else whole
-    gaps, sizes = _running(_lengths(F.split(text, pattern, -1))), _running(_lengths(whole))
 
     def entry(parts: Column, i: Column) -> Column:
         start = F.get(parts["gaps"], i + 1) + F.get(parts["sizes"], i)
-        match, said = F.get(parts["whole"], i), F.get(parts["value"], i)
-        lower = F.lower(said)
-        return F.struct(
-            start.alias("start"),
-            F.lit(KINDS.index(kind)).alias("nth"),
-            (start + F.length(match)).alias("end"),
-            F.unhex(F.sha2(said, 256)).alias("value"),
-            (~lower.rlike(PLACEHOLDER) & (F.size(F.array_distinct(F.split(lower, ""))) >= 5)).alias("shape"),
-            F.length(F.get(parts["value" if least_in else "whole"], i)).alias("size"),
-            said.alias("said"),
+        match = F.get(parts["whole"], i)
+        value = F.regexp_extract(match, pattern, value_group) if value_group else match
+        return _let(
+            value,
+            lambda said: F.struct(
+                start.alias("start"),
+                F.lit(KINDS.index(kind)).alias("nth"),
+                (start + F.length(match)).alias("end"),
+                F.unhex(F.sha2(said, 256)).alias("value"),
+                looks_live(said).alias("shape"),
+                ((F.length(said) >= least) & (more(said) if more else F.lit(True))).alias("fits"),
+            ),
         )
 
-    parts = F.struct(gaps.alias("gaps"), sizes.alias("sizes"), whole.alias("whole"), value.alias("value"))
-    entries = F.transform(
-        F.array(parts),
-        lambda p: F.filter(F.transform(F.sequence(F.lit(0), F.size(p["whole"]) - 1), lambda i: entry(p, i)), lambda e: (e["size"] >= least) & (more(e["said"]) if more else F.lit(True))),
-    )
-    kept = F.transform(F.flatten(entries), lambda e: F.struct(e["start"], e["nth"], e["end"], e["value"], e["shape"]))
-    return F.when(text.rlike(pattern), kept).otherwise(F.array()).cast(CANDIDATE)
+    def entries(between: Column) -> Column:
+        whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        parts = _let(whole, lambda w: F.struct(_running(_lengths(between)).alias("gaps"), _running(_lengths(w)).alias("sizes"), w.alias("whole")))
+        kept = _let(parts, lambda p: F.filter(F.transform(F.sequence(F.lit(0), F.size(p["whole"]) - 1), lambda i: entry(p, i)), lambda e: e["fits"]))
+        told = F.transform(kept, lambda e: F.struct(e["start"], e["nth"], e["end"], e["value"], e["shape"]))
+        return F.when(F.size(between) > 1, told).otherwise(F.array().cast(CANDIDATE))
+
+    return _let(F.split(text, pattern, -1), entries).cast(CANDIDATE)
 
 
 def candidates(text: Column) -> Column:
     """All candidates in a text, of all kinds; empty for null."""
     mixed = lambda said: said.rlike("[0-9].*[0-9].*[0-9]") & said.rlike("[A-Za-z]")
-    kinds = (
-        found(text, ASSIGN, "assign", 2, 6, 2),
-        found(text, ACCESS, "access", 0, 20, 0),
-        found(text, HEX, "hex", 0, 24, 0),
-        found(text, TOKEN, "token", 0, 16, 0, mixed),
-    )
-    return F.concat(*kinds)
+    kinds = (found(text, ASSIGN, "assign", 2, 6), found(text, ACCESS, "access", 0, 20), found(text, HEX, "hex", 0, 24), found(text, TOKEN, "token", 0, 16, mixed))
+    return F.coalesce(F.concat(*kinds), F.array().cast(CANDIDATE))
 
 
-def annotate(held: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """``tkey, found`` for each distinct text with candidates.
+def annotate(held: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
+    """``tkey, found`` for each distinct text with spans: base spans, and bare tokens that look live and meet no base span.
 
     ``held`` has ``tkey, owner, repository, cands``, one row per document.
     Distinct (value, owner, repository) triples are counted in two steps, so
@@ -101,17 +126,23 @@ def annotate(held: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame
     owners = triples.groupBy("value", "owner").agg(F.count("*").alias("n"))
     verdict = owners.groupBy("value").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
     rows = some.dropDuplicates(["tkey"]).select("tkey", F.explode("cands").alias("c")).select("tkey", "c.*")
-    judged = rows.join(verdict, "value").withColumn("live", F.col("shape") & (F.col("n_owners") < example_owners))
+    live = F.col("shape") & (F.col("n_owners") < example_owners) & (F.col("n_repositories") < example_repositories)
+    judged = rows.join(verdict, "value").withColumn("live", live).drop("shape")
+    is_base = F.col("nth") < KINDS.index("token")
+    before = Window.partitionBy("tkey").orderBy("start", "nth").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("tkey").orderBy(F.col("start").desc(), F.col("nth").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    apart = (F.coalesce(F.max(F.when(is_base, F.col("end"))).over(before), F.lit(0)) <= F.col("start")) & (F.coalesce(F.min(F.when(is_base, F.col("start"))).over(after), F.col("end")) >= F.col("end"))
+    kept = judged.withColumn("apart", apart).filter(is_base | (F.col("live") & F.col("apart")))
     entry = F.struct("start", "nth", "end", "live", "n_owners", "n_repositories", "value")
-    return judged.groupBy("tkey").agg(F.array_sort(F.collect_list(entry)).alias("found"))
+    return kept.groupBy("tkey").agg(F.array_sort(F.collect_list(entry)).alias("found"))
 
 
-def settled(entries: Column) -> Column:
-    """Base spans, and bare tokens that look live and lie in no base span."""
-    token = KINDS.index("token")
-    base = F.filter(entries, lambda e: e["nth"] < token)
-    added = F.filter(entries, lambda e: (e["nth"] == token) & e["live"] & ~F.exists(base, lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
-    return F.array_sort(F.concat(base, added))
+def _who(docs: DataFrame, owner: Column | None, repository: Column | None) -> tuple[Column, Column]:
+    """``source``, and ``source`` with ``lang``, where nothing else is named and the columns are there; else one owner for all."""
+    has = {c for c in ("source", "lang") if c in docs.columns}
+    none = F.lit(None).cast("string")
+    source, lang = (F.col(c).cast("string") if c in has else none for c in ("source", "lang"))
+    return source if owner is None else owner, F.struct(source.alias("source"), lang.alias("lang")) if repository is None else F.struct(repository.alias("repository"))
 
 
 def scan_secrets(
@@ -121,29 +152,28 @@ def scan_secrets(
     owner: Column | None = None,
     repository: Column | None = None,
     example_owners: int = EXAMPLE_OWNERS,
+    example_repositories: int = EXAMPLE_REPOSITORIES,
 ) -> DataFrame:
-    """``doc_id, found`` of every row of ``docs``: an array of spans with kind number, liveness and owner counts.
+    """``doc_id, found`` of every row of ``docs``: an array of spans with kind number, liveness, owner and repository counts.
 
     Owner and repository default to ``source`` and to ``source`` with
-    ``lang``.  A null owner or repository counts as one of its own.  A null or
-    empty text has no spans.  Rows with the same text have the same spans, so
-    repeated rows and null ids come out as they went in.  An empty table gives
-    no rows; other columns are ignored.
+    ``lang``; without these columns all documents have one owner.  A null
+    owner or repository counts as one of its own.  A null or empty text has no
+    spans.  Texts of any length are searched whole.  Rows with the same text
+    have the same spans, so repeated rows and null ids come out as they went
+    in.  An empty table gives no rows; other columns are ignored.
     """
+    owner, repository = _who(docs, owner, repository)
     held = stored(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            (F.col("source") if owner is None else owner).alias("owner"),
-            (F.struct("source", "lang") if repository is None else F.struct(repository)).alias("repository"),
-            F.col(text_col).alias("text"),
-        )
-        .withColumn("cands", F.coalesce(candidates(F.col("text")), F.array().cast(CANDIDATE)))
+        docs.select(F.col(id_col).alias("doc_id"), owner.alias("owner"), repository.alias("repository"), F.col(text_col).alias("text"))
+        .withColumn("cands", candidates(F.col("text")))
         .select("doc_id", "owner", "repository", "cands", F.when(F.size("cands") > 0, F.unhex(F.md5("text"))).alias("tkey")),
         "secrets",
     )
-    spans = annotate(held, example_owners).select("tkey", settled(F.col("found")).alias("found"))
-    with_some = held.filter(F.size("cands") > 0).select("doc_id", "tkey").join(spans, "tkey").select("doc_id", "found")
-    without = held.filter(F.size("cands") == 0).select("doc_id", F.array().cast(spans.schema["found"].dataType).alias("found"))
+    spans = stored(annotate(held, example_owners, example_repositories), "spans")
+    nothing = F.array().cast(spans.schema["found"].dataType)
+    with_some = held.filter(F.size("cands") > 0).select("doc_id", "tkey").join(spans, "tkey", "left").select("doc_id", F.coalesce("found", nothing).alias("found"))
+    without = held.filter(F.size("cands") == 0).select("doc_id", nothing.alias("found"))
     return with_some.unionByName(without)
 
 
@@ -154,6 +184,16 @@ def listed(entries: Column, only_base: bool) -> Column:
     return F.array_join(F.transform(kept, lambda e: F.concat_ws(":", F.get(names, e["nth"]), e["start"].cast("string"), e["end"].cast("string"))), ",")
 
 
+def ownership(entries: Column) -> Column:
+    """``owners:repositories:verdict`` of each span in the order of :func:`listed`, comma-joined; verdict ``live`` or ``example``."""
+    verdict = lambda e: F.when(e["live"], F.lit("live")).otherwise(F.lit("example"))
+    return F.array_join(F.transform(entries, lambda e: F.concat_ws(":", e["n_owners"].cast("string"), e["n_repositories"].cast("string"), verdict(e))), ",")
+
+
+def count_live(entries: Column) -> Column:
+    return F.size(F.filter(entries, lambda e: e["live"])).cast("long")
+
+
 def count_kind(entries: Column, kind: str) -> Column:
     return F.size(F.filter(entries, lambda e: e["nth"] == KINDS.index(kind))).cast("long")
 
@@ -172,18 +212,77 @@ def redacted(text: Column, entries: Column) -> Column:
     return F.aggregate(entries, start, step, lambda s: F.concat(s["done"], F.substring(text, (s["at"] + 1).cast("int"), F.lit(2**31 - 1))))
 
 
-def redact_secrets(docs: DataFrame, text_col: str = "text", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def redact_secrets(
+    docs: DataFrame,
+    text_col: str = "text",
+    owner: Column | None = None,
+    repository: Column | None = None,
+    example_owners: int = EXAMPLE_OWNERS,
+    example_repositories: int = EXAMPLE_REPOSITORIES,
+) -> DataFrame:
     """``docs`` with every secret replaced; all rows and columns stay.
 
     Texts are searched once.  The spans of the few texts that have any are
     joined back by the text's digest: broadcast where they are few, else by
-    shuffle.
+    shuffle.  Owners, nulls, repeated rows and empty tables are as in
+    :func:`scan_secrets`; a null text stays null.  Columns may have any names.
     """
     tkey = F.unhex(F.md5(F.col(text_col)))
-    scanned = docs.select(tkey.alias("tkey"), F.col("source").alias("owner"), F.struct("source", "lang").alias("repository"), F.coalesce(candidates(F.col(text_col)), F.array().cast(CANDIDATE)).alias("cands"))
+    owner, repository = _who(docs, owner, repository)
+    scanned = docs.select(tkey.alias("tkey"), owner.alias("owner"), repository.alias("repository"), candidates(F.col(text_col)).alias("cands"))
     held = stored(scanned.filter(F.size("cands") > 0), "secrets")
-    spans = stored(annotate(held, example_owners).select("tkey", settled(F.col("found")).alias("found")), "spans")
+    spans = stored(annotate(held, example_owners, example_repositories), "spans")
+    few = spans.agg(F.count("*").alias("texts"), F.coalesce(F.sum(F.size("found")), F.lit(0)).alias("entries")).first()
+    if few.texts <= BROADCAST_TEXTS and few.entries <= BROADCAST_ENTRIES:  # at most 25 MB
+        spans = F.broadcast(spans)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    met = docs.select(row, tkey.alias("tkey")).join(maybe_broadcast(spans, BROADCAST_TEXTS), "tkey", "left")
+    met = docs.select(row, tkey.alias("tkey")).join(spans, "tkey", "left")
     text = F.when(F.col("found").isNull(), F.col("row")[text_col]).otherwise(redacted(F.col("row")[text_col], F.col("found")))
     return met.withColumn("row", F.col("row").withField(text_col, text)).select("row.*")
+
+
+def _matches(kind: str, pattern: str, group: int, least: int, more: str = "true") -> str:
+    """SQL of the matches of one kind: between two matches lies what the text is split into."""
+    said = "regexp_extract(m, p, %d)" % group if group else "m"
+    return f"""SELECT doc_id, source, lang, {KINDS.index(kind)} AS nth, '{kind}' AS kind, b - length(m) AS start_at, b AS end_at, {said} AS said FROM (
+    SELECT *, '{pattern.replace("'", "''")}' AS p, (sum(length(gap)) OVER w + sum(length(m)) OVER w)::BIGINT AS b FROM (
+      SELECT doc_id, source, lang, unnest(range(1, len(whole) + 1)) AS i, unnest(whole) AS m, unnest(gaps[1:len(whole)]) AS gap FROM (
+        SELECT doc_id, source, lang, regexp_extract_all(t, '{pattern.replace("'", "''")}') AS whole, regexp_split_to_array(t, '{pattern.replace("'", "''")}') AS gaps FROM d
+      ) WHERE len(whole) > 0
+    ) WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+  ) WHERE length({said}) >= {least} AND {more.replace("said", said)}"""
+
+
+#: DuckDB SQL for the query's columns; positions come from the lengths of what lies between matches.
+ORACLE_SQL = (
+    "WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents), cands AS (\n  "
+    + "\n  UNION ALL ".join(
+        (
+            _matches("assign", ASSIGN, 2, 6),
+            _matches("access", ACCESS, 0, 20),
+            _matches("hex", "[0-9a-f]{24,}", 0, 24),
+            _matches("token", "[A-Za-z0-9+/_=-]{16,}", 0, 16, "regexp_matches(said, '[0-9].*[0-9].*[0-9]') AND regexp_matches(said, '[A-Za-z]')"),
+        )
+    )
+    + f"""
+), owned AS (
+  SELECT said, count(DISTINCT coalesce('1' || source, '2')) AS n_owners, count(DISTINCT coalesce('1' || source, '2') || chr(1) || coalesce('1' || lang, '2')) AS n_repositories FROM cands GROUP BY said
+), shapes AS (
+  SELECT said, sum(n * (log2(length(said)) - log2(n))) AS bits
+  FROM (SELECT said, c, length(said) - length(replace(said, c, '')) AS n FROM (SELECT said, unnest(list_distinct(string_split(said, ''))) AS c FROM (SELECT DISTINCT said FROM cands)) WHERE c <> '') GROUP BY said
+), judged AS (
+  SELECT c.*, n_owners, n_repositories, regexp_matches(said, '[0-9]') AND regexp_matches(said, '[A-Za-z]') AND bits >= {LEAST_BITS} AND n_owners < {EXAMPLE_OWNERS} AND n_repositories < {EXAMPLE_REPOSITORIES} AS live
+  FROM cands c JOIN owned USING (said) JOIN shapes USING (said)
+), kept AS (
+  SELECT * FROM judged a WHERE nth < 3 OR (live AND NOT EXISTS (SELECT 1 FROM judged b WHERE b.doc_id = a.doc_id AND b.nth < 3 AND b.start_at < a.end_at AND a.start_at < b.end_at))
+), told AS (
+  SELECT doc_id, count(*) FILTER (WHERE nth = 0) AS n_assign, count(*) FILTER (WHERE nth = 1) AS n_access, count(*) FILTER (WHERE nth = 2) AS n_hex, count(*) FILTER (WHERE live) AS n_live,
+    string_agg(kind || ':' || start_at || ':' || end_at, ',' ORDER BY start_at, nth) FILTER (WHERE nth < 3) AS base,
+    string_agg(kind || ':' || start_at || ':' || end_at, ',' ORDER BY start_at, nth) AS spans,
+    string_agg(n_owners || ':' || n_repositories || ':' || CASE WHEN live THEN 'live' ELSE 'example' END, ',' ORDER BY start_at, nth) AS ownership
+  FROM kept GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(ownership, '') AS ownership
+FROM d LEFT JOIN told USING (doc_id)"""
+)

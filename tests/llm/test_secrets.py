@@ -42,6 +42,61 @@ def test_owners_tell_examples_from_live_ones(spark):
     assert held[4].count("[EXAMPLE]") == 2 and "hunter2" not in held[0]
 
 
+def live_spans(docs):
+    """Brute force: all spans with owners, repositories and verdict, of rows ``id, text, lang, source``."""
+    import math
+    from collections import Counter
+
+    kinds = (
+        (0, r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, re.I | re.A),
+        (1, r"AKIA[A-Z0-9]+", 0, 20, 0),
+        (2, r"[0-9a-f]+", 0, 24, 0),
+        (3, r"[A-Za-z0-9+/_=-]+", 0, 16, 0),
+    )
+    cands, owners, repos = [], {}, {}
+    for at, (_, text, lang, source) in enumerate(docs):
+        for nth, pattern, group, least, flags in kinds:
+            for m in re.finditer(pattern, text or "", flags):
+                v = m[group]
+                if len(v) < least or nth == 3 and (len(re.findall("[0-9]", v)) < 3 or not re.search("[A-Za-z]", v)):
+                    continue
+                cands.append((at, m.start(), nth, m.end(), v))
+                owners.setdefault(v, set()).add(source)
+                repos.setdefault(v, set()).add((source, lang))
+    out = [[] for _ in docs]
+    for at, a, nth, b, v in cands:
+        carried = sum(n * math.log2(len(v) / n) for n in Counter(v).values())
+        shape = bool(re.search("[0-9]", v) and re.search("[A-Za-z]", v)) and carried >= secrets.LEAST_BITS
+        live = shape and len(owners[v]) < secrets.EXAMPLE_OWNERS and len(repos[v]) < secrets.EXAMPLE_REPOSITORIES
+        meets = any(x[0] == at and x[2] < 3 and x[1] < b and a < x[3] for x in cands)
+        if nth < 3 or live and not meets:
+            out[at].append((a, nth, b, live, len(owners[v]), len(repos[v])))
+    return [sorted(x) for x in out]
+
+
+def held_against_brute_force(spark, some):
+    got = [(str(r.doc_id), [(e.start, e.nth, e.end, e.live, e.n_owners, e.n_repositories) for e in r.found]) for r in secrets.scan_secrets(frame(spark, some)).collect()]
+    want = live_spans([(r[0], r[1], r[2], r[3]) for r in some])
+    assert sorted(got) == sorted((str(r[0]), w) for r, w in zip(some, want))
+
+
+def test_ownership_against_brute_force(spark):
+    copied = [(200 + i, f"see Mn4Bv7Cx2Za9Sd5Fg8Hj1 and {KEY} here", ("en", "de", "fr")[i % 3], f"s{i % 2}", 0) for i in range(6)]
+    held_against_brute_force(spark, rows() + copied + [(300, "secret: Pq8Wn3Xb6Yc1 Lk2Jh5Gf8Dd1Sa4Zx7Cv0", "en", "only", 0)])
+
+
+def test_positions_in_a_text_of_many_matches(spark):
+    rng = __import__("random").Random(3)
+    text = " ".join("é" * rng.randrange(3) + f"token={rng.randrange(10**7, 10**8)}x" for _ in range(1300))
+    got = secrets.scan_secrets(frame(spark, [(1, text, "en", "a", 0)])).select(secrets.listed(F.col("found"), True).alias("b")).first().b
+    assert got == base(text) and got.count(",") == 1299
+
+
+def test_without_sources(spark):
+    df = spark.createDataFrame([(1, f"a {KEY} b")], "id long, text string")
+    assert secrets.redact_secrets(df).first().text == "a [SECRET] b"
+
+
 def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
     got = {r.doc_id: r for r in queries.op6_secret_scan(spark, "/root/testdata/sf0.001").collect()}
