@@ -1,17 +1,23 @@
 """Exact repeated substrings, removed by a column-wise Burrows-Wheeler construction.
 
-Every window of ``LENGTH`` bytes has an anchor, the least hash of its grams,
+Every window of ``PASSAGE`` bytes has an anchor, the least hash of its grams,
 which depends on nothing but the window.  So equal windows have equal anchors,
 and windows need to be compared only with those of the same anchor.  The
 passage around an anchor that occurs more than once is a row of a collection;
 the rows of an anchor are aligned at it.
 
 A task builds the collections that it gets column by column, from the right:
-each round inserts one symbol for each row, re-sorts the rows stably by that
-symbol, and updates the common prefixes of neighbours from those of the round
-before.  A window is repeated where a neighbour shares ``LENGTH`` bytes.  The
-columns of a chunk are read one after the other and dropped; what stays are an
-order and a common prefix for each row.
+each round inserts one symbol for each row - in the order of the rows those
+symbols are the round's part of the collection's Burrows-Wheeler transform -
+re-sorts the rows stably by them, and updates the common prefixes of neighbours
+from those of the round before.  A string is repeated where a neighbour shares
+so many bytes: ``LENGTH`` for what is removed, ``PASSAGE`` for what is only
+reported.  The columns of a chunk are read one after the other and dropped;
+what stays are an order and a common prefix for each row.
+
+A hot anchor's passages are cut into narrower pieces, keyed by the bytes that
+all windows of a piece share; equal pieces are one row with a count.  A key
+that still has many unlike pieces has its windows counted one by one.
 """
 
 from __future__ import annotations
@@ -26,17 +32,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rayloom.lineage import stored
-from rayloom.llm.common import modest_batches
+from rayloom.llm.common import maybe_broadcast, modest_batches
 
-#: Bytes of a repeated string, and of the grams that anchors are chosen from.
-LENGTH, GRAM = 400, 24
+#: Bytes of a repeated string that is removed, of one that is reported, and of the grams that anchors are chosen from.
+LENGTH, PASSAGE, GRAM = 400, 256, 24
 #: Bytes of text that are hashed at once; the positions in them must fit 24 bits.
 SHARD_BYTES = 1 << 20
 LONGEST_SHARD = 1 << 23
 #: Rows of the collections that a task builds at once.
 CHUNK_ROWS = 20_000
-#: Anchors in more texts are not gathered; their windows are counted one by one.
-HOT_ANCHOR = 50_000
+#: Anchors with passages in more texts are split into pieces; keys of more unlike pieces are counted.  The result is the same.
+HOT_ANCHOR = 1_000
+#: Windows of a piece: the distances of their starts to the anchor lie between two multiples of it.
+PIECE = 64
+#: Rows of 40 bytes that are broadcast to be joined back; more are joined by shuffle.
+BROADCAST_SPANS = 100_000
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.uint64((1 << 24) - 1)
@@ -79,9 +89,9 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """
     parts = []
     for i, text in enumerate(texts):
-        step = LONGEST_SHARD - LENGTH + 1
-        for at in range(0, max(1, len(text) - LENGTH + 1), step):
-            if len(part := text[at : at + LONGEST_SHARD]) >= LENGTH:
+        step = LONGEST_SHARD - PASSAGE + 1
+        for at in range(0, max(1, len(text) - PASSAGE + 1), step):
+            if len(part := text[at : at + LONGEST_SHARD]) >= PASSAGE:
                 parts.append((i, at, part))
     found: list[tuple[np.ndarray, ...]] = []
     held: list[tuple[int, int, bytes]] = []
@@ -101,11 +111,11 @@ def _anchors(parts: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
     data = np.frombuffer(b"".join(p[2] for p in parts), np.uint8)
     grams = gram_hashes(data)
     keys = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
-    place = (sliding_least(keys, LENGTH - GRAM + 1) & _PLACE).astype(np.int64)
+    place = (sliding_least(keys, PASSAGE - GRAM + 1) & _PLACE).astype(np.int64)
     ends = np.cumsum([len(p[2]) for p in parts])
     starts = ends - [len(p[2]) for p in parts]
-    windows = np.concatenate([np.arange(s, e - LENGTH + 1) for s, e in zip(starts, ends)])
-    owner = np.repeat(np.arange(len(parts)), ends - starts - LENGTH + 1)
+    windows = np.concatenate([np.arange(s, e - PASSAGE + 1) for s, e in zip(starts, ends)])
+    owner = np.repeat(np.arange(len(parts)), ends - starts - PASSAGE + 1)
     at = place[windows]
     first = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 0) | (np.diff(owner) != 0))))
     last = np.concatenate((first[1:], [len(at)])) - 1
@@ -128,22 +138,24 @@ CONTEXT = T.StructType(
         T.StructField("hash", T.LongType()),
         T.StructField("bytes", T.BinaryType()),
         T.StructField("lead", T.IntegerType()),
+        T.StructField("last", T.IntegerType()),
         T.StructField("at", T.ArrayType(T.LongType())),
     ]
 )
 
 
-def contexts_of(text: bytes, wanted: set[int]) -> list[tuple[int, bytes, int, list[int]]]:
-    """``hash, bytes, lead, at``: the passages around the wanted anchors, each distinct one once, with all its places.
+def contexts_of(text: bytes, wanted: set[int]) -> list[tuple[int, bytes, int, int, list[int]]]:
+    """``hash, bytes, lead, last, at``: the passages around the wanted anchors, each distinct one once, with all its places.
 
-    ``lead``: bytes before the anchor.
+    ``lead``: bytes before the anchor; ``last``: the last window of the anchor.
+    The bytes go on to the end of a string of ``LENGTH`` from there, or of the text.
     """
-    met: dict[tuple[int, int, bytes], list[int]] = {}
+    met: dict[tuple[int, int, int, bytes], list[int]] = {}
     _, hashes, at, low, high = anchors([text])
     for h, a, lo, hi in zip(hashes.tolist(), at.tolist(), low.tolist(), high.tolist()):
         if h in wanted:
-            met.setdefault((h, a - lo, text[lo : hi + LENGTH]), []).append(lo)
-    return [(h, said, lead, places) for (h, lead, said), places in met.items()]
+            met.setdefault((h, a - lo, hi - lo, text[lo : hi + LENGTH]), []).append(lo)
+    return [(h, said, lead, last, places) for (h, lead, last, said), places in met.items()]
 
 
 @F.pandas_udf(T.ArrayType(CONTEXT))
@@ -152,16 +164,16 @@ def contexts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
         yield pd.Series([[dict(zip(CONTEXT.names, c)) for c in contexts_of(raw_bytes(t), set(w))] for t, w in zip(texts, wanted)], dtype=object)
 
 
-def repeated_windows(rows: list[bytes], lead: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first and last window of each row that another row of its group shares; -1 for none.
+def repeated_windows(rows: list[bytes], lead: np.ndarray, group: np.ndarray, lengths_of: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length, the first and last start of a string of it that another row of the group shares; -1 for none.
 
-    Rows are sorted by group.  The window ``w`` of a row begins ``w`` bytes in.
+    Rows are sorted by group and aligned at ``lead``; only starts up to there count.
     """
     n = len(rows)
     lengths = np.array([len(r) for r in rows])
     offsets = np.cumsum(lengths) - lengths
     data = np.frombuffer(b"".join(rows), np.uint8)
-    least, most = np.full(n, -1), np.full(n, -1)
+    spans = [(np.full(n, -1), np.full(n, -1)) for _ in lengths_of]
     order = np.arange(n)
     common = np.zeros(n + 1, np.int64)  # of each row, in order, with the one before
     for column in range(int((lengths - lead).max()) - 1, -int(lead.max()) - 1, -1):
@@ -179,34 +191,39 @@ def repeated_windows(rows: list[bytes], lead: np.ndarray, group: np.ndarray) ->
             fresh[same] = np.minimum.reduceat(common, between)[::2] + 1
         order, common = order[turn], fresh
         if column <= 0:
-            hit = np.flatnonzero(np.maximum(common[:-1], common[1:]) >= LENGTH)
-            row = order[hit]
-            at = lead[row] + column
-            valid = at >= 0
-            row, at = row[valid], at[valid]
-            least[row] = at
-            most[row] = np.where(most[row] < 0, at, most[row])
-    return least, most
+            shared = np.maximum(common[:-1], common[1:])
+            for (least, most), length in zip(spans, lengths_of):
+                row = order[shared >= length]
+                at = lead[row] + column
+                row, at = row[at >= 0], at[at >= 0]
+                least[row] = at
+                most[row] = np.where(most[row] < 0, at, most[row])
+    return spans
 
 
-SPANS = "node binary, start bigint, end bigint"
+SPANS = "node binary, start bigint, end bigint, long boolean"
 
 
 def repeated_spans(rows: pd.DataFrame) -> pd.DataFrame:
-    """Spans to remove (``node, start, end``) of whole collections (``node, hash, bytes, lead, at``), sorted by hash."""
+    """Repeated spans (``node, start, end, long``) of whole collections (``node, hash, bytes, lead, last, at, n``), sorted by hash.
+
+    ``n``: how often the row stands; ``long``: of ``LENGTH`` bytes, else of ``PASSAGE``.
+    """
     hashes = rows["hash"].to_numpy()
     group = np.cumsum(np.concatenate(([0], np.diff(hashes) != 0)))
     sizes = np.bincount(group)[group]
-    said, lead, places = rows["bytes"].tolist(), rows["lead"].to_numpy(np.int64), rows["at"].tolist()
-    least, most = np.full(len(rows), -1), np.full(len(rows), -1)
-    many = np.flatnonzero(sizes > 1)
-    if len(many):
-        least[many], most[many] = repeated_windows([said[i] for i in many], lead[many], group[many])
-    own = np.array([len(p) > 1 for p in places])
-    least[own], most[own] = 0, np.array([len(s) for s in said])[own] - LENGTH
-    node = rows["node"].tolist()
-    out = [(node[i], p + least[i], p + most[i] + LENGTH) for i in np.flatnonzero(least >= 0) for p in places[i]]
-    return pd.DataFrame(out, columns=["node", "start", "end"])
+    said, lead, places, last = rows["bytes"].tolist(), rows["lead"].to_numpy(np.int64), rows["at"].tolist(), rows["last"].to_numpy(np.int64)
+    many, own = np.flatnonzero(sizes > 1), rows["n"].to_numpy() > 1
+    found = repeated_windows([said[i] for i in many], lead[many], group[many] - group[many[0]], (LENGTH, PASSAGE)) if len(many) else [(np.empty(0), np.empty(0))] * 2
+    held = np.array([len(x) for x in said])
+    out, node = [], rows["node"].tolist()
+    for (low, high), length in zip(found, (LENGTH, PASSAGE)):
+        least, most = np.full(len(rows), -1), np.full(len(rows), -1)
+        least[many], most[many] = low, high
+        whole = own & (held >= length)
+        least[whole], most[whole] = 0, np.minimum(last, held - length)[whole]
+        out += [(node[i], p + least[i], p + most[i] + length, length == LENGTH) for i in np.flatnonzero(least >= 0) for p in places[i]]
+    return pd.DataFrame(out, columns=["node", "start", "end", "long"])
 
 
 def spans_of_collections(passages: DataFrame) -> DataFrame:
@@ -227,15 +244,54 @@ def spans_of_collections(passages: DataFrame) -> DataFrame:
         if held:
             yield repeated_spans(pd.concat(held, ignore_index=True))
 
-    return passages.select("node", "hash", "bytes", "lead", "at").repartition("hash").sortWithinPartitions("hash").mapInPandas(scan, SPANS)
+    return passages.select("node", "hash", "bytes", "lead", "last", "at", "n").repartition("hash").sortWithinPartitions("hash").mapInPandas(scan, SPANS)
 
 
-def spans_by_counting(passages: DataFrame) -> DataFrame:
-    """The same for anchors of any frequency: the digest of every window is counted."""
-    windows = passages.select("node", F.explode("at").alias("at"), "bytes").withColumn("w", F.explode(F.sequence(F.lit(0), F.length("bytes") - LENGTH)))
-    told = windows.select("node", (F.col("at") + F.col("w")).alias("start"), F.unhex(F.sha2(F.substring(F.col("bytes"), F.col("w") + 1, F.lit(LENGTH)), 256)).alias("digest"))
-    often = told.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
-    return told.join(often, "digest").select("node", "start", (F.col("start") + LENGTH).alias("end"))
+def pieces_of(passages: DataFrame) -> DataFrame:
+    """``node, at, hash, piece, bytes, lead, last, n``: passages cut by the distance of windows to the anchor.
+
+    The new ``hash`` is that of the anchor, the distance and the bytes that all
+    windows of such a piece hold, so equal windows stay under one key.
+    ``piece`` tells unlike pieces apart.
+    """
+    far = F.explode(F.sequence(F.floor((F.col("lead") - F.col("last")) / PIECE), F.floor(F.col("lead") / PIECE)))
+    near = (F.col("lead") - F.col("far") * PIECE).cast("int")
+    cut = passages.withColumn("far", far).withColumn("near", near)
+    cut = cut.withColumns({"first": F.greatest(F.lit(0), F.col("near") - (PIECE - 1)), "final": F.least("last", "near"), "core": F.substring(F.col("bytes"), F.col("near") + 1, F.lit(PASSAGE - PIECE + 1))})
+    said = F.substring(F.col("bytes"), F.col("first") + 1, F.col("final") - F.col("first") + LENGTH)
+    lead, last = F.col("lead") - F.col("first"), F.col("final") - F.col("first")
+    told = cut.select("node", F.transform("at", lambda a: a + F.col("first")).alias("at"), F.xxhash64("hash", "far", "core").alias("hash"), said.alias("bytes"), lead.alias("lead"), last.alias("last"), "n")
+    mark = F.unhex(F.md5(F.concat(F.concat_ws(":", "hash", "lead", "last").cast("binary"), F.lit(b":"), F.col("bytes"))))
+    return told.withColumn("piece", mark)
+
+
+def spans_of_hot(passages: DataFrame) -> DataFrame:
+    """The same as :func:`spans_of_collections`, for anchors of any frequency: no task gathers an anchor."""
+    cut = pieces_of(passages)
+    held = stored(cut.groupBy("hash", "piece").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("bytes", "lead", "last")]), "pieces")
+    keys = stored(held.groupBy("hash").agg(F.count("*").alias("unlike"), F.sum("n").alias("n")).filter("n > 1").select("hash", "unlike"), "piece-keys")
+    rows = held.withColumnRenamed("piece", "node").withColumn("at", F.array(F.lit(0).cast("long")))
+    few = rows.join(keys.filter(F.col("unlike") <= HOT_ANCHOR).select("hash"), "hash")
+    found = spans_of_collections(few)
+    crowded = keys.filter(F.col("unlike") > HOT_ANCHOR).select("hash")
+    if not crowded.isEmpty():
+        found = found.unionByName(spans_by_counting(rows.join(crowded, "hash")))
+    found = maybe_broadcast(stored(found, "piece-spans").withColumnRenamed("node", "piece"), BROADCAST_SPANS)
+    places = cut.select("node", "piece", F.explode("at").alias("at"))
+    return places.join(found, "piece").select("node", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end"), "long")
+
+
+def spans_by_counting(pieces: DataFrame) -> DataFrame:
+    """The same for pieces of one key, however many: the digest of each of their windows is counted."""
+    windows = pieces.select("node", "n", "bytes", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("start"))
+    found = []
+    for length in (LENGTH, PASSAGE):
+        said = F.substring(F.col("bytes"), F.col("start") + 1, F.lit(length))
+        told = windows.filter(F.col("start") + length <= F.length("bytes")).select("node", "start", "n", F.unhex(F.md5(said)).alias("digest"))
+        often = told.groupBy("digest").agg(F.sum("n").alias("met")).filter("met > 1").select("digest")
+        start = F.col("start").cast("long")
+        found.append(told.join(often, "digest").select("node", start.alias("start"), (start + length).alias("end"), F.lit(length == LENGTH).alias("long")))
+    return found[0].unionByName(found[1])
 
 
 def merged(spans: list) -> list[tuple[int, int]]:
@@ -248,18 +304,38 @@ def merged(spans: list) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-CUT = T.StructType([T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())])
+SETTLED = T.StructType(
+    [
+        T.StructField("n_removed", T.LongType()),
+        T.StructField("n_spans", T.LongType()),
+        T.StructField("n_shared", T.LongType()),
+        T.StructField("gone", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
+    ]
+)
 
 
-@F.pandas_udf(CUT)
-def cut_out(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for texts, spans in batches:
+@F.pandas_udf(SETTLED)
+def settled(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """What the repeated spans of a text come to: bytes to remove, runs of them, bytes shared, and the runs."""
+    for batch in batches:
+        rows = []
+        for spans in batch:
+            gone = merged([(s["start"], s["end"]) for s in spans if s["long"]])
+            shared = merged([(s["start"], s["end"]) for s in spans])
+            rows.append((sum(b - a for a, b in gone), len(gone), sum(b - a for a, b in shared), [dict(start=a, end=b) for a, b in gone]))
+        yield pd.DataFrame(rows, columns=SETTLED.names)
+
+
+@F.pandas_udf(T.BinaryType())
+def cut_out(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """The bytes of a text that none of the runs holds."""
+    for texts, runs in batches:
         rows = []
-        for text, some in zip(texts, spans):
-            data, gone = raw_bytes(text), merged([(s["start"], s["end"]) for s in some])
-            edges = [0, *(x for s in gone for x in s), len(data)]
-            rows.append((sum(b - a for a, b in gone), len(gone), b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))))
-        yield pd.DataFrame(rows, columns=CUT.names)
+        for text, gone in zip(texts, runs):
+            data = raw_bytes(text)
+            edges = [0, *(x for s in gone for x in (s["start"], s["end"])), len(data)]
+            rows.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
+        yield pd.Series(rows, dtype=object)
 
 
 def _node(text: Column, name: Column) -> tuple[Column, Column]:
@@ -269,13 +345,19 @@ def _node(text: Column, name: Column) -> tuple[Column, Column]:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept`` of every row of ``docs``; ``kept`` holds the remaining bytes.
+    """``doc_id, n_bytes, n_removed, n_spans, n_shared, kept, kept_sha256`` of every row of ``docs``.
+
+    Strings of ``LENGTH`` bytes that start anywhere else are removed; ``kept``
+    holds the remaining bytes, or null where nothing was removed and the text
+    stays as it is.  ``kept_sha256`` is the digest of the remaining bytes in
+    either case.  ``n_shared``: bytes in strings of ``PASSAGE`` bytes that
+    start anywhere else, removed or not, so that passages too short to be
+    removed are seen.
 
-    ``kept`` is null where nothing was removed: the text stays as it is.
-    ``kept_sha256`` is the digest of the remaining bytes in either case.  A
-    null text is empty.  Rows with equal texts of ``LENGTH`` bytes or more
+    A null text is empty.  Rows with equal texts of ``LENGTH`` bytes or more
     repeat each other and lose everything, null ids and repeated rows
-    included.  An empty table gives no rows; other columns are ignored.
+    included.  Texts of any length are whole.  An empty table gives no rows;
+    other columns are ignored.
     """
     modest_batches(docs.sparkSession)
     key, node = _node(F.col(text_col), F.col(id_col))
@@ -293,7 +375,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     in_texts = facts.filter("hashes IS NOT NULL").select("node", F.explode(F.array_distinct("hashes")).alias("hash"))
     wanted = in_texts.join(often.select("hash"), "hash").groupBy("node").agg(F.collect_list("hash").alias("wanted"))
     texts = docs.select(_node(F.col(text_col), F.col(id_col))[1].alias("node"), F.col(text_col).alias("text"))
-    passages = texts.join(stored(wanted, "wanted"), "node").select("node", F.explode(contexts("text", "wanted")).alias("c")).select("node", "c.*")
+    passages = texts.join(stored(wanted, "wanted"), "node").select("node", F.explode(contexts("text", "wanted")).alias("c")).select("node", "c.*").withColumn("n", F.size("at").cast("long"))
     hot = often.filter(F.col("n") > HOT_ANCHOR).select("hash")  # counted with repeats in a text, which are one passage
     if not hot.isEmpty():
         hot = stored(in_texts.join(hot, "hash").groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_ANCHOR).select("hash"), "hot")
@@ -301,16 +383,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         spans = spans_of_collections(passages)
     else:
         passages = stored(passages, "passages")
-        spans = spans_of_collections(passages.join(hot, "hash", "left_anti")).unionByName(spans_by_counting(passages.join(hot, "hash")))
-    single = (F.col("copies") == 1) | (F.col("n_bytes") < LENGTH)
-    gone = spans.groupBy("node").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    met = stored(facts.filter(single).drop("hashes", "key").join(gone, "node", "left"), "met")
+        spans = spans_of_collections(passages.join(hot, "hash", "left_anti")).unionByName(spans_of_hot(stored(passages.join(hot, "hash"), "hot-passages")))
+    alone = (F.col("copies") == 1) | (F.col("n_bytes") < PASSAGE)
+    gone = spans.groupBy("node").agg(F.collect_list(F.struct("start", "end", "long")).alias("spans"))
+    met = stored(facts.filter(alone).drop("hashes", "key").join(gone, "node", "left").withColumn("s", settled(F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint,long:boolean>>")))).drop("spans"), "met")
     cut = (
-        texts.join(met.filter("spans IS NOT NULL"), "node")
-        .withColumn("c", cut_out("text", "spans"))
-        .select("doc_id", "n_bytes", "c.n_removed", "c.n_spans", F.col("c.kept").alias("kept"), F.sha2("c.kept", 256).alias("kept_sha256"))
+        texts.join(met.filter("s.n_removed > 0"), "node")
+        .withColumn("kept", cut_out("text", "s.gone"))
+        .select("doc_id", "n_bytes", "s.n_removed", "s.n_spans", "s.n_shared", "kept", F.sha2("kept", 256).alias("kept_sha256"))
+    )
+    same = met.filter("s.n_removed = 0").select("doc_id", "n_bytes", "s.n_removed", "s.n_spans", "s.n_shared", F.lit(None).cast("binary").alias("kept"), F.col("sha").alias("kept_sha256"))
+    none, nothing, lost = F.lit(0).cast("long"), hashlib.sha256(b"").hexdigest(), F.col("n_bytes") >= LENGTH
+    copied = facts.filter(~alone).select(
+        "doc_id",
+        "n_bytes",
+        F.when(lost, F.col("n_bytes")).otherwise(none).alias("n_removed"),
+        F.when(lost, F.lit(1).cast("long")).otherwise(none).alias("n_spans"),
+        F.col("n_bytes").alias("n_shared"),
+        F.when(lost, F.lit(b"")).alias("kept"),
+        F.when(lost, F.lit(nothing)).otherwise(F.col("sha")).alias("kept_sha256"),
     )
-    none, nothing = F.lit(0).cast("long"), hashlib.sha256(b"").hexdigest()
-    same = met.filter("spans IS NULL").select("doc_id", "n_bytes", none.alias("n_removed"), none.alias("n_spans"), F.lit(None).cast("binary").alias("kept"), F.col("sha").alias("kept_sha256"))
-    lost = facts.filter(~single).select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"), F.lit(nothing).alias("kept_sha256"))
-    return same.unionByName(cut).unionByName(lost)
+    return same.unionByName(cut).unionByName(copied)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pytest
 from fixtures import documents, frame, prose
 
 from rayloom.llm import substrings
@@ -27,9 +28,12 @@ def brute_force(texts, length):
 
 
 def compare(spark, rows, **options):
-    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(frame(spark, rows, **options)).collect())
-    want = brute_force([(r[1] or "").encode() for r in rows], substrings.LENGTH)
-    assert got == sorted((str(r[0]), *w) for r, w in zip(rows, want))
+    found = substrings.remove_repeats(frame(spark, rows, **options)).collect()
+    texts = [(r[1] or "").encode() for r in rows]
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found)
+    assert got == sorted((str(r[0]), *w) for r, w in zip(rows, brute_force(texts, substrings.LENGTH)))
+    shared = sorted((str(r[0]), w[0], w[1]) for r, w in zip(rows, brute_force(texts, substrings.PASSAGE)))
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_shared) for r in found) == shared
 
 
 def test_awkward_rows(spark):
@@ -43,11 +47,19 @@ def test_overlaps_and_repeats_within_a_text(spark):
     compare(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)])
 
 
-def test_hot_anchors_are_counted_the_same(spark, monkeypatch):
-    rows = documents()
-    want = {(str(r.doc_id), r.n_removed, r.n_spans) for r in substrings.remove_repeats(frame(spark, rows)).collect()}
-    monkeypatch.setattr(substrings, "HOT_ANCHOR", 2)
-    assert {(str(r.doc_id), r.n_removed, r.n_spans) for r in substrings.remove_repeats(frame(spark, rows)).collect()} == want
+@pytest.mark.parametrize("hot", [0, 2, 8])
+def test_hot_anchors_are_split_with_the_same_result(spark, monkeypatch, hot):
+    monkeypatch.setattr(substrings, "HOT_ANCHOR", hot)
+    compare(spark, documents())
+
+
+def test_a_passage_of_many_texts(spark, monkeypatch):
+    rng = random.Random(9)
+    said, short = prose(rng, 80), prose(rng, 50)[:300]
+    rows = [(i, prose(rng, rng.randrange(5, 60)) + " " + (said if i % 3 else short) + " " + prose(rng, 30), "en", "a", 0) for i in range(60)]
+    rows += [(100 + i, said[: 420 + i] + str(i) * 9 + short, "en", "a", 0) for i in range(8)]
+    monkeypatch.setattr(substrings, "HOT_ANCHOR", 5)
+    compare(spark, rows)
 
 
 def test_long_texts_are_cut_into_overlapping_parts(monkeypatch):
