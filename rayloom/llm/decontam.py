@@ -1,15 +1,16 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-A shard is a slice of an Arrow batch of whole documents.  Its words become
+A shard is a slice of an Arrow batch of whole documents.  All its words become
 symbols, a suffix array gives the Burrows-Wheeler transform, and a wavelet
-matrix answers rank queries on it.  All test phrases are searched backwards at
-once; the rows found are located by walking to sampled suffix positions, and
-the occurrences of a document merge into removal spans.
-
-Words that no phrase holds can be part of no occurrence, so they, and runs of
-phrase words shorter than the shortest phrase, are cut from the indexed
-sequence.  Words are told apart by 64-bit hashes; every occurrence is then
-compared word by word with its phrase.
+matrix answers rank queries on it.  All test phrases of a block are searched
+backwards at once; the rows found are located by walking to sampled suffix
+positions, and the occurrences of a document merge into removal spans.  Words
+are told apart by 64-bit hashes; every occurrence is then compared word by word
+with its phrase.
+
+The benchmark is streamed through the driver in blocks of a bounded size.  Each
+block is a pass over the documents and the only one that is broadcast; what
+further passes find is joined to the first by id and digest of the text.
 """
 
 from __future__ import annotations
@@ -25,12 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rayloom.lineage import stored
 from rayloom.llm.common import modest_batches
 
 #: Words of a phrase; items of fewer words are one phrase.
 WINDOW = 10
-#: Bytes of text in one index, and of phrases searched at once.
-SHARD_BYTES, BLOCK_BYTES = 1_000_000, 8_000_000
+#: Bytes of text in one index, bytes of words in a block of phrases, and words of an item that are taken as one part.
+SHARD_BYTES, BLOCK_BYTES, PART_WORDS = 1_000_000, 2_000_000, 20_000
 #: Every so many positions of the indexed sequence is kept for locating.
 SAMPLE = 16
 
@@ -63,46 +65,58 @@ def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Phrases:
-    """Distinct phrases of some items: words, the items of each, hashes by phrase length."""
+    """The phrases of a block: words by part of an item, and for each phrase length hashes and the places they stand for."""
 
-    words: list[tuple[bytes, ...]]
-    items: list[list[str]]
-    vocabulary: np.ndarray
-    by_length: dict[int, tuple[np.ndarray, np.ndarray]]  # length -> (phrase numbers, word numbers)
+    items: list[str | None]
+    words: list[list[bytes]]
+    by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # length -> (hashes, first place of each, places as (part, word))
 
     @classmethod
-    def of(cls, rows: list[tuple[object, str | None]]) -> Phrases:
-        found: dict[tuple[bytes, ...], set[str]] = {}
-        for item, text in rows:
-            words = WORDS.findall(lowered(text))
-            size = min(WINDOW, len(words))
-            for i in range(len(words) - size + 1 if words else 0):
-                found.setdefault(tuple(words[i : i + size]), set()).add(str(item))
-        phrases = list(found)
-        vocabulary = np.unique(hashed_words(b" ".join(w for p in phrases for w in p))[2])
+    def of(cls, parts: list[tuple[str | None, bytes]]) -> Phrases:
+        """``parts``: an item and some of its words, joined by blanks."""
+        words = [said.split(b" ") for _, said in parts]
+        hashes = [hashed_words(said)[2] for _, said in parts]
+        met: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for i, h in enumerate(hashes):
+            size = min(WINDOW, len(h))
+            places = np.column_stack((np.full(len(h) - size + 1, i), np.arange(len(h) - size + 1)))
+            met.setdefault(size, []).append((np.lib.stride_tricks.sliding_window_view(h, size), places))
         by_length = {}
-        for size in {len(p) for p in phrases}:
-            numbers = np.array([i for i, p in enumerate(phrases) if len(p) == size])
-            hashes = hashed_words(b" ".join(w for i in numbers for w in phrases[i]))[2].reshape(-1, size)
-            by_length[size] = (numbers, np.searchsorted(vocabulary, hashes))
-        return cls(phrases, [sorted(s) for s in found.values()], vocabulary, by_length)
+        for size, some in met.items():
+            rows, places = (np.concatenate(x) for x in zip(*some))
+            powers = np.multiply.accumulate(np.full(size, _MULTIPLIER))
+            mixed = (rows * powers).sum(axis=1, dtype=np.uint64)
+            order = np.argsort(mixed, kind="stable")
+            first = np.flatnonzero(np.concatenate(([True], (rows[order[1:]] != rows[order[:-1]]).any(axis=1))))
+            by_length[size] = (rows[order[first]], np.append(first, len(order)), places[order])
+        return cls([i for i, _ in parts], words, by_length)
 
 
 def suffix_array(sequence: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of ``sequence`` by prefix doubling; the last symbol must be its only least one."""
-    n = len(sequence)
-    rank = np.unique(sequence, return_inverse=True)[1].astype(np.int64)
-    order, step = np.argsort(rank, kind="stable"), 1
+    """Order of the suffixes of ``sequence``, numbers from 0 on of which the last is the only least one.
+
+    Some symbols are packed into a first key; then the sorted length doubles,
+    and only suffixes that are still alike are sorted again.
+    """
+    n, width = len(sequence), int(sequence.max() + 1).bit_length()
+    step = max(1, 62 // width)
+    key, padded = np.zeros(n, np.int64), np.concatenate((sequence.astype(np.int64) + 1, np.zeros(step, np.int64)))
+    for k in range(step):
+        key = (key << width) | padded[k : k + n]
+    order = np.argsort(key, kind="stable")
+    key, alike, rank = key[order], np.arange(n), np.empty(n, np.int64)
     while True:
-        after = np.zeros(n, np.int64)
-        after[:-step] = rank[step:] + 1
-        pair = rank * (n + 1) + after
-        order = np.argsort(pair)
-        fresh = np.zeros(n, np.int64)
-        fresh[order[1:]] = np.cumsum(pair[order[1:]] != pair[order[:-1]])
-        rank, step = fresh, step * 2
-        if n < 2 or rank[order[-1]] == n - 1 or step >= n:
+        head = np.concatenate(([True], key[1:] != key[:-1]))
+        rank[order[alike]] = alike[head][np.cumsum(head) - 1]
+        sizes = np.diff(np.append(np.flatnonzero(head), len(head)))
+        alike = alike[np.repeat(sizes > 1, sizes)]
+        if not len(alike):
             return order
+        some = order[alike]
+        after = np.where(some + step < n, rank[np.minimum(some + step, n - 1)] + 1, 0)
+        key = rank[some] * (n + 1) + after
+        turn = np.argsort(key, kind="stable")
+        order[alike], key, step = some[turn], key[turn], 2 * step
 
 
 class WaveletMatrix:
@@ -111,6 +125,7 @@ class WaveletMatrix:
     def __init__(self, symbols: np.ndarray, alphabet: int):
         self.levels, self.zeros = [], []
         self.bits = max(1, int(alphabet - 1).bit_length())
+        symbols = symbols.astype(np.int32)
         for shift in range(self.bits - 1, -1, -1):
             bit = (symbols >> shift) & 1
             ones = np.concatenate(([0], np.cumsum(bit))).astype(np.int32)
@@ -136,25 +151,23 @@ class FmIndex:
 
     def __init__(self, sequence: np.ndarray):
         n, ends = len(sequence), np.flatnonzero(sequence == 0)
-        told = sequence.astype(np.int64) + len(ends)
+        told = sequence.astype(np.int64) + len(ends) - 1
         told[ends] = np.arange(len(ends) - 1, -1, -1)  # separators are all unlike, and less than any symbol
         order = suffix_array(told)
-        self.symbols, dense = np.unique(sequence, return_inverse=True)
-        self.before = np.concatenate(([0], np.cumsum(np.bincount(dense))))
-        self.last = dense[order - 1]
-        self.wavelet = WaveletMatrix(self.last, len(self.symbols))
+        self.alphabet = int(sequence.max()) + 1
+        self.before = np.concatenate(([0], np.cumsum(np.bincount(sequence, minlength=self.alphabet))))
+        self.last = sequence[order - 1]
+        self.wavelet = WaveletMatrix(self.last, self.alphabet)
         self.sampled = np.where((order % SAMPLE == 0) | (sequence[order - 1] == 0), order, -1)
         self.size = n
 
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rows ``lo <= row < hi`` of the suffixes that begin with each phrase."""
+        """The rows ``lo <= row < hi`` of the suffixes that begin with each phrase; symbols below 1 are in no run."""
         lo, hi = np.zeros(len(phrases), np.int64), np.full(len(phrases), self.size, np.int64)
-        at = np.searchsorted(self.symbols, phrases)
-        at[at == len(self.symbols)] = 0
-        alive = np.flatnonzero((self.symbols[at] == phrases).all(axis=1))
+        alive = np.flatnonzero(((phrases > 0) & (phrases < self.alphabet)).all(axis=1))
         hi[np.setdiff1d(np.arange(len(phrases)), alive)] = 0
         for column in range(phrases.shape[1] - 1, -1, -1):
-            s = at[alive, column]
+            s = phrases[alive, column]
             lo[alive] = self.before[s] + self.wavelet.rank(s, lo[alive])
             hi[alive] = self.before[s] + self.wavelet.rank(s, hi[alive])
             alive = alive[lo[alive] < hi[alive]]
@@ -173,104 +186,90 @@ class FmIndex:
         return self.sampled[at] + steps
 
 
-def occurrences(texts: list[bytes], blocks: list[Phrases]) -> tuple[np.ndarray, list[tuple[int, int, list[str], int]], np.ndarray, np.ndarray, np.ndarray]:
-    """Words per text, confirmed occurrences (text, its first word, items, words), and start, end, first word index of the words."""
+def occurrences(texts: list[bytes], block: Phrases) -> tuple[np.ndarray, list[tuple[int, int, str | None, int]], np.ndarray, np.ndarray, np.ndarray]:
+    """Words per text, confirmed occurrences (text, its first word, item, words), and start, end, first word index of the words."""
     data = b"\n".join(texts) + b"\n"
     starts, ends, hashes = hashed_words(data)
     bounds = np.cumsum([len(t) + 1 for t in texts])
     owner = np.searchsorted(bounds, starts, side="right")
     counts = np.bincount(owner, minlength=len(texts))
     firsts = np.cumsum(counts) - counts
-    found = []
-    for block in blocks:
-        if not len(block.vocabulary) or not len(hashes):
-            continue
-        number = np.searchsorted(block.vocabulary, hashes)
-        number[number == len(block.vocabulary)] = 0
-        known = np.flatnonzero(block.vocabulary[number] == hashes)
-        if not len(known):
-            continue
-        breaks = np.concatenate(([True], (np.diff(known) > 1) | (np.diff(owner[known]) > 0)))
-        run = np.cumsum(breaks) - 1
-        long = np.bincount(run)[run] >= min(block.by_length)
-        known, run = known[long], run[long]
-        if not len(known):
-            continue
-        last = np.concatenate((np.flatnonzero(np.diff(run)) + 1, [len(known)]))
-        sequence = np.insert(number[known] + 1, last, 0)
-        place = np.insert(known, last, -1)
-        index = FmIndex(sequence)
-        for size, (phrases, symbols) in block.by_length.items():
-            lo, hi = index.search(symbols + 1)
-            hit = np.flatnonzero(hi > lo)
-            many = hi[hit] - lo[hit]
-            rows = np.repeat(lo[hit] - np.cumsum(many) + many, many) + np.arange(many.sum())
-            for phrase, word in zip(np.repeat(phrases[hit], many), place[index.locate(rows)]):
-                said = block.words[phrase]
-                if all(data[starts[word + k] : ends[word + k]] == said[k] for k in range(size)):
-                    found.append((int(owner[word]), int(word), block.items[phrase], size))
+    found: list[tuple[int, int, str | None, int]] = []
+    if not block.by_length or not len(hashes):
+        return counts, found, starts, ends, firsts
+    vocabulary, number = np.unique(hashes, return_inverse=True)
+    last = np.unique(np.cumsum(counts)[counts > 0])
+    sequence = np.insert(number + 1, last, 0)
+    place = np.insert(np.arange(len(hashes)), last, -1)
+    index = FmIndex(sequence)
+    for size, (phrases, firsts_of, places) in block.by_length.items():
+        at = np.minimum(np.searchsorted(vocabulary, phrases), len(vocabulary) - 1)
+        lo, hi = index.search(np.where(vocabulary[at] == phrases, at + 1, 0))
+        hit = np.flatnonzero(hi > lo)
+        many = hi[hit] - lo[hit]
+        rows = np.repeat(lo[hit] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        for phrase, word in zip(np.repeat(hit, many).tolist(), place[index.locate(rows)].tolist()):
+            said = [data[a:b] for a, b in zip(starts[word : word + size].tolist(), ends[word : word + size].tolist())]
+            for part, k in places[firsts_of[phrase] : firsts_of[phrase + 1]].tolist():
+                if block.words[part][k : k + size] == said:
+                    found.append((int(owner[word]), word, block.items[part], size))
     return counts, found, starts, ends, firsts
 
 
-def reports(texts: list[bytes], blocks: list[Phrases], cleaned: bool) -> list[tuple]:
-    """For each text: words, hit words, items, merged byte spans, and the text without them if asked for."""
-    counts, found, starts, ends, _ = occurrences(texts, blocks)
+def joined(spans: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
+    """Word spans (first, last, start, end) merged where they meet or overlap."""
+    out: list[tuple[int, ...]] = []
+    for a, b, start, end in sorted(spans):
+        if out and a <= out[-1][1]:
+            x, y, low, high = out[-1]
+            out[-1] = (x, max(y, b), low, max(high, end))
+        else:
+            out.append((a, b, start, end))
+    return out
+
+
+def reports(texts: list[bytes], block: Phrases) -> list[tuple[int, list[str], list[tuple[int, ...]]]]:
+    """For each text: words, items by id, and merged spans of words and bytes."""
+    counts, found, starts, ends, firsts = occurrences(texts, block)
     offsets = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
-    hits: dict[int, list[tuple[int, int]]] = {}
+    hits: dict[int, set[tuple[int, ...]]] = {}
     items: dict[int, set[str]] = {}
-    for text, word, names, size in found:
-        hits.setdefault(text, []).append((word, word + size))
-        items.setdefault(text, set()).update(names)
-    out = []
-    for i, n in enumerate(counts):
-        merged: list[list[int]] = []
-        for a, b in sorted(hits.get(i, ())):
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], b)
-            else:
-                merged.append([a, b])
-        spans = [(int(starts[a] - offsets[i]), int(ends[b - 1] - offsets[i])) for a, b in merged]
-        rest = None
-        if cleaned and spans:
-            edges = [0, *(x for s in spans for x in s), len(texts[i])]
-            rest = list(zip(edges[::2], edges[1::2]))
-        out.append((int(n), sum(b - a for a, b in merged), sorted(items.get(i, ())), spans, rest))
-    return out
+    for text, word, item, size in found:
+        own, off = word - int(firsts[text]), int(offsets[text])
+        hits.setdefault(text, set()).add((own, own + size, int(starts[word]) - off, int(ends[word + size - 1]) - off))
+        if item is not None:
+            items.setdefault(text, set()).add(item)
+    return [(int(n), sorted(items.get(i, ())), joined(list(hits.get(i, ())))) for i, n in enumerate(counts)]
+
 
+def phrase_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str | None, bytes]]]:
+    """Items and their words in blocks of ``BLOCK_BYTES``, streamed through the driver one at a time; at least one block.
 
-def phrase_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[object, str | None]]]:
-    """The items in blocks of ``BLOCK_BYTES``, streamed through the driver one at a time."""
-    block: list[tuple[object, str | None]] = []
+    A long item comes in parts that share words, so that every phrase is in one.
+    """
+    block: list[tuple[str | None, bytes]] = []
     size = 0
-    for item, text in benchmark.select(item_col, text_col).filter(F.col(text_col).isNotNull()).toLocalIterator(prefetchPartitions=True):
-        if size > BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-        block.append((item, text))
-        size += len(text)
+    for item, text in benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).filter(F.col(text_col).isNotNull()).toLocalIterator(prefetchPartitions=True):
+        words = WORDS.findall(lowered(text))
+        for at in range(0, max(1, len(words) - WINDOW + 1), PART_WORDS - WINDOW + 1) if words else ():
+            if size > BLOCK_BYTES:
+                yield block
+                block, size = [], 0
+            block.append((item, b" ".join(words[at : at + PART_WORDS])))
+            size += len(block[-1][1])
     yield block
 
 
-REPORT = T.StructType(
-    [
-        T.StructField("n_words", T.LongType()),
-        T.StructField("n_hit", T.LongType()),
-        T.StructField("items", T.ArrayType(T.StringType())),
-        T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
-        T.StructField("rest", T.StringType()),
-    ]
-)
+SPAN = T.StructType([T.StructField(n, T.LongType()) for n in ("first", "last", "start", "end")])
+REPORT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(SPAN))])
 
 
-def scanner(docs: DataFrame, benchmark: DataFrame, cleaned: bool, item_col: str = "item_id", phrase_col: str = "text"):
-    """A column function: text to ``REPORT``."""
-    modest_batches(docs.sparkSession)
-    held = [docs.sparkSession.sparkContext.broadcast(block) for block in phrase_blocks(benchmark, item_col, phrase_col)]
+def scanner(held):
+    """A column function, text to ``REPORT``, for a broadcast block."""
 
     @F.pandas_udf(REPORT)
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        blocks = [Phrases.of(b.value) for b in held]
-        blocks = [b for b in blocks if b.words]
+        block = Phrases.of(held.value)
         for batch in batches:
             rows: list[tuple] = []
             shard: list[bytes] = []
@@ -279,41 +278,84 @@ def scanner(docs: DataFrame, benchmark: DataFrame, cleaned: bool, item_col: str
                 shard.append(lowered(text))
                 size += len(shard[-1])
                 if size >= SHARD_BYTES or i == len(given) - 1:
-                    first = i + 1 - len(shard)
-                    for j, (n, hit, items, spans, rest) in enumerate(reports(shard, blocks, cleaned)):
-                        if cleaned:
-                            raw = given[first + j]
-                            if rest is not None:
-                                data = raw.encode("utf-8", "surrogatepass")
-                                raw = "".join(data[a:b].decode("utf-8", "surrogatepass") for a, b in rest)
-                            rows.append((n, hit, items, spans, raw))
-                        else:
-                            rows.append((n, hit, items, spans, None))
+                    rows += [(n, items, [dict(zip(SPAN.names, s)) for s in spans]) for n, items, spans in reports(shard, block)]
                     shard, size = [], 0
             yield pd.DataFrame(rows, columns=REPORT.names)
 
     return scan
 
 
+@F.pandas_udf(T.ArrayType(SPAN))
+def merged_spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in batches:
+        yield pd.Series([[dict(zip(SPAN.names, s)) for s in joined([tuple(x[n] for n in SPAN.names) for x in spans])] for spans in batch], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def without(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """The text without the bytes of its spans."""
+    for texts, runs in batches:
+        rows = []
+        for text, spans in zip(texts, runs):
+            if text is not None and len(spans):
+                data = text.encode("utf-8", "surrogatepass")
+                edges = [0, *(x for s in spans for x in (s["start"], s["end"])), len(data)]
+                text = "".join(data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(edges[::2], edges[1::2]))
+            rows.append(text)
+        yield pd.Series(rows, dtype=object)
+
+
+def scanned(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str = "item_id", phrase_col: str = "text") -> DataFrame:
+    """``row, report`` of every row of ``docs``: all its columns, and ``REPORT``."""
+    spark = docs.sparkSession
+    modest_batches(spark)
+    blocks = phrase_blocks(benchmark, item_col, phrase_col)
+    text = F.col(text_col)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    digest = F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("digest")
+    found = docs.select(row, digest, scanner(spark.sparkContext.broadcast(next(blocks)))(text).alias("report"))
+    more = None
+    for block in blocks:  # a pass each
+        held = spark.sparkContext.broadcast(block)
+        told = docs.select(digest, text.alias("text")).select("digest", scanner(held)("text").alias("r")).filter(F.size("r.spans") > 0)
+        told = stored(told.dropDuplicates(["digest"]).select("digest", "r.items", "r.spans"), "phrases")
+        held.unpersist()
+        more = told if more is None else more.unionByName(told)
+    if more is None:
+        return found.select("row", "report")
+    more = more.groupBy("digest").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+    both = found.join(more, "digest", "left")
+    items = F.array_sort(F.array_distinct(F.concat("report.items", F.coalesce("items", F.array().cast("array<string>")))))
+    spans = merged_spans(F.concat("report.spans", F.coalesce("spans", F.array().cast(T.ArrayType(SPAN)))))
+    return both.select("row", F.struct("report.n_words", items.alias("items"), spans.alias("spans")).alias("report"))
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_hit, items, spans, contaminated`` of every row of ``docs``.
 
     ``items``: ids, as strings, of the items with a phrase in the text;
-    ``spans``: merged byte ranges of the occurrences.  A null text, or one of
-    no words, has zeros and empty lists.  Null or wordless items have no
-    phrases; rows of the same item id are one item.  Repeated rows and null
-    ids come out as they went in; empty tables are fine on either side, and
-    other columns are ignored.
+    ``spans``: merged word and byte ranges of the occurrences.  A null text, or
+    one of no words, has zeros and empty lists.  Null or wordless items have
+    no phrases; items with a null id are found like others, but not named;
+    rows of the same item id are one item.  Texts and items of any length are
+    whole.  Repeated rows and null ids come out as they went in; empty tables
+    are fine on either side, and other columns are ignored.
     """
-    scan = scanner(docs, benchmark, False)
-    found = docs.select(F.col(id_col).alias("doc_id"), scan(F.col(text_col)).alias("r"))
-    return found.select("doc_id", "r.n_words", "r.n_hit", "r.items", "r.spans", (F.col("r.n_hit") > 0).alias("contaminated"))
+    found = scanned(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), benchmark, "text")
+    n_hit = F.aggregate("report.spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
+    return found.select("row.doc_id", "report.n_words", n_hit.alias("n_hit"), "report.items", "report.spans", (F.size("report.spans") > 0).alias("contaminated"))
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the occurrences cut out of the texts; all rows stay."""
-    scan = scanner(docs, benchmark, True)
-    return docs.withColumn(text_col, scan(F.col(text_col))["rest"])
+    """``docs`` with the occurrences cut out of the texts; all rows and columns stay.
+
+    Null texts stay null, and texts without an occurrence as they are.  Items,
+    repeated rows and empty tables are as in :func:`find_contamination`;
+    columns may have any names.
+    """
+    found = scanned(docs, benchmark, text_col)
+    text = without(F.col("row")[text_col], F.col("report.spans"))
+    return found.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def items_digest(items: Column) -> Column:
@@ -331,7 +373,8 @@ def brute_force(text: str | None, benchmark: list[tuple[object, str | None]]) ->
         for i in range(len(words) - size + 1 if windows else 0):
             if tuple(words[i : i + size]) in windows:
                 hit.update(range(i, i + size))
-                items.add(str(item))
+                if item is not None:
+                    items.add(str(item))
     return len(words), len(hit), sorted(items)
 
 
@@ -356,7 +399,7 @@ WITH d AS (
 ), hits AS (
   SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM met) GROUP BY doc_id
 ), items AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS said FROM (SELECT DISTINCT doc_id, item FROM met) GROUP BY doc_id
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS said FROM (SELECT DISTINCT doc_id, item FROM met WHERE item IS NOT NULL) GROUP BY doc_id
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(said, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)

@@ -24,7 +24,7 @@ def items(seed=4):
         if k % 3 == 0:
             piece[len(piece) // 2] = "unheard"
         rows.append((f"i{k}", " ".join(rng.choice((str.upper, str.lower))(w) for w in piece) + "!"))
-    return rows + [("none", None), ("empty", " -- "), ("i0", "alpha beta"), ("short", "one TWO three"), ("dup", rows[0][1])]
+    return rows + [("none", None), ("empty", " -- "), ("i0", "alpha beta"), ("short", "one TWO three"), ("dup", rows[0][1]), (None, rows[1][1]), (None, "Delta gamma")]
 
 
 def test_against_brute_force(spark):
@@ -68,9 +68,30 @@ def test_several_blocks_and_small_shards(spark, monkeypatch):
     rows = items()
     whole = sorted((str(r.doc_id), r.n_hit, tuple(r["items"])) for r in decontam.find_contamination(frame(spark), benchmark(spark, rows)).collect())
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(decontam, "PART_WORDS", 15)
     assert sorted((str(r.doc_id), r.n_hit, tuple(r["items"])) for r in decontam.find_contamination(frame(spark), benchmark(spark, rows)).collect()) == whole
 
 
+def test_suffix_array():
+    rng = random.Random(6)
+    for top in (1, 2, 5, 3000):
+        for n in (1, 2, 3, 40, 200):
+            s = [rng.randrange(1, top + 1) for _ in range(n)] + [0]
+            assert decontam.suffix_array(np.array(s)).tolist() == sorted(range(n + 1), key=lambda i: s[i:])
+
+
+@pytest.mark.parametrize("block", [10**6, 100])
+def test_blocks_cut_the_same(spark, monkeypatch, block):
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+    rows = items()
+    got = sorted((str(r.doc_id), r.text or "") for r in decontam.remove_contamination(frame(spark, clashes=True), benchmark(spark, rows)).collect())
+    for (i, text), d in zip(got, sorted(documents(), key=lambda d: (str(d[0]), d[1] or ""))):
+        n, hit, _ = decontam.brute_force(d[1], rows)
+        assert i == str(d[0])
+    left = sorted(len(decontam.WORDS.findall(decontam.lowered(t))) for _, t in got)
+    assert left == sorted(n - hit for n, hit, _ in (decontam.brute_force(d[1], rows) for d in documents()))
+
+
 @pytest.mark.parametrize("rows", [[], [("a", None)]])
 def test_no_phrases(spark, rows):
     assert decontam.find_contamination(frame(spark), benchmark(spark, rows)).filter("n_hit > 0").count() == 0
