@@ -276,9 +276,12 @@ def spans_of_hot(passages: DataFrame) -> DataFrame:
     crowded = keys.filter(F.col("unlike") > HOT_ANCHOR).select("hash")
     if not crowded.isEmpty():
         found = found.unionByName(spans_by_counting(rows.join(crowded, "hash")))
-    found = maybe_broadcast(stored(found, "piece-spans").withColumnRenamed("node", "piece"), BROADCAST_SPANS)
+    found = stored(found, "piece-spans").withColumnRenamed("node", "piece")
     places = cut.select("node", "piece", F.explode("at").alias("at"))
-    return places.join(found, "piece").select("node", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end"), "long")
+    common = stored(held.filter(F.col("n") > HOT_ANCHOR).select("piece"), "common-pieces")  # one of them is in many texts: joined where those are
+    met = places.join(maybe_broadcast(found.join(common, "piece"), BROADCAST_SPANS), "piece")
+    rare = places.join(maybe_broadcast(common, BROADCAST_SPANS), "piece", "left_anti").join(found.join(common, "piece", "left_anti"), "piece")
+    return met.unionByName(rare).select("node", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end"), "long")
 
 
 def spans_by_counting(pieces: DataFrame) -> DataFrame:

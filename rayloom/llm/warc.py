@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rayloom.lineage import shared_dir, stored
-from rayloom.llm.common import maybe_broadcast, modest_batches
+from rayloom.llm.common import modest_batches, small_enough
 
 #: Bytes after which a task begins a new archive.
 ARCHIVE_BYTES = 1 << 30
-#: Bytes of an archive that one reading task is given, the most in a read, and the gap that a read passes over.
+#: Bytes of the selected records that a reading task is given about, the most in a read, and the gap that a read passes over.
 BLOCK_BYTES, READ_BYTES, GAP_BYTES = 64 << 20, 8 << 20, 64 << 10
 #: Payloads that occur more than once: up to so many are broadcast, more are joined by shuffle.
 BROADCAST_DIGESTS = 100_000
@@ -105,12 +105,19 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_revisit: i
     spark, kind = pages.sparkSession, pages.select(id_col).schema[0].dataType
     top = f"{(folder or shared_dir(spark)).rstrip('/')}/warc-{uuid.uuid4().hex}"
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha"))
+    sha = F.sha1(payload)
+    told = pages.select(F.col(id_col).alias("id"), sha.alias("sha"), F.octet_length(payload).alias("bytes"))
     order = F.struct(F.col("id").isNull(), "id")
-    again = base.filter(F.octet_length("payload") >= least_revisit).groupBy("sha").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    again = maybe_broadcast(stored(again.select("sha", F.col("first.id").alias("first_id")), "payloads"), BROADCAST_DIGESTS)
+    again = told.filter(F.col("bytes") >= least_revisit).groupBy("sha").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    again = stored(again.select("sha", F.col("first.id").alias("first_id")), "payloads")
     refers = F.when(F.col("first_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id")), F.col("first_id")).cast("string")
-    planned = base.join(again, "sha", "left").select(F.col("id").cast("string").alias("page_id"), "url", "payload", "sha", refers.alias("refers_to"))
+    base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), sha.alias("sha"))
+    if small_enough(again, BROADCAST_DIGESTS):
+        planned = base.join(F.broadcast(again), "sha", "left")
+    else:  # payloads stay where they are: the narrow rows that revisit are dealt by id and digest, of which no pair is hot
+        pairs = told.join(again, "sha").filter(~F.col("id").eqNullSafe(F.col("first_id"))).select("id", "sha", "first_id").distinct()
+        planned = base.join(pairs, base["id"].eqNullSafe(pairs["id"]) & (base["sha"] == pairs["sha"]), "left").select(base["id"], "url", "payload", base["sha"], "first_id")
+    planned = planned.select(F.col("id").cast("string").alias("page_id"), "url", "payload", "sha", refers.alias("refers_to"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, path = _open(top)
@@ -168,9 +175,10 @@ def read_records(index: DataFrame) -> DataFrame:
                         found = [parsed(zlib.decompress(data[places[i][0] - start : sum(places[i]) - start], 31)) for i in held]
                         yield pd.DataFrame(found, columns=["page_id", "url", "digest", "record_type", "refers_to", "payload"])
 
-    block = F.floor(F.col("offset") / BLOCK_BYTES)
-    near = index.select("file", "offset", "length", block.alias("block")).repartition("file", "block").sortWithinPartitions("file", "offset")
-    found = near.select("file", "offset", "length").mapInPandas(read, RECORD)
+    size = index.agg(F.sum("length").alias("n")).first().n or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-size // BLOCK_BYTES))
+    near = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
+    found = near.mapInPandas(read, RECORD)
     return found.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
 
 

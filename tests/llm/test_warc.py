@@ -3,6 +3,9 @@ import gzip
 import hashlib
 import os
 
+import pytest
+from pyspark.sql import functions as F
+
 from rayloom.llm import warc
 
 
@@ -12,8 +15,10 @@ def pages(spark):
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
 
-def test_round_trip(spark):
-    df = pages(spark)
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_round_trip(spark, monkeypatch, few):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", few)
+    df = pages(spark).withColumns({c: F.lit(1) for c in ("id", "sha", "payload", "first_id", "bytes", "n", "file", "offset")})
     index = warc.write_archives(df)
     got = {(r.page_id, r.url): r for r in warc.read_back(index).collect()}
     first = {}
@@ -37,6 +42,16 @@ def test_archives_are_gzip_members_and_selection_reads_only_its_records(spark):
     assert sorted(r.page_id for r in warc.read_records(some).collect()) == [3, 11]
 
 
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_repeated_rows(spark, monkeypatch, few):
+    """Rows that share the least id of a payload are all responses; a repeated revisit is one each time."""
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", few)
+    rows = [(1, "a", "same"), (1, "a", "same"), (2, "b", "same"), (2, "b", "same"), (2, "b", "else"), (None, "c", "none"), (None, "c", "none")]
+    got = warc.read_back(warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    told = sorted((str(r.page_id), r.payload_bytes, r.record_type, r.refers_to or 0) for r in got)
+    assert told == sorted([("1", 4, "response", 0)] * 2 + [("2", 4, "revisit", 1)] * 2 + [("2", 4, "response", 0)] + [("None", 4, "response", 0)] * 2)
+
+
 def test_small_payloads_are_not_revisited(spark):
     kinds = {r.page_id: r.record_type for r in warc.write_archives(pages(spark), least_revisit=1000).collect()}
     assert kinds[53] == "revisit" and all(kinds[i] == "response" for i in range(40))
