@@ -6,10 +6,11 @@ id and the seed decide.  Within a source documents are taken in key order
 until the running sum of their sizes meets the source's budget.  A budget
 beyond a source's size takes whole epochs first and samples the rest.
 
-All of it is DataFrame functions.  A source with a third of all rows is not
-sorted in one task: keys are cut into ranges at approximate quantiles, sizes
-are summed by (source, range), and only the rows of one range are sorted
-together.
+All of it is DataFrame functions.  No source is sorted: its keys have places on
+a fixed scale, and sums of sizes by (source, place) tell where its budget ends,
+first to one of ``STEPS`` ranges of places, then to one of ``STEPS`` places in
+it.  Documents before that place are taken, those after it aren't; only those
+at it, one in ``STEPS`` squared or so, are ordered.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rayloom.llm.common import WORD, key_of, stored
+from rayloom.llm.common import WORD, key_of, maybe_broadcast, stored
 
-#: Rows aimed at in one key range, and the least and most ranges.
-RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 1_000_000, 64, 1024
+#: Ranges of the scale of keys, and places in a range.
+STEPS = 4096
+#: Rows of numbers, one for each source, that are broadcast; more are joined by shuffle.
+BROADCAST_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -69,6 +72,49 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], total_share: floa
     )
 
 
+def keyed(docs: DataFrame, id_col: str, source_col: str, text_col: str, quality: Column | None, seed: int, carried: Column | None = None) -> DataFrame:
+    """``doc_id, source, skey, size, quality, key, place`` of every row, and ``carried``, an expression on ``docs``, as ``row``."""
+    more = [] if carried is None else [carried.alias("row")]
+    names = ["row"] if more else []
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), *more).withColumn("size", word_count(F.col("text")))
+    weight = default_quality(F.col("size"), F.length("text")) if quality is None else F.greatest(F.lit(1e-6), quality)
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit("")))))
+    told = base.select(*names, "doc_id", "source", key_of(F.col("source")).alias("skey"), "size", weight.alias("quality"), (-F.log(uniform(F.lit(seed), name)) / weight).alias("key"))
+    place = F.floor(F.col("key") / (1 + F.col("key")) * STEPS * STEPS)
+    return told.withColumn("place", F.least(F.lit(STEPS * STEPS - 1), place).cast("int"))
+
+
+def _crossed(sums: DataFrame, at: str) -> DataFrame:
+    """Of the sums of a source's sizes by ``at``, the row in which its budget ``left`` ends, with the words ``before`` it."""
+    order = Window.partitionBy("skey").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    run = sums.withColumn("before", F.col("before") + F.coalesce(F.sum("words").over(order), F.lit(0)))
+    return run.filter((F.col("before") < F.col("left")) & (F.col("left") <= F.col("before") + F.col("words"))).drop("words")
+
+
+def budgets(rows: DataFrame, weights: Sequence[float], total_share: float, cap: float) -> DataFrame:
+    """``skey, source_size, target, epochs, left, cut, before``: whole passes over each source, words left for the last one, the place in which they end, and the words before it."""
+    ranges = stored(rows.groupBy("skey", F.floor(F.col("place") / STEPS).cast("int").alias("range")).agg(F.sum("size").alias("words")), "ranges")
+    targets = source_targets(ranges.groupBy("skey").agg(F.sum("words").alias("source_size")), weights, total_share, cap)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    plan = targets.select("skey", "source_size", "target", epochs.alias("epochs"), F.round(F.col("target") - epochs * F.col("source_size")).cast("long").alias("left"))
+    plan = stored(plan, "targets")
+    coarse = _crossed(ranges.join(plan.select("skey", "left"), "skey").withColumn("before", F.lit(0).cast("long")), "range")
+    coarse = maybe_broadcast(stored(coarse.select("skey", F.col("range").alias("within"), "left", "before"), "range-cuts"), BROADCAST_SOURCES)
+    places = rows.join(coarse, "skey").filter(F.floor(F.col("place") / STEPS) == F.col("within")).groupBy("skey", "place", "left", "before").agg(F.sum("size").alias("words"))
+    fine = _crossed(places, "place").select("skey", F.col("place").alias("cut"), "before")
+    return stored(plan.join(fine, "skey", "left").withColumns({"cut": F.coalesce("cut", F.lit(-1)), "before": F.coalesce("before", F.lit(0).cast("long"))}), "budgets")
+
+
+def taken_of(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` with the plan of their source, and ``partial``: the words of the last pass over each."""
+    met = rows.join(maybe_broadcast(plan, BROADCAST_SOURCES), "skey")
+    sure = met.filter("place != cut").withColumn("partial", F.when(F.col("place") < F.col("cut"), F.col("size")).otherwise(F.lit(0).cast("long")))
+    order = Window.partitionBy("skey").orderBy("key", F.col("doc_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    run = F.col("left") - F.col("before") - F.coalesce(F.sum("size").over(order), F.lit(0))
+    edge = met.filter("place = cut").withColumn("partial", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), run)))
+    return sure.unionByName(edge)
+
+
 def mix_sources(
     docs: DataFrame,
     weights: Sequence[float] = (1, 2, 3),
@@ -79,57 +125,22 @@ def mix_sources(
     id_col: str = "doc_id",
     source_col: str = "source",
     text_col: str = "text",
-    carried: Column | None = None,
 ) -> DataFrame:
     """One row per document of ``docs`` with what the mix takes of it.
 
-    Returns ``doc_id, source, size, weight, source_size, target, epochs,
+    Returns ``doc_id, source, size, quality, source_size, target, epochs,
     partial, taken``: ``epochs`` whole passes plus the first ``partial`` words
-    of the document; ``taken`` is the sum in words.  ``carried``, an expression
-    on ``docs``, comes along as ``node``.
+    of the document; ``taken`` is the sum in words.
 
     Null or empty text has size 0 and is never taken.  A null source is a
-    source of its own, last in order.  A null id gets the key of the string
-    "null"; rows that are alike in id and text are interchangeable.  Equal
+    source of its own, last in order.  A row with a null id gets its key from
+    its text; rows that are alike in id and text are interchangeable.  Equal
     keys are ordered by id.  An empty table gives no rows.  Columns other than
     id, source and text are ignored, whatever their names.
     """
-    size = word_count(F.col("text"))
-    more = [] if carried is None else [carried.alias("node")]
-    names = ["node"] if more else []
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), *more)
-    sized = base.withColumn("size", size)
-    weight = default_quality(F.col("size"), F.length("text")) if quality is None else F.greatest(F.lit(1e-6), quality)
-    keyed = stored(
-        sized.select(
-            *names,
-            "doc_id",
-            "source",
-            key_of(F.col("source")).alias("skey"),
-            "size",
-            weight.alias("quality"),
-            (-F.log(uniform(F.lit(seed), F.col("doc_id"))) / weight).alias("key"),
-        ),
-        "mix",
-    )
-    ranges = max(LEAST_RANGES, min(MOST_RANGES, keyed.count() // RANGE_ROWS))
-    edges = sorted(set(keyed.approxQuantile("key", [k / ranges for k in range(1, ranges)], 0.25 / ranges)))
-    cut = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col("key"))) if edges else F.lit(0)
-    keyed = keyed.withColumn("range", cut)
-    sums = keyed.groupBy("skey", "range").agg(F.sum("size").alias("words"))
-    starts = sums.withColumn("start", F.sum("words").over(Window.partitionBy("skey").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)))
-    targets = source_targets(sums.groupBy("skey").agg(F.sum("words").alias("source_size")), weights, total_share, cap)
-    plan = targets.join(starts, "skey").select("skey", "range", "source_size", "target", F.coalesce("start", F.lit(0)).alias("start"))
-    within = Window.partitionBy("skey", "range").orderBy("key", F.col("doc_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    return (
-        keyed.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
-        .join(plan, ["skey", "range"])
-        .withColumn("epochs", epochs)
-        .withColumn("left", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
-        .withColumn("partial", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("left") - F.col("start") - F.col("before"))))
-        .select(*names, "doc_id", "source", "size", "quality", "source_size", "target", "epochs", "partial", (F.col("epochs") * F.col("size") + F.col("partial")).alias("taken"))
-    )
+    rows = stored(keyed(docs, id_col, source_col, text_col, quality, seed), "mix")
+    mixed = taken_of(rows, budgets(rows, weights, total_share, cap))
+    return mixed.select("doc_id", "source", "size", "quality", "source_size", "target", "epochs", "partial", (F.col("epochs") * F.col("size") + F.col("partial")).alias("taken"))
 
 
 def first_words(text: Column, words: Column) -> Column:
@@ -138,25 +149,38 @@ def first_words(text: Column, words: Column) -> Column:
     return F.array_join(parts, "")
 
 
-def mix_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mix_corpus(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: Sequence[float] = (1, 2, 3),
+    quality: Column | None = None,
+    total_share: float = 1.0,
+    cap: float = 3.0,
+    seed: int = 42,
+) -> DataFrame:
     """The mixed corpus: each document once per epoch, complete epochs before the sampled one.
 
-    Adds ``epoch`` (from 1) to the columns of ``docs``; the last pass over a
+    Adds ``epoch`` (from 1; ``mix_epoch`` or ``mix_epoch_2`` and so on where
+    that name is taken) to the columns of ``docs``; the last pass over a
     document holds its first words only, where the budget ends within it.
-    Options and edge cases are those of :func:`mix_sources`.  Of rows alike in
-    id, source and text, each gets its own passes, with the columns of one.
+    Edge cases are those of :func:`mix_sources`.  Texts stay where they are:
+    what a row gives follows from its own key and its source's budget.
     """
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in (id_col, source_col, text_col)]
-    node = F.unhex(F.md5(F.concat_ws("\1", *parts).cast("binary")))
-    mix = mix_sources(docs, id_col=id_col, source_col=source_col, text_col=text_col, carried=node, **options)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = keyed(docs, id_col, source_col, text_col, quality, seed, carried=row)
+    plan = budgets(stored(rows.select("skey", "size", "place"), "mix"), weights, total_share, cap)
     whole = F.struct(F.lit(None).cast("long").alias("words"))
-    passes = F.concat(F.array_repeat(whole, F.col("epochs").cast("int")), F.when(F.col("partial") > 0, F.array(F.struct(F.when(F.col("partial") < F.col("size"), F.col("partial")).alias("words")))).otherwise(F.array().cast("array<struct<words:bigint>>")))
-    planned = mix.filter("taken > 0").select("node", F.posexplode(passes).alias("nth", "pass")).select("node", (F.col("nth") + 1).cast("long").alias("epoch"), "pass.words")
-    rows = docs.select(node.alias("node"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).dropDuplicates(["node"])
-    text = F.when(F.col("words").isNull(), F.col("row")[text_col]).otherwise(first_words(F.col("row")[text_col], F.col("words")))
-    fresh = [text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
-    name = "epoch" if "epoch" not in docs.columns else "mix_epoch"
-    return rows.join(planned, "node").select(*fresh, F.col("epoch").alias(name))
+    last = F.array(F.struct(F.when(F.col("partial") < F.col("size"), F.col("partial")).alias("words")))
+    passes = F.concat(F.array_repeat(whole, F.col("epochs").cast("int")), F.when(F.col("partial") > 0, last).otherwise(F.array().cast("array<struct<words:bigint>>")))
+    each = taken_of(rows, plan).filter("size > 0").select("row", F.posexplode(passes).alias("nth", "pass"))
+    text = F.when(F.col("pass.words").isNull(), F.col("row")[text_col]).otherwise(first_words(F.col("row")[text_col], F.col("pass.words")))
+    taken, name = {c.lower() for c in docs.columns}, "epoch"
+    for n in range(1, len(taken) + 2):
+        if name in taken:
+            name = "mix_epoch" if n == 1 else f"mix_epoch_{n}"
+    return each.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns], (F.col("nth") + 1).cast("long").alias(name))
 
 
 #: DuckDB SQL for the contract's columns; it shares the keys, not the plan.
@@ -164,7 +188,7 @@ ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(length(text), 0) AS chars,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         (('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+         (('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
   FROM documents
 ), k AS (
   SELECT doc_id, size, CASE WHEN source IS NULL THEN '2' ELSE '1' || source END AS skey,
