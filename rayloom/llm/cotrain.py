@@ -1,16 +1,17 @@
 """Quality classifiers by co-training of two views.
 
 One classifier sees a document's text as a set of hashed tokens, the other its
-page metadata: language, source, length and layout.  In each round both score
-all documents, and the documents of which one view is most certain become
-pseudo-labels for the other.  At the end both views are calibrated on held-out
-labels and combined to score every document.
-
-The models are logistic regressions that the driver fits on bounded samples:
-``LABELLED`` labelled rows and ``EXCHANGED`` pseudo-labels per view, class and
-round.  Whole texts are read once, for the features; every round then scores
-the stored features of all documents in the tasks.  A model is one array of
-``TOKEN_BINS + META_BINS`` numbers, whatever the corpus.
+page metadata: language, source and lengths, nothing of what the text says.
+In each round both score all documents.  Where one view is certain and the
+other doesn't contradict, the document is a pseudo-label for the other; the
+tasks count the features of all such documents by class, and the log odds of
+those counts become a second part of the other view.  At the end each view,
+and then their sum, is calibrated on labels that nothing was fitted on.
+
+A view has two parts: a logistic regression on at most ``LABELLED`` labelled
+rows, fitted on the driver, and the log odds of the pseudo-labels, of which
+there is no limit: their counts are bounded by the number of bins, whatever the
+corpus.  Whole texts are read once, for the features.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ import math
 import re
 import zlib
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -32,127 +32,135 @@ from rayloom.llm.common import modest_batches
 
 #: Most labelled rows a model is fitted on, those of least hash; a quarter of them calibrates.
 LABELLED = 8_000
-#: Pseudo-labels that a view gives the other, per class and round; rounds.
-EXCHANGED, ROUNDS = 200, 2
+#: Rounds of exchange.
+ROUNDS = 2
 #: Bins of hashed tokens and of hashed metadata.
 TOKEN_BINS, META_BINS = 1 << 18, 1 << 12
-#: Bins in fewer of the rows fitted on, or whose share of a class is nearer to its base rate than so many deviations, have no weight.
+#: Bins in fewer documents, or whose share of a class is nearer to its base rate than so many deviations, have no weight.
 LEAST_ROWS, LEAST_DEVIATIONS = 4, 2.5
-#: Only scores beyond these become pseudo-labels.
-CERTAIN = (0.05, 0.95)
+#: Scores beyond these become pseudo-labels, unless the other view is beyond ``CONTRARY`` on the other side.
+CERTAIN, CONTRARY = (0.05, 0.95), (0.2, 0.8)
+VIEWS = (("tokens", TOKEN_BINS), ("meta", META_BINS))
 
 TOKENS = re.compile(rb"[a-z0-9\x80-\xff]+|[^\x00-\x20a-z0-9\x80-\xff]+")
 
 
-def token_ids(text: str | None) -> np.ndarray:
-    """Bins of the distinct tokens of a whole text: words, and runs of other characters."""
-    raw = (text or "").lower().encode("utf-8", "surrogatepass")
-    return np.unique(np.fromiter((zlib.crc32(t) & (TOKEN_BINS - 1) for t in set(TOKENS.findall(raw))), np.int64))
-
-
 _CAPITALS = bytes(range(65, 91))
 _MARKS = bytes(b for b in range(33, 127) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122))
 
 
-def layout(text: str | None) -> tuple[int, ...]:
-    """How a page is laid out, as small numbers: length, line length, shares of marks, capitals and fresh words, words."""
+def style(raw: bytes) -> list[bytes]:
+    """How a text is written, as tokens that no text holds: shares of marks, capitals, fresh words and fresh lines."""
+    words, lines = raw.split(), raw.split(b"\n")
+    of = [(len(raw) - len(raw.translate(None, kind)), len(raw)) for kind in (_MARKS, _CAPITALS)] + [(len(set(x)), len(x)) for x in (words, lines)]
+    return [b"\n%d=%d" % (i, 20 * a // (b or 1)) for i, (a, b) in enumerate(of)]
+
+
+def token_ids(text: str | None) -> np.ndarray:
+    """Bins of the distinct tokens of a whole text: words, runs of other characters, and its style."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    tokens = {*TOKENS.findall((text or "").lower().encode("utf-8", "surrogatepass")), *style(raw)}
+    return np.unique(np.fromiter((zlib.crc32(t) & (TOKEN_BINS - 1) for t in tokens), np.int64))
+
+
+def lengths_of(text: str | None) -> tuple[int, ...]:
+    """Lengths of a page, as small numbers: bytes, lines and bytes a line on logarithmic scales."""
     if not text:
         return (0,)
-    raw = text.encode("utf-8", "surrogatepass")
-    words = raw.split()
-    share = lambda a, b: int(20 * a / (b or 1))
-    marks, capitals = (len(raw) - len(raw.translate(None, kind)) for kind in (_MARKS, _CAPITALS))
-    return (int(2 * math.log(len(raw))), int(2 * math.log(1 + len(raw) / (1 + raw.count(b"\n")))), share(marks, len(raw)), share(capitals, len(raw)), share(len(set(words)), len(words)), int(2 * math.log(1 + len(words))))
+    size, lines = len(text.encode("utf-8", "surrogatepass")), 1 + text.count("\n")
+    return tuple(int(2 * math.log(x)) for x in (size, lines, 1 + size / lines))
 
 
 def meta_ids(values: Sequence[object], text: str | None) -> np.ndarray:
-    said = [f"{i}={v}" for i, v in enumerate((*values, *layout(text)))]
+    said = [f"{i}={v}" for i, v in enumerate((*values, *lengths_of(text)))] + ["all=" + "|".join(map(str, values))]
     return np.unique(np.array([zlib.crc32(s.encode("utf-8", "surrogatepass")) & (META_BINS - 1) for s in said], np.int64))
 
 
-@dataclass
-class Logistic:
-    """Weights by bin, an offset, and the calibration of its scores."""
-
-    weights: np.ndarray
-    offset: float = 0.0
-    scale: tuple[float, float] = (1.0, 0.0)
-
-    def raw(self, rows: list[np.ndarray]) -> np.ndarray:
-        lengths = np.array([len(r) for r in rows])
-        owner = np.repeat(np.arange(len(rows)), lengths)
-        said = self.weights[np.concatenate(rows)] if lengths.sum() else np.empty(0)
-        return self.offset + np.bincount(owner, said, len(rows))
-
-    def logits(self, rows: list[np.ndarray]) -> np.ndarray:
-        return self.scale[0] * self.raw(rows) + self.scale[1]
-
-    @classmethod
-    def fit(cls, rows: list[np.ndarray], said: np.ndarray, bins: int, steps: int = 200, rate: float = 0.08, ridge: float = 2e-4) -> Logistic:
-        """By Adam on all rows; with one class, or none, the smoothed base rate."""
-        n, base = len(said), (said.sum() + 1) / (len(said) + 2)
-        prior = float(np.log(base / (1 - base)))
-        if n == 0 or said.min() == said.max():
-            return cls(np.zeros(bins), prior)
-        lengths = np.array([len(r) for r in rows])
-        columns, row = np.concatenate(rows), np.repeat(np.arange(n), lengths)
-        met, rate_of = np.bincount(columns, minlength=bins), said.mean()
-        off_by = np.bincount(columns, said[row], bins) - met * rate_of
-        tells = (met >= LEAST_ROWS) & (np.abs(off_by) >= LEAST_DEVIATIONS * np.sqrt(met * rate_of * (1 - rate_of)))
-        keep = tells[columns]
-        used, columns = np.unique(columns[keep], return_inverse=True)
-        row, w, b = row[keep], np.zeros(len(used)), prior
-        m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-        for k in range(1, steps + 1):
-            p = 1 / (1 + np.exp(-np.clip(b + np.bincount(row, w[columns], n), -40, 40)))
-            off = (p - said) / n
-            g, gb = np.bincount(columns, off[row], len(used)) + ridge * w, off.sum()
-            m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-            low, high = 1 - 0.9**k, 1 - 0.999**k
-            w -= rate * (m / low) / (np.sqrt(v / high) + 1e-8)
-            b -= rate * (mb / low) / (math.sqrt(vb / high) + 1e-8)
-        weights = np.zeros(bins)
-        weights[used] = w
-        return cls(weights, float(b))
-
-    def calibrate(self, rows: list[np.ndarray], said: np.ndarray) -> None:
-        """Platt scaling on rows that it wasn't fitted on; without both classes the scores stay."""
-        if len(said) < 20 or said.min() == said.max():
-            return
-        x = self.raw(rows)
-        goal = np.where(said > 0, (said.sum() + 1) / (said.sum() + 2), 1 / (len(said) - said.sum() + 2))
-        def cost(a: float, b: float) -> float:
-            z = a * x + b
-            return float((np.logaddexp(0, z) - goal * z).sum() + 0.5 * (a - 1) ** 2)
-
-        a, b = 1.0, 0.0
-        for _ in range(50):  # Newton steps, halved until they help
-            p = 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
-            g, h = p - goal, p * (1 - p)
-            grad = np.array([(g * x).sum() + a - 1, g.sum()])
-            hess = np.array([[(h * x * x).sum() + 1, (h * x).sum()], [(h * x).sum(), h.sum() + 1e-6]])
-            step, now, size = np.linalg.solve(hess, grad), cost(a, b), 1.0
-            while size > 1e-6 and cost(a - size * step[0], b - size * step[1]) > now:
-                size /= 2
-            a, b = a - size * step[0], b - size * step[1]
-            if np.abs(size * step).max() < 1e-6:
-                break
-        if np.isfinite(a) and np.isfinite(b) and a > 0:
-            self.scale = (float(a), float(b))
-
-
-@dataclass
-class CoTrained:
-    """The two views of one target and the logit of its base rate."""
-
-    text: Logistic
-    meta: Logistic
-    prior: float = 0.0
-    exchanged: int = field(default=0)
-
-    def logits(self, tokens: list[np.ndarray], meta: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a, b = self.text.logits(tokens), self.meta.logits(meta)
-        return a, b, a + b - self.prior
+def telling(met: np.ndarray, positive: np.ndarray, rate: float) -> np.ndarray:
+    """Bins that are common enough and whose share of positives differs enough from ``rate``."""
+    return (met >= LEAST_ROWS) & (np.abs(positive - met * rate) >= LEAST_DEVIATIONS * np.sqrt(met * rate * (1 - rate)))
+
+
+def fitted(rows: list[np.ndarray], said: np.ndarray, bins: int, steps: int = 200, rate: float = 0.08, ridge: float = 2e-4) -> tuple[np.ndarray, float]:
+    """Weights and offset of a logistic regression by Adam on all rows; with one class, or none, the smoothed base rate."""
+    n, base = len(said), (said.sum() + 1) / (len(said) + 2)
+    prior, weights = float(np.log(base / (1 - base))), np.zeros(bins)
+    if n == 0 or said.min() == said.max():
+        return weights, prior
+    columns, row = np.concatenate(rows), np.repeat(np.arange(n), [len(r) for r in rows])
+    keep = telling(np.bincount(columns, minlength=bins), np.bincount(columns, said[row], bins), said.mean())[columns]
+    used, columns = np.unique(columns[keep], return_inverse=True)
+    row, w, b = row[keep], np.zeros(len(used)), prior
+    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
+    for k in range(1, steps + 1):
+        p = 1 / (1 + np.exp(-np.clip(b + np.bincount(row, w[columns], n), -40, 40)))
+        off = (p - said) / n
+        g, gb = np.bincount(columns, off[row], len(used)) + ridge * w, off.sum()
+        m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
+        low, high = 1 - 0.9**k, 1 - 0.999**k
+        w -= rate * (m / low) / (np.sqrt(v / high) + 1e-8)
+        b -= rate * (mb / low) / (math.sqrt(vb / high) + 1e-8)
+    weights[used] = w
+    return weights, float(b)
+
+
+def odds(counts: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Log odds of each bin from its counts in documents of class 0 and 1 (``counts``: 2 x bins); zero where it tells nothing."""
+    if not docs.all():
+        return np.zeros(counts.shape[1])
+    share = (counts + 0.5) / (docs[:, None] + 1.0)
+    rate = docs[1] / docs.sum()
+    return np.where(telling(counts.sum(axis=0), counts[1], rate), np.log(share[1] / share[0]), 0.0)
+
+
+def calibrated(x: np.ndarray, said: np.ndarray, start: Sequence[float]) -> tuple[float, ...]:
+    """Weights of the columns of ``x`` and of 1, by Newton steps on the smoothed log loss, drawn towards ``start``; without both classes ``start``."""
+    start = np.asarray(start, float)
+    if not len(said) or said.min() == said.max():
+        return tuple(start)
+    x = np.column_stack((x, np.ones(len(said))))
+    goal = np.where(said > 0, (said.sum() + 1) / (said.sum() + 2), 1 / (len(said) - said.sum() + 2))
+
+    def cost(a: np.ndarray) -> float:
+        z = x @ a
+        return float((np.logaddexp(0, z) - goal * z).sum() + 0.5 * ((a - start) ** 2).sum())
+
+    a = start.copy()
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ a, -40, 40)))
+        grad = x.T @ (p - goal) + a - start
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(len(a)), grad)
+        size, now = 1.0, cost(a)
+        while size > 1e-6 and cost(a - size * step) > now:
+            size /= 2
+        a = a - size * step
+        if np.abs(size * step).max() < 1e-6:
+            break
+    return tuple(a) if np.isfinite(a).all() else tuple(start)
+
+
+def parts_of(view: tuple, rows: list[np.ndarray]) -> np.ndarray:
+    """Two columns: the regression's score of each row, and the pseudo-labels' mean log odds times the root of its length."""
+    weights, offset, told, _ = view
+    lengths = np.array([len(r) for r in rows], np.int64)
+    owner = np.repeat(np.arange(len(rows)), lengths)
+    bins = np.concatenate(rows).astype(np.int64) if lengths.sum() else np.empty(0, np.int64)
+    total = lambda w: np.bincount(owner, w[bins], len(rows))
+    return np.column_stack((offset + total(weights), total(told) / np.sqrt(1.0 + lengths)))
+
+
+def logits_of(model: dict, tokens: list[np.ndarray], meta: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the text, of the metadata, and of both."""
+    each = []
+    for name, rows in (("tokens", tokens), ("meta", meta)):
+        scale = model[name][3]
+        each.append(parts_of(model[name], rows) @ np.array(scale[:2]) + scale[2])
+    a, b, c = model["both"]
+    return each[0], each[1], a * each[0] + b * each[1] + c
+
+
+def _chances(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
 FEATURES = T.StructType([T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("meta", T.ArrayType(T.IntegerType()))])
@@ -168,81 +176,106 @@ def _features(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame
 def features(docs: DataFrame, meta_cols: Sequence[str] = ("lang", "source"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, tokens, meta`` of every row of ``docs``, stored: both views of whole texts.
 
-    A null text is empty, and null metadata is a value of its own.  Repeated
-    rows and null ids stay; other columns are ignored.
+    A null text is empty, and null metadata is a value of its own.  A very
+    long text has as many tokens as it has distinct ones.  Repeated rows and
+    null ids stay; other columns are ignored.
     """
     modest_batches(docs.sparkSession)
     return stored(docs.select(F.col(id_col).alias("doc_id"), _features(text_col, *[F.col(c).cast("string") for c in meta_cols]).alias("f")).select("doc_id", "f.*"), "views")
 
 
-def classify(views: DataFrame, models: dict[str, CoTrained]) -> DataFrame:
+def classify(views: DataFrame, models: dict[str, dict]) -> DataFrame:
     """``doc_id`` and ``<target>_text, <target>_meta, <target>`` probabilities of every row of ``views``; none of an empty table."""
-    held = views.sparkSession.sparkContext.broadcast(models)
+    held = views.sparkSession.sparkContext.broadcast(models)  # plain arrays and tuples: no class of this package
     names = [f"{t}{v}" for t in models for v in ("_text", "_meta", "")]
 
     @F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in names]))
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         known = held.value
         for tokens, meta in batches:
-            rows = [x for m in known.values() for x in m.logits(tokens.tolist(), meta.tolist())] if len(tokens) else [np.empty(0)] * len(names)
-            yield pd.DataFrame({n: 1 / (1 + np.exp(-np.clip(x, -40, 40))) for n, x in zip(names, rows)})
+            rows = [x for m in known.values() for x in logits_of(m, tokens.tolist(), meta.tolist())] if len(tokens) else [np.empty(0)] * len(names)
+            yield pd.DataFrame({n: _chances(x) for n, x in zip(names, rows)})
 
     return views.select("doc_id", score("tokens", "meta").alias("s")).select("doc_id", "s.*")
 
 
-def _fit(sample: pd.DataFrame, added: dict[str, pd.DataFrame], target: str) -> CoTrained:
-    """``sample``: labelled rows with ``tokens, meta, calibrates``; ``added``: pseudo-labels for each view."""
-    fits = sample[~sample["calibrates"]]
+def exchanged(views: DataFrame, models: dict[str, dict]) -> DataFrame:
+    """``target, view, said, bin, n``: in how many pseudo-labelled documents for a view each bin is; bin -1 counts the documents.
+
+    A document is a pseudo-label for a view where the other one is certain and
+    it is not certain of the contrary.
+    """
+    held = views.sparkSession.sparkContext.broadcast(models)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, sums = held.value, {}
+        for batch in batches:
+            rows = {"tokens": batch["tokens"].tolist(), "meta": batch["meta"].tolist()}
+            for target, model in known.items():
+                text, meta, _ = logits_of(model, rows["tokens"], rows["meta"])
+                for view, bins, giver, taker in (("tokens", TOKEN_BINS, meta, text), ("meta", META_BINS, text, meta)):
+                    p, q = _chances(giver), _chances(taker)
+                    for said, sure in ((0, (p <= CERTAIN[0]) & (q < CONTRARY[1])), (1, (p >= CERTAIN[1]) & (q > CONTRARY[0]))):
+                        some = [rows[view][i] for i in np.flatnonzero(sure)]
+                        if some:
+                            n = sums.setdefault((target, view, said), np.zeros(bins + 1, np.int64))
+                            n[:-1] += np.bincount(np.concatenate(some), minlength=bins)
+                            n[-1] += len(some)
+        for (target, view, said), n in sums.items():
+            met = np.flatnonzero(n)
+            yield pd.DataFrame({"target": target, "view": view, "said": said, "bin": np.where(met == len(n) - 1, -1, met), "n": n[met]})
+
+    told = views.select("tokens", "meta").mapInPandas(count, "target string, view string, said int, bin int, n bigint")
+    return told.groupBy("target", "view", "said", "bin").agg(F.sum("n").alias("n"))
+
+
+def _model(sample: pd.DataFrame, target: str, regressions: dict, pseudo: dict[str, np.ndarray]) -> dict:
+    """A target's model from its regressions, the pseudo-labels' odds, and the calibrating rows of ``sample``."""
     rest = sample[sample["calibrates"]]
-    views = {}
-    for view, bins in (("tokens", TOKEN_BINS), ("meta", META_BINS)):
-        more = added.get(view)
-        rows, said = fits[view].tolist(), fits[target].to_numpy(float)
-        if more is not None and len(more):
-            rows, said = rows + more[view].tolist(), np.concatenate((said, more["said"].to_numpy(float)))
-        views[view] = Logistic.fit([np.asarray(r, np.int64) for r in rows], said, bins)
-        views[view].calibrate([np.asarray(r, np.int64) for r in rest[view]], rest[target].to_numpy(float))
+    said, model, logits = rest[target].to_numpy(float), {}, []
+    for name, bins in VIEWS:
+        view = (*regressions[name], pseudo.get(name, np.zeros(bins)))
+        x = parts_of((*view, None), rest[name].tolist())
+        scale = calibrated(x, said, (1.0, 0.0, 0.0))
+        model[name] = (*view, scale)
+        logits.append(x @ np.array(scale[:2]) + scale[2])
     base = (sample[target].sum() + 1) / (len(sample) + 2)
-    return CoTrained(views["tokens"], views["meta"], float(np.log(base / (1 - base))), sum(map(len, added.values())))
-
-
-def co_train(
-    views: DataFrame,
-    labels: DataFrame,
-    targets: Sequence[str],
-    rounds: int = ROUNDS,
-    labelled: int = LABELLED,
-    exchanged: int = EXCHANGED,
-    id_col: str = "doc_id",
-) -> dict[str, CoTrained]:
+    return model | {"both": calibrated(np.column_stack(logits), said, (1.0, 1.0, -float(np.log(base / (1 - base)))))}
+
+
+def labelled_sample(views: DataFrame, labels: DataFrame, targets: Sequence[str], labelled: int, id_col: str) -> pd.DataFrame:
+    """At most ``labelled`` labels of documents in ``views`` with both views, those of least hash; of rows with one id, one is taken."""
+    known = labels.select(F.col(id_col).alias("doc_id"), *[F.col(t).cast("double").alias(t) for t in targets]).dropna()
+    known = known.join(views.select("doc_id"), "doc_id", "left_semi").withColumn("lot", F.xxhash64("doc_id")).orderBy("lot", *targets).limit(labelled)
+    known = stored(known, "labelled")
+    ids = known.select("doc_id").distinct()
+    one = views.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("tokens", "meta").alias("h"), "tokens", "meta")).alias("v"))
+    sample = one.join(F.broadcast(known), "doc_id").select("doc_id", *targets, (F.pmod("lot", F.lit(4)) == 0).alias("calibrates"), "v.tokens", "v.meta").toPandas()
+    return sample.sort_values(["doc_id", *targets], kind="stable", ignore_index=True)
+
+
+def co_train(views: DataFrame, labels: DataFrame, targets: Sequence[str], rounds: int = ROUNDS, labelled: int = LABELLED, id_col: str = "doc_id") -> dict[str, dict]:
     """A model for each 0/1 column of ``labels`` named in ``targets``; ``views`` come from :func:`features`.
 
-    Rows with a null id or label aren't used; repeated labels count as often
-    as they occur; labels of unknown documents have no effect.  Without labels
-    every score is the smoothed base rate.
+    Rows with a null id or label and labels of unknown documents aren't used;
+    repeated labels count as often as they occur.  Without labels every score
+    is the smoothed base rate.
     """
-    known = labels.select(F.col(id_col).alias("doc_id"), *[F.col(t).cast("double").alias(t) for t in targets]).dropna()
-    known = known.withColumn("lot", F.xxhash64("doc_id")).orderBy("lot", *targets).limit(labelled)
-    sample = views.join(F.broadcast(known), "doc_id").select("doc_id", *targets, (F.pmod("lot", F.lit(4)) == 0).alias("calibrates"), "tokens", "meta").toPandas()
-    sample = sample.sort_values("doc_id", kind="stable", ignore_index=True)
-    models = {t: _fit(sample, {}, t) for t in targets}
-    given: dict[tuple[str, str], list[pd.DataFrame]] = {}
+    sample = labelled_sample(views, labels, targets, labelled, id_col)
+    for name, _ in VIEWS:
+        sample[name] = [np.asarray(r, np.int64) for r in sample[name]]
+    fits = sample[~sample["calibrates"].astype(bool)]
+    sample["calibrates"] = sample["calibrates"].astype(bool)
+    regressions = {t: {name: fitted(fits[name].tolist(), fits[t].to_numpy(float), bins) for name, bins in VIEWS} for t in targets}
+    models = {t: _model(sample, t, regressions[t], {}) for t in targets}
+    known = views.sparkSession.createDataFrame([(i,) for i in sample["doc_id"].unique().tolist()], T.StructType([views.schema["doc_id"]]))
+    rest = views.join(F.broadcast(known), "doc_id", "left_anti")
     for _ in range(rounds if len(sample) else 0):
-        scored = stored(classify(views, models).join(F.broadcast(known.select("doc_id")), "doc_id", "left_anti").filter("doc_id IS NOT NULL"), "cotrain")
-        picks = []
-        for t in targets:
-            for view, other in (("_text", "meta"), ("_meta", "tokens")):
-                p = F.col(f"{t}{view}")
-                for said, certain, order in ((0.0, p <= CERTAIN[0], p.asc()), (1.0, p >= CERTAIN[1], p.desc())):
-                    best = scored.filter(certain).orderBy(order, F.xxhash64("doc_id"), "doc_id").limit(exchanged)
-                    picks.append(best.select("doc_id", F.lit(t).alias("target"), F.lit(other).alias("view"), F.lit(said).alias("said")))
-        chosen = picks[0]
-        for more in picks[1:]:
-            chosen = chosen.unionByName(more)
-        rows = views.join(F.broadcast(chosen), "doc_id").toPandas().sort_values(["doc_id", "target", "view"], kind="stable", ignore_index=True)
-        for (t, view), some in rows.groupby(["target", "view"]):
-            given.setdefault((t, view), []).append(some)
-        models = {t: _fit(sample, {v: pd.concat(x) for (s, v), x in given.items() if s == t}, t) for t in targets}
+        counts: dict[tuple[str, str], np.ndarray] = {(t, name): np.zeros((2, bins + 1)) for t in targets for name, bins in VIEWS}
+        for (t, name), some in exchanged(rest, models).toPandas().groupby(["target", "view"]):
+            counts[t, name][some["said"].to_numpy(), some["bin"].to_numpy()] = some["n"].to_numpy()
+        pseudo = {k: odds(n[:, :-1], n[:, -1]) for k, n in counts.items()}
+        models = {t: _model(sample, t, regressions[t], {name: pseudo[t, name] for name, _ in VIEWS}) for t in targets}
     return models
 
 

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from fixtures import frame
@@ -29,16 +30,64 @@ def corpus(spark, n=600):
 def test_held_out_accuracy(spark):
     docs, labels = corpus(spark)
     views = cotrain.features(docs)
-    models = cotrain.co_train(views, labels, ("quality", "toxic"), exchanged=40)
+    models = cotrain.co_train(views, labels, ("quality", "toxic"))
     got = {r.doc_id: r for r in cotrain.classify(views, models).collect()}
     rest = [i for i in range(600) if i % 2 == 0]
     assert sum((got[i].quality >= 0.5) == (i % 5 > 0) for i in rest) / len(rest) > 0.95
     assert sum((got[i].toxic >= 0.5) == (i % 7 == 0) for i in rest) / len(rest) > 0.95
-    assert models["quality"].exchanged > 0
-    again = cotrain.co_train(views.repartition(3), labels, ("quality", "toxic"), exchanged=40)
+    assert any(models[t][v][2].any() for t in models for v in ("tokens", "meta"))  # pseudo-labels told something
+    again = cotrain.co_train(views.repartition(3), labels, ("quality", "toxic"))
     assert {r.doc_id: round(r.quality, 9) for r in cotrain.classify(views, again).collect()} == {i: round(r.quality, 9) for i, r in got.items()}
 
 
+def test_one_round_of_exchange_against_brute_force(spark):
+    docs, labels = corpus(spark)
+    views = cotrain.features(docs)
+    models = cotrain.co_train(views, labels, ("quality", "toxic"), rounds=1)
+    got = {(r.target, r.view, r.said, r.bin): r.n for r in cotrain.exchanged(views, models).collect()}
+    scores = {r.doc_id: r for r in cotrain.classify(views, models).collect()}
+    want = Counter()
+    for r in views.collect():
+        for t in ("quality", "toxic"):
+            text, meta = scores[r.doc_id][t + "_text"], scores[r.doc_id][t + "_meta"]
+            for view, giver, taker in (("tokens", meta, text), ("meta", text, meta)):
+                said = 0 if giver <= 0.05 and taker < 0.8 else 1 if giver >= 0.95 and taker > 0.2 else None
+                if said is not None:
+                    want.update([(t, view, said, b) for b in (-1, *r[view])])
+    assert got == dict(want) and got
+
+
+def test_metadata_says_nothing_of_the_text():
+    same = [cotrain.meta_ids(("en", "a"), t).tolist() for t in ("good words here", "### $$$ %% VILE")]
+    assert same[0] == same[1]
+
+
+@pytest.mark.parametrize("n", [60, 400, 4000])
+def test_exchange_does_not_lower_held_out_accuracy(spark, n):
+    top = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{top}/documents.parquet")
+    labels = spark.read.parquet(f"{top}/labels.parquet")
+    fit, held = labels.filter("pmod(hash(doc_id), 2) = 0"), {r.doc_id: r for r in labels.filter("pmod(hash(doc_id), 2) = 1").collect()}
+    views = cotrain.features(docs.join(labels, "doc_id", "left_semi"))
+    right = {}
+    for rounds in (0, 2):
+        models = cotrain.co_train(views, fit, ("quality", "toxic"), rounds=rounds, labelled=n)
+        got = {r.doc_id: r for r in cotrain.classify(views, models).collect()}
+        right[rounds] = [sum((got[i][t] >= 0.5) == (r[t] == 1) for i, r in held.items()) / len(held) for t in ("quality", "toxic")]
+    print(n, right)
+    assert all(b >= a - 0.003 for a, b in zip(right[0], right[2]))
+    assert min(right[2]) > {60: 0.8, 400: 0.9, 4000: 0.96}[n]
+
+
+def test_repeated_ids_and_long_texts(spark):
+    long = "word " * 20_000 + " ".join(f"t{i}" for i in range(50_000))
+    rows = [(1, "one text", "en", "a", 0)] * 40 + [(1, "other text", "en", "b", 0), (2, long, "en", "a", 0), (3, "x", None, None, 0)]
+    views = cotrain.features(frame(spark, rows))
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 0, 1)], LABELS)
+    assert len(cotrain.labelled_sample(views, labels, ["quality"], 100, "doc_id")) == 3
+    assert cotrain.classify(views, cotrain.co_train(views, labels, ("quality", "toxic"))).count() == len(rows)
+
+
 def test_awkward_rows_and_no_labels(spark):
     docs = frame(spark, clashes=True)
     views = cotrain.features(docs)
