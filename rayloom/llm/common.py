@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rayloom.lineage import stored
+
+__all__ = ["WORD", "key_of", "maybe_broadcast", "modest_batches", "small_enough", "stored", "table"]
+
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,38 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where a session has none (tests, a laptop) a temporary one is set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        path = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(path)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return path
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again.
-
-    This cuts the lineage: a lost executor costs a re-read, not a re-run.
-    """
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
     """At most so many rows in an Arrow batch of this session: texts are long, and a worker holds some copies of a batch."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -55,13 +24,6 @@ def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path through the file system that holds it."""
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def key_of(column: Column) -> Column:
     """A string that is never null, sorts as ``column`` does, nulls last."""
     return F.when(column.isNull(), F.lit("2")).otherwise(F.concat(F.lit("1"), column.cast("string")))
@@ -72,6 +34,12 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint when it has at most ``rows`` rows; without, Spark shuffles."""
-    return F.broadcast(df) if small_enough(df, rows) else df
+def maybe_broadcast(df: DataFrame, most: int, weight: Column | None = None) -> DataFrame:
+    """``df`` with a broadcast hint when it has at most ``most`` rows; without, Spark shuffles.
+
+    Rows of no fixed size have a ``weight``, whose sum must not be more.
+    """
+    if weight is not None:
+        total = df.agg(F.sum(1 + weight).alias("n")).first().n or 0
+        return F.broadcast(df) if total <= most else df
+    return F.broadcast(df) if small_enough(df, most) else df

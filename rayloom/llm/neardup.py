@@ -40,8 +40,8 @@ LEAST_JACCARD = 85
 SMALL_GROUP, PIVOT_DOCS = 24, 24
 #: Keys of so many documents are broadcast to fetch their texts; more are joined by shuffle.
 BROADCAST_KEYS = 200_000
-#: Pivots and centres of so many large groups are broadcast, so that a group's members stay where they are.
-BROADCAST_PIVOTS, BROADCAST_CENTRES = 2_000, 100_000
+#: Pivots of so many shingles, and centres of so many large groups, are broadcast, so that a group's members stay where they are.
+BROADCAST_PIVOTS, BROADCAST_CENTRES = 1_000_000, 100_000
 #: Bytes of text that a task hashes at once.
 SHARD_BYTES = 1_000_000
 
@@ -223,7 +223,7 @@ def large_group_links(members: DataFrame, sets: DataFrame, least: int) -> DataFr
     """``a, b`` that join what the links of groups of any size join; ``members``: ``root, key``."""
     more, less = 100 - least, 100 + least  # a link: more * (|x| + |y|) >= less * |x ^ y|
     first = members.withColumn("nth", F.row_number().over(Window.partitionBy("root").orderBy("key"))).filter(F.col("nth") <= PIVOT_DOCS).select("root", "key")
-    pivot = maybe_broadcast(stored(pivots(first.join(sets, "key").select("root", "key", "set")), "pivots"), BROADCAST_PIVOTS)
+    pivot = maybe_broadcast(stored(pivots(first.join(sets, "key").select("root", "key", "set")), "pivots"), BROADCAST_PIVOTS, F.size("pivot"))
     differ = F.concat(F.array_except("set", "pivot"), F.array_except("pivot", "set"))
     apart = stored(
         members.join(sets, "key").join(pivot, "root").select("root", "key", differ.alias("diff"), F.size("set").alias("n")).withColumn("f", less * F.size("diff") - more * F.col("n")).drop("n"),
@@ -263,10 +263,10 @@ def large_group_links(members: DataFrame, sets: DataFrame, least: int) -> DataFr
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_JACCARD) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, key, n_shingles`` of every row, and ``key, first_id, rows, component_id, rep_key`` of every text with words.
+    """``doc_id, key, n_shingles`` of every row, and ``key, first_id, rows, all_rows, component_id, rep_key`` of every text with words.
 
     ``key`` stands for the text, ``first_id`` is its least id and ``rows`` the
-    number of rows with text and that id; ``component_id`` is the least id of
+    number of rows with text and that id, ``all_rows`` with any; ``component_id`` is the least id of
     the text's component, ``rep_key`` the text that has it.
     """
     modest_batches(docs.sparkSession)
@@ -276,7 +276,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     worded = measured.filter("n_shingles > 0")
     by_id = worded.groupBy("key", "doc_id").agg(F.count("*").alias("rows"))
-    firsts = by_id.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rows")).alias("m")).select("key", F.col("m.doc_id").alias("first_id"), F.col("m.rows").alias("rows"))
+    firsts = by_id.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rows")).alias("m"), F.sum("rows").alias("all_rows"))
+    firsts = firsts.select("key", F.col("m.doc_id").alias("first_id"), F.col("m.rows").alias("rows"), "all_rows")
     firsts = stored(firsts, "firsts")
     unique = stored(worded.join(firsts.select("key", "first_id"), ["key"]).filter(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("key", "doc_id", "bands"), "unique")
     banded = unique.select("key", F.explode("bands").alias("band"))
@@ -293,7 +294,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = connected_components(small.unionByName(large))
     placed = firsts.join(named.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     heads = placed.groupBy("component").agg(F.min(F.struct(F.col("first_id").isNull().alias("no"), "first_id", "key")).alias("m"))
-    return measured.drop("bands"), placed.join(heads, "component").select("key", "first_id", "rows", F.col("m.first_id").alias("component_id"), F.col("m.key").alias("rep_key"))
+    return measured.drop("bands"), placed.join(heads, "component").select("key", "first_id", "rows", "all_rows", F.col("m.first_id").alias("component_id"), F.col("m.key").alias("rep_key"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_JACCARD) -> DataFrame:
@@ -316,12 +317,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_JACCARD) -> DataFrame:
     """``docs`` with one row of each component, and all rows without words; columns as they were.
 
-    Of repeated rows, alike in id and text, one stays.
+    Of repeated rows, alike in id and text, one stays.  Only texts that another
+    row repeats or is linked with are looked up; where they are few, no row
+    moves.  Null ids, null texts and empty tables are as in
+    :func:`near_duplicates`; columns may have any names.
     """
     _, placed = components(docs, id_col, text_col, least)
+    decided = placed.filter("rep_key != key OR all_rows > 1").select("key", "rows", "component_id", "rep_key")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     keyed = docs.select(row, F.col(id_col).alias("own_id"), text_key(F.col(text_col)).alias("key"))
-    met = keyed.join(stored(placed, "placed"), "key", "left")
+    met = keyed.join(maybe_broadcast(stored(decided, "decided"), BROADCAST_KEYS), "key", "left")
     stays = met.filter(F.col("rep_key").isNull() | ((F.col("key") == F.col("rep_key")) & F.col("own_id").eqNullSafe(F.col("component_id"))))
     often = F.coalesce(F.col("rows"), F.lit(1)) > 1
     return stays.filter(~often).select("row.*").unionByName(stays.filter(often).dropDuplicates(["key"]).select("row.*"))

@@ -291,9 +291,9 @@ def spans_by_counting(pieces: DataFrame) -> DataFrame:
     for length in (LENGTH, PASSAGE):
         said = F.substring(F.col("bytes"), F.col("start") + 1, F.lit(length))
         told = windows.filter(F.col("start") + length <= F.length("bytes")).select("node", "start", "n", F.unhex(F.md5(said)).alias("digest"))
-        often = told.groupBy("digest").agg(F.sum("n").alias("met")).filter("met > 1").select("digest")
+        often = stored(told.groupBy("digest").agg(F.sum("n").alias("met")).filter("met > 1").select("digest"), "digests")
         start = F.col("start").cast("long")
-        found.append(told.join(often, "digest").select("node", start.alias("start"), (start + length).alias("end"), F.lit(length == LENGTH).alias("long")))
+        found.append(told.join(maybe_broadcast(often, BROADCAST_SPANS), "digest").select("node", start.alias("start"), (start + length).alias("end"), F.lit(length == LENGTH).alias("long")))
     return found[0].unionByName(found[1])
 
 

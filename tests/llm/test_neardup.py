@@ -11,7 +11,7 @@ def shingles(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) if len(words) >= 5 else frozenset([tuple(words)] if words else [])
 
 
-def brute_force(rows):
+def brute_force(rows, least=85):
     sets = [shingles(r[1]) for r in rows]
     lead = list(range(len(rows)))
 
@@ -23,7 +23,7 @@ def brute_force(rows):
     for i, a in enumerate(sets):
         for j in range(i):
             b = sets[j]
-            if a and b and 100 * len(a & b) >= 85 * len(a | b) and top(i) != top(j):
+            if a and b and 100 * len(a & b) >= least * len(a | b) and top(i) != top(j):
                 lead[top(i)] = top(j)
     groups = {}
     for i, r in enumerate(rows):
