@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rayloom.lineage import stored
+from rayloom.lineage import cleared, last_made, stored
 from rayloom.llm import decontam, mixing, neardup, quality, secrets
 from rayloom.llm.common import table
 
@@ -51,8 +51,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stored(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        with cleared(spark) as kept:  # what the stage stored on its way isn't needed any more
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            kept.append(last_made())
+    return STAGES[-1][1](spark, docs, sf_dir)
