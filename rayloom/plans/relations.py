@@ -41,17 +41,17 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-LABELS_SQL = """labels AS (SELECT p_partkey AS label_id, p_partkey % 50 AS image_id, (p_partkey * 37) % 480 AS x, (p_partkey * 53) % 480 AS y,
+LABELS_SQL = """labels AS MATERIALIZED (SELECT p_partkey AS label_id, p_partkey % 50 AS image_id, (p_partkey * 37) % 480 AS x, (p_partkey * 53) % 480 AS y,
   (20 + p_size % 12)::BIGINT AS w, (20 + p_size % 9)::BIGINT AS h, (1 + p_size % 3)::INT AS label_class FROM part)"""
-DETECTIONS_SQL = """dets AS (SELECT o_orderkey AS det_id, l.image_id, l.x + o_orderkey % 23 - 11 AS x, l.y + o_orderkey % 19 - 9 AS y, l.w, l.h,
+DETECTIONS_SQL = """dets AS MATERIALIZED (SELECT o_orderkey AS det_id, l.image_id, l.x + o_orderkey % 23 - 11 AS x, l.y + o_orderkey % 19 - 9 AS y, l.w, l.h,
   ((o_orderkey * 31 + o_orderkey // 7) % 100) / 100.0::DOUBLE AS score, (CASE WHEN o_orderkey % 10 = 0 THEN 0 ELSE l.label_class - 1 END)::INT AS det_class
   FROM orders JOIN labels l ON l.label_id = o_orderkey % (SELECT count(*) FROM part))"""
 OVERLAP = "greatest(least(d.x + d.w, l.x + l.w) - greatest(d.x, l.x), 0) * greatest(least(d.y + d.h, l.y + l.h) - greatest(d.y, l.y), 0)"
 BEST_SQL = f"""pairs AS (SELECT d.det_id, d.image_id, d.score, d.det_class, l.label_id, l.label_class,
   ({OVERLAP})::DOUBLE / nullif(d.w * d.h + l.w * l.h - {OVERLAP}, 0) AS iou
   FROM dets d JOIN labels l ON d.image_id = l.image_id AND d.x <= l.x + l.w AND l.x <= d.x + d.w AND d.y <= l.y + l.h AND l.y <= d.y + d.h),
-best AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY det_id ORDER BY iou DESC, label_id) = 1)"""
-HITS_SQL = "hits AS (SELECT * FROM best WHERE iou >= 0.25 QUALIFY row_number() OVER (PARTITION BY label_id ORDER BY iou DESC, det_id) = 1)"
+best AS MATERIALIZED (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY det_id ORDER BY iou DESC, label_id) = 1)"""
+HITS_SQL = "hits AS MATERIALIZED (SELECT * FROM best WHERE iou >= 0.25 QUALIFY row_number() OVER (PARTITION BY label_id ORDER BY iou DESC, det_id) = 1)"
 TAGS_SQL = """tags AS (
   SELECT CASE WHEN h.det_id IS NULL THEN 'FP' ELSE 'TP' END AS tag, h.label_id, h.label_class, d.det_id, d.score, d.det_class, round(h.iou, 3) AS iou, d.image_id
   FROM dets d LEFT JOIN hits h USING (det_id)
