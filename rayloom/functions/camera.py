@@ -126,6 +126,14 @@ def _camera(t: Column) -> list[Column]:
     return [*back[:3], *[-c for c in back[3:]]]
 
 
+def shifted_pose(pose: Column, offsets: Sequence[float], angles: Sequence[str] = ("yaw", "pitch", "roll")) -> Column:
+    """A pose with constant offsets added to its place and angles: ``dx, dy, dz`` and one for each of ``angles``."""
+    moved = pose
+    for name, by in zip(("x", "y", "z", *angles), offsets):
+        moved = moved.withField(name, pose[name] + F.lit(float(by)))
+    return moved
+
+
 def to_camera(point: Column, pose: Column) -> Column:
     """A world point in the camera's axes; ``pose`` has x, y, z and yaw, pitch, roll in degrees."""
     return turned(minus(point, pose), _ypr_angles(pose["yaw"], pose["pitch"], pose["roll"]), _camera)

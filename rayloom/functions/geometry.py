@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rayloom.functions.outlines import overlap
+
 
 def box(x: Column, y: Column, w: Column, h: Column) -> Column:
     return F.struct(x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
@@ -163,41 +165,19 @@ def ring_in_tile(ring: Column, dx: Column, dy: Column, size: int) -> Column:
     return F.struct(flat(kept).alias("rest"), F.concat(F.array(first["x"], first["y"]), flat(kept)).alias("ring"))
 
 
-def _triangles_area(p: np.ndarray, q: np.ndarray) -> float:
-    """Area that two triangles share, by cutting one at the other's edges."""
-    out = list(p)
-    for k in range(3):
-        a, b = q[k], q[(k + 1) % 3]
-        side = lambda v: (b[0] - a[0]) * (v[1] - a[1]) - (b[1] - a[1]) * (v[0] - a[0])  # noqa: B023, E731
-        kept = []
-        for i, v in enumerate(out):
-            w = out[(i + 1) % len(out)]
-            s, t = side(v), side(w)
-            if s >= 0:
-                kept.append(v)
-            if s * t < 0:
-                kept.append(v + (w - v) * (s / (s - t)))
-        out = kept
-        if len(out) < 3:
-            return 0.0
-    x = np.array(out)
-    return 0.5 * abs(float(np.dot(x[:, 0], np.roll(x[:, 1], -1)) - np.dot(x[:, 1], np.roll(x[:, 0], -1))))
+def rings_overlap(a: np.ndarray, b: np.ndarray) -> float:
+    """Area that two polygons share, convex or not."""
+    return overlap(a, b)
 
 
-def rings_overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """Area that two simple polygons share, convex or not: signed fans of triangles, pair by pair."""
+def point_in_ring(ring: Column, x: Column, y: Column) -> Column:
+    """Whether a point lies in a ring, by the number of edges to its right."""
 
-    def fan(ring: np.ndarray) -> list[tuple[float, np.ndarray]]:
-        v = np.asarray(ring, float).reshape(-1, 2)
-        found = []
-        for i in range(1, len(v) - 1):
-            t = np.array([v[0], v[i], v[i + 1]])
-            turn = (t[1, 0] - t[0, 0]) * (t[2, 1] - t[0, 1]) - (t[1, 1] - t[0, 1]) * (t[2, 0] - t[0, 0])
-            if turn:
-                found.append((np.sign(turn), t if turn > 0 else t[::-1]))
-        return found
+    def crossed(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+        at = ax + (y - ay) / F.nullif(by - ay, F.lit(0.0)) * (bx - ax)
+        return F.when(((ay > y) != (by > y)) & (x < at), 1.0).otherwise(0.0)
 
-    return abs(sum(s * t * _triangles_area(p, q) for s, p in fan(a) for t, q in fan(b)))
+    return _edges(ring, crossed) % 2 == 1
 
 
 def _area(ring: np.ndarray) -> float:
@@ -290,6 +270,13 @@ def is_flat(xyz: np.ndarray, most: float = 0.15) -> bool:
     return bool(sizes[1] > 1e-9 and np.ptp(centred @ axes[2]) < most)
 
 
+@F.pandas_udf(T.StructType([*[T.StructField(c, T.DoubleType()) for c in "abc"], T.StructField("flat", T.BooleanType())]))
+def plane_of(points: pd.Series) -> pd.DataFrame:
+    """The plane ``z = a x + b y + c`` of an array of ``[x, y, z]``, and whether the points lie flat; nulls for fewer than three."""
+    rows = [(None, None, None, False) if p is None or len(p) < 3 else (*fit_plane(v), is_flat(v)) for p in points for v in (None if p is None else np.array([list(x) for x in p], float),)]
+    return pd.DataFrame(rows, columns=["a", "b", "c", "flat"]).astype({c: float for c in "abc"})
+
+
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
 def smoothed_rings(rings: pd.Series) -> pd.Series:
     """3-D rings redrawn as ellipses on a plane: heights beyond two deviations go first, if three points are left.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -60,3 +60,16 @@ def filled_path(path: Column, values: dict[str, str]) -> Column:
     for name, value in values.items():
         path = F.replace(path, F.lit("{" + name + "}"), F.lit(value))
     return path
+
+
+def with_category(df: DataFrame) -> DataFrame:
+    """The category column, of whatever case, as ``CATEGORY``; an error where there is none or more than one."""
+    named = [c for c in df.columns if c.lower() == "category"]
+    if len(named) != 1:
+        raise ValueError(f"one category column is needed, not {named}")
+    return df.withColumnRenamed(named[0], "CATEGORY")
+
+
+def cube_image_id(camera: Column, face: Column, faces: int = 6) -> Column:
+    """An id for each face of each cube map."""
+    return camera * faces + face

@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rayloom.functions.geometry import disc_iou
+from rayloom.functions.geometry import disc_iou, ring_area
 from rayloom.lineage import stored
 from rayloom.operators.evaluation import by_class, summary
-from rayloom.operators.spatial import counted_on_grid, near_pairs
+from rayloom.operators.spatial import counted_on_grid, gridded, near_pairs
 
 #: Radius that a point of an inventory stands for, in metres.
 DISC = 0.35
@@ -83,3 +83,43 @@ def next_unchecked(states: DataFrame, order: str, by: Sequence[str]) -> DataFram
     group = Window.partitionBy(*by)
     after = F.first(open_id, ignorenulls=True).over(group.orderBy(order).rowsBetween(1, Window.unboundedFollowing))
     return states.withColumn("next_id", F.coalesce(after, F.min(open_id).over(group)))
+
+
+def previous_unchecked(states: DataFrame, order: str, by: Sequence[str]) -> DataFrame:
+    """Each row with ``previous_id``, the last unchecked row of its group before it; the last of all before the first."""
+    open_id = F.when(F.col("state") == "unchecked", F.col(order))
+    group = Window.partitionBy(*by)
+    before = F.last(open_id, ignorenulls=True).over(group.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return states.withColumn("previous_id", F.coalesce(before, F.max(open_id).over(group)))
+
+
+def validated(annotations: DataFrame, status: DataFrame, id_col: str = "ann_id") -> DataFrame:
+    """Annotations to export: those whose latest status is validated and not removed."""
+    return reviewed(annotations, status, id_col).filter("state = 'validated'").drop("state")
+
+
+def shown_id(tags: DataFrame) -> DataFrame:
+    """Tagged detections with ``shown_id``: the detection's id, or the label's where nothing was detected."""
+    return tags.withColumn("shown_id", F.coalesce("det_id", "label_id"))
+
+
+def least_score(tags: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``least_score``: the least score of the rows with a tag."""
+    return tags.groupBy(*by).agg(F.min(F.when(F.col("tag").isNotNull(), F.col("score"))).alias("least_score"))
+
+
+def large_enough(dets: DataFrame, images: DataFrame) -> DataFrame:
+    """Detections whose area is more than half of their image's longer side (``images``: ``image_id, width, height``)."""
+    sized = images.select("image_id", (F.greatest("width", "height") / 2).alias("_least"))
+    return dets.join(sized, "image_id").filter(F.col("area") > F.col("_least")).drop("_least")
+
+
+def with_masks(dets: DataFrame, segmentation: str = "segmentation") -> DataFrame:
+    """Detections whose mask has an area."""
+    total = F.aggregate(F.transform(F.col(segmentation), ring_area), F.lit(0.0), lambda a, x: a + x)
+    return dets.filter(total > 0)
+
+
+def full_heat_map(tags: DataFrame, extent: tuple[float, float, float, float], size: float = 100.0) -> DataFrame:
+    """:func:`heat_map` over an extent (``min_x, min_y, max_x, max_y``), cells without a point included."""
+    return gridded(heat_map(tags, extent[0], extent[1], size), *extent, size, ["tag"])

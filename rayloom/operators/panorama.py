@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rayloom.functions.geometry import segmentation_box, shifted
+from rayloom.functions.outlines import united, united_area
 from rayloom.functions.names import basename, tile_of, trimmed_jpg
 from rayloom.operators.graph import connected_components
+from rayloom.lineage import stored
 from rayloom.operators.spatial import overlap_pairs
+from rayloom.operators.tiling import numbered_within
 
 KEYS = ["dataset", "image_id"]
 
@@ -87,3 +90,17 @@ def merged(dets: DataFrame, pairs: DataFrame, groups: DataFrame) -> DataFrame:
 def merge_fragments(dets: DataFrame, buffer: float = 1.0) -> DataFrame:
     pairs = fragment_pairs(dets, buffer)
     return merged(dets, pairs, grouped(pairs))
+
+
+def dissolved(objects: DataFrame) -> DataFrame:
+    """Merged fragments with the outlines of their union as segmentation, and its ``area``."""
+    return objects.withColumn("area", united_area("segmentation")).withColumn("segmentation", united("segmentation"))
+
+
+def per_dataset(dets: DataFrame, images: DataFrame, buffer: float = 1.0, least_score: float = 0.2) -> DataFrame:
+    """Panorama annotations of all datasets: detections from ``least_score`` on moved, grouped and dissolved, numbered within each.
+
+    The export of one dataset is a filter on ``dataset``.
+    """
+    moved = stored(to_panorama(dets.filter(F.col("score") >= least_score), images), "panorama")
+    return numbered_within(dissolved(merge_fragments(moved, buffer)).withColumnRenamed("id", "fragment_id"), ["image_id", "fragment_id"], "id", ["dataset"])

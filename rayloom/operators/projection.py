@@ -103,3 +103,8 @@ def cube_rays(dets: DataFrame, frames: DataFrame, sensors: DataFrame, pixel: flo
     placed = fitted.withColumn("sensor", sensor_of(lat_lon(ahead), F.col("mosaic"))).withColumn("cell", F.get(F.filter("mosaic", lambda c: c["sensor"] == F.col("sensor")), F.lit(0))).filter("cell IS NOT NULL")
     ray = cube_ray(*at, F.col("pose"), F.col("face"), vector(F.col("cell.dx"), F.col("cell.dy"), F.col("cell.dz")), step, size)
     return placed.withColumn("r", ray).select("det_id", "frame_id", "r.origin", "r.direction", ring_area(F.col("ring")).alias("mask_area"))
+
+
+def without_pose(dets: DataFrame, poses: DataFrame) -> DataFrame:
+    """``frame_id, n``: frames of detections that have no pose, and how many detections they cost."""
+    return dets.join(poses.select("frame_id"), "frame_id", "left_anti").groupBy("frame_id").agg(F.count("*").alias("n"))

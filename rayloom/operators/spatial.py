@@ -8,12 +8,15 @@ shares no cell.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rayloom.functions.geometry import boxes_meet
+from rayloom.functions.geometry import boxes_meet, point_in_ring, ring_box
+from rayloom.lineage import stored
 
 
 def _cells(low: Column, high: Column, size: float) -> Column:
@@ -76,11 +79,60 @@ def counted_on_grid(points: DataFrame, x: str, y: str, min_x: float, min_y: floa
     return placed.groupBy("cell_x", "cell_y", *by).agg(F.count("*").alias("n")).withColumn("cell_id", name)
 
 
-def clusters(points: DataFrame, id_col: str, xyz: Sequence[str], reach: float) -> DataFrame:
-    """``node, component``: points joined by steps of at most ``reach`` (density clustering in which every point is a core)."""
+def gridded(counts: DataFrame, min_x: float, min_y: float, max_x: float, max_y: float, size: float, by: Sequence[str] = ()) -> DataFrame:
+    """The counts of :func:`counted_on_grid` with every cell of the extent: those without points have ``n`` 0 and no ``by``."""
+    spark = counts.sparkSession
+    cells = spark.range(1).select(F.explode(grid_cells(F.lit(float(min_x)), F.lit(float(min_y)), F.lit(float(max_x - min_x)), F.lit(float(max_y - min_y)), size)).alias("c"))
+    cells = cells.select(F.col("c.x").alias("cell_x"), F.col("c.y").alias("cell_y"))
+    name = F.concat(F.bround("cell_x").cast("long").cast("string"), F.lit(", "), F.bround("cell_y").cast("long").cast("string"))
+    return cells.withColumn("cell_id", name).join(counts.select("cell_id", *by, "n"), "cell_id", "left").fillna(0, ["n"])
+
+
+def in_polygons(points: DataFrame, areas: DataFrame, xy: Sequence[str] = ("x", "y"), id_col: str = "id", cell: float = 64.0) -> DataFrame:
+    """Points that lie in any part of an area (``ring``, a flat ring per row): its union is never needed.
+
+    Areas are dealt to the cells that their boxes cover, points to their own.
+    Rows with a null ring or place meet nothing; each point comes once.
+    """
+    own = lambda c: F.floor(F.col(c) / cell).cast("long")
+    dealt = covered(areas.select("ring", ring_box(F.col("ring")).alias("_box")), "_box", cell)
+    placed = points.select(F.col(id_col).alias("_id"), F.col(xy[0]).alias("_x"), F.col(xy[1]).alias("_y"), own(xy[0]).alias("cell_x"), own(xy[1]).alias("cell_y"))
+    met = placed.join(dealt, ["cell_x", "cell_y"]).filter(point_in_ring(F.col("ring"), F.col("_x"), F.col("_y")))
+    return points.join(met.select(F.col("_id").alias(id_col)).distinct(), id_col, "left_semi")
+
+
+def clusters(points: DataFrame, id_col: str, xyz: Sequence[str], reach: float, keys: Sequence[str] = ()) -> DataFrame:
+    """``node, component``: points joined by steps of at most ``reach`` (density clustering in which every point is a core).
+
+    Points of a cell of diagonal ``reach`` are linked to one of them.  Cells
+    are compared as pairs of neighbours: by the boxes around their points where
+    these decide, point by point where they don't, and one link is made of a
+    pair.  So a dense spot gives as many links as it has points, not as many as
+    it has pairs.  Points of different ``keys`` stay apart.
+    """
     from rayloom.operators.graph import connected_components
 
-    a = points.select(F.col(id_col).alias("a"), *[F.col(c).alias(f"a_{i}") for i, c in enumerate(xyz)])
-    b = points.select(F.col(id_col).alias("b"), *[F.col(c).alias(f"b_{i}") for i, c in enumerate(xyz)])
-    steps = near_pairs(a, b, reach, [f"a_{i}" for i in range(len(xyz))], [f"b_{i}" for i in range(len(xyz))])
-    return connected_components(steps.filter("a >= b").select("a", "b"))
+    axes = range(len(xyz))
+    side = reach / math.sqrt(len(xyz)) * (1 - 1e-12)
+    cell = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], *[F.floor(F.col(c) / side).cast("long").alias(f"c{i}") for i, c in enumerate(xyz)])
+    rows = stored(points.select(F.col(id_col).alias("id"), cell.alias("cell"), *[F.col(c).cast("double").alias(f"p{i}") for i, c in enumerate(xyz)]).dropna(subset=[f"p{i}" for i in axes]), "cells")
+    bounds = [f(f"p{i}").alias(f"{n}{i}") for i in axes for f, n in ((F.min, "low"), (F.max, "high"))]
+    heads = stored(rows.groupBy("cell").agg(F.min("id").alias("head"), *bounds), "heads")
+    stars = rows.join(heads.select("cell", "head"), "cell").select(F.col("id").alias("a"), F.col("head").alias("b"))
+
+    steps = [o for o in itertools.product(range(-2, 3), repeat=len(xyz)) if o > (0,) * len(xyz)]  # half of the neighbours
+    moved = lambda o: F.struct(*[F.col(f"cell.k{i}") for i in range(len(keys))], *[(F.col(f"cell.c{i}") + o[i]).alias(f"c{i}") for i in axes])
+    left = heads.withColumnsRenamed({c: f"{c}_a" for c in heads.columns})
+    near = heads.withColumn("cell_a", F.explode(F.array(*[moved(tuple(-x for x in o)) for o in steps])))
+    both = left.join(near, "cell_a")
+    low, high = (lambda i, s="": F.col(f"low{i}{s}")), (lambda i, s="": F.col(f"high{i}{s}"))
+    gap = sum((F.pow(F.greatest(F.lit(0.0), low(i) - high(i, "_a"), low(i, "_a") - high(i)), 2) for i in axes), F.lit(0.0))
+    span = sum((F.pow(F.greatest(high(i) - low(i, "_a"), high(i, "_a") - low(i)), 2) for i in axes), F.lit(0.0))
+    meet = stored(both.filter(F.sqrt(gap) <= reach).withColumn("sure", F.sqrt(span) <= reach), "neighbours")
+    sure = meet.filter("sure").select(F.col("head").alias("a"), F.col("head_a").alias("b"))
+    to_box = lambda s: F.sqrt(sum((F.pow(F.greatest(F.lit(0.0), low(i, s) - F.col(f"p{i}"), F.col(f"p{i}") - high(i, s)), 2) for i in axes), F.lit(0.0)))
+    open_pairs = meet.filter("NOT sure")
+    first = open_pairs.join(rows.withColumnRenamed("cell", "cell_a"), "cell_a").filter(to_box("") <= reach).select("cell_a", "cell", "head", "head_a", *[F.col(f"p{i}").alias(f"q{i}") for i in axes])
+    apart = F.sqrt(sum((F.pow(F.col(f"p{i}") - F.col(f"q{i}"), 2) for i in axes), F.lit(0.0)))
+    found = first.join(rows, "cell").filter(apart <= reach).select(F.col("head").alias("a"), F.col("head_a").alias("b")).distinct()
+    return connected_components(stars.unionByName(sure).unionByName(found))

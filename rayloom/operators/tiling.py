@@ -151,6 +151,14 @@ def numbered(df: DataFrame, order: Sequence[str], name: str, first: int = 0) ->
     return placed.withColumn("_nth", nth).join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(name, F.col("_before") + F.col("_nth") + first).drop("_part", "_nth", "_before")
 
 
+def numbered_within(df: DataFrame, order: Sequence[str], name: str, by: Sequence[str], first: int = 0) -> DataFrame:
+    """Consecutive numbers that begin anew in each group: those over all rows, less the least of the group."""
+    every = numbered(df, [*by, *order], "_all")
+    least = every.groupBy(*[F.col(c).alias(f"_of_{c}") for c in by]).agg(F.min("_all").alias("_least"))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
+    return every.join(least, same).select(*df.columns, (F.col("_all") - F.col("_least") + first).alias(name))
+
+
 def offset_ids(df: DataFrame, group: str, id_col: str) -> DataFrame:
     """Ids made unique over groups, each group's shifted by what those before it, in order, need."""
     tops = df.groupBy(group).agg((F.max(id_col) + 1).alias("_room"))

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rayloom.functions.camera import disc_radius, dot, let, minus, norm, plus, vector
 from rayloom.lineage import stored
 from rayloom.operators.spatial import clusters, near_pairs
 
+# Fixed values.
 #: Heights of an object below the higher camera and below the lower one, in metres, between which a crossing counts.
 BELOW = (2.0, 3.8)
 #: Most difference of the radii that two masks stand for, and the panorama that their areas are counted in.
@@ -54,26 +55,29 @@ def crossings(rays: DataFrame, most_gap: float = 0.2, radius: float = 20.0, heig
     origins are within two radii are compared.  Returns ``trajectory, ray_a,
     ray_b, frame_a, frame_b, point, gap, length``; ``b`` is the later frame.
     """
-    ray = F.struct("origin", "direction")
-    cols = [F.col("ray_id").alias("ray_"), F.col("frame").alias("frame_"), ray.alias("ray_of_"), F.col("origin.x").alias("x_"), F.col("origin.y").alias("y_"), F.col("origin.z").alias("z_")]
-    names = ["ray_", "frame_", "ray_of_", "x_", "y_", "z_"]
+    place, way = [f"{p}_" for p in "xyz"], [f"d{p}_" for p in "xyz"]
+    cols = [F.col("ray_id").alias("ray_"), F.col("frame").alias("frame_"), *[F.col(f"origin.{p}").alias(n) for p, n in zip("xyz", place)], *[F.col(f"direction.{p}").alias(n) for p, n in zip("xyz", way)]]
+    names = ["ray_", "frame_", *place, *way]
     if mask:
         cols.append(F.col("mask_area").alias("area_"))
         names.append("area_")
     side = lambda s: rays.select("trajectory", *cols).withColumnsRenamed({n: n + s for n in names})
     near = near_pairs(side("a"), side("b"), 2 * radius, ("x_a", "y_a", "z_a"), ("x_b", "y_b", "z_b"), ["trajectory"]).filter("frame_a < frame_b")
-
-    def counts(c: Column) -> Column:
-        fits = c["t_a"].between(0, radius) & c["t_b"].between(0, radius) & (c["gap"] <= most_gap)
-        if mask:
-            size = lambda s: disc_radius(F.col(f"area_{s}"), F.col(f"ray_of_{s}")["direction"], c[f"t_{s}"], *map(F.lit, PANORAMA))
-            fits = fits & (F.abs(size("a") - size("b")) <= RADIUS_GAP)
-        if height:
-            lower = F.least("z_a", "z_b")
-            fits = fits & (c["point"]["z"] > lower - BELOW[1]) & (c["point"]["z"] < lower - BELOW[0])
-        return F.when(fits, c)
-
-    met = near.withColumn("c", let(closest(F.col("ray_of_a"), F.col("ray_of_b")), counts)).filter("c IS NOT NULL").select("trajectory", "ray_a", "ray_b", "frame_a", "frame_b", "c.*")
+    # The closest approach in narrow steps, each with its filter: nothing is worked out for pairs that an earlier one drops.
+    v = {s: F.expr("(x_b - x_a) * dx_{0} + (y_b - y_a) * dy_{0} + (z_b - z_a) * dz_{0}".format(s)) for s in "ab"}
+    turned = near.withColumns({"turn": F.expr("dx_a * dx_b + dy_a * dy_b + dz_a * dz_b"), "v_a": v["a"], "v_b": v["b"]}).withColumn("spread", 1 - F.col("turn") * F.col("turn"))
+    met = turned.filter(F.abs("spread") >= 1e-6).withColumns({"t_a": F.expr("(v_a - v_b * turn) / spread"), "t_b": F.expr("(v_a * turn - v_b) / spread")})
+    met = met.filter(F.col("t_a").between(0, radius) & F.col("t_b").between(0, radius)).drop("turn", "v_a", "v_b", "spread", "distance")
+    met = stored(met, "ways")  # else the ways are written out wherever they are used, in a method too long to be compiled
+    met = met.withColumn("gap", F.expr("sqrt({})".format(" + ".join("({0} * {0})".format(f"({p}_a + t_a * d{p}_a - {p}_b - t_b * d{p}_b)") for p in "xyz")))).filter(F.col("gap") <= most_gap)
+    middle = {p: F.expr(f"({p}_a + t_a * d{p}_a + {p}_b + t_b * d{p}_b) / 2") for p in "xyz"}
+    if height:
+        lower = F.least("z_a", "z_b")
+        met = met.filter((middle["z"] > lower - BELOW[1]) & (middle["z"] < lower - BELOW[0]))
+    if mask:
+        size = lambda s: disc_radius(F.col(f"area_{s}"), vector(*[F.col(f"d{p}_{s}") for p in "xyz"]), F.col(f"t_{s}"), *map(F.lit, PANORAMA))
+        met = met.filter(F.abs(size("a") - size("b")) <= RADIUS_GAP)
+    met = met.select("trajectory", "ray_a", "ray_b", "frame_a", "frame_b", "t_a", "t_b", "gap", vector(*middle.values()).alias("point"))
     best = met.withColumn("length", F.col("t_a") + F.col("t_b")).groupBy("trajectory", "ray_b", "frame_a", "frame_b").agg(F.min(F.struct("gap", "ray_a", "point", "length")).alias("m"))
     return best.select("trajectory", F.col("m.ray_a").alias("ray_a"), "ray_b", "frame_a", "frame_b", F.col("m.point").alias("point"), F.col("m.gap").alias("gap"), F.col("m.length").alias("length"))
 
@@ -145,31 +149,52 @@ def travel_order(frames: DataFrame, by: Sequence[str], radius: float = 10.0) ->
     ``frames``: ``frame_id, time, x, y, z``, more rows of a frame allowed.  The
     frames are taken by time; each one that is still free collects the free
     ones within ``radius``, in order of their place along the way from the
-    last such frame.  A group is a stretch of a trajectory that fits a task:
-    ``by`` should hold a segment number for long ones.
-    """
-    first = frames.groupBy(*by, "frame_id").agg(F.min(F.struct("time", "x", "y", "z")).alias("p")).select(*by, "frame_id", "p.*")
+    last such frame; the first one of a group collects none.
 
-    def order(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["time", "frame_id"], kind="stable", ignore_index=True)
-        place, free, out, last = rows[["x", "y", "z"]].to_numpy(float), np.ones(len(rows), bool), [], None
-        for i in range(len(rows)):
-            if not free[i]:
+    Who collects whom is settled apart in each stretch of a group: groups are
+    cut where no frame is within ``radius`` along x, and then along y, so a
+    stretch is a task's, a group isn't.  Frames of a null group are left out.
+    """
+    first = frames.groupBy(*by, "frame_id").agg(F.min(F.struct("time", "x", "y", "z")).alias("p")).select(*by, "frame_id", "p.*").dropna(subset=list(by))
+    parts = list(by)
+    for c in ("x", "y"):
+        order = Window.partitionBy(*parts).orderBy(c)
+        apart = F.when(F.col(c) - F.lag(c).over(order) > radius, 1).otherwise(0)
+        first = first.withColumn("cut", apart).withColumn(f"part_{c}", F.sum("cut").over(order)).drop("cut")
+        parts.append(f"part_{c}")
+    earliest = F.min(F.struct("time", "frame_id")).over(Window.partitionBy(*by))
+    rows = first.withColumn("alone", F.struct("time", "frame_id") == earliest).select(*parts, "frame_id", "time", "x", "y", "z", "alone")
+
+    def collect(some: pd.DataFrame) -> pd.DataFrame:
+        some = some.sort_values(["time", "frame_id"], kind="stable", ignore_index=True)
+        place, alone = some[["x", "y", "z"]].to_numpy(float), some["alone"].to_numpy()
+        cell = np.floor(place / radius).astype(np.int64)
+        held: dict[tuple[int, ...], list[int]] = {}
+        for i, c in enumerate(map(tuple, cell.tolist())):
+            held.setdefault(c, []).append(i)
+        seed = np.full(len(some), -1)
+        for i, (x, y, z) in enumerate(cell.tolist()):
+            if seed[i] >= 0:
+                continue
+            seed[i] = i
+            if alone[i]:
                 continue
-            near = np.array([i])
-            if last is not None:
-                way = place[i] - place[last]
-                length = np.linalg.norm(way)
-                way = way / length if length >= 1e-6 else np.array([1.0, 0.0, 0.0])
-                near = np.flatnonzero(free & (np.linalg.norm(place - place[i], axis=1) <= radius))
-                near = near[np.argsort(place[near] @ way, kind="stable")]
-            free[near] = False
-            out.extend(near.tolist())
-            last = i
-        return rows.iloc[out].assign(sort_index=range(len(out)))[[*by, "frame_id", "sort_index"]]
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in first.select(*by, "frame_id").dtypes) + ", sort_index bigint"
-    return first.groupBy(*by).applyInPandas(order, schema)
+            around = np.array([j for a in (x - 1, x, x + 1) for b in (y - 1, y, y + 1) for c in (z - 1, z, z + 1) for j in held.get((a, b, c), ())])
+            around = around[seed[around] < 0]
+            seed[around[np.linalg.norm(place[around] - place[i], axis=1) <= radius]] = i
+        told = some[[*by, "frame_id", "time", "x", "y", "z"]].copy()
+        return told.assign(seed_time=some["time"].to_numpy()[seed], seed_id=some["frame_id"].to_numpy()[seed])
+
+    types = dict(rows.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in (*by, "frame_id", "time", "x", "y", "z")) + f", seed_time {types['time']}, seed_id {types['frame_id']}"
+    taken = stored(rows.groupBy(*parts).applyInPandas(collect, schema), "collected")
+    seeds = taken.filter(F.col("frame_id") == F.col("seed_id")).select(*by, "seed_id", "seed_time", "x", "y", "z")
+    last = Window.partitionBy(*by).orderBy("seed_time", "seed_id")
+    seeds = seeds.withColumns({f"w{c}": F.col(c) - F.lag(c).over(last) for c in "xyz"}).withColumn("length", F.expr("sqrt(wx * wx + wy * wy + wz * wz)"))
+    seeds = seeds.select(*by, "seed_id", *[F.when(F.col("length") >= 1e-6, F.col(f"w{c}") / F.col("length")).otherwise(F.lit(1.0 if c == "x" else 0.0)).alias(f"w{c}") for c in "xyz"])
+    along = taken.join(seeds, [*by, "seed_id"]).withColumn("along", F.expr("x * wx + y * wy + z * wz"))
+    order = Window.partitionBy(*by).orderBy("seed_time", "seed_id", "along", "time", "frame_id")
+    return along.select(*by, "frame_id", (F.row_number().over(order) - 1).cast("long").alias("sort_index"))
 
 
 def interpolated(cells: DataFrame, points: DataFrame, reach: float, power: float = 2.0) -> DataFrame:
@@ -178,3 +203,13 @@ def interpolated(cells: DataFrame, points: DataFrame, reach: float, power: float
     weight = 1 / F.pow(F.nullif(F.col("distance"), F.lit(0.0)), power)
     here = F.avg(F.when(F.col("distance") == 0, F.col("p_value")))
     return near.groupBy("cell_id").agg(F.coalesce(here, F.sum(weight * F.col("p_value")) / F.sum(weight)).alias("value"), F.count("*").alias("n"))
+
+
+def triangulate_frames(frames: DataFrame, ray_builder: Callable[[DataFrame], DataFrame], **options) -> DataFrame:
+    """Places of objects from frames of any camera: ``ray_builder`` turns all frames into rays at once."""
+    return triangulate(frames.transform(ray_builder), **options)
+
+
+def leftover(found: DataFrame, kept: DataFrame) -> DataFrame:
+    """Crossings that no kept cluster holds: the false ones."""
+    return found.join(kept.select("crossing_id"), "crossing_id", "left_anti")

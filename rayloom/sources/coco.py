@@ -122,3 +122,22 @@ def from_centre(bbox: str = "bbox"):
     """``[cx, cy, w, h]``, as detectors give it, as COCO's corner form."""
     c = F.col(bbox)
     return F.array(c[0] - c[2] / 2, c[1] - c[3] / 2, c[2], c[3])
+
+
+def number_of_classes(spark: SparkSession, path: str | Sequence[str]) -> int:
+    """How many categories a document names; an error for none."""
+    n = read_categories(spark, path).count()
+    if not n:
+        raise ValueError(f"no categories in {path}")
+    return n
+
+
+def read_clipped_labels(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
+    """Labels of several documents, each tagged with its dataset: ``dataset`` and the columns of :func:`labels`."""
+    found: DataFrame | None = None
+    for dataset, path in paths.items():
+        some = labels(read_images(spark, path), read_annotations(spark, path)).withColumn("dataset", F.lit(dataset))
+        found = some if found is None else found.unionByName(some)
+    if found is None:
+        raise ValueError("no documents")
+    return found
