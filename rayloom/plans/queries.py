@@ -323,7 +323,7 @@ def heat_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return control.heat_map(told, -50.0, -50.0)
 
 
-DISCS = f"""WITH {R.CUSTOMERS_SQL}, found AS (SELECT id AS det_id, x + (id % 7) * 0.07 AS x, y + (id % 5) * 0.06 AS y FROM points WHERE id % 4 > 0), inv AS (SELECT id AS label_id, x, y FROM points WHERE id % 5 > 0),
+DISCS = f"""WITH {R.CUSTOMERS_SQL}, found AS (SELECT id AS det_id, x + (id % 7) * 0.07 + CASE WHEN id % 4 = 0 THEN 5 ELSE 0 END AS x, y + (id % 5) * 0.06 AS y FROM points), inv AS (SELECT id AS label_id, x, CASE WHEN id % 5 = 0 THEN y - 5 ELSE y END AS y FROM points),
 d AS (SELECT det_id, label_id, sqrt(pow(f.x - i.x, 2) + pow(f.y - i.y, 2)) AS dist FROM found f, inv i WHERE abs(f.x - i.x) <= 0.7 AND abs(f.y - i.y) <= 0.7 AND pow(f.x - i.x, 2) + pow(f.y - i.y, 2) <= 0.49),
 o AS (SELECT *, 2 * 0.1225 * (acos(dist / 0.7) - dist / 0.7 * sqrt(1 - pow(dist / 0.7, 2))) AS lens FROM d), u AS (SELECT det_id, label_id, lens / (2 * pi() * 0.1225 - lens) AS iou FROM o),
 b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY det_id ORDER BY iou DESC, label_id) = 1), hits AS (SELECT * FROM b WHERE iou >= 0.25 QUALIFY row_number() OVER (PARTITION BY label_id ORDER BY iou DESC, det_id) = 1),
@@ -332,8 +332,8 @@ tags AS (SELECT CASE WHEN h.label_id IS NULL THEN 'FP' ELSE 'TP' END AS tag, det
 
 def _discs(spark: SparkSession, sf_dir: str) -> DataFrame:
     points, k = R.customers(spark, sf_dir), F.col("id")
-    found = points.filter(k % 4 > 0).select(k.alias("det_id"), (F.col("x") + (k % 7) * 0.07).alias("x"), (F.col("y") + (k % 5) * 0.06).alias("y"))
-    return control.tagged_points(found, points.filter(k % 5 > 0).select(k.alias("label_id"), "x", "y"))
+    found = points.select(k.alias("det_id"), (F.col("x") + (k % 7) * 0.07 + F.when(k % 4 == 0, 5).otherwise(0)).alias("x"), (F.col("y") + (k % 5) * 0.06).alias("y"))
+    return control.tagged_points(found, points.select(k.alias("label_id"), "x", F.when(k % 5 == 0, F.col("y") - 5).otherwise(F.col("y")).alias("y")))
 
 
 @query(DISCS + " SELECT tag, coalesce(det_id, -1) AS det_id, coalesce(label_id, -1) AS label_id, CASE tag WHEN 'TP' THEN 'confirmed' WHEN 'FP' THEN 'new detection' ELSE 'missing' END AS said FROM tags")
@@ -536,9 +536,9 @@ def id_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT s_suppkey AS a, (s_suppkey * 7 + 3) % 200 AS b FROM supplier WHERE s_suppkey % 3 > 0), w AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    """WITH RECURSIVE e AS (SELECT s_suppkey AS a, CASE WHEN s_suppkey % 7 = 0 THEN s_suppkey - s_suppkey % 49 ELSE s_suppkey - s_suppkey % 7 END AS b FROM supplier), w AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(a, b) AS (SELECT a, b FROM w UNION SELECT r.a, w.b FROM r JOIN w ON r.b = w.a) SELECT a AS node, least(min(b), a) AS component FROM r GROUP BY a"""
 )
 def linked_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
-    return graph.connected_components(R.table(spark, sf_dir, "supplier").filter(k % 3 > 0).select(k.alias("a"), ((k * 7 + 3) % 200).alias("b")))
+    return graph.connected_components(R.table(spark, sf_dir, "supplier").select(k.alias("a"), F.when(k % 7 == 0, k - k % 49).otherwise(k - k % 7).alias("b")))
