@@ -103,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.ORACLE_SQL,
+    "op2_warc": warc.ORACLE_SQL,
     "op6_secret_scan": secrets.ORACLE_SQL,
     "op7_decontamination": decontam.ORACLE_SQL,
     "op8_quality_rules": quality.ORACLE_SQL,

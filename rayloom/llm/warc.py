@@ -203,3 +203,20 @@ def read_back(index: DataFrame) -> DataFrame:
     whose = full.select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("digest"), "payload_bytes", "payload_digest").distinct()
     revisits = found.filter("record_type = 'revisit'").join(whose, ["refers_to", "digest"], "left")
     return full.unionByName(revisits.select(*full.columns))
+
+
+#: DuckDB SQL for the contract's columns; base32 is taken from the digest's bits.
+ORACLE_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages
+), bits AS (
+  SELECT sha, array_to_string(list_transform(string_split(sha, ''), lambda c: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][strpos('0123456789abcdef', c)]), '') AS b
+  FROM (SELECT DISTINCT sha FROM p)
+), named AS (
+  SELECT sha, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + list_sum(list_transform(range(5), lambda j: (substr(b, (5 * i + j + 1)::BIGINT, 1) = '1')::INT * [16, 8, 4, 2, 1][j + 1])))::BIGINT, 1)), '') AS payload_digest FROM bits
+), firsts AS (
+  SELECT sha, min(page_id) AS first_id FROM p GROUP BY sha
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM p JOIN named USING (sha) JOIN firsts USING (sha)
+"""
