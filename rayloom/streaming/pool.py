@@ -9,7 +9,9 @@ what is active, not by what was ever seen.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
+from statistics import median
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -56,3 +58,93 @@ def candidate_pool(sightings: DataFrame, reach: float = 1.0, limit: int = 5) ->
             yield pd.DataFrame([(key[0], *c[:3], int(c[3]), int(c[4]), int(c[5])) for c in gone], columns=["trajectory", "x", "y", "elevation", "sightings", "first_seen", "last_seen"])
 
     return sightings.groupBy("trajectory").applyInPandasWithState(update, RESULT, "pool string", "append", GroupStateTimeout.NoTimeout)
+
+
+PLACES = "trajectory bigint, x double, y double, elevation double, intersections bigint, mean_intersection_length double, mean_intersection_dist double, last_seen bigint, missing bigint"
+
+
+def centre(held: dict[str, list[float]]) -> list[float]:
+    """The component-wise median of crossings (``x, y, z, length, gap`` by name)."""
+    return [median(c[i] for c in held.values()) for i in range(3)]
+
+
+def follow_crossings(pool: list[dict], clusters: list[dict[str, list[float]]], frame: int, reach: float, limit: int) -> tuple[list[dict], list[dict]]:
+    """The pool after the clusters of a frame, and what left it.
+
+    An entry has its crossings (``held``), the ``last`` frame that changed it
+    and how many frames it has been ``missing`` since.  A cluster goes to the
+    oldest entry that has exactly its crossings, which tells nothing new, or
+    whose centre is within ``reach``, which takes in its crossings; else it
+    is an entry of its own.
+    """
+    fresh = set()
+    for held in clusters:
+        at, found = centre(held), None
+        for i, entry in enumerate(pool):
+            if entry["held"].keys() == held.keys():
+                found = i
+                break
+            if math.dist(entry["centre"], at) < reach:
+                both = entry["held"] | held
+                pool[i], found = {"held": both, "centre": centre(both), "last": frame, "missing": 0}, i
+                fresh.add(i)
+                break
+        if found is None:
+            fresh.add(len(pool))
+            pool.append({"held": dict(held), "centre": at, "last": frame, "missing": 0})
+    for i, entry in enumerate(pool):
+        if i not in fresh:
+            entry["missing"] += 1
+    return [e for e in pool if e["missing"] <= limit], [e for e in pool if e["missing"] > limit]
+
+
+def _place(trajectory: int, entry: dict) -> tuple:
+    lengths, gaps = ([c[i] for c in entry["held"].values()] for i in (3, 4))
+    return (trajectory, *entry["centre"], len(lengths), sum(lengths) / len(lengths), sum(gaps) / len(gaps), entry["last"], entry["missing"])
+
+
+def _frames(rows: pd.DataFrame) -> Iterator[tuple[int, list[dict[str, list[float]]]]]:
+    """Frames in order with their clusters; a row without a cluster stands for a frame that has none."""
+    for frame, some in rows.sort_values(["frame", "cluster", "crossing"]).groupby("frame"):
+        known = some.dropna(subset=["cluster"])
+        yield int(frame), [{r.crossing: [r.x, r.y, r.z, r.length, r.gap] for r in c.itertuples()} for _, c in known.groupby("cluster")]
+
+
+def crossing_pool(clustered: DataFrame, reach: float = 1.0, limit: int = 5) -> DataFrame:
+    """Candidates that have left the pool, of a stream of ``trajectory, frame, cluster, crossing, x, y, z, length, gap``.
+
+    Frames of a trajectory must come in order, rows of a frame in one batch; a
+    frame without crossings comes as one row of nulls.  State holds the
+    crossings of active candidates only.
+    """
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pool, gone = (json.loads(state.get[0]) if state.exists else []), []
+        for frame, clusters in _frames(pd.concat(list(batches))):
+            pool, left = follow_crossings(pool, clusters, frame, reach, limit)
+            gone += left
+        state.update((json.dumps(pool),))
+        if gone:
+            yield pd.DataFrame([_place(key[0], e) for e in gone], columns=_NAMES)
+
+    return clustered.groupBy("trajectory").applyInPandasWithState(update, PLACES, "pool string", "append", GroupStateTimeout.NoTimeout)
+
+
+def pooled(clustered: DataFrame, reach: float = 1.0, limit: int = 5) -> DataFrame:
+    """The same of a table: all candidates, those that are still active at the end included.
+
+    A trajectory is followed in one task, frame by frame; near candidates of
+    all trajectories are for ``clusters`` to merge.
+    """
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        pool, gone = [], []
+        for frame, clusters in _frames(rows):
+            pool, left = follow_crossings(pool, clusters, frame, reach, limit)
+            gone += left
+        return pd.DataFrame([_place(int(rows["trajectory"].iloc[0]), e) for e in gone + pool], columns=_NAMES)
+
+    return clustered.groupBy("trajectory").applyInPandas(fold, PLACES)
+
+
+_NAMES = ["trajectory", "x", "y", "elevation", "intersections", "mean_intersection_length", "mean_intersection_dist", "last_seen", "missing"]
