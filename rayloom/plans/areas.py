@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rayloom.functions import camera, geometry, names, outlines
-from rayloom.operators import control, projection, spatial, tiling
+from rayloom.operators import control, evaluation, projection, spatial, tiling
 from rayloom.plans import relations as R
 from rayloom.plans.queries import DIRECTIONS, MATCHED, REVIEW, _directions, _reviewed, query, rounded, tags
 
@@ -205,3 +205,85 @@ def fitted_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     told = R.table(spark, sf_dir, "part").select("p_partkey", geometry.plane_of(ring).alias("p")).select("p_partkey", "p.*")
     return told.withColumns({c: F.round(c, 6) + 0.0 for c in ("a", "b", "c")})
+
+
+@query(MATCHED + """ SELECT tag, image_id, coalesce(det_id, -1) AS det_id, coalesce(label_id, -1) AS label_id, CASE label_class WHEN 1 THEN 'cover' WHEN 2 THEN 'grate' WHEN 3 THEN 'drain' END AS category, CASE det_class WHEN 0 THEN 'cover' WHEN 1 THEN 'grate' WHEN 2 THEN 'drain' END AS det_category FROM tags""")
+def category_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the classes of labels and detections, by lookup."""
+    categories = spark.createDataFrame([(1, "cover"), (2, "grate"), (3, "drain")], "id int, name string")
+    return evaluation.with_categories(tags(spark, sf_dir), categories).select("tag", "image_id", "det_id", "label_id", "category", "det_category").fillna(-1)
+
+
+@query("SELECT p_partkey, 5.0 + p_size / 4.0 AS low_x, 5.0 + 3 * p_size / 4.0 AS high_x, 7.0 + p_size / 4.0 AS low_y, 7.0 + 3 * p_size / 4.0 AS high_y FROM part")
+def scaled_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squares halved about the middle of their vertices."""
+    s, zero = F.col("p_size").cast("double"), F.lit(0.0)
+    corners = ((zero, zero), (s, zero), (s, s), (zero, s))
+    ring = geometry.scaled(F.array(*[v for x, y in corners for v in (x + 5, y + 7)]), 0.5)
+    box = R.table(spark, sf_dir, "part").select("p_partkey", geometry.ring_box(ring).alias("b"))
+    return box.select("p_partkey", F.col("b.x").alias("low_x"), (F.col("b.x") + F.col("b.w")).alias("high_x"), F.col("b.y").alias("low_y"), (F.col("b.y") + F.col("b.h")).alias("high_y"))
+
+
+@query(
+    """WITH v AS (SELECT s_suppkey AS k, unnest(range(1, 9)) AS i FROM supplier), n AS (SELECT k, i, CASE WHEN (k + i * i) % 3 = 0 THEN 0.0::DOUBLE ELSE (k % 11 + i)::DOUBLE END AS z FROM v),
+f AS (SELECT a.k, a.i, a.z, (SELECT arg_min(b.z, (abs(b.i - a.i), b.i)) FROM n b WHERE b.k = a.k AND b.z <> 0) AS near FROM n a)
+SELECT k AS s_suppkey, i, CASE WHEN z = 0 THEN coalesce(near, z) ELSE z END AS z FROM f"""
+)
+def nearest_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heights of 0 take that of the nearest vertex that has one."""
+    k = F.col("s_suppkey")
+    values = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.when((k + i * i) % 3 == 0, 0.0).otherwise((k % 11 + i).cast("double")))
+    told = R.table(spark, sf_dir, "supplier").select("s_suppkey", F.posexplode(geometry.nearest_nonzero(values)).alias("i", "z"))
+    return told.select("s_suppkey", (F.col("i") + 1).cast("long").alias("i"), "z")
+
+
+@query(
+    """WITH v AS (SELECT o_orderkey % 400 AS grp, l_quantity AS q FROM lineitem JOIN orders ON o_orderkey = l_orderkey), m AS (SELECT grp, avg(q) AS mean, stddev_pop(q) AS spread FROM v GROUP BY 1),
+k AS (SELECT grp, count(*) AS n_all, count(*) FILTER (WHERE abs(q - mean) <= 1.5 * spread) AS n FROM v JOIN m USING (grp) GROUP BY 1) SELECT grp, CASE WHEN n >= 3 THEN n ELSE n_all END AS n FROM k"""
+)
+def values_without_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = R.table(spark, sf_dir, "lineitem").join(R.table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    held = rows.groupBy((F.col("o_orderkey") % 400).alias("grp")).agg(F.collect_list(F.col("l_quantity").cast("double")).alias("v"))
+    return held.select("grp", F.size(geometry.without_outliers(F.col("v"), 1.5)).cast("long").alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity >= 20 AND l_discount * 300 <= 15 AND l_tax * 4 <= 0.2")
+def good_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = R.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("intersections"), (F.col("l_discount") * 300).alias("mean_intersection_length"), (F.col("l_tax") * 4).alias("mean_intersection_dist"))
+    return control.good_candidates(rows, least_intersections=20).select("l_orderkey", "l_linenumber")
+
+
+@query(f"WITH {ANGLES_SQL} SELECT event_id, round(10 + 2 * sin(f), 6) + 0 AS x, round(20 - 2 * sin(o) * cos(f), 6) + 0 AS y, round(30 + 2 * cos(o) * cos(f), 6) + 0 AS z FROM a")
+def sensor_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a sensor two metres along a frame's third axis stands."""
+    frame = F.struct(F.lit(10.0).alias("x"), F.lit(20.0).alias("y"), F.lit(30.0).alias("z"), F.col("o").alias("omega"), F.col("f").alias("phi"), F.col("k").alias("kappa"))
+    at = camera.sensor_origin(frame, camera.vector(F.lit(0.0), F.lit(0.0), F.lit(2.0)))
+    return _angles(spark, sf_dir).select("event_id", at.alias("p")).select("event_id", *[(F.round(F.col(f"p.{c}"), 6) + 0.0).alias(c) for c in "xyz"])
+
+
+@query("SELECT event_id, 100.0 + event_id % 7800 AS u, 500.0 + event_id % 3000 AS v, true AS is_unit FROM events")
+def spherical_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels to rays, and a point on the ray back to its pixel."""
+    e = F.col("event_id")
+    pose = F.struct(*[x.cast("double").alias(n) for x, n in ((e % 100, "x"), (e % 50, "y"), (e % 7, "z"), (e % 360, "yaw"), (e % 20 - 10, "pitch"), (e % 14 - 7, "roll"))])
+    w, h = F.lit(8000.0), F.lit(4000.0)
+    rows = R.table(spark, sf_dir, "events").select("event_id", pose.alias("pose"), (100.0 + e % 7800).alias("u0"), (500.0 + e % 3000).alias("v0"))
+    rays = rows.withColumn("r", camera.spherical_ray(F.col("u0"), F.col("v0"), F.col("pose"), w, h))
+    there = camera.vector(*[F.col(f"r.origin.{c}") + 7 * F.col(f"r.direction.{c}") for c in "xyz"])
+    seen = rays.withColumn("p", there).withColumn("px", camera.spherical_projection(camera.to_camera(F.col("p"), F.col("pose")), w, h))
+    is_unit = F.abs(camera.norm(F.col("r.direction")) - 1) < 1e-9
+    return seen.select("event_id", F.round("px.u", 5).alias("u"), F.round("px.v", 5).alias("v"), is_unit.alias("is_unit"))
+
+
+@query("SELECT event_id, 10.0 + event_id % 2000 AS u, 20.0 + event_id % 1900 AS v FROM events")
+def cube_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of a cube's faces to rays, and a point on the ray back to its pixel."""
+    e = F.col("event_id")
+    frame = F.struct(*[x.cast("double").alias(n) for x, n in ((e % 90, "x"), (e % 70, "y"), (e % 9, "z"), (e % 300 / 50, "omega"), (e % 150 / 50, "phi"), (e % 310 / 50, "kappa"))])
+    offset, step, size = camera.vector(F.lit(0.1), F.lit(-0.2), F.lit(0.05)), F.lit(0.001), F.lit(2048.0)
+    rows = R.table(spark, sf_dir, "events").select("event_id", frame.alias("f"), (e % 6).cast("int").alias("face"), (10.0 + e % 2000).alias("u0"), (20.0 + e % 1900).alias("v0"))
+    rays = rows.withColumn("r", camera.cube_ray(F.col("u0"), F.col("v0"), F.col("f"), F.col("face"), offset, step, size))
+    there = rays.withColumn("p", camera.vector(*[F.col(f"r.origin.{c}") + 5 * F.col(f"r.direction.{c}") for c in "xyz"]))
+    model = there.withColumn("m", camera.frame_to_model(camera.world_to_frame(F.col("p"), F.col("f")), offset, F.col("face")))
+    px = model.withColumn("px", camera.image_to_pixel(camera.model_to_image(F.col("m"), F.lit(1.024)), step, size, size))
+    return px.select("event_id", F.round("px.u", 5).alias("u"), F.round("px.v", 5).alias("v"))
