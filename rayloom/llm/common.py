@@ -17,11 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """At most so many rows in an Arrow batch of this session: texts are long, and a worker holds some copies of a batch."""
+def modest_batches(spark: SparkSession, rows: int = 1000, size: int = 64 << 20) -> None:
+    """At most so many rows, and about so many bytes, in an Arrow batch of this session: texts are long, and a worker holds some copies of a batch."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, str(rows))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) <= size:
+        spark.conf.set(name, str(size))
 
 
 def key_of(column: Column) -> Column:
