@@ -350,10 +350,17 @@ def inventory_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(control.control_metrics(_discs(spark, sf_dir)), "precision", "recall", "f1")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {R.CUSTOMERS_SQL}, {R.SUPPLIERS_SQL}, near AS (SELECT id, sid, sqrt(pow(x - sx, 2) + pow(y - sy, 2)) AS d FROM points, sites WHERE abs(x - sx) <= 300 AND abs(y - sy) <= 300),
+ranked AS MATERIALIZED (SELECT id, sid, d, row_number() OVER (ORDER BY d, id, sid) AS n FROM near WHERE d < 300),
+taken(n, lefts, rights) AS (SELECT n, [id], [sid] FROM ranked WHERE n = 1 UNION ALL
+  SELECT r.n, list_append(lefts, r.id), list_append(rights, r.sid)
+  FROM (SELECT lefts, rights, min(r.n) AS m FROM taken t JOIN ranked r ON r.n > t.n AND NOT list_contains(lefts, r.id) AND NOT list_contains(rights, r.sid) GROUP BY ALL) f JOIN ranked r ON r.n = f.m)
+SELECT id, sid, round(d, 6) AS distance FROM taken JOIN ranked USING (n)"""
+)
 def greedy_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = R.customers(spark, sf_dir).select("id", "x", "y")
-    return matching.greedy_pairs(left, R.suppliers(spark, sf_dir), 300.0, ("x", "y"), ("sx", "sy"), "id", "sid")
+    return rounded(matching.greedy_pairs(left, R.suppliers(spark, sf_dir), 300.0, ("x", "y"), ("sx", "sy"), "id", "sid"), "distance")
 
 
 @query(
