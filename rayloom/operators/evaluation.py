@@ -94,7 +94,7 @@ def with_categories(tags: DataFrame, categories: DataFrame) -> DataFrame:
     """Tagged rows with ``category`` of the label and ``det_category`` of the detection (``categories``: ``id, name``, ids from 1)."""
     of_labels = categories.select(F.col("id").cast("int").alias("label_class"), F.col("name").alias("category"))
     of_dets = categories.select((F.col("id") - 1).cast("int").alias("det_class"), F.col("name").alias("det_category"))
-    return tags.join(F.broadcast(of_labels), "label_class", "left").join(F.broadcast(of_dets), "det_class", "left")  # a row per class
+    return tags.join(of_labels, "label_class", "left").join(of_dets, "det_class", "left")
 
 
 def report(tags: DataFrame, categories: DataFrame, method: str = "macro-average", by: Sequence[str] = ("dataset",)) -> dict[str, DataFrame]:
@@ -107,7 +107,7 @@ def report(tags: DataFrame, categories: DataFrame, method: str = "macro-average"
     classes = by_class(tags, [int(r.id) - 1 for r in known], by)
     return {
         "tagged": named,
-        "by_class": classes.join(F.broadcast(categories.select((F.col("id") - 1).cast("int").alias("class"), F.col("name").alias("category"))), "class").orderBy(*by, "class"),
+        "by_class": classes.join(categories.select((F.col("id") - 1).cast("int").alias("class"), F.col("name").alias("category")), "class").orderBy(*by, "class"),
         "global": summary(classes, method, by),
         "confusion": confusion(named, "category", "det_category", sorted(r.name for r in known), by),
     }

@@ -163,7 +163,7 @@ def offset_ids(df: DataFrame, group: str, id_col: str) -> DataFrame:
     """Ids made unique over groups, each group's shifted by what those before it, in order, need."""
     tops = df.groupBy(group).agg((F.max(id_col) + 1).alias("_room"))
     shift = tops.withColumn("_shift", F.coalesce(F.sum("_room").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per group
-    return df.join(F.broadcast(shift.select(group, "_shift")), group).withColumn(id_col, F.col(id_col) + F.col("_shift")).drop("_shift")
+    return df.join(shift.select(group, "_shift"), group).withColumn(id_col, F.col(id_col) + F.col("_shift")).drop("_shift")
 
 
 def every_nth(df: DataFrame, order: Sequence[str], step: int, by: Sequence[str]) -> DataFrame:

@@ -281,9 +281,16 @@ def polygon_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.table(spark, sf_dir, "part").select("p_partkey", F.round(geometry.ring_iou(a, b), 6).alias("iou"))
 
 
-@query()
+@query(
+    f"""WITH {R.IMAGES_SQL}, {R.ANNOTATIONS_SQL}, r AS (SELECT file_name, width, height, unnest([x, y, x + w, y, x + w, y + h, x, y + h]) AS v, unnest(range(1, 9)) AS nth FROM anns JOIN images USING (image_id))
+SELECT file_name, 0 AS class, nth, round(v / CASE WHEN nth % 2 = 1 THEN width ELSE height END, 6) AS share FROM r"""
+)
 def yolo_label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coco.yolo_lines(R.annotations(spark, sf_dir).withColumn("category_id", F.lit(1)), R.images(spark, sf_dir))
+    """Label lines, read back number by number."""
+    lines = coco.yolo_lines(R.annotations(spark, sf_dir).withColumn("category_id", F.lit(1)), R.images(spark, sf_dir))
+    told = lines.select("file_name", F.split("line", " ").alias("t"))
+    numbers = told.select("file_name", F.get("t", F.lit(0)).cast("int").alias("class"), F.posexplode(F.slice("t", F.lit(2), F.size("t"))).alias("nth", "share"))
+    return numbers.select("file_name", "class", (F.col("nth") + 1).cast("long").alias("nth"), F.col("share").cast("double").alias("share"))
 
 
 # Spatial joins
