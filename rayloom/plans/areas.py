@@ -182,7 +182,7 @@ def pixel_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("event_id", *[(F.round(F.col(f"b.{c}"), 6) + 0.0).alias(c) for c in "xyz"])
 
 
-@query("SELECT p_partkey, 10.0 + p_partkey % 90 AS x, 20.0 + p_partkey % 70 AS y, 3.0 + p_size + p_partkey % 5 AS a, 3.0 + p_size AS b, true AS close FROM part")
+@query("SELECT p_partkey, (10 + p_partkey % 90)::DOUBLE AS x, (20 + p_partkey % 70)::DOUBLE AS y, (3 + p_size + p_partkey % 5)::DOUBLE AS a, (3 + p_size)::DOUBLE AS b, true AS close FROM part")
 def fitted_ellipses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ellipses found again from points on them; ``a`` is the longer half axis."""
     k, s = F.col("p_partkey").cast("double"), F.col("p_size")
@@ -261,7 +261,7 @@ def sensor_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _angles(spark, sf_dir).select("event_id", at.alias("p")).select("event_id", *[(F.round(F.col(f"p.{c}"), 6) + 0.0).alias(c) for c in "xyz"])
 
 
-@query("SELECT event_id, 100.0 + event_id % 7800 AS u, 500.0 + event_id % 3000 AS v, true AS is_unit FROM events")
+@query("SELECT event_id, (100 + event_id % 7800)::DOUBLE AS u, (500 + event_id % 3000)::DOUBLE AS v, true AS is_unit FROM events")
 def spherical_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels to rays, and a point on the ray back to its pixel."""
     e = F.col("event_id")
@@ -275,7 +275,7 @@ def spherical_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("event_id", F.round("px.u", 5).alias("u"), F.round("px.v", 5).alias("v"), is_unit.alias("is_unit"))
 
 
-@query("SELECT event_id, 10.0 + event_id % 2000 AS u, 20.0 + event_id % 1900 AS v FROM events")
+@query("SELECT event_id, (10 + event_id % 2000)::DOUBLE AS u, (20 + event_id % 1900)::DOUBLE AS v FROM events")
 def cube_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels of a cube's faces to rays, and a point on the ray back to its pixel."""
     e = F.col("event_id")
