@@ -142,7 +142,7 @@ def _turns(record: Column, layout: Layout) -> Column:
 
 
 def from_records(records: DataFrame, raw_col: str) -> DataFrame:
-    """``records`` with ``fingerprint``, ``layout`` and ``turns``.
+    """``records`` with ``fingerprint``, ``layout`` and ``turns``; columns of these names are replaced.
 
     A record that is null, no JSON object or of an unknown layout keeps its
     row, with null turns.  Records are not shuffled: the few distinct

@@ -39,5 +39,19 @@ def test_layouts_by_fingerprint(spark):
     assert len({got[i].fingerprint for i in range(7)}) == 7
 
 
+def test_columns_of_the_operator_are_replaced_and_others_stay(spark):
+    raw = json.dumps({"prompt": "q", "completion": "a"})
+    df = spark.createDataFrame([(raw, 1, "x"), (raw, 1, "x"), (None, 2, None)], "raw string, layout int, own string")
+    got = chat.from_records(df, "raw").collect()
+    assert sorted((r.own or "", r.layout or "") for r in got) == [("", ""), ("x", "prompt-completion"), ("x", "prompt-completion")]
+
+
+def test_an_unknown_table_is_reported(spark):
+    import pytest
+
+    with pytest.raises(ValueError, match="no mapping"):
+        chat.from_turn_rows(spark.createDataFrame([(1, "x")], "conv_id long, said string"))
+
+
 def test_empty(spark):
     assert chat.format_chats(chat.from_turn_rows(conversations(spark, []))).count() == 0
