@@ -248,12 +248,13 @@ def large_group_links(members: DataFrame, sets: DataFrame, least: int) -> DataFr
         live.join(lowest, "root").withColumn("need", need).filter(F.col("need") <= F.size("common")).select("root", "key", "f", "star", F.col("common.e").alias("common"), "need"),
         "live",
     )
-    prefix = F.explode(F.slice("common", F.lit(1), F.size("common") - F.col("need") + 1)).alias("e")
-    side = lambda df, s: df.select("root", prefix, *[F.col(c).alias(c + s) for c in ("key", "f", "star")], F.size("common").alias("size" + s))
+    prefix = F.slice("common", F.lit(1), F.size("common") - F.col("need") + 1)
+    side = lambda df, s: df.select("root", F.posexplode(prefix).alias("at" + s, "e"), *[F.col(c).alias(c + s) for c in ("key", "f", "star")], F.size("common").alias("size" + s))
+    rest = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))  # from the first common difference on, so many are common at most
     pairs = (
         side(live.filter("NOT star"), "_a")
         .join(side(live, "_b"), ["root", "e"])
-        .filter((F.col("key_a") != F.col("key_b")) & (F.col("star_b") | (F.col("key_a") < F.col("key_b"))) & (F.col("f_a") + F.col("f_b") <= step * F.least("size_a", "size_b")))
+        .filter((F.col("key_a") != F.col("key_b")) & (F.col("star_b") | (F.col("key_a") < F.col("key_b"))) & (F.col("f_a") + F.col("f_b") <= step * rest))
         .select("root", "key_a", "key_b", (F.col("f_a") + F.col("f_b")).alias("f"))
         .distinct()
     )
