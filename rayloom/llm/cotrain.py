@@ -16,6 +16,7 @@ corpus.  Whole texts are read once, for the features.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import zlib
@@ -139,6 +140,22 @@ def calibrated(x: np.ndarray, said: np.ndarray, start: Sequence[float]) -> tuple
     return tuple(a) if np.isfinite(a).all() else tuple(start)
 
 
+def packed(models: dict[str, dict]) -> dict[str, dict]:
+    """Models as plain tuples of the weights that aren't 0, to be sent to the tasks."""
+    few = lambda w: (len(w), np.flatnonzero(w), w[np.flatnonzero(w)])
+    return {t: {"both": m["both"]} | {name: (few(m[name][0]), m[name][1], few(m[name][2]), m[name][3]) for name, _ in VIEWS} for t, m in models.items()}
+
+
+def unpacked(models: dict[str, dict]) -> dict[str, dict]:
+    def whole(few: tuple) -> np.ndarray:
+        size, at, values = few
+        out = np.zeros(size)
+        out[at] = values
+        return out
+
+    return {t: {"both": m["both"]} | {name: (whole(m[name][0]), m[name][1], whole(m[name][2]), m[name][3]) for name in ("tokens", "meta")} for t, m in models.items()}
+
+
 def parts_of(view: tuple, rows: list[np.ndarray]) -> np.ndarray:
     """Two columns: the regression's score of each row, and the pseudo-labels' mean log odds times the root of its length."""
     weights, offset, told, _ = view
@@ -186,12 +203,12 @@ def features(docs: DataFrame, meta_cols: Sequence[str] = ("lang", "source"), id_
 
 def classify(views: DataFrame, models: dict[str, dict]) -> DataFrame:
     """``doc_id`` and ``<target>_text, <target>_meta, <target>`` probabilities of every row of ``views``; none of an empty table."""
-    held = views.sparkSession.sparkContext.broadcast(models)  # plain arrays and tuples: no class of this package
+    held = views.sparkSession.sparkContext.broadcast(packed(models))  # plain arrays and tuples: no class of this package
     names = [f"{t}{v}" for t in models for v in ("_text", "_meta", "")]
 
     @F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in names]))
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        known = held.value
+        known = unpacked(held.value)
         for tokens, meta in batches:
             rows = [x for m in known.values() for x in logits_of(m, tokens.tolist(), meta.tolist())] if len(tokens) else [np.empty(0)] * len(names)
             yield pd.DataFrame({n: _chances(x) for n, x in zip(names, rows)})
@@ -205,10 +222,10 @@ def exchanged(views: DataFrame, models: dict[str, dict]) -> DataFrame:
     A document is a pseudo-label for a view where the other one is certain and
     it is not certain of the contrary.
     """
-    held = views.sparkSession.sparkContext.broadcast(models)
+    held = views.sparkSession.sparkContext.broadcast(packed(models))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, sums = held.value, {}
+        known, sums = unpacked(held.value), {}
         for batch in batches:
             rows = {"tokens": batch["tokens"].tolist(), "meta": batch["meta"].tolist()}
             for target, model in known.items():
@@ -263,7 +280,7 @@ def co_train(views: DataFrame, labels: DataFrame, targets: Sequence[str], rounds
     """
     sample = labelled_sample(views, labels, targets, labelled, id_col)
     for name, _ in VIEWS:
-        sample[name] = [np.asarray(r, np.int64) for r in sample[name]]
+        sample[name] = [np.asarray(r, np.int32) for r in sample[name]]
     fits = sample[~sample["calibrates"].astype(bool)]
     sample["calibrates"] = sample["calibrates"].astype(bool)
     regressions = {t: {name: fitted(fits[name].tolist(), fits[t].to_numpy(float), bins) for name, bins in VIEWS} for t in targets}
@@ -271,10 +288,14 @@ def co_train(views: DataFrame, labels: DataFrame, targets: Sequence[str], rounds
     known = views.sparkSession.createDataFrame([(i,) for i in sample["doc_id"].unique().tolist()], T.StructType([views.schema["doc_id"]]))
     rest = views.join(F.broadcast(known), "doc_id", "left_anti")
     for _ in range(rounds if len(sample) else 0):
-        counts: dict[tuple[str, str], np.ndarray] = {(t, name): np.zeros((2, bins + 1)) for t in targets for name, bins in VIEWS}
-        for (t, name), some in exchanged(rest, models).toPandas().groupby(["target", "view"]):
-            counts[t, name][some["said"].to_numpy(), some["bin"].to_numpy()] = some["n"].to_numpy()
-        pseudo = {k: odds(n[:, :-1], n[:, -1]) for k, n in counts.items()}
+        n_of = [F.sum(F.when(F.col("said") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1)]
+        told = stored(exchanged(rest, models).groupBy("target", "view", "bin").agg(*n_of).filter((F.col("n0") + F.col("n1") >= LEAST_ROWS) | (F.col("bin") < 0)), "exchanged")
+        pseudo = {}
+        for t, (name, bins) in itertools.product(targets, VIEWS):  # a model's bins at a time: at most so many rows
+            some = told.filter((F.col("target") == t) & (F.col("view") == name)).select("bin", "n0", "n1").toPandas()
+            counts = np.zeros((2, bins + 1))
+            counts[:, some["bin"].to_numpy()] = some[["n0", "n1"]].to_numpy().T
+            pseudo[t, name] = odds(counts[:, :-1], counts[:, -1])
         models = {t: _model(sample, t, regressions[t], {name: pseudo[t, name] for name, _ in VIEWS}) for t in targets}
     return models
 
