@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rayloom.llm import chat, cotrain, decontam, mixing, neardup, quality, secrets, substrings, tokens, warc
-from rayloom.llm.common import table
+from rayloom.llm import chat, cotrain, decontam, merkle, mixing, neardup, pii, quality, runs, secrets, substrings, tokens, warc
+from rayloom.llm.common import WORD, table
+from rayloom.llm.spans import let
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -88,6 +89,60 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n_chars, doc_id = F.col("n_chars"), F.col("doc_id")
+    tampered = merkle.leaf(doc_id, F.col("source"), F.col("lang"), n_chars + 1, F.col("text"))
+    shown = F.when(F.crc32(doc_id.cast("string")) % 7 == 0, tampered)
+    told = merkle.manifest(table(spark, sf_dir, "documents"), carry={"shown": shown})
+    folded = merkle.fold(F.coalesce("shown", "leaf"), F.col("path"))
+    return told.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join(merkle.siblings(F.col("path")), ""), 256).alias("proof_sha256"), folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def with_period(doc_id: Column, text: Column) -> Column:
+    """The texts that op12 reads: of those whose id's checksum ends in 0 the words from some place on repeat the first of them."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+
+    def again(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (F.floor((n - a) / (g % 8 + 3)) + 1).cast("int")
+        place = F.struct(words.alias("words"), a.alias("a"), p.alias("p"))
+        told = let(place, lambda x: F.transform(x["words"], lambda w, i: F.when(i < x["a"], w).otherwise(F.get(x["words"], x["a"] + (i - x["a"]) % x["p"]))))
+        return F.when(n > 0, F.array_join(told, " ")).otherwise(text)
+
+    return F.when(h % 10 == 0, let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), again)).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    told = runs.collapse_runs(docs.select("doc_id", with_period(F.col("doc_id"), F.col("text")).alias("text")))
+    longest = F.element_at(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"], r["period"], r["length"]))), 1)
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return told.withColumn("top", F.when(F.size("runs") > 0, longest)).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("top.start").alias("start"),
+        F.col("top.length").alias("length"),
+        F.col("top.period").alias("period"),
+        F.floor(F.col("top.length") * 1000 / F.col("top.period")).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.col("found")
+    return pii.scan_pii(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *[pii.count_kind(found, k).alias(f"n_{k}") for k in pii.BASE],
+        F.sha2(pii.listed(found, pii.BASE), 256).alias("base_sha256"),
+        pii.listed(found).alias("spans"),
+        pii.scores(found).alias("scores"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_warc": op2_warc,
@@ -99,6 +154,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_personal_data": op13_personal_data,
 }
 
 ORACLES: dict[str, str] = {
@@ -109,4 +167,6 @@ ORACLES: dict[str, str] = {
     "op8_quality_rules": quality.ORACLE_SQL,
     "op9_chat_formatting": chat.ORACLE_SQL,
     "op10_near_duplicates": neardup.ORACLE_SQL,
+    "op11_merkle_manifest": merkle.ORACLE_SQL,
+    "op13_personal_data": pii.ORACLE_SQL,
 }

@@ -39,7 +39,7 @@ def test_against_sql(spark, duck, name):
 
 
 def test_every_number_has_a_query():
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
 
 
 def test_warc_query(spark):
