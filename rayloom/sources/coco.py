@@ -6,34 +6,37 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rayloom.functions.geometry import segmentation_box
 from rayloom.functions.names import basename
+from rayloom.sources.split_json import Plan, make_plan, read_elements, write_arrays
 
 IMAGE = "id bigint, file_name string, width int, height int, AOI string, original_id bigint"
 ANNOTATION = "id bigint, object_id bigint, image_id bigint, category_id int, iscrowd int, bbox array<double>, area double, segmentation array<array<double>>"
 CATEGORY = "id int, name string, supercategory string"
 DETECTION = "det_id bigint, image_id bigint, file_name string, bbox array<double>, area double, score double, det_class int, segmentation array<array<double>>, id bigint, category_id int, dataset string"
 
-COCO = f"images array<struct<{', '.join(f.replace(' ', ':', 1) for f in IMAGE.split(', '))}>>, annotations array<struct<{', '.join(f.replace(' ', ':', 1) for f in ANNOTATION.split(', '))}>>, categories array<struct<{', '.join(f.replace(' ', ':', 1) for f in CATEGORY.split(', '))}>>"
 
+def open_documents(spark: SparkSession, path: str | Sequence[str] | Plan) -> Plan:
+    """Where the arrays of one or many documents lie; work it out once to read several of them."""
+    return path if isinstance(path, Plan) else make_plan(spark, path if isinstance(path, str) else list(path))
 
-def _document(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    return spark.read.schema(COCO).json(path, multiLine=True)
 
+def _rows(spark: SparkSession, path: str | Sequence[str] | Plan, names: Sequence[str], schema: str) -> DataFrame:
+    return read_elements(spark, open_documents(spark, path), names).select(F.from_json("value", schema).alias("r")).select("r.*")
 
-def read_images(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """``image_id, file_name, ...`` of one or many documents."""
-    return _document(spark, path).select(F.inline("images")).withColumnRenamed("id", "image_id")
 
+def read_images(spark: SparkSession, path: str | Sequence[str] | Plan) -> DataFrame:
+    """``image_id, file_name, ...`` of one or many documents, each read in byte ranges."""
+    return _rows(spark, path, ["images"], IMAGE).withColumnRenamed("id", "image_id")
 
-def read_annotations(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    return _document(spark, path).select(F.inline("annotations"))
 
+def read_annotations(spark: SparkSession, path: str | Sequence[str] | Plan) -> DataFrame:
+    return _rows(spark, path, ["annotations"], ANNOTATION)
 
-def read_categories(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    return _document(spark, path).select(F.inline("categories"))
+
+def read_categories(spark: SparkSession, path: str | Sequence[str] | Plan) -> DataFrame:
+    return _rows(spark, path, ["categories"], CATEGORY)
 
 
 def nested(images: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -61,17 +64,12 @@ def read_detections(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
     A missing ``det_id`` is the record's ``id``, a missing ``det_class`` its
     category less one.
     """
-    fields = T.StructType([f for f in T._parse_datatype_string(DETECTION).fields])
     found: DataFrame | None = None
     for dataset, path in paths.items():
-        text = spark.read.text(path, wholetext=True)
-        record = T.ArrayType(fields)
-        listed = F.from_json("value", record)
-        inside = F.from_json("value", T.StructType([T.StructField("annotations", record)]))["annotations"]
-        rows = text.select(F.inline(F.when(F.ltrim("value").startswith("["), listed).otherwise(inside))).withColumn("dataset", F.lit(dataset))
+        rows = _rows(spark, path, ["records", "annotations"], DETECTION).withColumn("dataset", F.lit(dataset))
         found = rows if found is None else found.unionByName(rows)
     if found is None:
-        return spark.createDataFrame([], fields)
+        return spark.createDataFrame([], DETECTION)
     return found.withColumn("det_id", F.coalesce("det_id", "id")).withColumn("det_class", F.coalesce("det_class", F.col("category_id") - 1)).withColumn("file_name", basename(F.col("file_name")))
 
 
@@ -92,13 +90,23 @@ def document(images: DataFrame, annotations: DataFrame, categories: DataFrame) -
     """One row with the JSON of a COCO document.
 
     The format is one object, so the result has to fit a task; for more, write
-    one document per image or dataset with :func:`documents`.
+    it with :func:`write_document`, or one per dataset with :func:`documents`.
     """
     gather = lambda df, name: df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(name))
     row = gather(images, "images").crossJoin(gather(annotations, "annotations")).crossJoin(gather(categories, "categories"))
     return row.select(F.to_json(F.struct("images", "annotations", "categories")).alias("value"))
 
 
+def write_document(images: DataFrame, annotations: DataFrame, categories: DataFrame, path: str) -> None:
+    """A COCO document of any size at ``path``, elements by id; no task holds more than its share of it."""
+    write_arrays({"images": images, "annotations": annotations, "categories": categories}, path)
+
+
+def write_records(records: DataFrame, path: str, order: str = "id") -> None:
+    """An array of records of any size at ``path``."""
+    write_arrays({"records": records}, path, order)
+
+
 def documents(images: DataFrame, annotations: DataFrame, categories: DataFrame, by: str = "dataset") -> DataFrame:
     """``<by>, value``: a COCO document for each group of images."""
     whose = images.select(F.col("id").alias("image_id"), by)
