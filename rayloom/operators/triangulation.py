@@ -53,7 +53,8 @@ def crossings(rays: DataFrame, most_gap: float = 0.2, radius: float = 20.0, heig
     with ``height``, at a height below the cameras that an object can have.
     Each ray keeps its best crossing with every earlier frame.  Only rays whose
     origins are within two radii are compared.  Returns ``trajectory, ray_a,
-    ray_b, frame_a, frame_b, point, gap, length``; ``b`` is the later frame.
+    ray_b, frame_a, frame_b, point, gap, length``; ``b`` is the later frame,
+    ``length`` the longer of the two ways.
     """
     place, way = [f"{p}_" for p in "xyz"], [f"d{p}_" for p in "xyz"]
     cols = [F.col("ray_id").alias("ray_"), F.col("frame").alias("frame_"), *[F.col(f"origin.{p}").alias(n) for p, n in zip("xyz", place)], *[F.col(f"direction.{p}").alias(n) for p, n in zip("xyz", way)]]
@@ -78,7 +79,7 @@ def crossings(rays: DataFrame, most_gap: float = 0.2, radius: float = 20.0, heig
         size = lambda s: disc_radius(F.col(f"area_{s}"), vector(*[F.col(f"d{p}_{s}") for p in "xyz"]), F.col(f"t_{s}"), *map(F.lit, PANORAMA))
         met = met.filter(F.abs(size("a") - size("b")) <= RADIUS_GAP)
     met = met.select("trajectory", "ray_a", "ray_b", "frame_a", "frame_b", "t_a", "t_b", "gap", vector(*middle.values()).alias("point"))
-    best = met.withColumn("length", F.col("t_a") + F.col("t_b")).groupBy("trajectory", "ray_b", "frame_a", "frame_b").agg(F.min(F.struct("gap", "ray_a", "point", "length")).alias("m"))
+    best = met.withColumn("length", F.greatest("t_a", "t_b")).groupBy("trajectory", "ray_b", "frame_a", "frame_b").agg(F.min(F.struct("gap", "ray_a", "point", "length")).alias("m"))
     return best.select("trajectory", F.col("m.ray_a").alias("ray_a"), "ray_b", "frame_a", "frame_b", F.col("m.point").alias("point"), F.col("m.gap").alias("gap"), F.col("m.length").alias("length"))
 
 
@@ -136,7 +137,7 @@ def triangulate(rays: DataFrame, most_gap: float = 0.2, reach: float = 0.5, merg
     """Places of objects from all rays: crossings, peeling, candidates, and near candidates merged.
 
     All frames of a trajectory are seen at once; the frame-by-frame pool is
-    :mod:`rayloom.streaming.pool`.
+    :mod:`rayloom.streaming.peeling`.
     """
     found = stored(crossings(rays, most_gap, radius, height, mask).withColumn("crossing_id", F.struct("trajectory", "ray_b", "frame_a", "ray_a")), "crossings")
     kept = stored(peeled(found, reach), "peeled")

@@ -11,6 +11,7 @@ from rayloom.functions import camera, geometry, names
 from rayloom.operators import control, evaluation, graph, matching, panorama, spatial, tiling, triangulation
 from rayloom.plans import relations as R
 from rayloom.sources import coco
+from rayloom.streaming import peeling
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -488,7 +489,7 @@ good AS (SELECT * FROM met WHERE gap <= 0.2 AND mz > -0.8 AND mz < 1.0),
 crossings AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY trajectory, ray_b, frame_a ORDER BY round(gap, 9), ray_a) = 1)"""
 
 
-@query(CROSSED + " SELECT trajectory, ray_b, frame_a, frame_b, round(gap, 6) AS gap, round(ta + tb, 6) AS length FROM crossings")
+@query(CROSSED + " SELECT trajectory, ray_b, frame_a, frame_b, round(gap, 6) AS gap, round(greatest(ta, tb), 6) AS length FROM crossings")
 def ray_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = triangulation.crossings(R.rays(spark, sf_dir))
     return found.select("trajectory", "ray_b", "frame_a", "frame_b", (F.round("gap", 6) + 0.0).alias("gap"), F.round("length", 6).alias("length"))
@@ -499,6 +500,13 @@ def triangulated_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(triangulation.triangulate(R.rays(spark, sf_dir)), "x", "y", "elevation").select("x", "y", "elevation", "intersections", "last_seen")
 
 
+@query()
+def followed_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same frame by frame, with candidates that free and claim rays."""
+    found = peeling.followed(R.rays(spark, sf_dir))
+    return rounded(peeling.merged_places(found), "x", "y", "elevation", "mean_intersection_length", "mean_intersection_dist")
+
+
 @query()
 def travel_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")

@@ -28,6 +28,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several a label, near it; those of a seventh of the labels lie beside the image, so that labels are missed."""
     o = F.col("o_orderkey")
     rows = table(spark, sf_dir, "part").agg(F.count("*").alias("n"))
     told = labels(spark, sf_dir).select(F.col("label_id").alias("of"), "image_id", F.col("box").alias("b"), "label_class")
@@ -35,7 +36,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved.select(
         o.alias("det_id"),
         "image_id",
-        box(F.col("b.x") + o % 23 - 11, F.col("b.y") + o % 19 - 9, F.col("b.w"), F.col("b.h")).alias("box"),
+        box(F.col("b.x") + o % 23 - 11 + F.when(F.col("of") % 7 == 3, 600).otherwise(0), F.col("b.y") + o % 19 - 9, F.col("b.w"), F.col("b.h")).alias("box"),
         (((o * 31 + F.floor(o / 7)) % 100) / 100).alias("score"),
         F.when(o % 10 == 0, F.lit(0)).otherwise(F.col("label_class") - 1).cast("int").alias("det_class"),
     )
@@ -43,9 +44,9 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LABELS_SQL = """labels AS MATERIALIZED (SELECT p_partkey AS label_id, p_partkey % 50 AS image_id, (p_partkey * 37) % 480 AS x, (p_partkey * 53) % 480 AS y,
   (20 + p_size % 12)::BIGINT AS w, (20 + p_size % 9)::BIGINT AS h, (1 + p_size % 3)::INT AS label_class FROM part)"""
-DETECTIONS_SQL = """dets AS MATERIALIZED (SELECT o_orderkey AS det_id, l.image_id, l.x + o_orderkey % 23 - 11 AS x, l.y + o_orderkey % 19 - 9 AS y, l.w, l.h,
+DETECTIONS_SQL = """dets AS MATERIALIZED (SELECT o_orderkey AS det_id, l.image_id, l.x + o_orderkey % 23 - 11 + CASE WHEN l.label_id % 7 = 3 THEN 600 ELSE 0 END AS x, l.y + o_orderkey % 19 - 9 AS y, l.w, l.h,
   ((o_orderkey * 31 + o_orderkey // 7) % 100) / 100.0::DOUBLE AS score, (CASE WHEN o_orderkey % 10 = 0 THEN 0 ELSE l.label_class - 1 END)::INT AS det_class
-  FROM orders JOIN labels l ON l.label_id = o_orderkey % (SELECT count(*) FROM part))"""
+  FROM (SELECT o_orderkey, o_orderkey % n AS of FROM orders CROSS JOIN (SELECT count(*) AS n FROM part)) o JOIN labels l ON l.label_id = o.of)"""
 OVERLAP = "greatest(least(d.x + d.w, l.x + l.w) - greatest(d.x, l.x), 0) * greatest(least(d.y + d.h, l.y + l.h) - greatest(d.y, l.y), 0)"
 BEST_SQL = f"""pairs AS (SELECT d.det_id, d.image_id, d.score, d.det_class, l.label_id, l.label_class,
   ({OVERLAP})::DOUBLE / nullif(d.w * d.h + l.w * l.h - {OVERLAP}, 0) AS iou
@@ -54,8 +55,8 @@ best AS MATERIALIZED (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION B
 HITS_SQL = "hits AS MATERIALIZED (SELECT * FROM best WHERE iou >= 0.25 QUALIFY row_number() OVER (PARTITION BY label_id ORDER BY iou DESC, det_id) = 1)"
 TAGS_SQL = """tags AS (
   SELECT CASE WHEN h.det_id IS NULL THEN 'FP' ELSE 'TP' END AS tag, h.label_id, h.label_class, d.det_id, d.score, d.det_class, round(h.iou, 3) AS iou, d.image_id
-  FROM dets d LEFT JOIN hits h USING (det_id)
-  UNION ALL SELECT 'FN', label_id, label_class, NULL, NULL, NULL, NULL, image_id FROM labels l WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.label_id = l.label_id))"""
+  FROM dets d LEFT JOIN hits h ON h.det_id = d.det_id
+  UNION ALL SELECT 'FN', l.label_id, l.label_class, NULL, NULL, NULL, NULL, l.image_id FROM labels l LEFT JOIN hits h ON h.label_id = l.label_id WHERE h.label_id IS NULL)"""
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,6 @@ import json
 from pyspark.sql import functions as F
 
 from rayloom.sources import coco, tables
-from rayloom.streaming.pool import candidate_pool, crossing_pool, follow, follow_crossings, pooled
 
 DOC = {
     "images": [{"id": 1, "file_name": "images/a.jpg", "width": 100, "height": 50}, {"id": 2, "file_name": "images/b.jpg", "width": 100, "height": 50}],
@@ -69,49 +68,6 @@ def test_progress_and_reports(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "out/m"), header=True).count() == 2
 
 
-def test_pool_expires_and_moves():
-    pool, gone = follow([], [(0.0, 0.0, 0.0)], 0, 1.0, 1)
-    pool, gone = follow(pool, [(0.5, 0.0, 0.0)], 1, 1.0, 1)
-    assert pool[0][:4] == [0.25, 0.0, 0.0, 2] and not gone
-    for f in (2, 3):
-        pool, gone = follow(pool, [], f, 1.0, 1)
-    assert not pool and gone[0][5] == 1
-
-
-def test_pool_on_a_stream(spark, tmp_path):
-    rows = [(1, f, 0.1 * f, 0.0, 0.0) for f in range(3)] + [(1, f, None, None, None) for f in range(3, 8)]
-    spark.createDataFrame(rows, "trajectory long, frame long, x double, y double, z double").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("trajectory long, frame long, x double, y double, z double").parquet(str(tmp_path / "in"))
-    run = candidate_pool(stream, limit=2).writeStream.format("memory").queryName("pool").outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination(120)
-    got = spark.sql("SELECT * FROM pool").collect()
-    assert [(r.sightings, r.first_seen, r.last_seen) for r in got] == [(3, 0, 2)]
-
-
-def test_pool_of_crossings():
-    a = {"1": [0.0, 0.0, 0.0, 4.0, 0.1], "2": [0.2, 0.0, 0.0, 6.0, 0.3]}
-    pool, gone = follow_crossings([], [a, {"9": [50.0, 0.0, 0.0, 1.0, 0.0]}], 0, 1.0, 2)
-    assert [e["centre"] for e in pool] == [[0.1, 0.0, 0.0], [50.0, 0.0, 0.0]] and not gone
-    pool, gone = follow_crossings(pool, [a | {"3": [0.9, 0.0, 0.0, 8.0, 0.2]}], 1, 1.0, 2)
-    assert pool[0]["centre"] == [0.2, 0.0, 0.0] and pool[0]["last"] == 1 and pool[1]["missing"] == 1
-    pool, gone = follow_crossings(pool, [pool[0]["held"]], 2, 1.0, 2)  # nothing new: it misses a frame too
-    assert [e["missing"] for e in pool] == [1, 2]
-    pool, gone = follow_crossings(pool, [], 3, 1.0, 2)
-    assert [e["missing"] for e in pool] == [2] and [len(e["held"]) for e in gone] == [1]
-
-
-def test_pool_of_crossings_on_stream_and_table(spark, tmp_path):
-    kind = "trajectory long, frame long, cluster long, crossing string, x double, y double, z double, length double, gap double"
-    rows = [(t, f, 1, f"{t}-{f}", 10.0 * t + 0.1 * f, 0.0, 1.0, 5.0 + f, 0.1) for t in (1, 2) for f in range(3)] + [(t, f, None, None, None, None, None, None, None) for t in (1, 2) for f in range(3, 6 + 2 * t)]
-    df = spark.createDataFrame(rows, kind)
-    got = sorted(map(tuple, pooled(df, limit=4).collect()))
-    assert [(r[0], round(r[1], 6), r[4], r[5], r[7]) for r in got] == [(1, 10.1, 3, 6.0, 2), (2, 20.1, 3, 6.0, 2)]
-    df.coalesce(1).write.parquet(str(tmp_path / "c"))
-    run = crossing_pool(spark.readStream.schema(kind).parquet(str(tmp_path / "c")), limit=4).writeStream.format("memory").queryName("crossings").outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination(120)
-    assert sorted(map(tuple, spark.sql("SELECT * FROM crossings").collect())) == got
-
-
 def test_geopackage_round_trip(spark, tmp_path):
     from rayloom.sources import geopackage
 
