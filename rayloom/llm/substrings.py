@@ -15,9 +15,12 @@ so many bytes: ``LENGTH`` for what is removed, ``PASSAGE`` for what is only
 reported.  The columns of a chunk are read one after the other and dropped;
 what stays are an order and a common prefix for each row.
 
-A hot anchor's passages are cut into narrower pieces, keyed by the bytes that
-all windows of a piece share; equal pieces are one row with a count.  A key
-that still has many unlike pieces has its windows counted one by one.
+An anchor of many passages is split by the bytes around it: its passages are
+cut into narrower pieces, keyed by the bytes that all windows of a piece share,
+and equal pieces are one row with a count.  A key that still has many unlike
+pieces is split again, down to pieces of one window, where those that are left
+have nothing in common to look for.  So no collection has more than
+``HOT_ANCHOR`` rows, whether they come from many texts or from one.
 """
 
 from __future__ import annotations
@@ -41,10 +44,12 @@ SHARD_BYTES = 1 << 20
 LONGEST_SHARD = 1 << 23
 #: Rows of the collections that a task builds at once.
 CHUNK_ROWS = 20_000
-#: Anchors with passages in more texts are split into pieces; keys of more unlike pieces are counted.  The result is the same.
+#: Most rows of a collection; an anchor that occurs more often, and a key of more unlike pieces, is split.  The result is the same.
 HOT_ANCHOR = 1_000
-#: Windows of a piece: the distances of their starts to the anchor lie between two multiples of it.
-PIECE = 64
+#: Windows of a piece at each split: the distances of their starts to the anchor lie between two multiples of it.
+PIECES = (64, 8, 1)
+#: Bytes of passages in a batch, about.
+BATCH_BYTES = 8 << 20
 #: Rows of 40 bytes that are broadcast to be joined back; more are joined by shuffle.
 BROADCAST_SPANS = 100_000
 
@@ -133,15 +138,7 @@ def anchor_hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([hashes[a:b] for a, b in zip(cuts, cuts[1:])], dtype=object)
 
 
-CONTEXT = T.StructType(
-    [
-        T.StructField("hash", T.LongType()),
-        T.StructField("bytes", T.BinaryType()),
-        T.StructField("lead", T.IntegerType()),
-        T.StructField("last", T.IntegerType()),
-        T.StructField("at", T.ArrayType(T.LongType())),
-    ]
-)
+PASSAGES = "node binary, hash bigint, bytes binary, lead int, last int, at array<bigint>"
 
 
 def contexts_of(text: bytes, wanted: set[int]) -> list[tuple[int, bytes, int, int, list[int]]]:
@@ -158,10 +155,24 @@ def contexts_of(text: bytes, wanted: set[int]) -> list[tuple[int, bytes, int, in
     return [(h, said, lead, last, places) for (h, lead, last, said), places in met.items()]
 
 
-@F.pandas_udf(T.ArrayType(CONTEXT))
-def contexts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for texts, wanted in batches:
-        yield pd.Series([[dict(zip(CONTEXT.names, c)) for c in contexts_of(raw_bytes(t), set(w))] for t, w in zip(texts, wanted)], dtype=object)
+def passages_of(texts: DataFrame) -> DataFrame:
+    """``PASSAGES`` of texts (``node, text, wanted``), a row a passage, and ``n`` places of each."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in PASSAGES.split(", ")]
+        held, size = [], 0
+        for batch in batches:
+            for node, text, wanted in zip(batch["node"], batch["text"], batch["wanted"]):
+                for row in contexts_of(raw_bytes(text), set(wanted.tolist())):
+                    held.append((node, *row))
+                    size += len(row[1]) + 8 * len(row[4])
+                    if size >= BATCH_BYTES:
+                        yield pd.DataFrame(held, columns=names)
+                        held, size = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=names)
+
+    return texts.select("node", "text", "wanted").mapInPandas(cut, PASSAGES).withColumn("n", F.size("at").cast("long"))
 
 
 def repeated_windows(rows: list[bytes], lead: np.ndarray, group: np.ndarray, lengths_of: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -247,17 +258,17 @@ def spans_of_collections(passages: DataFrame) -> DataFrame:
     return passages.select("node", "hash", "bytes", "lead", "last", "at", "n").repartition("hash").sortWithinPartitions("hash").mapInPandas(scan, SPANS)
 
 
-def pieces_of(passages: DataFrame) -> DataFrame:
+def pieces_of(passages: DataFrame, width: int) -> DataFrame:
     """``node, at, hash, piece, bytes, lead, last, n``: passages cut by the distance of windows to the anchor.
 
     The new ``hash`` is that of the anchor, the distance and the bytes that all
     windows of such a piece hold, so equal windows stay under one key.
     ``piece`` tells unlike pieces apart.
     """
-    far = F.explode(F.sequence(F.floor((F.col("lead") - F.col("last")) / PIECE), F.floor(F.col("lead") / PIECE)))
-    near = (F.col("lead") - F.col("far") * PIECE).cast("int")
+    far = F.explode(F.sequence(F.floor((F.col("lead") - F.col("last")) / width), F.floor(F.col("lead") / width)))
+    near = (F.col("lead") - F.col("far") * width).cast("int")
     cut = passages.withColumn("far", far).withColumn("near", near)
-    cut = cut.withColumns({"first": F.greatest(F.lit(0), F.col("near") - (PIECE - 1)), "final": F.least("last", "near"), "core": F.substring(F.col("bytes"), F.col("near") + 1, F.lit(PASSAGE - PIECE + 1))})
+    cut = cut.withColumns({"first": F.greatest(F.lit(0), F.col("near") - (width - 1)), "final": F.least("last", "near"), "core": F.substring(F.col("bytes"), F.col("near") + 1, F.lit(PASSAGE - width + 1))})
     said = F.substring(F.col("bytes"), F.col("first") + 1, F.col("final") - F.col("first") + LENGTH)
     lead, last = F.col("lead") - F.col("first"), F.col("final") - F.col("first")
     told = cut.select("node", F.transform("at", lambda a: a + F.col("first")).alias("at"), F.xxhash64("hash", "far", "core").alias("hash"), said.alias("bytes"), lead.alias("lead"), last.alias("last"), "n")
@@ -265,17 +276,22 @@ def pieces_of(passages: DataFrame) -> DataFrame:
     return told.withColumn("piece", mark)
 
 
-def spans_of_hot(passages: DataFrame) -> DataFrame:
+def spans_of_hot(passages: DataFrame, widths: tuple[int, ...] = PIECES) -> DataFrame:
     """The same as :func:`spans_of_collections`, for anchors of any frequency: no task gathers an anchor."""
-    cut = pieces_of(passages)
+    cut = pieces_of(passages, widths[0])
     held = stored(cut.groupBy("hash", "piece").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("bytes", "lead", "last")]), "pieces")
     keys = stored(held.groupBy("hash").agg(F.count("*").alias("unlike"), F.sum("n").alias("n")).filter("n > 1").select("hash", "unlike"), "piece-keys")
     rows = held.withColumnRenamed("piece", "node").withColumn("at", F.array(F.lit(0).cast("long")))
-    few = rows.join(keys.filter(F.col("unlike") <= HOT_ANCHOR).select("hash"), "hash")
-    found = spans_of_collections(few)
-    crowded = keys.filter(F.col("unlike") > HOT_ANCHOR).select("hash")
-    if not crowded.isEmpty():
-        found = found.unionByName(spans_by_counting(rows.join(crowded, "hash")))
+    if len(widths) == 1:  # the rows of a key share their only window, and unlike ones nothing longer
+        met = rows.join(keys.select("hash"), "hash")
+        of = lambda length: F.struct(F.lit(0).cast("long").alias("start"), F.lit(length).cast("long").alias("end"), F.lit(length == LENGTH).alias("long"))
+        both = F.when((F.col("n") > 1) & (F.length("bytes") >= LENGTH), F.array(of(PASSAGE), of(LENGTH))).otherwise(F.array(of(PASSAGE)))
+        found = met.select("node", F.inline(both))
+    else:
+        found = spans_of_collections(rows.join(keys.filter(F.col("unlike") <= HOT_ANCHOR).select("hash"), "hash"))
+        crowded = keys.filter(F.col("unlike") > HOT_ANCHOR).select("hash")
+        if not crowded.isEmpty():
+            found = found.unionByName(spans_of_hot(stored(rows.join(crowded, "hash"), "crowded"), widths[1:]))
     found = stored(found, "piece-spans").withColumnRenamed("node", "piece")
     places = cut.select("node", "piece", F.explode("at").alias("at"))
     common = stored(held.filter(F.col("n") > HOT_ANCHOR).select("piece"), "common-pieces")  # one of them is in many texts: joined where those are
@@ -284,19 +300,6 @@ def spans_of_hot(passages: DataFrame) -> DataFrame:
     return met.unionByName(rare).select("node", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end"), "long")
 
 
-def spans_by_counting(pieces: DataFrame) -> DataFrame:
-    """The same for pieces of one key, however many: the digest of each of their windows is counted."""
-    windows = pieces.select("node", "n", "bytes", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("start"))
-    found = []
-    for length in (LENGTH, PASSAGE):
-        said = F.substring(F.col("bytes"), F.col("start") + 1, F.lit(length))
-        told = windows.filter(F.col("start") + length <= F.length("bytes")).select("node", "start", "n", F.unhex(F.md5(said)).alias("digest"))
-        often = stored(told.groupBy("digest").agg(F.sum("n").alias("met")).filter("met > 1").select("digest"), "digests")
-        start = F.col("start").cast("long")
-        found.append(told.join(maybe_broadcast(often, BROADCAST_SPANS), "digest").select("node", start.alias("start"), (start + length).alias("end"), F.lit(length == LENGTH).alias("long")))
-    return found[0].unionByName(found[1])
-
-
 def merged(spans: list) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -359,7 +362,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A null text is empty.  Rows with equal texts of ``LENGTH`` bytes or more
     repeat each other and lose everything, null ids and repeated rows
-    included.  Texts of any length are whole.  An empty table gives no rows;
+    included.  Texts of any length are whole; a task holds about 20 bytes a
+    byte of its longest text.  An empty table gives no rows;
     other columns are ignored.
     """
     modest_batches(docs.sparkSession)
@@ -378,10 +382,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     in_texts = facts.filter("hashes IS NOT NULL").select("node", F.explode(F.array_distinct("hashes")).alias("hash"))
     wanted = in_texts.join(often.select("hash"), "hash").groupBy("node").agg(F.collect_list("hash").alias("wanted"))
     texts = docs.select(_node(F.col(text_col), F.col(id_col))[1].alias("node"), F.col(text_col).alias("text"))
-    passages = texts.join(stored(wanted, "wanted"), "node").select("node", F.explode(contexts("text", "wanted")).alias("c")).select("node", "c.*").withColumn("n", F.size("at").cast("long"))
-    hot = often.filter(F.col("n") > HOT_ANCHOR).select("hash")  # counted with repeats in a text, which are one passage
-    if not hot.isEmpty():
-        hot = stored(in_texts.join(hot, "hash").groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_ANCHOR).select("hash"), "hot")
+    passages = passages_of(texts.join(stored(wanted, "wanted"), "node"))
+    hot = often.filter(F.col("n") > HOT_ANCHOR).select("hash")  # repeats in a text count: each may be a passage of its own
     if hot.isEmpty():
         spans = spans_of_collections(passages)
     else:

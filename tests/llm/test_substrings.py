@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from fixtures import documents, frame, prose
 
@@ -47,7 +48,7 @@ def test_overlaps_and_repeats_within_a_text(spark):
     compare(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)])
 
 
-@pytest.mark.parametrize("hot", [0, 2, 8])
+@pytest.mark.parametrize("hot", [0, 1, 8])
 def test_hot_anchors_are_split_with_the_same_result(spark, monkeypatch, hot):
     monkeypatch.setattr(substrings, "HOT_ANCHOR", hot)
     compare(spark, documents())
@@ -62,6 +63,38 @@ def test_a_passage_of_many_texts(spark, monkeypatch):
     compare(spark, rows)
 
 
+def one_gram(rng, n):
+    """A text of ``n`` unlike passages around one string of 24 bytes, which has the least hash of all grams in it."""
+    def noise(k):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+
+    least = lambda t: int(substrings.gram_hashes(np.frombuffer(t.encode(), np.uint8)).min())
+    gram = min((noise(24) for _ in range(20_000)), key=least)
+    return "".join(noise(300) + gram for _ in range(n))
+
+
+@pytest.mark.parametrize("n,hot", [(300, 20), (20_000, 1_000)])
+def test_many_passages_of_one_text(spark, monkeypatch, n, hot):
+    rng = random.Random(2)
+    text = one_gram(rng, n)
+    rows = [(1, text + "x" + text[: 3_000], "en", "a", 0), (2, prose(rng, 100), "en", "a", 0), (3, text[5_000 : 5_700], "en", "a", 0)]
+    monkeypatch.setattr(substrings, "HOT_ANCHOR", hot)
+    sizes, seen = spark.sparkContext.accumulator(0), substrings.spans_of_collections
+
+    def watched(passages):
+        largest = passages.groupBy("hash").count().agg({"count": "max"}).first()[0] or 0
+        sizes.add(largest > hot)
+        return seen(passages)
+
+    monkeypatch.setattr(substrings, "spans_of_collections", watched)
+    if n < 1_000:
+        compare(spark, rows)
+    else:
+        got = {r.doc_id: r.n_removed for r in substrings.remove_repeats(frame(spark, rows)).collect()}
+        assert got == {1: 3_000 + 3_000 + 700, 2: 0, 3: 700}
+    assert sizes.value == 0  # no collection is larger than the bound
+
+
 def test_long_texts_are_cut_into_overlapping_parts(monkeypatch):
     rng = random.Random(8)
     text = prose(rng, 900).encode()
