@@ -116,7 +116,12 @@ def drawn(sketches: DataFrame, keys: list[str], parents: DataFrame, parent_keys:
 
 
 def cuts(shares: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, measure, bin, level, explained``: the last bin below the best cut, its quantile, and the share of the variance that it explains."""
+    """``keys, measure, bin, level, explained``: the last bin below the best cut, its quantile, and the share of the variance that it explains.
+
+    What lies above a cut is summed from the far end, and the variance about
+    the mean, so a bin's share may be as small as a double can be.  Where
+    nothing varies nothing is explained, and nothing is cut.
+    """
     power = F.element_at(F.create_map(*[F.lit(x) for pair in RULES.items() for x in pair]), F.col("measure"))
     group = Window.partitionBy(*keys, "measure")
     ordered = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -124,14 +129,14 @@ def cuts(shares: DataFrame, keys: list[str]) -> DataFrame:
     run = shares.withColumn("x", x).withColumns(
         {
             "below": F.sum("share").over(ordered),
+            "above": F.sum("share").over(group.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, -1)),
             "sum_below": F.sum(F.col("share") * F.col("x")).over(ordered),
             "mean": F.sum(F.col("share") * F.col("x")).over(group),
-            "squares": F.sum(F.col("share") * F.col("x") * F.col("x")).over(group),
             "top": F.max("bin").over(group),
         }
-    )
-    between = F.pow(F.col("mean") * F.col("below") - F.col("sum_below"), 2) / (F.col("below") * (1 - F.col("below")))
-    told = run.filter((F.col("bin") < F.col("top")) & (F.col("below") >= LEAST_LEFT)).withColumn("explained", between / (F.col("squares") - F.col("mean") * F.col("mean")))
+    ).withColumn("spread", F.sum(F.col("share") * F.pow(F.col("x") - F.col("mean"), 2)).over(group))
+    between = F.try_divide(F.pow(F.col("mean") * F.col("below") - F.col("sum_below"), 2), F.col("below") * F.col("above"))
+    told = run.filter((F.col("bin") < F.col("top")) & (F.col("below") >= LEAST_LEFT)).withColumn("explained", F.try_divide(between, F.col("spread")))
     best = told.groupBy(*keys, "measure").agg(F.max(F.struct("explained", F.col("bin"), F.col("below").alias("level"))).alias("b"))
     return best.select(*keys, "measure", "b.bin", "b.level", "b.explained")
 
@@ -151,9 +156,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     ``base_failed``: under 50 words, or more than half of them in repeated
     3-word windows.  ``kept``: base passed and every measure within its
-    group's threshold; ``max_<measure>`` is the last bin that is kept.  Null or empty text has no words and fails; a null
-    language or source is a group of its own.  Repeated rows count as often as
-    they occur.  An empty table gives no rows; other columns are ignored.
+    group's threshold; ``max_<measure>`` is the last bin that is kept.  Null or
+    empty text has no words and fails; a very long text is measured whole, in a
+    task that holds its words.  A null language or source is a group of its
+    own.  Repeated rows count as often as they occur.  An empty table gives no
+    rows; other columns are ignored.
     """
     modest_batches(docs.sparkSession)
     measured = stored(
@@ -238,11 +245,13 @@ WITH d AS (
          CASE WHEN bin = 0 THEN 0 ELSE pow(2e-9 * pow(""" + str(GAMMA) + """::DOUBLE, bin) / (1 + """ + str(GAMMA) + """), CASE measure """ + " ".join(f"WHEN '{m}' THEN {v}::DOUBLE" for m, v in RULES.items()) + """ END) END AS x
   FROM own_weights
 ), run AS (
-  SELECT *, sum(share) OVER o AS below, sum(share * x) OVER o AS sum_below, sum(share * x) OVER g AS mean, sum(share * x * x) OVER g AS squares, max(bin) OVER g AS top
-  FROM own WINDOW o AS (PARTITION BY lang, source, measure ORDER BY bin), g AS (PARTITION BY lang, source, measure)
+  SELECT *, sum(share * pow(x - mean, 2)) OVER (PARTITION BY lang, source, measure) AS spread FROM (
+    SELECT *, sum(share) OVER o AS below, sum(share) OVER (PARTITION BY lang, source, measure ORDER BY bin DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above,
+      sum(share * x) OVER o AS sum_below, sum(share * x) OVER g AS mean, max(bin) OVER g AS top
+    FROM own WINDOW o AS (PARTITION BY lang, source, measure ORDER BY bin), g AS (PARTITION BY lang, source, measure))
 ), best AS (
   SELECT lang, source, measure, max(explained) AS explained, arg_max(bin, explained) AS bin
-  FROM (SELECT *, pow(mean * below - sum_below, 2) / (below * (1 - below)) / (squares - mean * mean) AS explained FROM run WHERE bin < top AND below >= """ + str(LEAST_LEFT) + """) GROUP BY ALL
+  FROM (SELECT *, pow(mean * below - sum_below, 2) / nullif(below * above, 0) / nullif(spread, 0) AS explained FROM run WHERE bin < top AND below >= """ + str(LEAST_LEFT) + """) GROUP BY ALL
 ), bounds AS (
   SELECT lang, source, """ + ", ".join(f"max(bin) FILTER (WHERE measure = '{m}' AND explained >= {LEAST_EXPLAINED}) AS max_{m}" for m in RULES) + """ FROM best GROUP BY ALL
 ), judged AS (

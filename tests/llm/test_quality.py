@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from fixtures import documents, frame
 from pyspark.sql import functions as F
 
@@ -70,6 +71,16 @@ def test_a_cut_needs_a_clear_gap_and_most_of_the_group(spark):
     assert cut(norm) is None and cut(even).explained < 0.8
 
 
+@pytest.mark.parametrize("n", [10**4, 10**10, 10**17])
+def test_groups_of_any_size(spark, n):
+    """A bin of one document among very many, and groups in which nothing varies."""
+    rows = [("1en", "1a", m, b, k) for m in quality.RULES for b, k in ((0, n), (950, n // 10), (1000, 1))] + [("1en", "1b", m, 970, n) for m in quality.RULES] + [("1de", "1a", m, 0, 3) for m in quality.RULES]
+    got = {(r.lang_key, r.source_key): r for r in quality.thresholds(spark.createDataFrame(rows, "lang_key string, source_key string, measure string, bin int, n long")).collect()}
+    assert len(got) == 3 and got["1en", "1a"].max_symbol_ratio == 0
+    shares = spark.createDataFrame([("g", "symbol_ratio", 0, 1.0), ("g", "symbol_ratio", 950, 0.0)], "g string, measure string, bin int, share double")
+    assert quality.cuts(shares, ["g"]).first().explained is None  # nothing varies
+
+
 def test_filter_keeps_rows_as_they_are(spark):
     df = frame(spark, clashes=True)
     kept = quality.keep_good(df)
