@@ -2,11 +2,14 @@
 
 One classifier sees a document's text as a set of hashed tokens, the other its
 page metadata: language, source and lengths, nothing of what the text says.
-In each round both score all documents.  Where one view is certain and the
-other doesn't contradict, the document is a pseudo-label for the other; the
-tasks count the features of all such documents by class, and the log odds of
-those counts become a second part of the other view.  At the end each view,
-and then their sum, is calibrated on labels that nothing was fitted on.
+In each round both score all documents.  A view is certain of the documents
+that it ranks highest and lowest, a share of as many as each class is expected
+to have, so a view whose chances all lie in the middle gives labels too.  Where
+one view is certain and the other doesn't contradict, the document is a
+pseudo-label for the other; the tasks count the features of all such documents
+by class, and the log odds of those counts become a second part of the other
+view.  At the end each view, and then their sum, is calibrated on labels that
+nothing was fitted on, so pseudo-labels that tell nothing get no weight.
 
 A view has two parts: a logistic regression on at most ``LABELLED`` labelled
 rows, fitted on the driver, and the log odds of the pseudo-labels, of which
@@ -39,8 +42,10 @@ ROUNDS = 2
 TOKEN_BINS, META_BINS = 1 << 18, 1 << 12
 #: Bins in fewer documents, or whose share of a class is nearer to its base rate than so many deviations, have no weight.
 LEAST_ROWS, LEAST_DEVIATIONS = 4, 2.5
-#: Scores beyond these become pseudo-labels, unless the other view is beyond ``CONTRARY`` on the other side.
-CERTAIN, CONTRARY = (0.05, 0.95), (0.2, 0.8)
+#: Share of a class's expected documents that a view is certain of, those ranked furthest; a pseudo-label unless the other view's chance is beyond ``CONTRARY`` on the other side.
+CERTAIN, CONTRARY = 0.25, (0.2, 0.8)
+#: Steps of a logit, and the largest one, in which ranks are counted.
+STEPS, FURTHEST = 64, 20
 VIEWS = (("tokens", TOKEN_BINS), ("meta", META_BINS))
 
 TOKENS = re.compile(rb"[a-z0-9\x80-\xff]+|[^\x00-\x20a-z0-9\x80-\xff]+")
@@ -195,7 +200,7 @@ def features(docs: DataFrame, meta_cols: Sequence[str] = ("lang", "source"), id_
 
     A null text is empty, and null metadata is a value of its own.  A very
     long text has as many tokens as it has distinct ones.  Repeated rows and
-    null ids stay; other columns are ignored.
+    null ids stay; other columns are ignored, whatever their names.
     """
     modest_batches(docs.sparkSession)
     return stored(docs.select(F.col(id_col).alias("doc_id"), _features(text_col, *[F.col(c).cast("string") for c in meta_cols]).alias("f")).select("doc_id", "f.*"), "views")
@@ -216,23 +221,70 @@ def classify(views: DataFrame, models: dict[str, dict]) -> DataFrame:
     return views.select("doc_id", score("tokens", "meta").alias("s")).select("doc_id", "s.*")
 
 
-def exchanged(views: DataFrame, models: dict[str, dict]) -> DataFrame:
-    """``target, view, said, bin, n``: in how many pseudo-labelled documents for a view each bin is; bin -1 counts the documents.
+def steps_of(logits: np.ndarray) -> np.ndarray:
+    return np.floor(np.clip(logits, -FURTHEST, FURTHEST) * STEPS).astype(np.int64)
 
-    A document is a pseudo-label for a view where the other one is certain and
-    it is not certain of the contrary.
-    """
+
+def ranked(views: DataFrame, models: dict[str, dict]) -> dict[tuple[str, str], dict[int, int]]:
+    """For each target and view, how many documents have a logit in each step: at most so many small numbers."""
     held = views.sparkSession.sparkContext.broadcast(packed(models))
+    least = -FURTHEST * STEPS
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, sums = unpacked(held.value), {}
+        for batch in batches:
+            for target, model in known.items():
+                for (view, _), logits in zip(VIEWS, logits_of(model, batch["tokens"].tolist(), batch["meta"].tolist())):
+                    n = sums.setdefault((target, view), np.zeros(2 * FURTHEST * STEPS + 1, np.int64))
+                    n += np.bincount(steps_of(logits) - least, minlength=len(n))
+        for (target, view), n in sums.items():
+            met = np.flatnonzero(n)
+            yield pd.DataFrame({"target": target, "view": view, "step": met + least, "n": n[met]})
+
+    told = views.select("tokens", "meta").mapInPandas(count, "target string, view string, step bigint, n bigint").groupBy("target", "view", "step").agg(F.sum("n").alias("n"))
+    out: dict[tuple[str, str], dict[int, int]] = {(t, v): {} for t in models for v, _ in VIEWS}
+    for r in told.collect():
+        out[r.target, r.view][r.step] = r.n
+    return out
+
+
+def certain_steps(counts: dict[int, int], rate: float) -> tuple[int, int]:
+    """The step up to which a view is certain of class 0, and that from which it is of class 1.
+
+    Whole steps are taken from either end until ``CERTAIN`` of the documents
+    that the class is expected to have are reached, but none on the other
+    side of the base rate.
+    """
+    total, base = sum(counts.values()), int(steps_of(np.array([np.log(rate / (1 - rate))]))[0])
+    low, high = -FURTHEST * STEPS - 1, FURTHEST * STEPS + 1
+    for steps, wanted in ((sorted(k for k in counts if k < base), CERTAIN * (1 - rate) * total), (sorted((k for k in counts if k > base), reverse=True), CERTAIN * rate * total)):
+        met = 0
+        for k in steps:
+            if met >= wanted:
+                break
+            met += counts[k]
+            low, high = (k, high) if k < base else (low, k)
+    return low, high
+
+
+def exchanged(views: DataFrame, models: dict[str, dict], certain: dict[tuple[str, str], tuple[int, int]]) -> DataFrame:
+    """``target, view, said, bin, n``: in how many pseudo-labelled documents for a view each bin is; bin -1 counts the documents.
+
+    A document is a pseudo-label for a view where the other one is ``certain``
+    and it is not certain of the contrary.
+    """
+    held = views.sparkSession.sparkContext.broadcast((packed(models), certain))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        (models, edges), sums = held.value, {}
+        known = unpacked(models)
         for batch in batches:
             rows = {"tokens": batch["tokens"].tolist(), "meta": batch["meta"].tolist()}
             for target, model in known.items():
                 text, meta, _ = logits_of(model, rows["tokens"], rows["meta"])
-                for view, bins, giver, taker in (("tokens", TOKEN_BINS, meta, text), ("meta", META_BINS, text, meta)):
-                    p, q = _chances(giver), _chances(taker)
-                    for said, sure in ((0, (p <= CERTAIN[0]) & (q < CONTRARY[1])), (1, (p >= CERTAIN[1]) & (q > CONTRARY[0]))):
+                for view, bins, by, giver, taker in (("tokens", TOKEN_BINS, "meta", meta, text), ("meta", META_BINS, "tokens", text, meta)):
+                    (low, high), step, q = edges[target, by], steps_of(giver), _chances(taker)
+                    for said, sure in ((0, (step <= low) & (q < CONTRARY[1])), (1, (step >= high) & (q > CONTRARY[0]))):
                         some = [rows[view][i] for i in np.flatnonzero(sure)]
                         if some:
                             n = sums.setdefault((target, view, said), np.zeros(bins + 1, np.int64))
@@ -274,6 +326,9 @@ def labelled_sample(views: DataFrame, labels: DataFrame, targets: Sequence[str],
 def co_train(views: DataFrame, labels: DataFrame, targets: Sequence[str], rounds: int = ROUNDS, labelled: int = LABELLED, id_col: str = "doc_id") -> dict[str, dict]:
     """A model for each 0/1 column of ``labels`` named in ``targets``; ``views`` come from :func:`features`.
 
+    ``given`` in a model tells, round by round, how many documents of class 0
+    and 1 each view was given by the other.
+
     Rows with a null id or label and labels of unknown documents aren't used;
     repeated labels count as often as they occur.  Without labels every score
     is the smoothed base rate.
@@ -287,17 +342,20 @@ def co_train(views: DataFrame, labels: DataFrame, targets: Sequence[str], rounds
     models = {t: _model(sample, t, regressions[t], {}) for t in targets}
     known = views.sparkSession.createDataFrame([(i,) for i in sample["doc_id"].unique().tolist()], T.StructType([views.schema["doc_id"]]))
     rest = views.join(F.broadcast(known), "doc_id", "left_anti")
+    given: dict[str, list] = {t: [] for t in targets}
     for _ in range(rounds if len(sample) else 0):
+        certain = {(t, v): certain_steps(n, (sample[t].sum() + 1) / (len(sample) + 2)) for (t, v), n in ranked(rest, models).items()}
         n_of = [F.sum(F.when(F.col("said") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1)]
-        told = stored(exchanged(rest, models).groupBy("target", "view", "bin").agg(*n_of).filter((F.col("n0") + F.col("n1") >= LEAST_ROWS) | (F.col("bin") < 0)), "exchanged")
+        told = stored(exchanged(rest, models, certain).groupBy("target", "view", "bin").agg(*n_of).filter((F.col("n0") + F.col("n1") >= LEAST_ROWS) | (F.col("bin") < 0)), "exchanged")
         pseudo = {}
         for t, (name, bins) in itertools.product(targets, VIEWS):  # a model's bins at a time: at most so many rows
             some = told.filter((F.col("target") == t) & (F.col("view") == name)).select("bin", "n0", "n1").toPandas()
             counts = np.zeros((2, bins + 1))
             counts[:, some["bin"].to_numpy()] = some[["n0", "n1"]].to_numpy().T
             pseudo[t, name] = odds(counts[:, :-1], counts[:, -1])
+            given[t].append((name, *map(int, counts[:, -1])))
         models = {t: _model(sample, t, regressions[t], {name: pseudo[t, name] for name, _ in VIEWS}) for t in targets}
-    return models
+    return {t: m | {"given": given[t]} for t, m in models.items()}
 
 
 def good(quality: Column, toxic: Column, least: float = 0.5) -> Column:
