@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rayloom.llm.common import stored
+from rayloom.llm.spans import blocks, cut, let, matches
 
 #: Patterns of the base kinds: fixed values.  In "assign" letters of the names are in either case.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -30,31 +31,9 @@ LEAST_BITS = 40.0
 
 #: Spans of so many texts, and so many of them, are broadcast to be joined back.
 BROADCAST_TEXTS, BROADCAST_ENTRIES = 50_000, 200_000
-#: Elements that are summed one by one; longer arrays are summed by such parts.
-PART = 512
 
 CANDIDATE = "array<struct<start:bigint,nth:int,end:bigint,value:binary,shape:boolean>>"
-
-
-def _let(value: Column, use) -> Column:
-    """``use`` of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def _sums(lengths: Column) -> Column:
-    """Sums of the elements before each, and of all; an append copies the array."""
-    return F.aggregate(lengths, F.array(F.lit(0).cast("long")), lambda sums, n: F.array_append(sums, F.element_at(sums, -1) + n))
-
-
-def _running(lengths: Column) -> Column:
-    """The same part by part, so that long arrays are not copied for each element."""
-    parts = _let(lengths, lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / PART).cast("int")), lambda i: _sums(F.slice(x, i * PART + 1, F.lit(PART)))))
-    put = lambda p: _let(_sums(F.transform(p, lambda x: F.element_at(x, -1))), lambda before: F.concat(F.flatten(F.transform(p, lambda x, i: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda n: n + F.get(before, i)))), F.array(F.element_at(before, -1))))
-    return _let(parts, put)
-
-
-def _lengths(parts: Column) -> Column:
-    return F.transform(parts, lambda p: F.length(p).cast("long"))
+MATCHED = "array<struct<start:bigint,nth:int,end:bigint,value:binary,shape:boolean,fits:boolean>>"
 
 
 def bits(value: Column) -> Column:
@@ -76,16 +55,13 @@ def looks_live(value: Column) -> Column:
 def found(text: Column, pattern: str, kind: str, value_group: int, least: int, more=None) -> Column:
     """Matches of ``pattern``, leftmost and non-overlapping, as ``CANDIDATE``; positions in code points.
 
-    What lies between the matches gives their positions; a text without any is
-    searched once, another twice.  A match is dropped where its value, the
-    group ``value_group``, has fewer than ``least`` characters.
+    A match is dropped where its value, the group ``value_group``, has fewer
+    than ``least`` characters.
     """
 
-    def entry(parts: Column, i: Column) -> Column:
-        start = F.get(parts["gaps"], i + 1) + F.get(parts["sizes"], i)
-        match = F.get(parts["whole"], i)
+    def entry(start: Column, match: Column, before: Column, after: Column) -> Column:
         value = F.regexp_extract(match, pattern, value_group) if value_group else match
-        return _let(
+        return let(
             value,
             lambda said: F.struct(
                 start.alias("start"),
@@ -97,14 +73,8 @@ def found(text: Column, pattern: str, kind: str, value_group: int, least: int, m
             ),
         )
 
-    def entries(between: Column) -> Column:
-        whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        parts = _let(whole, lambda w: F.struct(_running(_lengths(between)).alias("gaps"), _running(_lengths(w)).alias("sizes"), w.alias("whole")))
-        kept = _let(parts, lambda p: F.filter(F.transform(F.sequence(F.lit(0), F.size(p["whole"]) - 1), lambda i: entry(p, i)), lambda e: e["fits"]))
-        told = F.transform(kept, lambda e: F.struct(e["start"], e["nth"], e["end"], e["value"], e["shape"]))
-        return F.when(F.size(between) > 1, told).otherwise(F.array().cast(CANDIDATE))
-
-    return _let(F.split(text, pattern, -1), entries).cast(CANDIDATE)
+    kept = F.filter(matches(text, pattern, entry, MATCHED), lambda e: e["fits"])
+    return F.transform(kept, lambda e: F.struct(e["start"], e["nth"], e["end"], e["value"], e["shape"])).cast(CANDIDATE)
 
 
 def candidates(text: Column) -> Column:
@@ -115,7 +85,7 @@ def candidates(text: Column) -> Column:
 
 
 def annotate(held: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
-    """``tkey, found`` for each distinct text with spans: base spans, and bare tokens that look live and meet no base span.
+    """``tkey, found`` for each distinct text with spans: base spans, and bare tokens that look live and meet no base span; ``clear`` is where the spans before have ended.
 
     ``held`` has ``tkey, owner, repository, cands``, one row per document.
     Distinct (value, owner, repository) triples are counted in two steps, so
@@ -133,7 +103,8 @@ def annotate(held: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repo
     after = Window.partitionBy("tkey").orderBy(F.col("start").desc(), F.col("nth").desc()).rowsBetween(Window.unboundedPreceding, -1)
     apart = (F.coalesce(F.max(F.when(is_base, F.col("end"))).over(before), F.lit(0)) <= F.col("start")) & (F.coalesce(F.min(F.when(is_base, F.col("start"))).over(after), F.col("end")) >= F.col("end"))
     kept = judged.withColumn("apart", apart).filter(is_base | (F.col("live") & F.col("apart")))
-    entry = F.struct("start", "nth", "end", "live", "n_owners", "n_repositories", "value")
+    kept = kept.withColumn("clear", F.coalesce(F.max("end").over(before), F.lit(0).cast("long")))
+    entry = F.struct("start", "nth", "end", "live", "n_owners", "n_repositories", "value", "clear")
     return kept.groupBy("tkey").agg(F.array_sort(F.collect_list(entry)).alias("found"))
 
 
@@ -199,17 +170,15 @@ def count_kind(entries: Column, kind: str) -> Column:
 
 
 def redacted(text: Column, entries: Column) -> Column:
-    """The text with each span replaced: ``[SECRET]`` where it looks live, else ``[EXAMPLE]``."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("done"))
+    """The text with each span replaced: ``[SECRET]`` where it looks live, else ``[EXAMPLE]``; of spans that meet the first one is."""
 
-    def step(state: Column, e: Column) -> Column:
-        mark = F.when(e["live"], F.lit("[SECRET]")).otherwise(F.lit("[EXAMPLE]"))
-        before = F.substring(text, (state["at"] + 1).cast("int"), (e["start"] - state["at"]).cast("int"))
-        cut = F.struct(e["end"].alias("at"), F.concat(state["done"], before, mark).alias("done"))
-        longer = F.struct(F.greatest(state["at"], e["end"]).alias("at"), state["done"].alias("done"))
-        return F.when(e["start"] >= state["at"], cut).otherwise(longer)
+    def told(pieces: Column) -> Column:
+        mark = lambda e: F.when(e["live"], F.lit("[SECRET]")).otherwise(F.lit("[EXAMPLE]"))
+        kept = F.transform(F.filter(entries, lambda e: e["start"] >= e["clear"]), lambda e: F.concat(cut(pieces, e["clear"], e["start"]), mark(e)))
+        last = F.array_max(F.transform(entries, lambda e: e["end"]))
+        return F.concat(F.array_join(kept, ""), cut(pieces, last, F.length(text).cast("long")))
 
-    return F.aggregate(entries, start, step, lambda s: F.concat(s["done"], F.substring(text, (s["at"] + 1).cast("int"), F.lit(2**31 - 1))))
+    return let(blocks(text), told)
 
 
 def redact_secrets(
@@ -224,7 +193,8 @@ def redact_secrets(
 
     Texts are searched once.  The spans of the few texts that have any are
     joined back by the text's digest: broadcast where they are few, else by
-    shuffle.  Owners, nulls, repeated rows and empty tables are as in
+    shuffle.  A text is cut in blocks, in time linear in its length and spans.
+    Owners, nulls, repeated rows and empty tables are as in
     :func:`scan_secrets`; a null text stays null.  Columns may have any names.
     """
     tkey = F.unhex(F.md5(F.col(text_col)))

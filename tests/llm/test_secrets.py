@@ -92,6 +92,13 @@ def test_positions_in_a_text_of_many_matches(spark):
     assert got == base(text) and got.count(",") == 1299
 
 
+def test_many_spans_of_a_long_text_are_replaced(spark):
+    rng = __import__("random").Random(5)
+    said = [("é" * rng.randrange(400), f"token={rng.randrange(10**7, 10**8)}") for _ in range(16_000)]
+    got = secrets.redact_secrets(frame(spark, [(1, " ".join(a + " " + b for a, b in said), "en", "a", 0), (2, "my token=abcdefgh", "en", "a", 0)])).collect()
+    assert {r.doc_id: r.text for r in got} == {1: " ".join(a + " [EXAMPLE]" for a, _ in said), 2: "my [EXAMPLE]"}
+
+
 def test_without_sources(spark):
     df = spark.createDataFrame([(1, f"a {KEY} b")], "id long, text string")
     assert secrets.redact_secrets(df).first().text == "a [SECRET] b"
