@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rayloom.lineage import shared_dir, stored
+from rayloom.lineage import scratch, stored
 from rayloom.llm.common import modest_batches, small_enough
 
 #: Bytes after which a task begins a new archive.
@@ -98,12 +98,13 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_revisit: i
     A payload is the UTF-8 html; null is empty.  Of equal payloads of at least
     ``least_revisit`` bytes the row of least id is the response, the others
     revisit it.  Null ids come after all others; rows that share the least id,
-    or have only null ids, are all responses.  Null URLs have no header.  An
-    empty table gives an empty index; other columns are ignored.
+    or have only null ids, are all responses.  Null URLs have no header.  A
+    very long payload is one record, which a task holds.  An empty table gives
+    an empty index; other columns are ignored.
     """
     modest_batches(pages.sparkSession)
     spark, kind = pages.sparkSession, pages.select(id_col).schema[0].dataType
-    top = f"{(folder or shared_dir(spark)).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    top = f"{folder.rstrip('/')}/warc-{uuid.uuid4().hex}" if folder else scratch(spark, "warc")
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     sha = F.sha1(payload)
     told = pages.select(F.col(id_col).alias("id"), sha.alias("sha"), F.octet_length(payload).alias("bytes"))
@@ -114,7 +115,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_revisit: i
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), sha.alias("sha"))
     if small_enough(again, BROADCAST_DIGESTS):
         planned = base.join(F.broadcast(again), "sha", "left")
-    else:  # payloads stay where they are: the narrow rows that revisit are dealt by id and digest, of which no pair is hot
+    else:  # payloads are shuffled once, by id and digest, of which no pair is hot
         pairs = told.join(again, "sha").filter(~F.col("id").eqNullSafe(F.col("first_id"))).select("id", "sha", "first_id").distinct()
         planned = base.join(pairs, base["id"].eqNullSafe(pairs["id"]) & (base["sha"] == pairs["sha"]), "left").select(base["id"], "url", "payload", base["sha"], "first_id")
     planned = planned.select(F.col("id").cast("string").alias("page_id"), "url", "payload", "sha", refers.alias("refers_to"))
