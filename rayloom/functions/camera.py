@@ -8,6 +8,7 @@ projections doesn't grow with each link.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -110,6 +111,21 @@ def opk_of_matrix(m: Matrix) -> tuple[Column, Column, Column]:
     return omega, phi, kappa
 
 
+def zyx_matrix(rz: Column, ry: Column, rx: Column) -> list[Column]:
+    """Rotation by three angles, in radians: about z, then the turned y, then the turned x."""
+    t = _sines(rz, ry, rx)
+    return product(product(_about("z", t, 0), _about("y", t, 1)), _about("x", t, 2))
+
+
+def opk_of_zyx(m: Matrix) -> tuple[Column, Column, Column]:
+    """Omega, phi and kappa, in radians, of a rotation made by :func:`zyx_matrix`; omega is 0 where phi is a right angle."""
+    locked = F.abs(m[6]) >= 1 - 1e-12
+    phi = F.when(locked, F.when(m[6] < 0, math.pi / 2).otherwise(-math.pi / 2)).otherwise(F.asin(F.greatest(F.least(-m[6], F.lit(1.0)), F.lit(-1.0))))
+    omega = F.when(locked, F.lit(0.0)).otherwise(F.atan2(m[7], m[8]))
+    kappa = F.when(locked, F.atan2(-m[1], m[4])).otherwise(F.atan2(m[3], m[0]))
+    return omega, phi, kappa
+
+
 def _ypr(t: Column) -> list[Column]:
     """Rotation by yaw about z, then pitch about x, then roll about y."""
     return product(product(_about("z", t, 0), _about("x", t, 1)), _about("y", t, 2))

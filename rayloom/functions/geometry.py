@@ -207,7 +207,12 @@ def fit_ellipse(ring: np.ndarray) -> tuple[float, float, float, float, float] |
     middle, spread = v.mean(axis=0), max(float(v.std()), 1e-12)
     x, y = ((v - middle) / spread).T
     square, linear = np.column_stack((x * x, x * y, y * y)), np.column_stack((x, y, np.ones_like(x)))
-    s1, s2, s3 = square.T @ square, square.T @ linear, linear.T @ linear
+    fit = ellipse_of_scatter(square.T @ square, square.T @ linear, linear.T @ linear)
+    return None if fit is None else (fit[0] * spread + middle[0], fit[1] * spread + middle[1], fit[2] * spread, fit[3] * spread, fit[4])
+
+
+def ellipse_of_scatter(s1: np.ndarray, s2: np.ndarray, s3: np.ndarray) -> tuple[float, float, float, float, float] | None:
+    """The same from the scatter of ``x x, x y, y y`` with itself, with ``x, y, 1``, and of those with themselves."""
     try:
         t = -np.linalg.solve(s3, s2.T)
         reduced = s1 + s2 @ t
@@ -229,7 +234,7 @@ def fit_ellipse(ring: np.ndarray) -> tuple[float, float, float, float, float] |
         half = np.sqrt(level / values)
     if not np.all(np.isfinite(half)):
         return None
-    return float(cx * spread + middle[0]), float(cy * spread + middle[1]), float(half[0] * spread), float(half[1] * spread), float(np.arctan2(axes[1, 0], axes[0, 0]))
+    return float(cx), float(cy), float(half[0]), float(half[1]), float(np.arctan2(axes[1, 0], axes[0, 0]))
 
 
 def ellipse_ring(centre_x: float, centre_y: float, a: float, b: float, angle: float, vertices: int = 100) -> np.ndarray:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rayloom.functions.geometry import disc_iou, ring_area
+from rayloom.functions.outlines import area_iou
 from rayloom.lineage import stored
 from rayloom.operators.evaluation import by_class, summary
-from rayloom.operators.spatial import counted_on_grid, gridded, near_pairs
+from rayloom.operators.matching import distance_report, greedy_pairs
+from rayloom.operators.spatial import counted_on_grid, gridded, near_pairs, ring_pairs
 
 #: Radius that a point of an inventory stands for, in metres.
 DISC = 0.35
@@ -33,14 +36,38 @@ def tagged_points(dets: DataFrame, inventory: DataFrame, least_iou: float = 0.25
     a = dets.select("det_id", *keys, F.col("x").alias("det_x"), F.col("y").alias("det_y"))
     b = inventory.select("label_id", *keys, F.col("x").alias("label_x"), F.col("y").alias("label_y"))
     pairs = near_pairs(a, b, 2 * radius, ("det_x", "det_y"), ("label_x", "label_y"), keys).withColumn("iou", disc_iou(F.col("distance"), radius))
+    return _tagged(pairs, dets, inventory, least_iou, ("x", "y"), keys)
+
+
+def _tagged(pairs: DataFrame, dets: DataFrame, inventory: DataFrame, least_iou: float, shown: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Tags from pairs with their IoU: the best inventory object of each detection, and the best detection of each of those."""
     best = pairs.groupBy("det_id", *keys).agg(F.min(F.struct((-F.col("iou")).alias("worse"), "label_id")).alias("b")).select("det_id", *keys, F.col("b.label_id").alias("label_id"), (-F.col("b.worse")).alias("iou"))
     first = best.filter(F.col("iou") >= least_iou).groupBy("label_id", *keys).agg(F.min(F.struct((-F.col("iou")).alias("worse"), "det_id")).alias("b"))
     hits = stored(first.select("label_id", *keys, F.col("b.det_id").alias("det_id"), F.round(-F.col("b.worse"), 3).alias("iou")), "hits")
-    of_dets = dets.select("det_id", *keys, "x", "y").join(hits, ["det_id", *keys], "left").withColumn("tag", F.when(F.col("label_id").isNull(), "FP").otherwise("TP"))
-    missed = inventory.select("label_id", *keys, "x", "y").join(hits.select("label_id", *keys), ["label_id", *keys], "left_anti").withColumn("tag", F.lit("FN"))
+    of_dets = dets.select("det_id", *keys, *shown).join(hits, ["det_id", *keys], "left").withColumn("tag", F.when(F.col("label_id").isNull(), "FP").otherwise("TP"))
+    missed = inventory.select("label_id", *keys, *shown).join(hits.select("label_id", *keys), ["label_id", *keys], "left_anti").withColumn("tag", F.lit("FN"))
     return of_dets.unionByName(missed, allowMissingColumns=True)
 
 
+def disc_ring(x: Column, y: Column, radius: float = DISC, corners: int = 64) -> Column:
+    """A point as the polygon that stands for the disc around it."""
+    turns = [2 * math.pi * k / corners for k in range(corners)]
+    return F.when(x.isNotNull() & y.isNotNull(), F.array(*[v for t in turns for v in (x + radius * math.cos(t), y + radius * math.sin(t))]))
+
+
+def tagged_areas(dets: DataFrame, inventory: DataFrame, least_iou: float = 0.25, keys: Sequence[str] = (), cell: float = 1.0) -> DataFrame:
+    """Areas matched by IoU: ``tag, det_id, label_id, iou, ring`` and the keys.
+
+    ``dets``: ``det_id, ring``; ``inventory``: ``label_id, ring``.  Where
+    either has points, :func:`disc_ring` makes areas of them.
+    """
+    a = dets.select("det_id", *keys, F.col("ring").alias("left_ring"))
+    b = inventory.select("label_id", *keys, F.col("ring").alias("right_ring"))
+    met = ring_pairs(a, b, "det_id", "label_id", keys, cell=cell).join(a, ["det_id", *keys]).join(b, ["label_id", *keys])
+    pairs = met.select("det_id", "label_id", *keys, F.round(area_iou("left_ring", "right_ring"), 9).alias("iou"))
+    return _tagged(pairs, dets, inventory, least_iou, ("ring",), keys)
+
+
 def control_metrics(tags: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """TP, FP, FN, precision, recall and F1 of the one class."""
     classed = tags.withColumn("det_class", F.when(F.col("tag") != "FN", 0)).withColumn("label_class", F.when(F.col("tag") != "FP", 1))
@@ -70,6 +97,34 @@ def seen_often(truth: DataFrame, trajectory: DataFrame, id_col: str, reach: floa
     return truth.join(often.select(id_col), id_col, "left_semi")
 
 
+def located(
+    candidates: DataFrame,
+    truth: DataFrame,
+    trajectory: DataFrame,
+    reach: float = 2.0,
+    least_intersections: int = 2,
+    most_length: float = 15.0,
+    most_dist: float = 0.2,
+    seen_from: float = 15.0,
+    least_seen: int = 3,
+) -> tuple[DataFrame, DataFrame]:
+    """Triangulated places held against the truth: the report of their distances, and every place with its tag.
+
+    ``candidates``: ``place_id, x, y`` and their quality; ``truth``:
+    ``truth_id, x, y``; ``trajectory``: ``cam_x, cam_y``.  Candidates of poor
+    quality and truth that was hardly passed by are left out; then the nearest
+    are matched one to one, closer than ``reach``.  Tags are TP, FP and FN,
+    with ``truth_id, place_id, x, y, distance``.
+    """
+    found = stored(good_candidates(candidates, least_intersections, most_length, most_dist).select("place_id", "x", "y"), "good")
+    known = stored(seen_often(truth, trajectory, "truth_id", seen_from, least_seen).select("truth_id", "x", "y"), "seen")
+    a, b = known.withColumnsRenamed({"x": "t_x", "y": "t_y"}), found.withColumnsRenamed({"x": "f_x", "y": "f_y"})
+    pairs = stored(greedy_pairs(a, b, reach, ("t_x", "t_y"), ("f_x", "f_y"), "truth_id", "place_id"), "matched")
+    of_found = found.join(pairs, "place_id", "left").withColumn("tag", F.when(F.col("truth_id").isNull(), "FP").otherwise("TP"))
+    missed = known.join(pairs.select("truth_id"), "truth_id", "left_anti").withColumn("tag", F.lit("FN"))
+    return distance_report(pairs, known, found), of_found.unionByName(missed, allowMissingColumns=True)
+
+
 def reviewed(annotations: DataFrame, status: DataFrame, id_col: str = "ann_id") -> DataFrame:
     """Annotations with ``state``: validated, removed or unchecked; of several statuses of one the latest (``at``) counts."""
     last = status.groupBy(id_col).agg(F.max_by(F.struct("validated", "removed"), "at").alias("s"))

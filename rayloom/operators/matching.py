@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rayloom.functions.geometry import box_iou
 from rayloom.lineage import stored
+from rayloom.operators.conserved import Conservation
 from rayloom.operators.spatial import near_pairs, overlap_pairs
 
 
@@ -34,7 +35,7 @@ def matched(best: DataFrame, least_iou: float = 0.25, keys: Sequence[str] = ("im
     return first.select("label_id", *keys, *by, F.col("b.det_id").alias("det_id"), (-F.col("b.worse")).alias("iou"))
 
 
-def tagged(dets: DataFrame, labels: DataFrame, least_iou: float = 0.25, keys: Sequence[str] = ("image_id",), iou: Callable[[], Column] | None = None, cell: float = 64.0) -> DataFrame:
+def tagged(dets: DataFrame, labels: DataFrame, least_iou: float = 0.25, keys: Sequence[str] = ("image_id",), iou: Callable[[], Column] | None = None, cell: float = 64.0, check: Conservation | None = None) -> DataFrame:
     """Every detection and every label as TP, FP or FN.
 
     ``dets``: ``det_id, box, score, det_class`` and the keys; ``labels``:
@@ -42,14 +43,26 @@ def tagged(dets: DataFrame, labels: DataFrame, least_iou: float = 0.25, keys: Se
     at 0 and those of labels at 1; a match of other classes is tagged all the
     same, with both classes to see it by.  Without labels all detections are
     FP, without detections all labels are FN.  IoU is rounded to 3 digits
-    after the threshold is applied.
+    after the threshold is applied.  ``check`` counts what goes in and comes
+    out as the plan runs, and expects that every detection is a TP or an FP
+    and every label is found or an FN.
     """
     hits = matched(best_labels(dets, labels, keys, iou, cell), least_iou, keys)
-    found = dets.select("det_id", "score", "det_class", *keys).join(hits.select("det_id", "label_id", "iou", *keys), ["det_id", *keys], "left")
-    found = found.join(labels.select("label_id", "label_class", *keys), ["label_id", *keys], "left")
-    missed = labels.select("label_id", "label_class", *keys).join(hits.select("label_id", *keys), ["label_id", *keys], "left_anti")
+    told_dets, told_labels = dets.select("det_id", "score", "det_class", *keys), labels.select("label_id", "label_class", *keys)
+    if check is not None:
+        told_dets, told_missing = check.watch(told_dets, "detections"), check.watch(told_labels, "labels")
+    else:
+        told_missing = told_labels
+    found = told_dets.join(hits.select("det_id", "label_id", "iou", *keys), ["det_id", *keys], "left")
+    found = found.join(told_labels, ["label_id", *keys], "left")
+    missed = told_missing.join(hits.select("label_id", *keys), ["label_id", *keys], "left_anti")
     of_dets = found.select(F.when(F.col("label_id").isNull(), "FP").otherwise("TP").alias("tag"), "label_id", "label_class", "det_id", "score", "det_class", F.round("iou", 3).alias("iou"), *keys)
-    return of_dets.unionByName(missed.withColumn("tag", F.lit("FN")), allowMissingColumns=True)
+    tags = of_dets.unionByName(missed.withColumn("tag", F.lit("FN")), allowMissingColumns=True)
+    if check is None:
+        return tags
+    check.expect("tags.TP + tags.FP", "detections")
+    check.expect("tags.TP + tags.FN", "labels")
+    return check.watch(tags, "tags", **{t: F.col("tag") == t for t in ("TP", "FP", "FN")})
 
 
 def greedy_pairs(left: DataFrame, right: DataFrame, reach: float, left_xy: Sequence[str], right_xy: Sequence[str], left_id: str, right_id: str, keys: Sequence[str] = ()) -> DataFrame:

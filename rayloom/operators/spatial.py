@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rayloom.functions import outlines
 from rayloom.functions.geometry import boxes_meet, point_in_ring, ring_box
 from rayloom.lineage import stored
 
@@ -29,34 +30,96 @@ def covered(df: DataFrame, box: str, size: float) -> DataFrame:
     return df.withColumn("cell_x", _cells(b["x"], b["x"] + b["w"], size)).withColumn("cell_y", _cells(b["y"], b["y"] + b["h"], size))
 
 
-def overlap_pairs(left: DataFrame, right: DataFrame, box: str = "box", keys: Sequence[str] = (), cell: float = 64.0) -> DataFrame:
+def _crowded(cells: DataFrame, keys: Sequence[str], cell: float, most: int, deepest: int) -> DataFrame:
+    """``keys, cell_x, cell_y, level, parts`` of the cells with more than ``most`` rows (``cells``: of ``lx, ly, hx, hy``, clipped to the cell).
+
+    ``level``: how often the cell is halved: until no part of it has more than
+    ``most`` rows, but not to parts that are narrower than its rows on
+    average; ``parts``: into how many the rows of a part are split if that
+    isn't enough.  Rows are counted by the corner that they begin at, in the
+    smallest parts, before anything is shuffled.
+    """
+    by = [*keys, "cell_x", "cell_y"]
+    fine = lambda v, c: F.least(F.greatest(F.floor((F.col(v) / cell - F.col(c)) * (1 << deepest)), F.lit(0)), F.lit((1 << deepest) - 1)).cast("int")
+    spots = cells.groupBy(*by, fine("lx", "cell_x").alias("i"), fine("ly", "cell_y").alias("j")).agg(F.count("*").alias("n"), F.sum(F.greatest(F.col("hx") - F.col("lx"), F.col("hy") - F.col("ly"))).alias("extent"))
+    held = stored(spots, "spots")
+    of_cell = held.groupBy(*by).agg(F.sum("n").alias("total"), (F.sum("extent") / F.sum("n")).alias("mean")).filter(F.col("total") > most)
+    part = lambda k: F.struct(F.shiftright("i", deepest - k), F.shiftright("j", deepest - k))
+    levels = held.join(of_cell.select(*by), by).select(*by, "n", F.posexplode(F.array(*[part(k) for k in range(deepest + 1)])).alias("level", "part"))
+    largest = levels.groupBy(*by, "level", "part").agg(F.sum("n").alias("n")).groupBy(*by, "level").agg(F.max("n").alias("largest")).join(of_cell, by)
+    fits = (F.col("level") == 0) | (F.lit(cell) / F.pow(F.lit(2.0), F.col("level")) >= F.col("mean"))
+    first = largest.filter(fits).groupBy(*by).agg(F.min(F.struct((F.col("largest") > most).alias("over"), F.when(F.col("largest") > most, -F.col("level")).otherwise(F.col("level")).alias("order"), "level", "largest")).alias("b"))
+    return first.select(*by, F.col("b.level").alias("level"), F.ceil(F.col("b.largest") / most).cast("int").alias("parts"))
+
+
+def _spread(df: DataFrame, hot: DataFrame, keys: Sequence[str], cell: float, share: bool) -> DataFrame:
+    """Rows of cells (``lx, ly, hx, hy``) with the ``sub_x, sub_y`` that they cover in a crowded cell, and one ``part`` of it, or all parts for the side that isn't shared out."""
+    met = df.join(hot, [*keys, "cell_x", "cell_y"], "left")
+    wide = F.lit(cell) / F.pow(F.lit(2.0), F.coalesce("level", F.lit(0)))
+    last = F.pow(F.lit(2.0), F.coalesce("level", F.lit(0))).cast("long") - 1
+    for v, c in (("x", "cell_x"), ("y", "cell_y")):
+        at = lambda side: F.least(F.greatest(F.floor((F.col(f"{side}{v}") - F.col(c) * F.lit(cell)) / wide), F.lit(0)), last)  # noqa: B023, E731
+        met = met.withColumn(f"sub_{v}", F.when(F.col("level") > 0, F.sequence(at("l"), at("h"))).otherwise(F.array(F.lit(0).cast("long"))))
+        met = met.withColumn(f"sub_{v}", F.explode(f"sub_{v}"))
+    parts = F.coalesce("parts", F.lit(1))
+    own = F.pmod(F.xxhash64(*df.columns), parts).cast("int") if share else F.explode(F.sequence(F.lit(0), parts - 1))
+    return met.withColumn("part", own).drop("level", "parts")
+
+
+def overlap_pairs(left: DataFrame, right: DataFrame, box: str = "box", keys: Sequence[str] = (), cell: float = 64.0, most: int | None = None, deepest: int = 5) -> DataFrame:
     """Pairs of rows whose boxes intersect, in the same ``keys``.
 
     Columns other than the keys must differ; the sides' boxes come as
     ``left_box`` and ``right_box``.  ``cell`` should be some widths of a
     usual box.  Rows with a null box have no partner.
+
+    With ``most``, cells with more rows of the left side are halved up to
+    ``deepest`` times, and where that doesn't thin them out their left rows are
+    split and their right rows copied to each part, so that no join key has
+    more left rows than that.
     """
     a = covered(left.withColumnRenamed(box, "left_box"), "left_box", cell)
     b = covered(right.withColumnRenamed(box, "right_box"), "right_box", cell)
-    x = F.floor(F.greatest(F.col("left_box.x"), F.col("right_box.x")) / cell)
-    y = F.floor(F.greatest(F.col("left_box.y"), F.col("right_box.y")) / cell)
-    met = a.join(b, [*keys, "cell_x", "cell_y"]).filter(boxes_meet(F.col("left_box"), F.col("right_box")))
-    return met.filter((F.col("cell_x") == x) & (F.col("cell_y") == y)).drop("cell_x", "cell_y")
-
-
-def near_pairs(left: DataFrame, right: DataFrame, reach: float, left_xy: Sequence[str], right_xy: Sequence[str], keys: Sequence[str] = (), strict: bool = False) -> DataFrame:
+    x, y = (F.greatest(F.col(f"left_box.{v}"), F.col(f"right_box.{v}")) for v in "xy")
+    on = [*keys, "cell_x", "cell_y"]
+    first = (F.col("cell_x") == F.floor(x / cell)) & (F.col("cell_y") == F.floor(y / cell))
+    corners = lambda df, side: df.withColumns({f"l{v}": F.greatest(F.col(f"{side}.{v}"), F.col(f"cell_{v}") * F.lit(cell)) for v in "xy"} | {f"h{v}": F.least(F.col(f"{side}.{v}") + F.col(f"{side}.{w}"), (F.col(f"cell_{v}") + 1) * F.lit(cell)) for v, w in (("x", "w"), ("y", "h"))})
+    hot = None if most is None else stored(_crowded(corners(a, "left_box"), keys, cell, most, deepest), "crowded")
+    if hot is None or hot.isEmpty():
+        return a.join(b, on).filter(boxes_meet(F.col("left_box"), F.col("right_box"))).filter(first).drop("cell_x", "cell_y")
+    spread = lambda df, side, share: _spread(corners(df, side), hot, keys, cell, share).drop("lx", "ly", "hx", "hy")
+    level = hot.select(*on, "level")
+    met = spread(a, "left_box", True).join(spread(b, "right_box", False), [*on, "sub_x", "sub_y", "part"]).filter(boxes_meet(F.col("left_box"), F.col("right_box")) & first)
+    # of the parts of a cell that both cover, the pair counts in the one that holds its reference point
+    met = met.join(level, on, "left")
+    wide, last = F.lit(cell) / F.pow(F.lit(2.0), F.coalesce("level", F.lit(0))), F.pow(F.lit(2.0), F.coalesce("level", F.lit(0))).cast("long") - 1
+    sub = lambda v, c: F.least(F.greatest(F.floor((v - F.col(c) * F.lit(cell)) / wide), F.lit(0)), last)
+    return met.filter((F.col("sub_x") == sub(x, "cell_x")) & (F.col("sub_y") == sub(y, "cell_y"))).drop("cell_x", "cell_y", "sub_x", "sub_y", "part", "level")
+
+
+def near_pairs(left: DataFrame, right: DataFrame, reach: float, left_xy: Sequence[str], right_xy: Sequence[str], keys: Sequence[str] = (), strict: bool = False, most: int | None = None) -> DataFrame:
     """Pairs of points at most ``reach`` apart (less than, if ``strict``), with their ``distance``.
 
     Names of coordinates and of all other columns must differ between the
     sides; three coordinates on either side compare in space.  The left points
     are dealt to the cells around them, so the smaller side belongs there.
+    With ``most``, the right points of cells that have more are split into
+    parts of about so many, and the left points copied to each part.
     """
     cell = lambda c: F.floor(F.col(c) / reach).cast("long")
     around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
     a = left.withColumn("cell_x", around(left_xy[0])).withColumn("cell_y", around(left_xy[1]))
     b = right.withColumn("cell_x", cell(right_xy[0])).withColumn("cell_y", cell(right_xy[1]))
+    on = [*keys, "cell_x", "cell_y"]
+    if most is not None:
+        hot = stored(b.groupBy(*on).agg(F.ceil(F.count("*") / most).cast("int").alias("parts")).filter("parts > 1"), "crowded")
+        if not hot.isEmpty():
+            parts = F.coalesce("parts", F.lit(1))
+            b = b.join(hot, on, "left").withColumn("part", F.pmod(F.xxhash64(*right.columns), parts).cast("int")).drop("parts")
+            a = a.join(hot, on, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+            on = [*on, "part"]
     square = sum((F.pow(F.col(p) - F.col(q), 2) for p, q in zip(left_xy, right_xy)), F.lit(0.0))
-    found = a.join(b, [*keys, "cell_x", "cell_y"]).withColumn("distance", F.sqrt(square)).drop("cell_x", "cell_y")
+    found = a.join(b, on).withColumn("distance", F.sqrt(square)).drop("cell_x", "cell_y", "part")
     return found.filter(F.col("distance") < reach if strict else F.col("distance") <= reach)
 
 
@@ -81,9 +144,9 @@ def counted_on_grid(points: DataFrame, x: str, y: str, min_x: float, min_y: floa
 
 def gridded(counts: DataFrame, min_x: float, min_y: float, max_x: float, max_y: float, size: float, by: Sequence[str] = ()) -> DataFrame:
     """The counts of :func:`counted_on_grid` with every cell of the extent: those without points have ``n`` 0 and no ``by``."""
-    spark = counts.sparkSession
-    cells = spark.range(1).select(F.explode(grid_cells(F.lit(float(min_x)), F.lit(float(min_y)), F.lit(float(max_x - min_x)), F.lit(float(max_y - min_y)), size)).alias("c"))
-    cells = cells.select(F.col("c.x").alias("cell_x"), F.col("c.y").alias("cell_y"))
+    across, up = (max(math.ceil((high - low) / size), 1) for low, high in ((min_x, max_x), (min_y, max_y)))
+    corner = lambda low, i: F.lit(float(low)) + i * F.lit(float(size))
+    cells = counts.sparkSession.range(across * up).select(corner(min_x, F.floor(F.col("id") / up)).alias("cell_x"), corner(min_y, F.col("id") % up).alias("cell_y"))
     name = F.concat(F.bround("cell_x").cast("long").cast("string"), F.lit(", "), F.bround("cell_y").cast("long").cast("string"))
     return cells.withColumn("cell_id", name).join(counts.select("cell_id", *by, "n"), "cell_id", "left").fillna(0, ["n"])
 
@@ -101,6 +164,27 @@ def in_polygons(points: DataFrame, areas: DataFrame, xy: Sequence[str] = ("x", "
     return points.join(met.select(F.col("_id").alias(id_col)).distinct(), id_col, "left_semi")
 
 
+def ring_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, keys: Sequence[str] = (), left_ring: str = "left_ring", right_ring: str = "right_ring", cell: float = 64.0) -> DataFrame:
+    """``<keys>, left_id, right_id`` of the areas that share some of their area, each pair once.
+
+    Each ring is dealt to the cells that its area may lie in, with a mark
+    whether the cell is wholly inside or an edge goes through it.  Two areas in
+    one cell that is wholly inside one of them and at least passed by the
+    other share area; only pairs that no cell decides are compared by their
+    outlines, and only their rings are joined back.  ``cell`` should be about
+    the width of a small area.  Null rings and rings without area meet
+    nothing; ids are unique within ``keys``.
+    """
+    mark = outlines.marks_of(cell)
+    dealt = lambda df, name, ring, side: df.select(*keys, name, F.inline(mark(ring))).withColumnRenamed("mark", f"mark_{side}")
+    met = dealt(left, left_id, left_ring, "l").join(dealt(right, right_id, right_ring, "r"), [*keys, "cell_x", "cell_y"])
+    sure = (F.greatest("mark_l", "mark_r") == 2) & (F.least("mark_l", "mark_r") >= 1)
+    pairs = stored(met.groupBy(*keys, left_id, right_id).agg(F.max(sure).alias("sure")), "ring-pairs")
+    asked = pairs.filter("NOT sure").join(left.select(*keys, left_id, left_ring), [*keys, left_id]).join(right.select(*keys, right_id, right_ring), [*keys, right_id])
+    share = asked.filter(outlines.area_iou(left_ring, right_ring) > 0)
+    return pairs.filter("sure").select(*keys, left_id, right_id).unionByName(share.select(*keys, left_id, right_id))
+
+
 def clusters(points: DataFrame, id_col: str, xyz: Sequence[str], reach: float, keys: Sequence[str] = ()) -> DataFrame:
     """``node, component``: points joined by steps of at most ``reach`` (density clustering in which every point is a core).
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rayloom.functions import camera, geometry, names, outlines
-from rayloom.operators import control, evaluation, projection, spatial, tiling
+from rayloom.operators import conics, control, evaluation, projection, spatial, tiling
 from rayloom.plans import relations as R
 from rayloom.plans.queries import DIRECTIONS, MATCHED, REVIEW, _directions, _reviewed, query, rounded, tags
 
@@ -287,3 +287,101 @@ def cube_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = there.withColumn("m", camera.frame_to_model(camera.world_to_frame(F.col("p"), F.col("f")), offset, F.col("face")))
     px = model.withColumn("px", camera.image_to_pixel(camera.model_to_image(F.col("m"), F.lit(1.024)), step, size, size))
     return px.select("event_id", F.round("px.u", 5).alias("u"), F.round("px.v", 5).alias("v"))
+
+
+#: Areas in the shape of an L, and others near most of them; a seventh of those lies elsewhere.
+ELLS_SQL = """ells AS (SELECT p_partkey AS label_id, (p_partkey * 37) % 480 AS x, (p_partkey * 53) % 480 AS y, 8 + p_size % 6 AS w, 8 + p_size % 5 AS h FROM part),
+moved AS (SELECT label_id AS det_id, x + label_id % 5 - 2 + CASE WHEN label_id % 7 = 3 THEN 600 ELSE 0 END AS x, y + label_id % 3 - 1 AS y, w, h FROM ells),
+squares AS (SELECT 'l' AS side, * FROM ells UNION ALL SELECT 'd', * FROM moved),
+columns AS (SELECT *, unnest(range(w)) AS cx FROM squares),
+cells AS (SELECT side, label_id AS id, x + cx AS cell_x, y + cy AS cell_y FROM (SELECT *, unnest(range(h)) AS cy FROM columns) WHERE cy < h // 2 OR cx < w // 2),
+sizes AS (SELECT side, id, count(*) AS n FROM cells GROUP BY ALL),
+shared AS (SELECT d.id AS det_id, l.id AS label_id, count(*) AS n FROM cells d JOIN cells l ON d.cell_x = l.cell_x AND d.cell_y = l.cell_y WHERE d.side = 'd' AND l.side = 'l' GROUP BY ALL)"""
+
+
+def _ells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    k = F.col("p_partkey")
+    x, y, w, h = (k * 37) % 480, (k * 53) % 480, 8 + F.col("p_size") % 6, 8 + F.col("p_size") % 5
+
+    def ell(x, y):
+        return F.array(*[v.cast("double") for v in (x, y, x + w, y, x + w, y + F.floor(h / 2), x + F.floor(w / 2), y + F.floor(h / 2), x + F.floor(w / 2), y + h, x, y + h)])
+
+    part = R.table(spark, sf_dir, "part")
+    near = ell(x + k % 5 - 2 + F.when(k % 7 == 3, 600).otherwise(0), y + k % 3 - 1)
+    return part.select(k.alias("det_id"), near.alias("ring")), part.select(k.alias("label_id"), ell(x, y).alias("ring"))
+
+
+@query(f"WITH {ELLS_SQL} SELECT det_id, label_id FROM shared")
+def areas_that_meet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of concave areas that share some area."""
+    dets, labels = _ells(spark, sf_dir)
+    return spatial.ring_pairs(dets.withColumnRenamed("ring", "left_ring"), labels.withColumnRenamed("ring", "right_ring"), "det_id", "label_id", cell=8.0)
+
+
+@query(
+    f"""WITH {ELLS_SQL}, ious AS (SELECT s.det_id, s.label_id, round(s.n::DOUBLE / (d.n + l.n - s.n), 9) AS iou FROM shared s JOIN sizes d ON d.side = 'd' AND d.id = s.det_id JOIN sizes l ON l.side = 'l' AND l.id = s.label_id),
+best AS (SELECT * FROM ious QUALIFY row_number() OVER (PARTITION BY det_id ORDER BY iou DESC, label_id) = 1),
+hits AS (SELECT * FROM best WHERE iou >= 0.25 QUALIFY row_number() OVER (PARTITION BY label_id ORDER BY iou DESC, det_id) = 1)
+SELECT CASE WHEN h.det_id IS NULL THEN 'FP' ELSE 'TP' END AS tag, m.det_id, coalesce(h.label_id, -1) AS label_id, round(h.iou, 3) AS iou FROM moved m LEFT JOIN hits h ON h.det_id = m.det_id
+UNION ALL SELECT 'FN', -1, e.label_id, NULL FROM ells e LEFT JOIN hits h ON h.label_id = e.label_id WHERE h.label_id IS NULL"""
+)
+def area_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concave areas held against an inventory of such areas."""
+    return control.tagged_areas(*_ells(spark, sf_dir), cell=8.0).select("tag", "det_id", "label_id", "iou").fillna(-1, ["det_id", "label_id"])
+
+
+@query("SELECT p_partkey, round(w * h + 4 * (w + h) + 128 * sin(pi() / 32), 4) AS grown, CASE WHEN w > 2 AND h > 2 THEN (w - 2.0) * (h - 2.0) ELSE 0.0 END AS shrunk FROM (SELECT p_partkey, 1 + p_size % 7 AS w, 1 + p_size % 5 AS h FROM part)")
+def grown_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangles grown by 2, with corners of 16 parts, and shrunk by 1."""
+    w, h, zero = (F.col("p_size") % 7 + 1).cast("double"), (F.col("p_size") % 5 + 1).cast("double"), F.lit(0.0)
+    rows = R.table(spark, sf_dir, "part").select("p_partkey", F.array(F.array(zero, zero, w, zero, w, h, zero, h)).alias("s"))
+    size = lambda d: F.aggregate(F.transform(outlines.grown(d)("s"), geometry.signed_area), F.lit(0.0), lambda a, x: a + x)
+    return rows.select("p_partkey", F.round(size(2.0), 4).alias("grown"), (F.round(size(-1.0), 4) + 0.0).alias("shrunk"))
+
+
+@query(
+    """WITH p AS (SELECT o_orderkey % 1000 AS grp, o_orderkey * 0.7 AS t FROM orders), g AS (SELECT grp, count(*) AS n FROM p GROUP BY 1 HAVING count(*) >= 8)
+SELECT grp, n, (2600000 + grp % 97)::DOUBLE AS x, (1200000 + grp % 89)::DOUBLE AS y, (4 + grp % 3)::DOUBLE AS longest, 2.0::DOUBLE AS shortest FROM g"""
+)
+def fitted_conics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ellipses through points on ellipses."""
+    g, t = F.col("o_orderkey") % 1000, F.col("o_orderkey") * 0.7
+    points = R.table(spark, sf_dir, "orders").select(g.alias("grp"), (2600000 + g % 97 + (4 + g % 3) * F.cos(t)).alias("x"), (1200000 + g % 89 + 2 * F.sin(t)).alias("y"))
+    told = conics.ellipses(points, ["grp"]).filter("n >= 8").select("grp", "n", "ellipse.*")
+    return told.select("grp", "n", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"), F.round(F.greatest("a", "b"), 2).alias("longest"), F.round(F.least("a", "b"), 2).alias("shortest"))
+
+
+ZYX_SQL = "z AS (SELECT event_id, event_id % 628 / 100.0::DOUBLE - 3.14 AS rz, event_id % 301 / 50.0::DOUBLE - 3 AS ry, event_id % 113 / 20.0::DOUBLE - 2.8 AS rx FROM events)"
+
+
+@query(
+    f"""WITH {ZYX_SQL}, m AS (SELECT event_id, cos(rz) * cos(ry) AS m11, sin(rz) * cos(ry) AS m21, -sin(ry) AS m31, cos(ry) * sin(rx) AS m32, cos(ry) * cos(rx) AS m33 FROM z)
+SELECT event_id, round(atan2(m32, m33), 6) + 0 AS omega, round(asin(-m31), 6) + 0 AS phi, round(atan2(m21, m11), 6) + 0 AS kappa FROM m"""
+)
+def zyx_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Angles about z, y and x, some beyond a right angle, as omega, phi and kappa."""
+    e = F.col("event_id")
+    m = camera.zyx_matrix(e % 628 / 100 - 3.14, e % 301 / 50 - 3, e % 113 / 20 - 2.8)
+    rows = R.table(spark, sf_dir, "events").select("event_id", F.array(*m).alias("m"))
+    found = camera.opk_of_zyx([F.get("m", F.lit(i)) for i in range(9)])
+    return rows.select("event_id", *[(F.round(c, 6) + 0.0).alias(n) for c, n in zip(found, ("omega", "phi", "kappa"))])
+
+
+@query(
+    f"""WITH RECURSIVE {R.CUSTOMERS_SQL}, {R.SUPPLIERS_SQL}, good AS (SELECT id AS place_id, x, y FROM points WHERE id % 7 >= 2 AND id % 17 <= 15 AND id % 13 / 50.0 <= 0.2),
+seen AS (SELECT sid AS truth_id, sx AS x, sy AS y FROM (SELECT sid, sx, sy, count(*) AS n FROM sites JOIN points ON abs(sx - x) <= 300 AND abs(sy - y) <= 300 AND sqrt(pow(sx - x, 2) + pow(sy - y, 2)) <= 300 GROUP BY ALL) WHERE n >= 3),
+near AS (SELECT truth_id, place_id, sqrt(pow(t.x - g.x, 2) + pow(t.y - g.y, 2)) AS d FROM seen t JOIN good g ON abs(t.x - g.x) <= 400 AND abs(t.y - g.y) <= 400),
+ranked AS MATERIALIZED (SELECT truth_id, place_id, d, row_number() OVER (ORDER BY d, truth_id, place_id) AS n FROM near WHERE d < 400),
+taken(n, lefts, rights) AS (SELECT n, [truth_id], [place_id] FROM ranked WHERE n = 1 UNION ALL
+  SELECT r.n, list_append(lefts, r.truth_id), list_append(rights, r.place_id)
+  FROM (SELECT lefts, rights, min(r.n) AS m FROM taken t JOIN ranked r ON r.n > t.n AND NOT list_contains(lefts, r.truth_id) AND NOT list_contains(rights, r.place_id) GROUP BY ALL) f JOIN ranked r ON r.n = f.m),
+won AS (SELECT d FROM taken JOIN ranked USING (n)), c AS (SELECT (SELECT count(*) FROM won) AS tp, (SELECT count(*) FROM seen) AS n_truth, (SELECT count(*) FROM good) AS n_found)
+SELECT tp, n_found - tp AS fp, n_truth - tp AS fn, round(tp / n_found, 6) AS precision, round(tp / n_truth, 6) AS recall, round(2 * tp / (n_found + n_truth), 6) AS f1, round((SELECT avg(d) FROM won), 6) AS mean_distance, round((SELECT median(d) FROM won), 6) AS median_distance FROM c"""
+)
+def located_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of good quality against a truth that was passed by often enough, matched one to one."""
+    k, points = F.col("id"), R.customers(spark, sf_dir)
+    found = points.select(k.alias("place_id"), "x", "y", (k % 7).alias("intersections"), (k % 17).alias("mean_intersection_length"), (k % 13 / 50).alias("mean_intersection_dist"))
+    truth = R.suppliers(spark, sf_dir).select(F.col("sid").alias("truth_id"), F.col("sx").alias("x"), F.col("sy").alias("y"))
+    report, _ = control.located(found, truth, points.select(F.col("x").alias("cam_x"), F.col("y").alias("cam_y")), reach=400.0, seen_from=300.0)
+    return rounded(report, "precision", "recall", "f1", "mean_distance", "median_distance").select("tp", "fp", "fn", "precision", "recall", "f1", "mean_distance", "median_distance")
