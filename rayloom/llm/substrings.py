@@ -44,7 +44,7 @@ SHARD_BYTES = 1 << 20
 LONGEST_SHARD = 1 << 23
 #: Rows of the collections that a task builds at once.
 CHUNK_ROWS = 20_000
-#: Most rows of a collection; an anchor that occurs more often, and a key of more unlike pieces, is split.  The result is the same.
+#: Most rows of a collection; an anchor of more passages, and a key of more unlike pieces, is split.  The result is the same.
 HOT_ANCHOR = 1_000
 #: Windows of a piece at each split: the distances of their starts to the anchor lie between two multiples of it.
 PIECES = (64, 8, 1)
@@ -377,17 +377,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     facts = stored(measured.join(copies, "key").withColumn("hashes", F.when(F.col("node") == F.col("first"), F.col("hashes"))).drop("first"), "facts")
     entries = facts.filter("hashes IS NOT NULL").select("key", F.posexplode("hashes").alias("nth", "hash"))
     place = F.struct("key", "nth")
-    often = entries.groupBy("hash").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("n")).filter("low != high").select("hash", "n")
+    often = entries.groupBy("hash").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low != high").select("hash")
     often = stored(often, "anchors")
     in_texts = facts.filter("hashes IS NOT NULL").select("node", F.explode(F.array_distinct("hashes")).alias("hash"))
-    wanted = in_texts.join(often.select("hash"), "hash").groupBy("node").agg(F.collect_list("hash").alias("wanted"))
+    wanted = in_texts.join(often, "hash").groupBy("node").agg(F.collect_list("hash").alias("wanted"))
     texts = docs.select(_node(F.col(text_col), F.col(id_col))[1].alias("node"), F.col(text_col).alias("text"))
-    passages = passages_of(texts.join(stored(wanted, "wanted"), "node"))
-    hot = often.filter(F.col("n") > HOT_ANCHOR).select("hash")  # repeats in a text count: each may be a passage of its own
+    passages = stored(passages_of(texts.join(stored(wanted, "wanted"), "node")), "passages")
+    hot = stored(passages.groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_ANCHOR).select("hash"), "hot")
     if hot.isEmpty():
         spans = spans_of_collections(passages)
     else:
-        passages = stored(passages, "passages")
+        hot = maybe_broadcast(hot, BROADCAST_SPANS)
         spans = spans_of_collections(passages.join(hot, "hash", "left_anti")).unionByName(spans_of_hot(stored(passages.join(hot, "hash"), "hot-passages")))
     alone = (F.col("copies") == 1) | (F.col("n_bytes") < PASSAGE)
     gone = spans.groupBy("node").agg(F.collect_list(F.struct("start", "end", "long")).alias("spans"))
