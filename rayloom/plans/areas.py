@@ -330,7 +330,7 @@ def area_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return control.tagged_areas(*_ells(spark, sf_dir), cell=8.0).select("tag", "det_id", "label_id", "iou").fillna(-1, ["det_id", "label_id"])
 
 
-@query("SELECT p_partkey, round(w * h + 4 * (w + h) + 128 * sin(pi() / 32), 4) AS grown, CASE WHEN w > 2 AND h > 2 THEN (w - 2.0) * (h - 2.0) ELSE 0.0 END AS shrunk FROM (SELECT p_partkey, 1 + p_size % 7 AS w, 1 + p_size % 5 AS h FROM part)")
+@query("SELECT p_partkey, round(w * h + 4 * (w + h) + 128 * sin(pi() / 32), 4) AS grown, (CASE WHEN w > 2 AND h > 2 THEN (w - 2.0) * (h - 2.0) ELSE 0.0 END)::DOUBLE AS shrunk FROM (SELECT p_partkey, 1 + p_size % 7 AS w, 1 + p_size % 5 AS h FROM part)")
 def grown_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rectangles grown by 2, with corners of 16 parts, and shrunk by 1."""
     w, h, zero = (F.col("p_size") % 7 + 1).cast("double"), (F.col("p_size") % 5 + 1).cast("double"), F.lit(0.0)
@@ -351,7 +351,7 @@ def fitted_conics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("grp", "n", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"), F.round(F.greatest("a", "b"), 2).alias("longest"), F.round(F.least("a", "b"), 2).alias("shortest"))
 
 
-ZYX_SQL = "z AS (SELECT event_id, event_id % 628 / 100.0::DOUBLE - 3.14 AS rz, event_id % 301 / 50.0::DOUBLE - 3 AS ry, event_id % 113 / 20.0::DOUBLE - 2.8 AS rx FROM events)"
+ZYX_SQL = "z AS (SELECT event_id, event_id % 628 / 100.0::DOUBLE - 3.135 AS rz, event_id % 301 / 50.0::DOUBLE - 3 AS ry, event_id % 113 / 20.0::DOUBLE - 2.81 AS rx FROM events)"
 
 
 @query(
@@ -361,7 +361,7 @@ SELECT event_id, round(atan2(m32, m33), 6) + 0 AS omega, round(asin(-m31), 6) +
 def zyx_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Angles about z, y and x, some beyond a right angle, as omega, phi and kappa."""
     e = F.col("event_id")
-    m = camera.zyx_matrix(e % 628 / 100 - 3.14, e % 301 / 50 - 3, e % 113 / 20 - 2.8)
+    m = camera.zyx_matrix(e % 628 / 100 - 3.135, e % 301 / 50 - 3, e % 113 / 20 - 2.81)
     rows = R.table(spark, sf_dir, "events").select("event_id", F.array(*m).alias("m"))
     found = camera.opk_of_zyx([F.get("m", F.lit(i)) for i in range(9)])
     return rows.select("event_id", *[(F.round(c, 6) + 0.0).alias(n) for c, n in zip(found, ("omega", "phi", "kappa"))])
