@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rayloom.functions.geometry import segmentation_box, shifted
-from rayloom.functions.outlines import united, united_area
+from rayloom.functions.outlines import closed, meet_within, united, united_area
 from rayloom.functions.names import basename, tile_of, trimmed_jpg
 from rayloom.operators.graph import connected_components
 from rayloom.lineage import stored
@@ -87,20 +87,27 @@ def merged(dets: DataFrame, pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return shape.join(medians, [*KEYS, "group_id"]).withColumnRenamed("group_id", "id")
 
 
-def merge_fragments(dets: DataFrame, buffer: float = 1.0) -> DataFrame:
-    pairs = fragment_pairs(dets, buffer)
+def merge_fragments(dets: DataFrame, buffer: float = 1.0, outlined: bool = False) -> DataFrame:
+    """Fragments merged where their boxes, grown by ``buffer``, meet, or, if ``outlined``, where their outlines do."""
+    pairs = fragment_pairs(dets, buffer, touch=meet_within(buffer) if outlined else None)
     return merged(dets, pairs, grouped(pairs))
 
 
-def dissolved(objects: DataFrame) -> DataFrame:
-    """Merged fragments with the outlines of their union as segmentation, and its ``area``."""
+def dissolved(objects: DataFrame, buffer: float = 0.0) -> DataFrame:
+    """Merged fragments with the outlines of their union as segmentation, and its ``area``; gaps of less than two ``buffer`` are filled."""
+    if buffer > 0:
+        objects = objects.withColumn("segmentation", closed(buffer)("segmentation"))
+        return objects.withColumn("area", united_area("segmentation")).withColumn("box", segmentation_box(F.col("segmentation")))
     return objects.withColumn("area", united_area("segmentation")).withColumn("segmentation", united("segmentation"))
 
 
-def per_dataset(dets: DataFrame, images: DataFrame, buffer: float = 1.0, least_score: float = 0.2) -> DataFrame:
+def per_dataset(dets: DataFrame, images: DataFrame, buffer: float = 1.0, least_score: float = 0.2, outlined: bool = False) -> DataFrame:
     """Panorama annotations of all datasets: detections from ``least_score`` on moved, grouped and dissolved, numbered within each.
 
+    ``outlined``: fragments are grown by their outlines rather than by their
+    boxes, and what is merged is shrunk again.
+
     The export of one dataset is a filter on ``dataset``.
     """
     moved = stored(to_panorama(dets.filter(F.col("score") >= least_score), images), "panorama")
-    return numbered_within(dissolved(merge_fragments(moved, buffer)).withColumnRenamed("id", "fragment_id"), ["image_id", "fragment_id"], "id", ["dataset"])
+    return numbered_within(dissolved(merge_fragments(moved, buffer, outlined), buffer if outlined else 0.0).withColumnRenamed("id", "fragment_id"), ["image_id", "fragment_id"], "id", ["dataset"])
