@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rayloom.lineage import scratch
 from rayloom.plans import relations as R
 from rayloom.plans.queries import query, rounded
-from rayloom.sources import coco
+from rayloom.sources import coco, geopackage
 
 
 def _written(spark: SparkSession, sf_dir: str) -> str:
@@ -63,3 +63,12 @@ def document_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     coco.write_document(part.select(k.alias("id")).limit(0), tagged, part.select(k.alias("id")).limit(0), second)
     told = coco.confident(coco.read_detections(spark, {"val": first, "trn": second}), 0.3)
     return rounded(told.groupBy("dataset", "det_class").agg(F.count("*").alias("n"), F.sum("score").alias("score"), F.sum("det_id").alias("ids"), F.min("file_name").alias("file_name")), "score")
+
+
+@query(f"WITH {R.CUSTOMERS_SQL} SELECT id, x, y FROM points WHERE x BETWEEN 2000 AND 4000 AND y BETWEEN 1000 AND 2500")
+def layer_in_a_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of a layer that lie in a box, through its index."""
+    folder = scratch(spark, "layer")
+    geopackage.write_geopackage(R.customers(spark, sf_dir).repartition(4), folder, "places")
+    told = geopackage.read_geopackage(spark, folder, "places", box=(2000.0, 1000.0, 4000.0, 2500.0), columns=["id"])
+    return told.select(F.element_at("properties", "id").cast("bigint").alias("id"), "x", "y")

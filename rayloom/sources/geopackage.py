@@ -1,8 +1,11 @@
 """GeoPackage layers as tables, and tables as GeoPackage files.
 
-A GeoPackage is an SQLite file, so a file is read by one task and written by
-one task; folders of many files are read and written in parallel.  Points and
-polygons are supported (of several parts each part's outer ring is kept).
+A GeoPackage is an SQLite file, so a file is written by one task; folders of
+many files are written in parallel.  A layer is read in ranges of row ids, a
+task a range, and only the columns and the rows in a box that are asked for:
+a file that can be opened by its path is read page by page, through the
+layer's R-tree where it has one, others are loaded whole.  Points and polygons
+are supported (of several parts each part's outer ring is kept).
 """
 
 from __future__ import annotations
@@ -11,12 +14,16 @@ import re
 import sqlite3
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rayloom.sources.split_json import opened
+
 #: Identifier of an SQLite file as a GeoPackage, its version, and bytes of each kind of envelope: fixed values of the format.
 APPLICATION, VERSION, ENVELOPES = 0x47504B47, 10300, (0, 32, 48, 48, 64)
 
@@ -71,31 +78,96 @@ def blob_of(rings: list[list[float]] | None, x: float | None, y: float | None, s
     return None if x is None or y is None else head + struct.pack("<BI2d", 1, 1, x, y)
 
 
-def read_geopackage(spark: SparkSession, path: str, layer: str | None = None) -> DataFrame:
-    """``FEATURE`` rows of the files at ``path`` (a file, folder or pattern), of one layer or of all."""
+@contextmanager
+def database(path: str) -> Iterator[sqlite3.Connection]:
+    """A file, to be read: in place if its path can be opened, else from memory."""
+    fs, at = opened(path)
+    if fs.type_name == "local":
+        con = sqlite3.connect(f"file:{quote(at)}?mode=ro&immutable=1", uri=True)
+    else:
+        with fs.open_input_file(at) as source:
+            content = source.read()
+        con = sqlite3.connect(":memory:")
+        con.deserialize(content)
+    try:
+        yield con
+    finally:
+        con.close()
+
+
+def _quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+def layers_of(con: sqlite3.Connection) -> list[tuple[str, str, int, int, bool]]:
+    """Each layer: its table and geometry column, first and last row id, and whether it has an R-tree."""
+    told = []
+    for table, column in con.execute("SELECT table_name, column_name FROM gpkg_geometry_columns ORDER BY table_name").fetchall():
+        low, high = con.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(table)}").fetchone()
+        index = con.execute("SELECT count(*) FROM sqlite_master WHERE name = ?", (f"rtree_{table}_{column}",)).fetchone()[0]
+        if low is not None:
+            told.append((table, column, low, high, bool(index)))
+    return told
+
+
+def select_rows(con: sqlite3.Connection, table: str, column: str, low: int, high: int, index: bool, box: tuple[float, ...] | None, columns: Sequence[str] | None) -> sqlite3.Cursor:
+    """Row id, geometry and properties of the rows in a range; of those alone whose box meets ``box``, where there is an index."""
+    known = [r[1] for r in con.execute(f"PRAGMA table_info({_quoted(table)})").fetchall()]
+    wanted = [c for c in known if c != column and (columns is None or c in columns)]
+    shown = ", ".join(["t.rowid", f"t.{_quoted(column)}", *[f"t.{_quoted(c)}" for c in wanted]])
+    if box is None or not index:
+        return con.execute(f"SELECT {shown} FROM {_quoted(table)} t WHERE t.rowid BETWEEN ? AND ?", (low, high))
+    inside = f"SELECT id FROM {_quoted(f'rtree_{table}_{column}')} WHERE maxx >= ? AND minx <= ? AND maxy >= ? AND miny <= ? AND id BETWEEN ? AND ?"
+    return con.execute(f"SELECT {shown} FROM ({inside}) r CROSS JOIN {_quoted(table)} t ON t.rowid = r.id", (box[0], box[2], box[1], box[3], low, high))
+
+
+def bounds_of(rings: list[list[float]]) -> tuple[float, float, float, float] | None:
+    """Least x and y, largest x and y."""
+    x, y = [v for r in rings for v in r[::2]], [v for r in rings for v in r[1::2]]
+    return (min(x), min(y), max(x), max(y)) if x else None
+
+
+LAYERS = "file string, layer string, column string, low bigint, high bigint, indexed boolean"
+
+
+def read_geopackage(spark: SparkSession, path: str, layer: str | None = None, box: tuple[float, float, float, float] | None = None, columns: Sequence[str] | None = None, rows: int = 100_000) -> DataFrame:
+    """``FEATURE`` rows of the files at ``path`` (a file, folder or pattern), of one layer or of all.
+
+    ``box`` (least x and y, largest x and y) keeps the features whose bounds
+    meet it, ``columns`` names the properties that are read; a task reads at
+    most ``rows`` row ids.
+    """
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for name in batch["path"]:
+                with database(name) as con:
+                    found += [(name, *told) for told in layers_of(con) if layer in (None, told[0])]
+            yield pd.DataFrame(found, columns=["file", "layer", "column", "low", "high", "indexed"])
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                con = sqlite3.connect(":memory:")
-                con.deserialize(content)
-                for table, column in con.execute("SELECT table_name, column_name FROM gpkg_geometry_columns ORDER BY table_name").fetchall():
-                    if layer not in (None, table):
-                        continue
-                    cursor = con.execute(f'SELECT rowid, * FROM "{table}"')
-                    columns = [c[0] for c in cursor.description][1:]
+            for name, table, column, low, high, indexed in batch[["file", "layer", "column", "low", "high", "indexed"]].itertuples(index=False):
+                with database(name) as con:
+                    cursor = select_rows(con, table, column, low, high, bool(indexed), box, columns)
+                    names = [c[0] for c in cursor.description][2:]
                     while some := cursor.fetchmany(5000):
                         found = []
-                        for fid, *values in some:
-                            kind, rings = geometry_of(values[columns.index(column)])
+                        for fid, blob, *values in some:
+                            kind, rings = geometry_of(blob)
+                            if box is not None and ((b := bounds_of(rings)) is None or b[2] < box[0] or b[0] > box[2] or b[3] < box[1] or b[1] > box[3]):
+                                continue  # the index holds bounds in less digits
                             point = rings[0] if kind == "Point" else (None, None)
-                            said = {c: str(v) for c, v in zip(columns, values) if c != column and v is not None}
+                            said = {c: str(v) for c, v in zip(names, values) if v is not None}
                             found.append((name, table, fid, kind, *point, None if kind == "Point" else rings, said))
                         yield pd.DataFrame(found, columns=["file", "layer", "fid", "kind", "x", "y", "rings", "properties"])
-                con.close()
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(rows, FEATURE)
+    files = spark.read.format("binaryFile").load(path).select("path")
+    found = files.mapInPandas(look, LAYERS)
+    ranges = found.withColumn("low", F.explode(F.sequence("low", "high", F.lit(rows)))).withColumn("high", F.least("high", F.col("low") + (rows - 1)))
+    tasks = spark.sparkContext.defaultParallelism
+    return ranges.repartition(tasks, "file", "layer", "low").mapInPandas(read, FEATURE)
 
 
 def write_geopackage(df: DataFrame, folder: str, layer: str, x: str = "x", y: str = "y", rings: str | None = None, srs: int = 2056) -> DataFrame:
@@ -123,13 +195,18 @@ def write_geopackage(df: DataFrame, folder: str, layer: str, x: str = "x", y: st
             INSERT INTO gpkg_contents VALUES ('{layer}', 'features', '{layer}', {srs});
             CREATE TABLE gpkg_geometry_columns (table_name TEXT PRIMARY KEY, column_name TEXT NOT NULL, geometry_type_name TEXT NOT NULL, srs_id INTEGER NOT NULL, z TINYINT NOT NULL, m TINYINT NOT NULL);
             INSERT INTO gpkg_geometry_columns VALUES ('{layer}', 'geom', 'GEOMETRY', {srs}, 0, 0);
-            CREATE TABLE "{layer}" (fid INTEGER PRIMARY KEY, geom BLOB{"".join(f', "{c}" {k}' for c, k in rest)});"""
+            CREATE TABLE "{layer}" (fid INTEGER PRIMARY KEY, geom BLOB{"".join(f', "{c}" {k}' for c, k in rest)});
+            CREATE TABLE gpkg_extensions (table_name TEXT, column_name TEXT, extension_name TEXT NOT NULL, definition TEXT NOT NULL, scope TEXT NOT NULL);
+            INSERT INTO gpkg_extensions VALUES ('{layer}', 'geom', 'gpkg_rtree_index', 'http://www.geopackage.org/spec120/#extension_rtree', 'write-only');
+            CREATE VIRTUAL TABLE "rtree_{layer}_geom" USING rtree(id, minx, maxx, miny, maxy);"""
         )
         n = 0
         for batch in batches:
             values = [[None if v is None or v != v else v for v in row] for row in batch.drop(columns="_rings").astype(object).itertuples(index=False)]
             lines = [(blob_of(None if r is None else [list(p) for p in r], *v[-2:], srs), *v[:-2]) for v, r in zip(values, batch["_rings"])]
             con.executemany(f'INSERT INTO "{layer}" (geom{"".join(f", \"{c}\"" for c, _ in rest)}) VALUES ({", ".join("?" * (1 + len(rest)))})', lines)
+            edges = [(k, bounds_of(geometry_of(line[0])[1])) for k, line in enumerate(lines, n + 1)]  # row ids count from 1
+            con.executemany(f'INSERT INTO "rtree_{layer}_geom" VALUES (?, ?, ?, ?, ?)', [(k, b[0], b[2], b[1], b[3]) for k, b in edges if b])
             n += len(lines)
         con.commit()
         files, path = fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", folder) if ":" in folder else "file://" + folder)

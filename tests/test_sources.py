@@ -83,6 +83,31 @@ def test_geopackage_round_trip(spark, tmp_path):
     assert empty.n == 0 and geopackage.read_geopackage(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_geopackage_boxes_columns_and_ranges(spark, tmp_path):
+    from rayloom.sources import geopackage
+
+    points = spark.range(5000).select("id", F.concat(F.lit("n"), "id").alias("name"), (F.col("id") % 100).cast("double").alias("x"), F.floor(F.col("id") / 100).cast("double").alias("y"))
+    geopackage.write_geopackage(points.repartition(3), str(tmp_path / "g"), "found")
+    box = (10.0, 20.0, 12.0, 21.0)
+    want = {(x, y) for x in (10.0, 11.0, 12.0) for y in (20.0, 21.0)}
+    got = geopackage.read_geopackage(spark, str(tmp_path / "g"), "found", box, ["id"], rows=300).collect()
+    assert {(r.x, r.y) for r in got} == want and len(got) == 6 and all(set(r.properties) == {"id"} for r in got)
+    assert geopackage.read_geopackage(spark, str(tmp_path / "g"), rows=300).count() == 5000 and geopackage.read_geopackage(spark, str(tmp_path / "g"), "other").count() == 0
+    steps, one = {}, str(next((tmp_path / "g").iterdir()))
+    for index in (True, False):  # with the index only the pages of what is in the box are read
+        with geopackage.database(one) as con:
+            ((table, column, low, high, indexed),) = geopackage.layers_of(con)
+            assert indexed
+            count = [0]
+            con.set_progress_handler(lambda: count.__setitem__(0, count[0] + 1), 1)
+            found = geopackage.select_rows(con, table, column, low, high, index, box, None).fetchall()
+            steps[index] = (count[0], len(found))
+    assert steps[True][1] <= 6 and steps[False][1] == high and steps[True][0] < steps[False][0] / 20
+    rings = spark.createDataFrame([(1, [[0.0, 0.0, 9.0, 0.0, 9.0, 9.0]]), (2, [[50.0, 50.0, 60.0, 50.0, 60.0, 60.0]]), (3, None)], "id long, rings array<array<double>>")
+    geopackage.write_geopackage(rings.coalesce(1), str(tmp_path / "p"), "areas", rings="rings")
+    assert [r.properties["id"] for r in geopackage.read_geopackage(spark, str(tmp_path / "p"), box=(8.0, -5.0, 30.0, 1.0)).collect()] == ["1"]
+
+
 def test_config_section(tmp_path):
     from rayloom.sources import config
 
