@@ -8,16 +8,18 @@ positions, and the occurrences of a document merge into removal spans.  Words
 are told apart by 64-bit hashes; every occurrence is then compared word by word
 with its phrase.
 
-The benchmark is streamed through the driver in blocks of a bounded size.  Each
-block is a pass over the documents and the only one that is broadcast; what
-further passes find is joined to the first by id and digest of the text.
+The benchmark is streamed through the driver in blocks of a bounded size.  The
+first one is broadcast, the others go to files of the shared folder, which a
+task reads one after another for some shards at a time.  So the documents are
+read and indexed once, whatever the size of the benchmark.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,13 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rayloom.lineage import stored
+from rayloom.lineage import scratch
 from rayloom.llm.common import modest_batches
 
 #: Words of a phrase; items of fewer words are one phrase.
 WINDOW = 10
 #: Bytes of text in one index, bytes of words in a block of phrases, and words of an item that are taken as one part.
 SHARD_BYTES, BLOCK_BYTES, PART_WORDS = 1_000_000, 2_000_000, 20_000
+#: Shards whose indexes are held while all blocks but the first are read one after another.
+TOGETHER = 16
 #: Every so many positions of the indexed sequence is kept for locating.
 SAMPLE = 16
 
@@ -186,34 +190,39 @@ class FmIndex:
         return self.sampled[at] + steps
 
 
-def occurrences(texts: list[bytes], block: Phrases) -> tuple[np.ndarray, list[tuple[int, int, str | None, int]], np.ndarray, np.ndarray, np.ndarray]:
-    """Words per text, confirmed occurrences (text, its first word, item, words), and start, end, first word index of the words."""
-    data = b"\n".join(texts) + b"\n"
-    starts, ends, hashes = hashed_words(data)
-    bounds = np.cumsum([len(t) + 1 for t in texts])
-    owner = np.searchsorted(bounds, starts, side="right")
-    counts = np.bincount(owner, minlength=len(texts))
-    firsts = np.cumsum(counts) - counts
-    found: list[tuple[int, int, str | None, int]] = []
-    if not block.by_length or not len(hashes):
-        return counts, found, starts, ends, firsts
-    vocabulary, number = np.unique(hashes, return_inverse=True)
-    last = np.unique(np.cumsum(counts)[counts > 0])
-    sequence = np.insert(number + 1, last, 0)
-    place = np.insert(np.arange(len(hashes)), last, -1)
-    index = FmIndex(sequence)
-    for size, (phrases, firsts_of, places) in block.by_length.items():
-        at = np.minimum(np.searchsorted(vocabulary, phrases), len(vocabulary) - 1)
-        lo, hi = index.search(np.where(vocabulary[at] == phrases, at + 1, 0))
-        hit = np.flatnonzero(hi > lo)
-        many = hi[hit] - lo[hit]
-        rows = np.repeat(lo[hit] - np.cumsum(many) + many, many) + np.arange(many.sum())
-        for phrase, word in zip(np.repeat(hit, many).tolist(), place[index.locate(rows)].tolist()):
-            said = [data[a:b] for a, b in zip(starts[word : word + size].tolist(), ends[word : word + size].tolist())]
-            for part, k in places[firsts_of[phrase] : firsts_of[phrase + 1]].tolist():
-                if block.words[part][k : k + size] == said:
-                    found.append((int(owner[word]), word, block.items[part], size))
-    return counts, found, starts, ends, firsts
+class Shard:
+    """Some texts' words, and the index of them; built once, searched for any number of blocks of phrases."""
+
+    def __init__(self, texts: list[bytes]):
+        self.data = b"\n".join(texts) + b"\n"
+        self.starts, self.ends, hashes = hashed_words(self.data)
+        bounds = np.cumsum([len(t) + 1 for t in texts])
+        self.owner = np.searchsorted(bounds, self.starts, side="right")
+        self.counts = np.bincount(self.owner, minlength=len(texts))
+        self.firsts = np.cumsum(self.counts) - self.counts
+        self.index = None
+        if len(hashes):
+            self.vocabulary, number = np.unique(hashes, return_inverse=True)
+            last = np.unique(np.cumsum(self.counts)[self.counts > 0])
+            self.place = np.insert(np.arange(len(hashes)), last, -1)
+            self.index = FmIndex(np.insert(number + 1, last, 0))
+
+    def occurrences(self, block: Phrases) -> Iterator[tuple[int, int, str | None, int]]:
+        """Confirmed occurrences: text, its first word, item, words."""
+        if self.index is None:
+            return
+        starts, ends = self.starts, self.ends
+        for size, (phrases, firsts_of, places) in block.by_length.items():
+            at = np.minimum(np.searchsorted(self.vocabulary, phrases), len(self.vocabulary) - 1)
+            lo, hi = self.index.search(np.where(self.vocabulary[at] == phrases, at + 1, 0))
+            hit = np.flatnonzero(hi > lo)
+            many = hi[hit] - lo[hit]
+            rows = np.repeat(lo[hit] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            for phrase, word in zip(np.repeat(hit, many).tolist(), self.place[self.index.locate(rows)].tolist()):
+                said = [self.data[a:b] for a, b in zip(starts[word : word + size].tolist(), ends[word : word + size].tolist())]
+                for part, k in places[firsts_of[phrase] : firsts_of[phrase + 1]].tolist():
+                    if block.words[part][k : k + size] == said:
+                        yield int(self.owner[word]), word, block.items[part], size
 
 
 def joined(spans: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
@@ -228,18 +237,20 @@ def joined(spans: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
     return out
 
 
-def reports(texts: list[bytes], block: Phrases) -> list[tuple[int, list[str], list[tuple[int, ...]]]]:
-    """For each text: words, items by id, and merged spans of words and bytes."""
-    counts, found, starts, ends, firsts = occurrences(texts, block)
-    offsets = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
-    hits: dict[int, set[tuple[int, ...]]] = {}
-    items: dict[int, set[str]] = {}
-    for text, word, item, size in found:
-        own, off = word - int(firsts[text]), int(offsets[text])
-        hits.setdefault(text, set()).add((own, own + size, int(starts[word]) - off, int(ends[word + size - 1]) - off))
-        if item is not None:
-            items.setdefault(text, set()).add(item)
-    return [(int(n), sorted(items.get(i, ())), joined(list(hits.get(i, ())))) for i, n in enumerate(counts)]
+def reports(texts: list[list[bytes]], blocks: Iterable[Phrases]) -> list[tuple[int, list[str], list[tuple[int, ...]]]]:
+    """For each text of some shards: words, items by id, and merged spans of words and bytes.  Each block is searched in all shards before the next one."""
+    shards = [Shard(t) for t in texts]
+    offsets = [np.concatenate(([0], np.cumsum([len(t) + 1 for t in some]))) for some in texts]
+    hits: dict[tuple[int, int], set[tuple[int, ...]]] = {}
+    items: dict[tuple[int, int], set[str]] = {}
+    for block in blocks:
+        for k, shard in enumerate(shards):
+            for text, word, item, size in shard.occurrences(block):
+                own, off = word - int(shard.firsts[text]), int(offsets[k][text])
+                hits.setdefault((k, text), set()).add((own, own + size, int(shard.starts[word]) - off, int(shard.ends[word + size - 1]) - off))
+                if item is not None:
+                    items.setdefault((k, text), set()).add(item)
+    return [(int(n), sorted(items.get((k, i), ())), joined(list(hits.get((k, i), ())))) for k, shard in enumerate(shards) for i, n in enumerate(shard.counts)]
 
 
 def phrase_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str | None, bytes]]]:
@@ -264,31 +275,43 @@ SPAN = T.StructType([T.StructField(n, T.LongType()) for n in ("first", "last", "
 REPORT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(SPAN))])
 
 
-def scanner(held):
-    """A column function, text to ``REPORT``, for a broadcast block."""
+def scanner(held, files: list[str]):
+    """A column function, text to ``REPORT``, for a broadcast block and for those in ``files``, of which one is held at a time."""
 
     @F.pandas_udf(REPORT)
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        block = Phrases.of(held.value)
+        first = Phrases.of(held.value)
+
+        def blocks() -> Iterator[Phrases]:
+            yield first
+            for name in files:
+                fs, path = opened(name)
+                with fs.open_input_stream(path) as source:
+                    yield Phrases.of([(item, words.encode("utf-8", "surrogatepass")) for item, words in json.loads(source.read())])
+
         for batch in batches:
             rows: list[tuple] = []
-            shard: list[bytes] = []
+            shards: list[list[bytes]] = [[]]
             size, given = 0, list(batch)
             for i, text in enumerate(given):
-                shard.append(lowered(text))
-                size += len(shard[-1])
-                if size >= SHARD_BYTES or i == len(given) - 1:
-                    rows += [(n, items, [dict(zip(SPAN.names, s)) for s in spans]) for n, items, spans in reports(shard, block)]
-                    shard, size = [], 0
+                shards[-1].append(lowered(text))
+                size += len(shards[-1][-1])
+                if i == len(given) - 1 or size >= SHARD_BYTES and len(shards) == (TOGETHER if files else 1):
+                    rows += [(n, items, [dict(zip(SPAN.names, s)) for s in spans]) for n, items, spans in reports(shards, blocks())]
+                    shards, size = [[]], 0
+                elif size >= SHARD_BYTES:
+                    shards.append([])
+                    size = 0
             yield pd.DataFrame(rows, columns=REPORT.names)
 
     return scan
 
 
-@F.pandas_udf(T.ArrayType(SPAN))
-def merged_spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in batches:
-        yield pd.Series([[dict(zip(SPAN.names, s)) for s in joined([tuple(x[n] for n in SPAN.names) for x in spans])] for spans in batch], dtype=object)
+def opened(path: str):
+    """A file system and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path) if ":" in path else "file://" + path)
 
 
 @F.pandas_udf(T.StringType())
@@ -310,24 +333,15 @@ def scanned(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str
     spark = docs.sparkSession
     modest_batches(spark)
     blocks = phrase_blocks(benchmark, item_col, phrase_col)
-    text = F.col(text_col)
+    first, files = next(blocks), []
+    for block in blocks:  # each goes to a file of the shared folder, so that neither the driver nor a task holds more than one
+        files.append(f"{scratch(spark, 'phrases')}.json")
+        fs, path = opened(files[-1])
+        fs.create_dir(path.rpartition("/")[0], recursive=True)
+        with fs.open_output_stream(path) as out:
+            out.write(json.dumps([(item, words.decode("utf-8", "surrogatepass")) for item, words in block]).encode("ascii"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    digest = F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("digest")
-    found = docs.select(row, digest, scanner(spark.sparkContext.broadcast(next(blocks)))(text).alias("report"))
-    more = None
-    for block in blocks:  # a pass each
-        held = spark.sparkContext.broadcast(block)
-        told = docs.select(digest, text.alias("text")).select("digest", scanner(held)("text").alias("r")).filter(F.size("r.spans") > 0)
-        told = stored(told.dropDuplicates(["digest"]).select("digest", "r.items", "r.spans"), "phrases")
-        held.unpersist()
-        more = told if more is None else more.unionByName(told)
-    if more is None:
-        return found.select("row", "report")
-    more = more.groupBy("digest").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
-    both = found.join(more, "digest", "left")
-    items = F.array_sort(F.array_distinct(F.concat("report.items", F.coalesce("items", F.array().cast("array<string>")))))
-    spans = merged_spans(F.concat("report.spans", F.coalesce("spans", F.array().cast(T.ArrayType(SPAN)))))
-    return both.select("row", F.struct("report.n_words", items.alias("items"), spans.alias("spans")).alias("report"))
+    return docs.select(row, scanner(spark.sparkContext.broadcast(first), files)(F.col(text_col)).alias("report"))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
