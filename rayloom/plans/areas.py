@@ -385,3 +385,55 @@ def located_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = R.suppliers(spark, sf_dir).select(F.col("sid").alias("truth_id"), F.col("sx").alias("x"), F.col("sy").alias("y"))
     report, _ = control.located(found, truth, points.select(F.col("x").alias("cam_x"), F.col("y").alias("cam_y")), reach=400.0, seen_from=300.0)
     return rounded(report, "precision", "recall", "f1", "mean_distance", "median_distance").select("tp", "fp", "fn", "precision", "recall", "f1", "mean_distance", "median_distance")
+
+
+#: A frame for each direction, and the cells of its rotation.
+FRAMES_SQL = f"""{DIRECTIONS}, f AS (SELECT event_id, x, y, z, (event_id % 90)::DOUBLE AS fx, (event_id % 70)::DOUBLE AS fy, (event_id % 9)::DOUBLE AS fz, event_id % 300 / 50.0::DOUBLE AS o, event_id % 150 / 50.0::DOUBLE AS p, event_id % 310 / 50.0::DOUBLE AS k FROM v),
+m AS (SELECT *, x - fx AS dx, y - fy AS dy, z - fz AS dz, cos(p) * cos(k) AS m11, -cos(p) * sin(k) AS m12, sin(p) AS m13, cos(o) * sin(k) + sin(o) * sin(p) * cos(k) AS m21, cos(o) * cos(k) - sin(o) * sin(p) * sin(k) AS m22, -sin(o) * cos(p) AS m23,
+  sin(o) * sin(k) - cos(o) * sin(p) * cos(k) AS m31, sin(o) * cos(k) + cos(o) * sin(p) * sin(k) AS m32, cos(o) * cos(p) AS m33 FROM f)"""
+
+
+def _framed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, v = _directions(spark, sf_dir)
+    e = F.col("event_id")
+    frame = F.struct(*[(e % n / d).cast("double").alias(c) for n, d, c in ((90, 1, "x"), (70, 1, "y"), (9, 1, "z"), (300, 50, "omega"), (150, 50, "phi"), (310, 50, "kappa"))])
+    return rows.select("event_id", v.alias("v"), frame.alias("f"))
+
+
+@query(f"WITH {FRAMES_SQL} SELECT event_id, round(m11 * dx + m21 * dy + m31 * dz, 6) + 0 AS x, round(m12 * dx + m22 * dy + m32 * dz, 6) + 0 AS y, round(m13 * dx + m23 * dy + m33 * dz, 6) + 0 AS z FROM m")
+def frame_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """World points in the axes of frames."""
+    told = _framed(spark, sf_dir).select("event_id", camera.world_to_frame(F.col("v"), F.col("f")).alias("p"))
+    return told.select("event_id", *[(F.round(F.col(f"p.{c}"), 6) + 0.0).alias(c) for c in "xyz"])
+
+
+@query(f"WITH {FRAMES_SQL} SELECT event_id, round(fx + m11 * x + m12 * y + m13 * z, 6) + 0 AS x, round(fy + m21 * x + m22 * y + m23 * z, 6) + 0 AS y, round(fz + m31 * x + m32 * y + m33 * z, 6) + 0 AS z FROM m")
+def world_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points in the axes of frames as world points."""
+    told = _framed(spark, sf_dir).select("event_id", camera.frame_to_world(F.col("v"), F.col("f")).alias("p"))
+    return told.select("event_id", *[(F.round(F.col(f"p.{c}"), 6) + 0.0).alias(c) for c in "xyz"])
+
+
+@query(f"WITH {DIRECTIONS} SELECT event_id, round(-1.024 * x / z, 6) + 0 AS x, round(-1.024 * y / z, 6) + 0 AS y, round(1024 - 1024 * x / z, 6) AS u, round(1024 + 1024 * y / z, 6) AS v FROM v")
+def image_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directions in a camera's axes as places on its image plane and as pixels."""
+    rows, v = _directions(spark, sf_dir)
+    seen = rows.select("event_id", camera.model_to_image(v, F.lit(1.024)).alias("i"))
+    pixel = camera.image_to_pixel(F.col("i"), F.lit(0.001), F.lit(2048.0), F.lit(2048.0))
+    told = seen.withColumn("p", pixel).select("event_id", "i.x", "i.y", "p.u", "p.v")
+    return told.select("event_id", *[(F.round(c, 6) + 0.0).alias(c) for c in ("x", "y", "u", "v")])
+
+
+@query(
+    f"""WITH {DIRECTIONS}, t AS (SELECT event_id, x - event_id % 100 AS dx, y - event_id % 50 AS dy, z - event_id % 7 AS dz, radians(-(event_id % 360)::DOUBLE) AS a, radians(event_id % 20 - 10.0::DOUBLE) AS b, radians(event_id % 14 - 7.0::DOUBLE) AS c FROM v),
+s AS (SELECT event_id, (cos(a) * cos(c) - sin(a) * sin(b) * sin(c)) * dx + (sin(a) * cos(c) + cos(a) * sin(b) * sin(c)) * dy - cos(b) * sin(c) * dz AS x,
+  -(cos(a) * sin(c) + sin(a) * sin(b) * cos(c)) * dx - (sin(a) * sin(c) - cos(a) * sin(b) * cos(c)) * dy - cos(b) * cos(c) * dz AS y, -sin(a) * cos(b) * dx + cos(a) * cos(b) * dy + sin(b) * dz AS z FROM t)
+SELECT event_id, round(x, 6) + 0 AS x, round(y, 6) + 0 AS y, round(z, 6) + 0 AS z, round(4000 + 4000 / pi() * atan2(x, z), 4) AS u, round(2000 + 4000 / pi() * atan2(y, sqrt(x * x + z * z)), 4) AS v FROM s"""
+)
+def panorama_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """World points in the axes of turned cameras, and as pixels of their panoramas."""
+    rows, v = _directions(spark, sf_dir)
+    e = F.col("event_id").cast("double")
+    pose = F.struct(*[x.alias(n) for x, n in ((e % 100, "x"), (e % 50, "y"), (e % 7, "z"), (e % 360, "yaw"), (e % 20 - 10, "pitch"), (e % 14 - 7, "roll"))])
+    seen = rows.select("event_id", camera.to_camera(v, pose).alias("c")).withColumn("p", camera.spherical_projection(F.col("c"), F.lit(8000.0), F.lit(4000.0)))
+    return seen.select("event_id", *[(F.round(F.col(f"c.{c}"), 6) + 0.0).alias(c) for c in "xyz"], *[F.round(F.col(f"p.{c}"), 4).alias(c) for c in "uv"])
