@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rayloom.functions.camera import cube_ray, face_of, frame_to_model, image_to_pixel, lat_lon, model_to_image, sensor_of, spherical_projection, spherical_ray, to_camera, vector, world_to_frame
+from rayloom.functions.camera import cube_ray, face_of, frame_to_model, image_to_pixel, lat_lon, model_to_image, sensor_of, spherical_ray, vector
 from rayloom.functions.geometry import ellipse_of, nearest_nonzero, ring_area, ring_box, ring_centroid
+from rayloom.functions.poses import panorama_pixel, seen_from, with_camera, with_frame
 from rayloom.operators.spatial import near_pairs
 
 #: Faces on which objects aren't annotated, least vertices and area of one, widest box in a panorama.
@@ -46,7 +47,8 @@ def spherical_annotations(objects: DataFrame, poses: DataFrame, width: int = 800
     """
     w, h = F.lit(float(width)), F.lit(float(height))
     near = _near(objects.withColumn("ring", with_heights(F.col("ring"))).filter("ring IS NOT NULL"), poses, reach)
-    seen = near.withColumn("px", F.transform("ring", lambda p: spherical_projection(to_camera(p, F.col("pose")), w, h)))
+    turned = with_camera(near, "pose").withColumn("c", F.transform("ring", lambda p: seen_from(p, F.col("pose"), F.col("matrix"))))
+    seen = turned.withColumn("px", F.transform("c", lambda c: panorama_pixel(c, w, h))).drop("c", "matrix")
     us = F.transform("px", lambda p: F.greatest(F.least(p["u"], w - 1), F.lit(0.0)))
     sided = seen.withColumn("us", one_side(us, w)).withColumn("vs", F.transform("px", lambda p: F.greatest(F.least(p["v"], h - 1), F.lit(0.0))))
     ring = F.flatten(F.zip_with("us", "vs", lambda u, v: F.array(u, v)))
@@ -64,7 +66,7 @@ def cube_annotations(objects: DataFrame, frames: DataFrame, sensors: DataFrame,
     has enough of them gets a ring.
     """
     near = _near(objects, frames, reach).withColumn("camera_model", F.col("pose.camera_model")).join(sensors, "camera_model")
-    vertices = near.select("object_id", "frame_id", "pose", "mosaic", F.posexplode("ring").alias("nth", "p")).withColumn("f", world_to_frame(F.col("p"), F.col("pose")))
+    vertices = with_frame(near, "pose").select("object_id", "frame_id", "pose", "mosaic", "matrix", F.posexplode("ring").alias("nth", "p")).withColumn("f", seen_from(F.col("p"), F.col("pose"), F.col("matrix"))).drop("matrix")
     dealt = vertices.withColumn("sensor", sensor_of(lat_lon(F.col("f")), F.col("mosaic"))).withColumn("face", face_of(F.col("f"))).filter(~F.col("face").isin(*SKIPPED_FACES))
     cell = F.get(F.filter("mosaic", lambda c: c["sensor"] == F.col("sensor")), F.lit(0))
     seen = dealt.withColumn("cell", cell).filter("cell IS NOT NULL").withColumn("m", frame_to_model(F.col("f"), vector(F.col("cell.dx"), F.col("cell.dy"), F.col("cell.dz")), F.col("face")))

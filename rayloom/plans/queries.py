@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rayloom.functions import camera, geometry, names
+from rayloom.functions import camera, geometry, names, poses
 from rayloom.operators import control, evaluation, graph, matching, panorama, spatial, tiling, triangulation
 from rayloom.plans import relations as R
 from rayloom.sources import coco
@@ -446,10 +446,11 @@ def camera_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, v = _directions(spark, sf_dir)
     e = F.col("event_id").cast("double")
     pose = F.struct(*[x.alias(n) for x, n in ((e % 100, "x"), (e % 50, "y"), (e % 7, "z"), (e % 360, "yaw"), (e % 20 - 10, "pitch"), (e % 14 - 7, "roll"))])
-    seen = rows.withColumn("pose", pose).withColumn("c", camera.to_camera(v, F.col("pose")))
     w, h = F.lit(8000.0), F.lit(4000.0)
-    pixel = seen.withColumn("p", camera.spherical_projection(F.col("c"), w, h)).withColumn("r", camera.norm(F.col("c")))
-    back = pixel.withColumn("b", camera.to_world(camera.spherical_unprojection(F.col("p.u"), F.col("p.v"), F.col("r"), w, h), F.col("pose")))
+    seen = poses.with_camera(rows.withColumn("pose", pose), "pose").withColumn("c", poses.seen_from(v, F.col("pose"), F.col("matrix")))
+    pixel = seen.withColumn("p", poses.panorama_pixel(F.col("c"), w, h)).withColumn("r", F.sqrt(camera.dot(F.col("c"), F.col("c"))))
+    way = pixel.withColumn("s", camera.spherical_unprojection(F.col("p.u"), F.col("p.v"), F.col("r"), w, h))
+    back = way.withColumn("b", poses.in_world(F.col("s"), F.col("pose"), F.col("matrix")))
     clean = [(F.round(F.col(f"b.{c}"), 6) + 0.0).alias(c) for c in "xyz"]
     return back.select("event_id", *clean)
 
