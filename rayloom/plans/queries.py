@@ -508,7 +508,17 @@ def followed_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(peeling.merged_places(found), "x", "y", "elevation", "mean_intersection_length", "mean_intersection_dist")
 
 
-@query()
+@query(
+    """WITH RECURSIVE o AS (SELECT user_id, event_id AS frame_id, ts AS time, event_id * 2.0::DOUBLE % 97 AS x, event_id * 7.0::DOUBLE % 40 AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL),
+near AS (SELECT a.user_id, a.n, list(b.n) AS around FROM o a JOIN o b USING (user_id) WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 10 GROUP BY ALL),
+steps(user_id, seed, taken, got) AS (SELECT user_id, 1, [1::BIGINT], [1::BIGINT] FROM o WHERE n = 1 UNION ALL
+  SELECT t.user_id, t.seed, list_concat(t.taken, list_filter(around, lambda k: NOT list_contains(t.taken, k))), list_filter(around, lambda k: NOT list_contains(t.taken, k))
+  FROM (SELECT s.user_id, s.taken, min(o.n) AS seed FROM steps s JOIN o ON o.user_id = s.user_id AND NOT list_contains(s.taken, o.n) GROUP BY ALL) t JOIN near ON near.user_id = t.user_id AND near.n = t.seed),
+ways AS (SELECT s.user_id, s.seed, s.got, o.x - lag(o.x) OVER w AS wx, o.y - lag(o.y) OVER w AS wy FROM steps s JOIN o ON o.user_id = s.user_id AND o.n = s.seed WINDOW w AS (PARTITION BY s.user_id ORDER BY s.seed)),
+scaled AS (SELECT user_id, seed, got, CASE WHEN sqrt(wx * wx + wy * wy) >= 1e-6 THEN wx / sqrt(wx * wx + wy * wy) ELSE 1.0 END AS wx, CASE WHEN sqrt(wx * wx + wy * wy) >= 1e-6 THEN wy / sqrt(wx * wx + wy * wy) ELSE 0.0 END AS wy FROM ways),
+held AS (SELECT user_id, seed, wx, wy, unnest(got) AS n FROM scaled)
+SELECT user_id, frame_id, row_number() OVER (PARTITION BY user_id ORDER BY seed, x * wx + y * wy, time, frame_id) - 1 AS sort_index FROM held JOIN o USING (user_id, n)"""
+)
 def travel_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     frames = R.table(spark, sf_dir, "events").select("user_id", e.alias("frame_id"), F.unix_micros(F.to_timestamp_ltz(F.col("ts").cast("string"))).cast("double").alias("time"), (e * 2.0 % 97).alias("x"), (e * 7.0 % 40).alias("y"), F.lit(0.0).alias("z"))
