@@ -44,8 +44,8 @@ SHARD_BYTES = 1 << 20
 LONGEST_SHARD = 1 << 23
 #: Rows of the collections that a task builds at once.
 CHUNK_ROWS = 20_000
-#: Most rows of a collection; an anchor of more passages, and a key of more unlike pieces, is split.  The result is the same.
-HOT_ANCHOR = 1_000
+#: Most rows of a collection, what a task builds at once; an anchor of more passages, and a key of more unlike pieces, is split.  The result is the same.
+HOT_ANCHOR = CHUNK_ROWS
 #: Windows of a piece at each split: the distances of their starts to the anchor lie between two multiples of it.
 PIECES = (64, 8, 1)
 #: Bytes of passages in a batch, about.
