@@ -355,18 +355,23 @@ class _Writer(DataSourceWriter):
         _, path = opened(self.path)
         half = f"{path}.{uuid.uuid4().hex}.half"
         said = sorted((m for m in messages if m is not None), key=lambda m: m.order)
-        with fs.open_output_stream(half) as out:
-            alone = self.sections == ["records"]
-            for k, section in enumerate(self.sections):
-                out.write(b"[" if alone else (", " if k else "{").encode() + json.dumps(section).encode() + b": [")
-                for n, name in enumerate(m.names[section] for m in said if section in m.names):
-                    out.write(b",\n" if n else b"")
-                    with fs.open_input_stream(f"{folder}/{name}") as piece:
-                        while block := piece.read(BLOCK):
-                            out.write(block)
-                out.write(b"]")
-            out.write(b"" if alone else b"}")
-        fs.move(half, path)
+        try:
+            with fs.open_output_stream(half) as out:
+                alone = self.sections == ["records"]
+                for k, section in enumerate(self.sections):
+                    out.write(b"[" if alone else (", " if k else "{").encode() + json.dumps(section).encode() + b": [")
+                    for n, name in enumerate(m.names[section] for m in said if section in m.names):
+                        out.write(b",\n" if n else b"")
+                        with fs.open_input_stream(f"{folder}/{name}") as piece:
+                            while block := piece.read(BLOCK):
+                                out.write(block)
+                    out.write(b"]")
+                out.write(b"" if alone else b"}")
+            fs.move(half, path)
+        except BaseException:
+            if fs.get_file_info(half).is_file:
+                fs.delete_file(half)
+            raise
         self.abort(messages)
 
     def abort(self, messages):
