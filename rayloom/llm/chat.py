@@ -182,7 +182,8 @@ def from_turn_rows(rows: DataFrame, columns: tuple[str, str, str, str] | None =
     turn, role, text) overrides it.  Null texts and roles are empty.  Equal
     turn numbers are ordered by role, then text; null numbers come last; rows
     with a null conversation are one conversation; repeated rows are turns of
-    their own.
+    their own.  A conversation, with its very long texts, is one row, which a
+    task holds: it is what comes out, and has to be small enough for a model.
     """
     if columns is None:
         columns = turn_columns(rows.schema)

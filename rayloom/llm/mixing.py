@@ -77,7 +77,7 @@ def keyed(docs: DataFrame, id_col: str, source_col: str, text_col: str, quality:
     more = [] if carried is None else [carried.alias("row")]
     names = ["row"] if more else []
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), *more).withColumn("size", word_count(F.col("text")))
-    weight = default_quality(F.col("size"), F.length("text")) if quality is None else F.greatest(F.lit(1e-6), quality)
+    weight = default_quality(F.col("size"), F.length("text")) if quality is None else F.greatest(F.lit(1e-6), F.coalesce(F.nanvl(quality.cast("double"), F.lit(0.0)), F.lit(0.0)))
     name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit("")))))
     told = base.select(*names, "doc_id", "source", key_of(F.col("source")).alias("skey"), "size", weight.alias("quality"), (-F.log(uniform(F.lit(seed), name)) / weight).alias("key"))
     place = F.floor(F.col("key") / (1 + F.col("key")) * STEPS * STEPS)
@@ -135,7 +135,9 @@ def mix_sources(
     Null or empty text has size 0 and is never taken.  A null source is a
     source of its own, last in order.  A row with a null id gets its key from
     its text; rows that are alike in id and text are interchangeable.  Equal
-    keys are ordered by id.  An empty table gives no rows.  Columns other than
+    keys are ordered by id.  A ``quality`` that is null, NaN or below 1e-6
+    counts as 1e-6.  A very long text is counted whole.  An empty table gives
+    no rows.  Columns other than
     id, source and text are ignored, whatever their names.
     """
     rows = stored(keyed(docs, id_col, source_col, text_col, quality, seed), "mix")

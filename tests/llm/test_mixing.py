@@ -103,3 +103,11 @@ def test_corpus_holds_what_was_taken(spark):
 def test_empty(spark):
     assert mixing.mix_sources(frame(spark, [])).count() == 0
     assert mixing.mix_corpus(frame(spark, [])).count() == 0
+
+
+def test_quality_that_is_null_or_nan(spark):
+    rows = [(i, "word " * 10, "en", "a", 0) for i in range(40)]
+    worth = F.when(F.col("doc_id") % 4 == 0, F.lit(None).cast("double")).when(F.col("doc_id") % 4 == 1, F.lit(float("nan"))).otherwise(F.lit(1.0))
+    got = {r.doc_id: r for r in mixing.mix_sources(frame(spark, rows), quality=worth, total_share=0.25).collect()}
+    assert sum(r.taken for r in got.values()) == 100 and all(r.taken == 0 for i, r in got.items() if i % 4 < 2)
+    assert all(r.quality == 1e-6 for i, r in got.items() if i % 4 < 2)

@@ -97,3 +97,10 @@ def test_query(spark):
     columns = ("n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
     got = {r.doc_id: tuple(r[c] for c in columns) for r in queries.op12_periodic_runs(spark, "/root/testdata/sf0.001").collect()}
     assert {k: got[k] for k in want} == want and sum(w[0] > 0 for w in want.values()) > 3
+
+
+def test_periods_of_null_and_empty_texts(spark):
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10 == 0][:4]
+    df = spark.createDataFrame([(ids[0], None), (ids[1], ""), (ids[2], " \n "), (ids[3], "one"), (None, "a b c"), (None, None)], "doc_id long, text string")
+    told = runs.collapse_runs(df.select("doc_id", queries.with_period(df["doc_id"], df["text"]).alias("text"))).collect()
+    assert sorted((r.n_words, r.runs, r.collapsed) for r in told) == [(0, [], "")] * 4 + [(1, [], "one"), (3, [], "a b c")]
