@@ -376,7 +376,7 @@ taken(n, lefts, rights) AS (SELECT n, [truth_id], [place_id] FROM ranked WHERE n
   SELECT r.n, list_append(lefts, r.truth_id), list_append(rights, r.place_id)
   FROM (SELECT lefts, rights, min(r.n) AS m FROM taken t JOIN ranked r ON r.n > t.n AND NOT list_contains(lefts, r.truth_id) AND NOT list_contains(rights, r.place_id) GROUP BY ALL) f JOIN ranked r ON r.n = f.m),
 won AS (SELECT d FROM taken JOIN ranked USING (n)), c AS (SELECT (SELECT count(*) FROM won) AS tp, (SELECT count(*) FROM seen) AS n_truth, (SELECT count(*) FROM good) AS n_found)
-SELECT tp, n_found - tp AS fp, n_truth - tp AS fn, round(tp / n_found, 6) AS precision, round(tp / n_truth, 6) AS recall, round(2 * tp / (n_found + n_truth), 6) AS f1, round((SELECT avg(d) FROM won), 6) AS mean_distance, round((SELECT median(d) FROM won), 6) AS median_distance FROM c"""
+SELECT tp, n_found - tp AS fp, n_truth - tp AS fn, coalesce(round(tp / nullif(n_found, 0), 6), 0) AS precision, coalesce(round(tp / nullif(n_truth, 0), 6), 0) AS recall, coalesce(round(2 * tp / nullif(n_found + n_truth, 0), 6), 0) AS f1, round((SELECT avg(d) FROM won), 6) AS mean_distance, round((SELECT median(d) FROM won), 6) AS median_distance FROM c"""
 )
 def located_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of good quality against a truth that was passed by often enough, matched one to one."""
