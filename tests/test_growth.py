@@ -1,10 +1,12 @@
 """What kept steps from growing with their input: copies, sorts of pairs, frames read again for each row, few tasks."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
-from rayloom.operators import matching
+from rayloom.functions import geometry
+from rayloom.operators import control, matching
 
 BOX = "struct<x:double,y:double,w:double,h:double>"
 
@@ -35,3 +37,22 @@ def test_best_label_compares_equal_boxes_once_and_sorts_no_pairs(spark):
     assert {r.det_id: r.label_id for r in best.collect()} == want
     assert "SortAggregate" not in plan_of(best)
     assert plan_of(best).count("min(label_id") >= 2  # labels of one box as one row, before the join
+
+
+def test_next_unchecked_reads_no_shrinking_frame(spark):
+    rng = random.Random(2)
+    rows = [(i, i % 3, rng.choice(["unchecked", "validated"])) for i in range(60)]
+    found = control.next_unchecked(spark.createDataFrame(rows, "id long, grp long, state string"), "id", ["grp"])
+    for r in found.collect():
+        free = [i for i, g, s in rows if g == r.grp and s == "unchecked"]
+        assert r.next_id == min((i for i in free if i > r.id), default=min(free, default=None))
+    assert "RowFrame, 1, unboundedfollowing" not in plan_of(found)
+
+
+def test_outliers_of_a_long_list(spark):
+    """Mean and spread once a list: once a value, 20,000 of them are 400 million additions, and more for the spread."""
+    rows = spark.range(20000).select((F.col("id") % 50).cast("double").alias("v")).unionByName(spark.createDataFrame([(1e6,)], "v double"))
+    held = rows.agg(F.collect_list("v").alias("v"))
+    began = time.perf_counter()
+    assert held.select(F.size(geometry.without_outliers(F.col("v"), 1.5)).alias("n")).first().n == 20000
+    assert time.perf_counter() - began < 20
