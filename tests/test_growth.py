@@ -56,3 +56,25 @@ def test_outliers_of_a_long_list(spark):
     began = time.perf_counter()
     assert held.select(F.size(geometry.without_outliers(F.col("v"), 1.5)).alias("n")).first().n == 20000
     assert time.perf_counter() - began < 20
+
+
+def test_greedy_by_bands_equals_one_pass(spark):
+    """Crowded places: many pairs within reach, of which few are looked at."""
+    rng = random.Random(8)
+    draw = lambda n: [(i, float(rng.randrange(60)), float(rng.randrange(60))) for i in range(n)]
+    a, b = draw(300), draw(200)
+    assert len(matching._bands(spark.createDataFrame(b, "rid long, rx double, ry double"), 50.0, ("rx", "ry"), ())) > 3
+    found = matching.greedy_pairs(spark.createDataFrame(a, "id long, x double, y double"), spark.createDataFrame(b, "rid long, rx double, ry double"), 50.0, ("x", "y"), ("rx", "ry"), "id", "rid")
+    left, right, want = set(), set(), set()
+    for d, i, j in sorted((((x - u) ** 2 + (y - v) ** 2) ** 0.5, i, j) for i, x, y in a for j, u, v in b):
+        if d < 50 and i not in left and j not in right:
+            left.add(i), right.add(j), want.add((i, j))
+    assert {(r.id, r.rid) for r in found.collect()} == want
+
+
+def test_seen_often_by_counts(spark):
+    rng = random.Random(4)
+    draw = lambda n: [(i, rng.uniform(-50, 50), rng.uniform(-50, 50)) for i in range(n)]
+    truth, cams = draw(80), draw(90)
+    told = control.seen_often(spark.createDataFrame(truth, "id long, x double, y double"), spark.createDataFrame(cams, "c long, cam_x double, cam_y double"), "id", 12.0, 4)
+    assert {r.id for r in told.collect()} == {i for i, x, y in truth if sum((x - u) ** 2 + (y - v) ** 2 <= 144 for _, u, v in cams) >= 4}
