@@ -3,9 +3,12 @@
 import random
 import time
 
+import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from rayloom.functions import geometry
+from rayloom.functions import geometry, outlines
 from rayloom.operators import control, matching
 
 BOX = "struct<x:double,y:double,w:double,h:double>"
@@ -78,3 +81,20 @@ def test_seen_often_by_counts(spark):
     truth, cams = draw(80), draw(90)
     told = control.seen_often(spark.createDataFrame(truth, "id long, x double, y double"), spark.createDataFrame(cams, "c long, cam_x double, cam_y double"), "id", 12.0, 4)
     assert {r.id for r in told.collect()} == {i for i, x, y in truth if sum((x - u) ** 2 + (y - v) ** 2 <= 144 for _, u, v in cams) >= 4}
+
+
+def test_pairs_of_rings_are_swept_together(monkeypatch):
+    calls = []
+    real = outlines.areas_of
+    monkeypatch.setattr(outlines, "areas_of", lambda *a: calls.append(1) or real(*a))
+    square = lambda x, n: [x, 0.0, x + n, 0.0, x + n, n, x, n]
+    got = geometry.ring_iou.func(pd.Series([square(0.0, 2.0)] * 100 + [None]), pd.Series([square(1.0, 2.0)] * 101))
+    assert np.allclose(got[:100], 1 / 3) and got[100] == 0 and len(calls) == 1
+
+
+@pytest.mark.parametrize("name", ["polygon_masks", "polygon_iou", "fitted_ellipses", "fitted_planes", "grown_areas", "spherical_rays", "cube_rays"])
+def test_work_on_rows_is_spread_before_it_is_done(spark, name):
+    """A small file is one task, however much is made of its rows."""
+    from __spark_entry__ import queries
+
+    assert "REPARTITION_BY_NUM" in plan_of(queries()[name](spark, "/root/testdata/sf0.001"))
