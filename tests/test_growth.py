@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rayloom.functions import geometry, outlines
-from rayloom.operators import control, matching
+from rayloom.operators import control, matching, spatial
 
 BOX = "struct<x:double,y:double,w:double,h:double>"
 
@@ -98,3 +98,17 @@ def test_work_on_rows_is_spread_before_it_is_done(spark, name):
     from __spark_entry__ import queries
 
     assert "REPARTITION_BY_NUM" in plan_of(queries()[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_equal_areas_are_compared_once(spark, monkeypatch):
+    square = lambda x: [x, 0.0, x + 4.0, 0.0, x + 4.0, 4.0, x, 4.0]
+    left = spark.createDataFrame([(i, square(float(i % 3) * 3)) for i in range(30)] + [(99, None)], "det_id long, ring array<double>")
+    right = spark.createDataFrame([(i, square(float(i % 2) * 3 + 1)) for i in range(20)], "label_id long, ring array<double>")
+    unlike, members = spatial.alike(left, "det_id", "ring")
+    assert {r.det_id for r in unlike.collect()} == {0, 1, 2} and {(r.det_id, r.of) for r in members.collect()} == {(i, i % 3) for i in range(30)}
+    got = spatial.ring_pairs(left.withColumnRenamed("ring", "left_ring"), right.withColumnRenamed("ring", "right_ring"), "det_id", "label_id", cell=4.0)
+    want = {(i, j) for i in range(30) for j in range(20) if abs(i % 3 * 3 - (j % 2 * 3 + 1)) < 4}
+    rows = [(r.det_id, r.label_id) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    tags = control.tagged_areas(left, right, cell=4.0)
+    assert {(r.det_id, r.label_id) for r in tags.filter("tag = 'TP'").collect()} == {(0, 0), (1, 1)}
