@@ -112,3 +112,14 @@ def test_equal_areas_are_compared_once(spark, monkeypatch):
     assert set(rows) == want and len(rows) == len(want)
     tags = control.tagged_areas(left, right, cell=4.0)
     assert {(r.det_id, r.label_id) for r in tags.filter("tag = 'TP'").collect()} == {(0, 0), (1, 1)}
+
+
+def test_points_in_crowded_areas(spark):
+    """Many areas over each other: cells that lie inside any of them take their points without its outline."""
+    rng = random.Random(6)
+    diamonds = [(rng.uniform(0, 60), rng.uniform(0, 60), 12.5) for _ in range(40)]
+    areas = spark.createDataFrame([([x - r, y, x, y - r, x + r, y, x, y + r],) for x, y, r in diamonds] + [(None,)], "ring array<double>")
+    points = [(i, rng.uniform(-20, 80), rng.uniform(-20, 80)) for i in range(300)]
+    got = spatial.in_polygons(spark.createDataFrame(points + [(999, None, 1.0)], "id long, x double, y double"), areas, cell=16.0)
+    assert sorted(r.id for r in got.collect()) == [i for i, x, y in points if any(abs(x - u) + abs(y - v) < r for u, v, r in diamonds)]
+    assert "whole-" in str(got.inputFiles())
