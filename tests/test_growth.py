@@ -123,3 +123,26 @@ def test_points_in_crowded_areas(spark):
     got = spatial.in_polygons(spark.createDataFrame(points + [(999, None, 1.0)], "id long, x double, y double"), areas, cell=16.0)
     assert sorted(r.id for r in got.collect()) == [i for i, x, y in points if any(abs(x - u) + abs(y - v) < r for u, v, r in diamonds)]
     assert "whole-" in str(got.inputFiles())
+
+
+def test_detections_of_all_sizes_are_shuffled_once(spark):
+    """Twice by cells and twice by id, with a row for every cell that a box covers, before."""
+    rng = random.Random(4)
+    side = lambda: float(rng.choice([0, 1, 7, 31, 32, 33, 64, 300, 5000]))
+    rows = lambda n: [(i, i % 2, (float(rng.randrange(-200, 400)), float(rng.randrange(-200, 400)), side(), side())) for i in range(n)]
+    some, told = [*rows(150), (150, 0, None)], rows(80)
+    dets = spark.createDataFrame(some, f"det_id long, image_id long, box {BOX}").withColumn("score", F.col("det_id") / 10)
+    labels = spark.createDataFrame(told, f"label_id long, image_id long, box {BOX}")
+
+    def iou(p, q):
+        both = max(min(p[0] + p[2], q[0] + q[2]) - max(p[0], q[0]), 0) * max(min(p[1] + p[3], q[1] + q[3]) - max(p[1], q[1]), 0)
+        whole = p[2] * p[3] + q[2] * q[3] - both
+        return both / whole if whole else 0
+
+    meet = lambda p, q: all(p[k] <= q[k] + q[k + 2] and q[k] <= p[k] + p[k + 2] for k in (0, 1))
+    want = {d: min(near)[1] for d, im, p in some if p and (near := [(-iou(p, q), i) for i, jm, q in told if im == jm and meet(p, q)])}
+    best = matching.best_labels(dets, labels, carry=["score"])
+    assert {r.det_id: r.label_id for r in best.collect()} == want
+    assert all(r.score == r.det_id / 10 for r in best.collect())
+    by_id = [line for line in plan_of(best).splitlines() if "hashpartitioning" in line and "det_id" in line]
+    assert not by_id and plan_of(best).count("left_x") > 0
