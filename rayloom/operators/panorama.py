@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +13,8 @@ from rayloom.functions.geometry import segmentation_box, shifted
 from rayloom.functions.outlines import closed, meet_within, united, united_area
 from rayloom.functions.names import basename, tile_of, trimmed_jpg
 from rayloom.operators.graph import connected_components
-from rayloom.lineage import stored
-from rayloom.operators.spatial import overlap_pairs
+from rayloom.lineage import dealt_out, stored
+from rayloom.operators.spatial import covered, overlap_pairs
 from rayloom.operators.tiling import numbered_within
 
 KEYS = ["dataset", "image_id"]
@@ -57,6 +59,39 @@ def fragment_pairs(dets: DataFrame, buffer: float = 1.0, cell: float = 128.0, to
     return pairs.select(*KEYS, "a", "b")
 
 
+def fragment_links(dets: DataFrame, buffer: float = 1.0, cell: float = 1024.0) -> DataFrame:
+    """``<keys>, a, b``: what joins the same fragments as all pairs of :func:`fragment_pairs` by boxes, a row for each cell that a fragment covers.
+
+    ``b`` is the least fragment among those that are joined with ``a`` within
+    the cell, ``a`` itself if there is no other.  So a dense spot gives as many
+    links as it has fragments, not as many as it has pairs.
+    """
+    b = F.col("box")
+    grown = F.struct((b["x"] - buffer).alias("x"), (b["y"] - buffer).alias("y"), (b["w"] + 2 * buffer).alias("w"), (b["h"] + 2 * buffer).alias("h"))
+    on = [*KEYS, "cell_x", "cell_y"]
+    ends = [F.col("box.x").alias("x0"), (F.col("box.x") + F.col("box.w")).alias("x1"), F.col("box.y").alias("y0"), (F.col("box.y") + F.col("box.h")).alias("y1")]
+    rows = covered(dets.select(*KEYS, "id", grown.alias("box")).dropna(subset=KEYS), "box", cell).select(*on, "id", *ends)
+
+    def linked(some: pd.DataFrame) -> pd.DataFrame:
+        some = some.sort_values("id", ignore_index=True)
+        x0, x1, y0, y1 = (some[c].to_numpy(float) for c in ("x0", "x1", "y0", "y1"))
+        of, rest = np.arange(len(some)), np.arange(len(some))
+        while len(rest):
+            head, rest = rest[0], rest[1:]
+            todo = [head]
+            while todo and len(rest):
+                k = todo.pop()
+                near = (x0[rest] <= x1[k]) & (x1[rest] >= x0[k]) & (y0[rest] <= y1[k]) & (y1[rest] >= y0[k])
+                of[rest[near]] = head
+                todo += rest[near].tolist()
+                rest = rest[~near]
+        return some[[*KEYS, "id"]].rename(columns={"id": "a"}).assign(b=some["id"].to_numpy()[of])
+
+    types = dict(rows.dtypes)
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in KEYS], f"a {types['id']}", f"b {types['id']}"])
+    return dealt_out(rows, *on).groupBy(*on).applyInPandas(linked, schema)
+
+
 def grouped(pairs: DataFrame) -> DataFrame:
     """``<keys>, id, group_id``: fragments joined by pairs; a group has the id of its least fragment.
 
@@ -75,8 +110,9 @@ def merged(dets: DataFrame, pairs: DataFrame, groups: DataFrame) -> DataFrame:
     is in a pair, and twice in the one with itself.
     """
     scores = dets.select(*KEYS, "id", "score")
-    ends = pairs.select(*KEYS, F.explode(F.array("a", "b")).alias("id")).join(scores, [*KEYS, "id"]).join(groups, [*KEYS, "id"])
-    medians = ends.groupBy(*KEYS, "group_id").agg(F.median("score").alias("score"))
+    often = pairs.select(*KEYS, F.explode(F.array("a", "b")).alias("id")).groupBy(*KEYS, "id").agg(F.count("*").alias("often"))  # where pairs are made: they are never shuffled
+    ends = often.join(scores, [*KEYS, "id"]).join(groups, [*KEYS, "id"])
+    medians = ends.groupBy(*KEYS, "group_id").agg(F.percentile("score", F.lit(0.5), F.col("often")).alias("score"))
     x, y = F.min("box.x"), F.min("box.y")
     shape = dets.join(groups, [*KEYS, "id"]).groupBy(*KEYS, "group_id").agg(
         F.min("category_id").alias("category_id"),
@@ -90,7 +126,7 @@ def merged(dets: DataFrame, pairs: DataFrame, groups: DataFrame) -> DataFrame:
 def merge_fragments(dets: DataFrame, buffer: float = 1.0, outlined: bool = False) -> DataFrame:
     """Fragments merged where their boxes, grown by ``buffer``, meet, or, if ``outlined``, where their outlines do."""
     pairs = fragment_pairs(dets, buffer, touch=meet_within(buffer) if outlined else None)
-    return merged(dets, pairs, grouped(pairs))
+    return merged(dets, pairs, stored(grouped(pairs if outlined else fragment_links(dets, buffer)), "groups"))
 
 
 def dissolved(objects: DataFrame, buffer: float = 0.0) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rayloom.functions import geometry, outlines
-from rayloom.operators import control, matching, spatial
+from rayloom.operators import control, matching, panorama, spatial
 
 BOX = "struct<x:double,y:double,w:double,h:double>"
 
@@ -146,3 +146,20 @@ def test_detections_of_all_sizes_are_shuffled_once(spark):
     assert all(r.score == r.det_id / 10 for r in best.collect())
     by_id = [line for line in plan_of(best).splitlines() if "hashpartitioning" in line and "det_id" in line]
     assert not by_id and plan_of(best).count("left_x") > 0
+
+
+def test_fragments_of_a_dense_spot_give_few_links(spark):
+    """All pairs of them before, and a median that took every pair's scores."""
+    rng = random.Random(6)
+    dense = [(i, (rng.random() * 30, rng.random() * 30, 60.0, 60.0)) for i in range(200)]
+    loose = [(200 + i, (rng.random() * 3000, rng.random() * 3000, 90.0, 60.0)) for i in range(200)]
+    rows = [(i, "val", i % 2, round(rng.random(), 3), 1, b, [[b[0], b[1], b[0] + b[2], b[1], b[0] + b[2], b[1] + b[3]]]) for i, b in dense + loose]
+    dets = spark.createDataFrame(rows, f"id long, dataset string, image_id long, score double, category_id int, box {BOX}, segmentation array<array<double>>")
+    links, pairs = panorama.fragment_links(dets), panorama.fragment_pairs(dets)
+    assert links.count() < 1200 < pairs.count()
+    of = {r.id: r.group_id for r in panorama.grouped(links).collect()}
+    assert of == {r.id: r.group_id for r in panorama.grouped(pairs).collect()}
+    score = {r[0]: r[3] for r in rows}
+    taken = pd.DataFrame([(of[p.a], score[k]) for p in pairs.collect() for k in (p.a, p.b)], columns=["id", "score"]).groupby("id")["score"].median()
+    got = {r.id: r.score for r in panorama.merge_fragments(dets).collect()}
+    assert got == pytest.approx(taken.to_dict())
