@@ -3,11 +3,13 @@
 import random
 import time
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from rayloom.functions import geometry, outlines
 from rayloom.operators import control, matching, panorama, spatial
 
@@ -163,3 +165,14 @@ def test_fragments_of_a_dense_spot_give_few_links(spark):
     taken = pd.DataFrame([(of[p.a], score[k]) for p in pairs.collect() for k in (p.a, p.b)], columns=["id", "score"]).groupby("id")["score"].median()
     got = {r.id: r.score for r in panorama.merge_fragments(dets).collect()}
     assert got == pytest.approx(taken.to_dict())
+
+
+def test_pixels_of_the_seam_have_one_place(spark, tmp_path):
+    """Points right behind the camera were at either edge of the panorama."""
+    ids = [1368101, 4837805, 970305, 3025603, 1]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.sql(entry.oracle_sql()["panorama_pixels"]).fetchall())
+    got = sorted(map(tuple, entry.queries()["panorama_pixels"](spark, str(tmp_path)).collect()))
+    assert got == want and all(0 <= r[4] < 8000 for r in got)
