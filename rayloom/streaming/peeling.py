@@ -14,14 +14,16 @@ cross.  On a table the same frames are followed through sorted partitions.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from statistics import fmean
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -33,6 +35,8 @@ from rayloom.operators.triangulation import BELOW, PANORAMA, RADIUS_GAP
 HELD = "array<struct<ray_a:bigint,ray_b:bigint,x:double,y:double,z:double,length:double,gap:double>>"
 RESULT = f"trajectory bigint, candidate bigint, x double, y double, elevation double, intersections bigint, mean_intersection_length double, mean_intersection_dist double, last_seen bigint, missing bigint, held {HELD}"
 RAYS = "trajectory bigint, frame bigint, ray_id bigint, ox double, oy double, oz double, dx double, dy double, dz double, area double"
+#: Crossings of candidates that a task gathers before it hands them on: a batch costs as much as hundreds of frames.
+GATHERED = 5000
 
 
 @dataclass(frozen=True)
@@ -52,17 +56,26 @@ class Rules:
         return tuple(math.floor(v / (2 * self.radius + self.most_gap)) for v in origin)
 
 
-def _disc(area: float, d: np.ndarray, t: float) -> float:
+def _disc(area: float, d: tuple[float, ...], t: float) -> float:
     """Radius of the flat disc whose mask has an area, seen along ``d`` at a distance."""
     width, height = PANORAMA
     scale = width * height / (2 * math.pi**2) * abs(d[1]) / math.sqrt(max(1 - d[1] ** 2, 1e-12))
     return t * math.sqrt(area / scale) if scale else math.nan
 
 
+def _middle(values: Iterable[float]) -> float:
+    some = sorted(values)
+    half = len(some) // 2
+    return some[half] if len(some) % 2 else (some[half - 1] + some[half]) / 2
+
+
+Point = tuple[float, float, float]
+
+
 @dataclass
 class Candidate:
     held: set[int]
-    centre: np.ndarray
+    centre: Point
     last: int
     missing: int = 0
 
@@ -74,136 +87,199 @@ class Trajectory:
     ``rays``: frame, origin and direction, area, and whether in play, by id;
     ``crossings``: the two rays, point, length, gap, and whether in play, by
     number; both hold what is in play or part of an active candidate.
+
+    A crossing never moves, so those within reach of it (``near``) are looked
+    for once, when it is first seen, and not in each frame.
     """
 
     rules: Rules
-    rays: dict[int, tuple[int, np.ndarray, float | None, bool]] = field(default_factory=dict)
-    crossings: dict[int, tuple[int, int, np.ndarray, float, float, bool]] = field(default_factory=dict)
+    rays: dict[int, tuple[int, tuple[float, ...], float | None, bool]] = field(default_factory=dict)
+    crossings: dict[int, tuple[int, int, Point, float, float, bool]] = field(default_factory=dict)
     pool: dict[int, Candidate] = field(default_factory=dict)
     next_crossing: int = 0
     next_candidate: int = 0
     cells: dict[tuple[int, int, int], set[int]] = field(default_factory=lambda: defaultdict(set))
+    near: dict[int, set[int]] = field(default_factory=dict)
+    spots: dict[tuple[int, int, int], list[int]] = field(default_factory=dict)
+    centres: dict[tuple[int, ...], Point] = field(default_factory=dict)
 
     def _play(self, ray: int, on: bool) -> None:
-        frame, way, area, _ = self.rays[ray]
-        self.rays[ray] = (frame, way, area, on)
-        cell = self.cells[self.rules.cell(way[:3])]
-        (cell.add if on else cell.discard)(ray)
-
-    def _meet(self, ray: int) -> None:
-        """Crossings of a new ray: with each earlier frame the one of least gap, of the least ray of several."""
-        frame, way, area, _ = self.rays[ray]
-        x, y, z = self.rules.cell(way[:3])
-        near = sorted(r for a in (x - 1, x, x + 1) for b in (y - 1, y, y + 1) for c in (z - 1, z, z + 1) for r in self.cells.get((a, b, c), ()) if self.rays[r][0] != frame)
-        if not near:
+        frame, way, area, was = self.rays[ray]
+        if was != on:
+            self.rays[ray] = (frame, way, area, on)
+        cell = self.rules.cell(way[:3])
+        if on:
+            self.cells[cell].add(ray)
+        elif some := self.cells.get(cell):
+            some.discard(ray)
+            if not some:  # else what a long trajectory has left behind is passed over in each frame
+                del self.cells[cell]
+
+    def _meet(self, frame: int, rays: list[int]) -> None:
+        """Crossings of a frame's rays: with each earlier frame the one of least gap, of the least ray of several."""
+        by_cell: dict[tuple[int, int, int], list[int]] = {}
+        for r in rays:
+            by_cell.setdefault(self.rules.cell(self.rays[r][1][:3]), []).append(r)
+        found: dict[int, list[tuple]] = {}
+        for (x, y, z), some in by_cell.items():
+            around: list[int] = []
+            for a in (x - 1, x, x + 1):
+                for b in (y - 1, y, y + 1):
+                    for c in (z - 1, z, z + 1):
+                        if held := self.cells.get((a, b, c)):
+                            around += held
+            near = sorted(r for r in around if self.rays[r][0] != frame)
+            if near:
+                self._compare(near, some, found)
+        for ray in rays:  # crossings are numbered by ray
+            for met in found.get(ray, ()):
+                self.crossings[self.next_crossing] = met
+                self.next_crossing += 1
+
+    def _compare(self, near: list[int], rays: list[int], found: dict[int, list[tuple]]) -> None:
+        """The best crossings of some new rays with near earlier ones, all pairs of a part at once."""
+        rules, rows = self.rules, max(1, 200_000 // len(near))
+        if len(rays) > rows:
+            for i in range(0, len(rays), rows):
+                self._compare(near, rays[i : i + rows], found)
             return
-        rules, other = self.rules, np.array([self.rays[r][1] for r in near])
-        v, turn = way[:3] - other[:, :3], other[:, 3:] @ way[3:]
+        ox, oy, oz, dx, dy, dz = np.array([self.rays[r][1] for r in near]).T
+        px, py, pz, ex, ey, ez = np.array([self.rays[r][1] for r in rays]).T[:, :, None]
+        vx, vy, vz = px - ox, py - oy, pz - oz
+        turn = dx * ex + dy * ey + dz * ez
         spread = 1 - turn * turn
-        va, vb = (v * other[:, 3:]).sum(1), v @ way[3:]
+        va, vb = vx * dx + vy * dy + vz * dz, vx * ex + vy * ey + vz * ez
         with np.errstate(divide="ignore", invalid="ignore"):
             ta, tb = (va - vb * turn) / spread, (va * turn - vb) / spread
         ok = (np.abs(spread) >= 1e-6) & (ta >= 0) & (tb >= 0) & (ta <= rules.radius) & (tb <= rules.radius)
-        p, q = other[:, :3] + ta[:, None] * other[:, 3:], way[:3] + tb[:, None] * way[3:]
-        gap, middle = np.sqrt(((p - q) ** 2).sum(1)), (p + q) / 2
-        ok &= gap <= rules.most_gap
-        if rules.height:
-            lower = np.minimum(other[:, 2], way[2])
-            ok &= (middle[:, 2] < lower - BELOW[0]) & (middle[:, 2] > lower - BELOW[1])
-        best: dict[int, int] = {}
-        for i in np.flatnonzero(ok):
-            if rules.mask and not abs(_disc(self.rays[near[i]][2], other[i, 3:], ta[i]) - _disc(area, way[3:], tb[i])) <= RADIUS_GAP:
+        best: dict[int, dict[int, tuple]] = {}
+        for i, k in zip(*(v.tolist() for v in np.nonzero(ok))):
+            earlier, ray, s, t = near[k], rays[i], ta.item(i, k), tb.item(i, k)
+            (frame, a, area_a, _), (_, b, area_b, _) = self.rays[earlier], self.rays[ray]
+            x, y, z = a[0] + s * a[3], a[1] + s * a[4], a[2] + s * a[5]
+            u, v, w = b[0] + t * b[3], b[1] + t * b[4], b[2] + t * b[5]
+            gap = math.sqrt((x - u) * (x - u) + (y - v) * (y - v) + (z - w) * (z - w))
+            if not gap <= rules.most_gap:
                 continue
-            f = self.rays[near[i]][0]
-            if f not in best or gap[i] < gap[best[f]]:
-                best[f] = i
-        for i in best.values():
-            self.crossings[self.next_crossing] = (near[i], ray, middle[i], float(max(ta[i], tb[i])), float(gap[i]), True)
-            self.next_crossing += 1
+            if rules.height and not min(a[2], b[2]) - BELOW[1] < (z + w) / 2 < min(a[2], b[2]) - BELOW[0]:
+                continue
+            if rules.mask and not abs(_disc(area_a, a[3:], s) - _disc(area_b, b[3:], t)) <= RADIUS_GAP:
+                continue
+            of_ray = best.setdefault(ray, {})
+            if frame not in of_ray or gap < of_ray[frame][4]:
+                of_ray[frame] = (earlier, ray, ((x + u) / 2, (y + v) / 2, (z + w) / 2), max(s, t), gap, True)
+        found.update((ray, list(of_ray.values())) for ray, of_ray in best.items())
+
+    def _place(self, k: int) -> None:
+        """Links of a crossing with those within reach that are there already."""
+        reach, spots, crossings = self.rules.reach, self.spots, self.crossings
+        p = crossings[k][2]
+        x, y, z = (math.floor(v / reach) for v in p)
+        mine = self.near[k] = set()
+        for a in (x - 1, x, x + 1):
+            for b in (y - 1, y, y + 1):
+                for c in (z - 1, z, z + 1):
+                    for m in spots.get((a, b, c), ()):
+                        q = crossings[m][2]
+                        u, v, w = p[0] - q[0], p[1] - q[1], p[2] - q[2]
+                        if math.sqrt(u * u + v * v + w * w) <= reach:
+                            mine.add(m)
+                            self.near[m].add(k)
+        spots.setdefault((x, y, z), []).append(k)
+
+    def _split(self, some: Iterable[int]) -> list[set[int]]:
+        near, left, parts = self.near, set(some), []
+        while left:
+            todo = [left.pop()]
+            part = set(todo)
+            while todo and left:
+                more = near[todo.pop()] & left
+                left -= more
+                part |= more
+                todo += more
+            parts.append(part)
+        return parts
 
     def _clusters(self) -> list[list[int]]:
         """Crossings in play, peeled: the largest cluster stays and takes out what shares a ray with it, until none is left."""
-        names = sorted(k for k, c in self.crossings.items() if c[5])
-        points = np.array([self.crossings[k][2] for k in names]).reshape(-1, 3)
-        cell, beside = defaultdict(list), {}
-        for k, p in zip(names, points):
-            cell[tuple(np.floor(p / self.rules.reach).astype(int))].append(k)
-        for (x, y, z), some in cell.items():
-            around = [k for a in (x - 1, x, x + 1) for b in (y - 1, y, y + 1) for c in (z - 1, z, z + 1) for k in cell.get((a, b, c), ())]
-            far = np.array([self.crossings[k][2] for k in around])
-            for k in some:
-                d = far - self.crossings[k][2]
-                beside[k] = [around[i] for i in np.flatnonzero(np.sqrt((d * d).sum(1)) <= self.rules.reach)]
-
-        def split(some: set[int]) -> list[set[int]]:
-            parts, left = [], set(some)
-            while left:
-                part, todo = set(), [left.pop()]
-                while todo:
-                    k = todo.pop()
-                    part.add(k)
-                    more = [m for m in beside[k] if m in left]
-                    left.difference_update(more)
-                    todo += more
-                parts.append(part)
-            return parts
-
-        by_ray = defaultdict(set)
+        crossings = self.crossings
+        for k in crossings:
+            if k not in self.near:
+                self._place(k)
+        names = [k for k, c in crossings.items() if c[5]]
+        by_ray: dict[int, list[int]] = {}
         for k in names:
-            for r in self.crossings[k][:2]:
-                by_ray[r].add(k)
-        parts, kept = split(set(names)), []
-        while parts:
-            first = min(parts, key=lambda p: (-len(p), min(p)))
+            for r in crossings[k][:2]:
+                by_ray.setdefault(r, []).append(k)
+        part_of: dict[int, set[int]] = {}
+        order: list[tuple[int, int]] = []
+
+        def add(parts: list[set[int]]) -> None:
+            for p in parts:
+                least = min(p)
+                heapq.heappush(order, (-len(p), least))
+                part_of.update(dict.fromkeys(p, p))
+
+        add(self._split(names))
+        kept = []
+        while order:
+            size, least = heapq.heappop(order)
+            first = part_of.get(least)
+            if first is None or (-len(first), min(first)) != (size, least):
+                continue  # was split or went since
             kept.append(sorted(first))
-            gone = set().union(*(by_ray[r] for k in first for r in self.crossings[k][:2]))
-            for k in gone - first:
-                if self.crossings[k][5]:
-                    self.crossings[k] = (*self.crossings[k][:5], False)
-            parts = [q for p in parts if p is not first for q in (split(p - gone) if p & gone else [p])]
+            for k in first:
+                del part_of[k]
+            gone = {m for k in first for r in crossings[k][:2] for m in by_ray[r] if m in part_of}
+            broken = {id(part_of[k]): part_of[k] for k in gone}
+            for k in gone:
+                del part_of[k]
+                crossings[k] = (*crossings[k][:5], False)
+            for p in broken.values():
+                add(self._split(p - gone))
         return kept
 
-    def centre(self, held: set[int]) -> np.ndarray:
-        return np.median([self.crossings[k][2] for k in held], axis=0)
+    def centre(self, held: Iterable[int]) -> Point:
+        points = [self.crossings[k][2] for k in held]
+        return points[0] if len(points) == 1 else tuple(_middle(c) for c in zip(*points))
 
     def _pooled(self, frame: int, found: list[list[int]]) -> set[int]:
         """Candidates that the clusters of a frame have changed or begun."""
-        fresh = set()
+        fresh, radius, reach, centres = set(), self.rules.radius, self.rules.update_reach, {}
         for cluster in found:
-            held = set(cluster)
-            at, met = self.centre(held), False
-            for i in sorted(self.pool):
-                c = self.pool[i]
+            held, known = set(cluster), tuple(cluster)
+            at = centres[known] = self.centres.get(known) or self.centre(cluster)
+            for i, c in self.pool.items():
                 d = math.dist(c.centre, at)
-                if d >= self.rules.radius:
+                if d >= radius or d >= reach and d > 0:  # a candidate of the same crossings is at the same place
                     continue
                 if c.held == held:
-                    met = True
                     break
-                if d < self.rules.update_reach:
+                if d < reach:
                     for k in c.held:
-                        self.crossings[k] = (*self.crossings[k][:5], True)
+                        if not self.crossings[k][5]:
+                            self.crossings[k] = (*self.crossings[k][:5], True)
                     c.held |= held
                     for k in c.held:
                         for r in self.crossings[k][:2]:
                             self._play(r, True)
-                    c.centre, c.last, c.missing, met = self.centre(c.held), frame, 0, True
+                    c.centre, c.last, c.missing = self.centre(c.held), frame, 0
                     fresh.add(i)
                     break
-            if not met:
+            else:
                 self.pool[self.next_candidate] = Candidate(held, at, frame)
                 fresh.add(self.next_candidate)
                 self.next_candidate += 1
+        self.centres = centres
         return fresh
 
     def advance(self, frame: int, rays: list[tuple]) -> list[tuple]:
         """Follow one frame; ``rays``: id, origin and direction (6 numbers), area.  Returns the candidates that leave the pool."""
-        earlier = any(self.cells.values())
+        earlier = any(self.cells.values())  # a stream loads empty ones, too
         for ray, way, area in rays:
-            self.rays[ray] = (frame, np.asarray(way, float), area, True)
+            self.rays[ray] = (frame, tuple(map(float, way)), area, True)
         if earlier:
-            for ray, _, _ in sorted(rays, key=lambda r: r[0]):
-                self._meet(ray)
+            self._meet(frame, sorted(r[0] for r in rays))
         for ray, _, _ in rays:
             self._play(ray, True)
         fresh, out = self._pooled(frame, self._clusters()), []
@@ -226,7 +302,15 @@ class Trajectory:
     def _forget(self) -> None:
         """Drop crossings of no candidate, and rays out of play that none of the others has."""
         held = set().union(*(c.held for c in self.pool.values())) if self.pool else set()
-        self.crossings = {k: c for k, c in self.crossings.items() if k in held}
+        for k in self.crossings.keys() - held:
+            p = self.crossings.pop(k)[2]
+            for m in self.near.pop(k, ()):
+                self.near[m].discard(k)
+            spot = tuple(math.floor(v / self.rules.reach) for v in p)
+            if k in (here := self.spots.get(spot, [])):
+                here.remove(k)
+                if not here:
+                    del self.spots[spot]
         used = {r for c in self.crossings.values() for r in c[:2]}
         self.rays = {r: v for r, v in self.rays.items() if v[3] or r in used}
 
@@ -256,12 +340,31 @@ def flat_rays(rays: DataFrame) -> DataFrame:
     return rays.select(*[F.col(c).cast("bigint").alias(c) for c in ("trajectory", "frame", "ray_id")], *ways, area.alias("area"))
 
 
-def _frames(rows: pd.DataFrame) -> Iterator[tuple[int, int, list[tuple]]]:
-    """Trajectory, frame and rays of each frame of sorted rows."""
-    for (trajectory, frame), some in rows.groupby(["trajectory", "frame"], sort=False):
-        known = some.dropna(subset=["ray_id"])
-        ways, areas = known[["ox", "oy", "oz", "dx", "dy", "dz"]].to_numpy(float), known["area"]
-        yield int(trajectory), int(frame), [(int(r), w, None if pd.isna(a) else float(a)) for r, w, a in zip(known["ray_id"], ways, areas)]
+def _batch(rows: list[tuple[int, tuple]]) -> pa.RecordBatch:
+    """:data:`RESULT` of trajectories with what :meth:`Trajectory.told` says of their candidates."""
+    held = [r[-1] for _, r in rows]
+    flat = [h for some in held for h in some]
+    kinds = [pa.int64()] * 2 + [pa.float64()] * 5
+    fields = pa.StructArray.from_arrays([pa.array([h[i] for h in flat], kind) for i, kind in enumerate(kinds)], _FIELDS)
+    offsets = np.concatenate([[0], np.cumsum([len(some) for some in held])]).astype(np.int32)
+    kinds = [pa.int64()] + [pa.float64()] * 3 + [pa.int64()] + [pa.float64()] * 2 + [pa.int64()] * 2
+    told = [pa.array([r[i] for _, r in rows], kind) for i, kind in enumerate(kinds)]
+    return pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.int64()), *told, pa.ListArray.from_arrays(pa.array(offsets), fields)], names=_NAMES)
+
+
+def _frames(rows: pa.Table | pa.RecordBatch) -> Iterator[tuple[int, int, list[tuple]]]:
+    """Trajectory, frame and rays of each frame of sorted rows (:data:`RAYS`)."""
+    names = [c.split()[0] for c in RAYS.split(", ")]
+    trajectory, frame, ray, *way, area = (rows.column(c).to_pylist() for c in names)
+    way = list(zip(*way))
+    at, n = 0, len(ray)
+    while at < n:
+        t, f, some = trajectory[at], frame[at], []
+        while at < n and frame[at] == f and trajectory[at] == t:
+            if ray[at] is not None:
+                some.append((ray[at], tuple(math.nan if v is None else v for v in way[at]) if None in way[at] else way[at], area[at]))
+            at += 1
+        yield t, f, some
 
 
 def followed(rays: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -272,30 +375,39 @@ def followed(rays: DataFrame, rules: Rules = Rules()) -> DataFrame:
     is in play.  Rows without a trajectory or frame are left out.
     """
 
-    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        on, state, open_rows = None, None, None
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[tuple]]]:
+        last: tuple[int, int, list[tuple]] | None = None  # may go on in the next batch
         for batch in batches:
-            batch = batch if open_rows is None else pd.concat([open_rows, batch], ignore_index=True)
-            last = (batch["trajectory"] == batch["trajectory"].iloc[-1]) & (batch["frame"] == batch["frame"].iloc[-1])
-            open_rows, whole = batch[last], batch[~last]  # the last frame may go on in the next batch
-            for trajectory, frame, some in _frames(whole):
-                if trajectory != on:
-                    if on is not None:
-                        yield _frame(on, state.rest())
-                    on, state = trajectory, Trajectory(rules)
-                if out := state.advance(frame, some):
-                    yield _frame(on, out)
-        if open_rows is not None:
-            for trajectory, frame, some in _frames(open_rows):
-                if trajectory != on:
-                    if on is not None:
-                        yield _frame(on, state.rest())
-                    on, state = trajectory, Trajectory(rules)
-                yield _frame(on, state.advance(frame, some) + state.rest())
+            for trajectory, frame, some in _frames(batch):
+                if last is not None and last[:2] == (trajectory, frame):
+                    last[2].extend(some)
+                    continue
+                if last is not None:
+                    yield last
+                last = (trajectory, frame, some)
+        if last is not None:
+            yield last
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on, state, ready, size = None, Trajectory(rules), [], 0
+        for trajectory, frame, some in frames(batches):
+            out = []
+            if trajectory != on:
+                out += [(on, r) for r in state.rest()]
+                on, state = trajectory, Trajectory(rules)
+            out += [(on, r) for r in state.advance(frame, some)]
+            ready += out
+            size += sum(len(r[-1]) for _, r in out)
+            if size >= GATHERED:
+                yield _batch(ready)
+                ready, size = [], 0
+        ready += [(on, r) for r in state.rest()]
+        if ready:
+            yield _batch(ready)
 
     tasks = int(rays.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that few bytes don't end in one task
     dealt = flat_rays(rays).dropna(subset=["trajectory", "frame"]).repartition(tasks, "trajectory").sortWithinPartitions("trajectory", "frame", "ray_id")
-    return dealt.mapInPandas(follow, RESULT)
+    return dealt.mapInArrow(follow, RESULT)
 
 
 class Follower(StatefulProcessor):
@@ -318,34 +430,35 @@ class Follower(StatefulProcessor):
         if self.counts.exists():
             state.next_crossing, state.next_candidate = self.counts.get()
         for (k,), v in self.crossings.iterator():
-            state.crossings[k] = (v[0], v[1], np.array(v[2]), v[3], v[4], v[5])
-        for (k,), v in self.pool.iterator():
+            state.crossings[k] = (v[0], v[1], tuple(v[2]), v[3], v[4], v[5])
+        for (k,), v in sorted(self.pool.iterator(), key=lambda e: e[0][0]):  # in the order of their numbers, as they began
             state.pool[k] = Candidate(set(v[0]), state.centre(v[0]), v[1], v[2])
         wanted = {r for c in state.crossings.values() for r in c[:2]}
         wanted |= {r for c in cells if self.cells.containsKey(c) for r in self.cells.getValue(c)[0]}
         todo = sorted(wanted)
         for r in todo:
             frame, way, area, playing = self.rays.getValue((r,))
-            state.rays[r] = (frame, np.array(way), area, playing)
+            state.rays[r] = (frame, tuple(way), area, playing)
         for c in cells | {self.rules.cell(v[1][:3]) for v in state.rays.values()}:  # whole cells, as they are written whole
             told = self.cells.getValue(c)[0] if self.cells.containsKey(c) else []
             state.cells[c] = set(told)
             for r in told:
                 if r not in state.rays:
                     frame, way, area, playing = self.rays.getValue((r,))
-                    state.rays[r] = (frame, np.array(way), area, playing)
+                    state.rays[r] = (frame, tuple(way), area, playing)
         return state
 
     def _save(self, state: Trajectory, before: Trajectory) -> None:
         """Write what has changed."""
-        for name, entry in (("rays", lambda v: (v[0], v[1].tolist(), v[2], v[3])), ("crossings", lambda v: (v[0], v[1], v[2].tolist(), v[3], v[4], v[5])), ("pool", lambda v: (sorted(v.held), v.last, v.missing))):
+        for name, entry in (("rays", lambda v: (v[0], list(v[1]), v[2], v[3])), ("crossings", lambda v: (v[0], v[1], list(v[2]), v[3], v[4], v[5])), ("pool", lambda v: (sorted(v.held), v.last, v.missing))):
             kept, now, old = getattr(self, name), getattr(state, name), getattr(before, name)
             for k in old.keys() - now.keys():
                 kept.removeKey((k,))
             for k, v in now.items():
                 if k not in old or entry(v) != entry(old[k]):
                     kept.updateValue((k,), entry(v))
-        for c, rays in state.cells.items():
+        for c in state.cells.keys() | before.cells.keys():
+            rays = state.cells.get(c, set())
             if rays != before.cells.get(c, set()):
                 if rays:
                     self.cells.updateValue(c, (sorted(rays),))
@@ -355,7 +468,7 @@ class Follower(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(rows)).sort_values(["frame", "ray_id"]).dropna(subset=["frame"])
-        frames = list(_frames(rows))
+        frames = list(_frames(pa.Table.from_pandas(rows, pa.schema([(c.split()[0], pa.int64() if c.endswith("bigint") else pa.float64()) for c in RAYS.split(", ")]), preserve_index=False)))
         cells = {(x + i, y + j, z + k) for _, _, some in frames for _, w, _ in some for x, y, z in [self.rules.cell(w[:3])] for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)}
         state = self._load(cells)
         before = Trajectory(self.rules, dict(state.rays), dict(state.crossings), {i: Candidate(set(c.held), c.centre, c.last, c.missing) for i, c in state.pool.items()})

@@ -179,3 +179,22 @@ def test_on_a_stream(spark, tmp_path):
     finally:
         run.stop()
         spark.conf.unset(provider)
+
+
+def test_a_frame_costs_what_is_in_play():
+    """Crossings are placed once, not in each frame; nothing stays of places that a trajectory has left."""
+    state, placed = Trajectory(Rules(limit=1)), []
+    place = state._place
+    state._place = lambda k: (placed.append(k), place(k))
+    for frame, some in frames_of(3, n=120, targets=40):
+        state.advance(frame, some)
+        assert all(state.cells.values())
+        assert state.near.keys() == state.crossings.keys() and sum(map(len, state.spots.values())) == len(state.near)
+    assert len(placed) == len(set(placed)) == state.next_crossing > 50
+
+
+def test_a_task_gathers_what_it_gives_out():
+    rows = [(7, (i, 1.0, 2.0, 3.0, i % 3, 4.0, 5.0, 6, 0, [(k, k + 1, 1.0, 2.0, 3.0, 4.0, 5.0) for k in range(i % 3)])) for i in range(10)]
+    got = peeling._batch(rows).to_pylist()
+    assert [tuple(r.values())[:-1] for r in got] == [(t, *r[:-1]) for t, r in rows]
+    assert [[tuple(h.values()) for h in r["held"]] for r in got] == [r[-1] for _, r in rows]
