@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rayloom.functions.camera import disc_radius, dot, let, minus, norm, plus, vector
-from rayloom.lineage import stored
+from rayloom.lineage import dealt_out, stored
 from rayloom.operators.spatial import clusters, near_pairs
 
 # Fixed values.
@@ -44,6 +44,21 @@ def closest(a: Column, b: Column) -> Column:
     return let(first, lambda k: let(ways(k), ends))
 
 
+def reaching(ways: DataFrame, most_gap: float, radius: float, height: bool) -> DataFrame:
+    """``ways`` (``x_, y_, z_, dx_, dy_, dz_``) with ``low_x_, low_y_, high_x_, high_y_``: the box, seen from above, in which a ray can cross another.
+
+    With ``height`` a crossing is below the ray's own camera by ``BELOW[0]`` at
+    least, but for half of the gap, so the stretch before is left out, and so
+    are rays that don't get there.
+    """
+    deep = BELOW[0] - most_gap / 2 - 1e-6
+    start = F.when(F.col("dz_") < 0, deep / -F.col("dz_")) if height and deep > 0 else F.lit(0.0)
+    met = ways.withColumn("start", start).filter(F.col("start") <= radius)
+    ends = {c: [F.col(f"{c}_") + t * F.col(f"d{c}_") for t in (F.col("start"), F.lit(radius))] for c in "xy"}
+    half = most_gap / 2 + 1e-6  # more than rounding
+    return met.withColumns({f"low_{c}_": F.least(*ends[c]) - half for c in "xy"} | {f"high_{c}_": F.greatest(*ends[c]) + half for c in "xy"}).drop("start")
+
+
 def crossings(rays: DataFrame, most_gap: float = 0.2, radius: float = 20.0, height: bool = True, mask: bool = False) -> DataFrame:
     """Crossings of rays of different frames of a trajectory.
 
@@ -52,7 +67,8 @@ def crossings(rays: DataFrame, most_gap: float = 0.2, radius: float = 20.0, heig
     they come within ``most_gap`` at no more than ``radius`` along either, and,
     with ``height``, at a height below the cameras that an object can have.
     Each ray keeps its best crossing with every earlier frame.  Only rays whose
-    origins are within two radii are compared.  Returns ``trajectory, ray_a,
+    origins are within two radii are compared, and of these only such that can
+    hold a crossing in the same cell.  Returns ``trajectory, ray_a,
     ray_b, frame_a, frame_b, point, gap, length``; ``b`` is the later frame,
     ``length`` the longer of the two ways.
     """
@@ -62,14 +78,22 @@ def crossings(rays: DataFrame, most_gap: float = 0.2, radius: float = 20.0, heig
     if mask:
         cols.append(F.col("mask_area").alias("area_"))
         names.append("area_")
-    side = lambda s: rays.select("trajectory", *cols).withColumnsRenamed({n: n + s for n in names})
-    near = near_pairs(side("a"), side("b"), 2 * radius, ("x_a", "y_a", "z_a"), ("x_b", "y_b", "z_b"), ["trajectory"]).filter("frame_a < frame_b")
+    size, ways = radius, stored(reaching(rays.select("trajectory", *cols), most_gap, radius, height), "rays")  # else a ray is worked out for each of its cells and bounds
+    for c in "xy":
+        ways = ways.withColumn(f"cell_{c}", F.explode(F.sequence(F.floor(F.col(f"low_{c}_") / size).cast("long"), F.floor(F.col(f"high_{c}_") / size).cast("long"))))
+    ways, bounds = ways.drop("high_x_", "high_y_"), ["low_x_", "low_y_"]
+    on = ["trajectory", "cell_x", "cell_y"]
+    side = lambda s: dealt_out(ways.withColumnsRenamed({n: n + s for n in [*names, *bounds]}), *on)
+    near = side("a").join(side("b"), on).filter("frame_a < frame_b")  # no more is asked here: a method that is too long isn't compiled
     # The closest approach in narrow steps, each with its filter: nothing is worked out for pairs that an earlier one drops.
     v = {s: F.expr("(x_b - x_a) * dx_{0} + (y_b - y_a) * dy_{0} + (z_b - z_a) * dz_{0}".format(s)) for s in "ab"}
     turned = near.withColumns({"turn": F.expr("dx_a * dx_b + dy_a * dy_b + dz_a * dz_b"), "v_a": v["a"], "v_b": v["b"]}).withColumn("spread", 1 - F.col("turn") * F.col("turn"))
     met = turned.filter(F.abs("spread") >= 1e-6).withColumns({"t_a": F.expr("(v_a - v_b * turn) / spread"), "t_b": F.expr("(v_a * turn - v_b) / spread")})
-    met = met.filter(F.col("t_a").between(0, radius) & F.col("t_b").between(0, radius)).drop("turn", "v_a", "v_b", "spread", "distance")
+    met = met.filter(F.col("t_a").between(0, radius) & F.col("t_b").between(0, radius)).drop("turn", "v_a", "v_b", "spread")
     met = stored(met, "ways")  # else the ways are written out wherever they are used, in a method too long to be compiled
+    for c in "xy":  # of the cells that both are in, the pair counts in one
+        met = met.filter(F.col(f"cell_{c}") == F.floor(F.greatest(f"low_{c}_a", f"low_{c}_b") / size))
+    met = met.filter(" + ".join(f"({p}_a - {p}_b) * ({p}_a - {p}_b)" for p in "xyz") + f" <= {4 * radius * radius!r}")
     met = met.withColumn("gap", F.expr("sqrt({})".format(" + ".join("({0} * {0})".format(f"({p}_a + t_a * d{p}_a - {p}_b - t_b * d{p}_b)") for p in "xyz")))).filter(F.col("gap") <= most_gap)
     middle = {p: F.expr(f"({p}_a + t_a * d{p}_a + {p}_b + t_b * d{p}_b) / 2") for p in "xyz"}
     if height:
@@ -84,9 +108,9 @@ def crossings(rays: DataFrame, most_gap: float = 0.2, radius: float = 20.0, heig
 
 
 def _clustered(rows: DataFrame, reach: float) -> DataFrame:
-    """``rows`` (``crossing_id, point``) with the cluster that they fall in."""
-    flat = rows.select("crossing_id", *[F.col(f"point.{c}").alias(c) for c in "xyz"])
-    named = clusters(flat, "crossing_id", ("x", "y", "z"), reach)
+    """``rows`` (``trajectory, crossing_id, point``) with the cluster of their trajectory that they fall in."""
+    flat = rows.select("trajectory", "crossing_id", *[F.col(f"point.{c}").alias(c) for c in "xyz"])
+    named = clusters(flat, "crossing_id", ("x", "y", "z"), reach, ["trajectory"])
     return rows.join(named.select(F.col("node").alias("crossing_id"), F.col("component").alias("cluster")), "crossing_id")
 
 
@@ -139,8 +163,8 @@ def triangulate(rays: DataFrame, most_gap: float = 0.2, reach: float = 0.5, merg
     All frames of a trajectory are seen at once; the frame-by-frame pool is
     :mod:`rayloom.streaming.peeling`.
     """
-    found = stored(crossings(rays, most_gap, radius, height, mask).withColumn("crossing_id", F.struct("trajectory", "ray_b", "frame_a", "ray_a")), "crossings")
-    kept = stored(peeled(found, reach), "peeled")
+    found = crossings(rays, most_gap, radius, height, mask).withColumn("crossing_id", F.struct("trajectory", "ray_b", "frame_a", "ray_a"))
+    kept = peeled(found, reach)  # stored round by round
     return merge_candidates(kept, stored(candidates(kept), "candidates"), merge_reach)
 
 

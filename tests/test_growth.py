@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from rayloom.functions import geometry, outlines
-from rayloom.operators import control, matching, panorama, spatial
+from rayloom.operators import control, matching, panorama, spatial, triangulation
 
 BOX = "struct<x:double,y:double,w:double,h:double>"
 
@@ -176,3 +176,56 @@ def test_pixels_of_the_seam_have_one_place(spark, tmp_path):
     want = sorted(con.sql(entry.oracle_sql()["panorama_pixels"]).fetchall())
     got = sorted(map(tuple, entry.queries()["panorama_pixels"](spark, str(tmp_path)).collect()))
     assert got == want and all(0 <= r[4] < 8000 for r in got)
+
+
+def test_crossings_of_rays_that_can_meet_against_all_pairs(spark):
+    """Rays are dealt to the cells that they can cross others in, so far fewer pairs are compared than origins within two radii make."""
+    rng, rows = random.Random(8), []
+    for i in range(240):
+        d = np.array([rng.uniform(-1, 1), rng.uniform(-1, 1), rng.uniform(-1, 0.1)])
+        rows.append((i % 2, i, i // 6, np.array([rng.uniform(-30, 30), rng.uniform(-9, 9), rng.uniform(2, 3)]), d / np.linalg.norm(d)))
+    point = "struct<x:double,y:double,z:double>"
+    df = spark.createDataFrame([(t, i, f, tuple(map(float, o)), tuple(map(float, d))) for t, i, f, o, d in rows], f"trajectory long, ray_id long, frame long, origin {point}, direction {point}")
+
+    def plain(height):
+        best = {}
+        for t, i, f, o, d in rows:
+            for s, j, g, p, e in rows:
+                c = d @ e
+                if t != s or f >= g or abs(1 - c * c) < 1e-6 or np.linalg.norm(p - o) > 20:
+                    continue
+                u, v = ((p - o) @ d - ((p - o) @ e) * c) / (1 - c * c), (((p - o) @ d) * c - (p - o) @ e) / (1 - c * c)
+                a, b = o + u * d, p + v * e
+                low = min(o[2], p[2])
+                if 0 <= min(u, v) and max(u, v) <= 10 and np.linalg.norm(a - b) <= 0.4 and not (height and not low - 3.8 < (a[2] + b[2]) / 2 < low - 2.0):
+                    best[t, j, f] = min(best.get((t, j, f), (9.0, 0)), (np.linalg.norm(a - b), i))
+        return {(*k, i) for k, (_, i) in best.items()}
+
+    for height in (True, False):
+        got = [(r.trajectory, r.ray_b, r.frame_a, r.ray_a) for r in triangulation.crossings(df, 0.4, 10.0, height).collect()]
+        assert len(got) == len(set(got)) and set(got) == plain(height) and len(got) > 5
+
+
+def test_crossings_of_another_trajectory_link_nothing(spark):
+    rows = [(0, 1, 2, (0.0, 0.0, 0.0)), (0, 3, 4, (0.8, 0.0, 0.0)), (1, 5, 6, (0.4, 0.0, 0.0))]
+    df = spark.createDataFrame([(t, a, b, 0, 1, p, i) for i, (t, a, b, p) in enumerate(rows)], "trajectory long, ray_a long, ray_b long, frame_a long, frame_b long, point struct<x:double,y:double,z:double>, crossing_id long")
+    assert {r.crossing_id: r.cluster for r in triangulation.peeled(df, 0.5).collect()} == {0: 0, 1: 1, 2: 2}
+
+
+@pytest.mark.parametrize("axes", ["xy", "xyz"])
+def test_clusters_across_blocks_and_of_equal_points(spark, axes):
+    rng = random.Random(len(axes))
+    spots = [tuple(rng.uniform(-9, 9) if c == "x" else rng.uniform(-2, 2) for c in axes) for _ in range(150)]
+    rows = [(i, i % 2, *spots[rng.randrange(150)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, k long, " + ", ".join(f"{c} double" for c in axes))
+    for keys in ([], ["k"]):
+        lead = {r[0]: r[0] for r in rows}
+        changed = True
+        while changed:
+            changed = False
+            for r in rows:
+                for s in rows:
+                    if lead[s[0]] < lead[r[0]] and (not keys or r[1] == s[1]) and np.linalg.norm(np.subtract(r[2:], s[2:])) <= 0.5:
+                        lead[r[0]], changed = lead[s[0]], True
+        found = spatial.clusters(df, "id", axes, 0.5, keys)
+        assert {r.node: r.component for r in found.collect()} == lead
