@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import itertools
+import math
+from collections.abc import Callable, Iterator, Sequence
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -168,6 +169,68 @@ def triangulate(rays: DataFrame, most_gap: float = 0.2, reach: float = 0.5, merg
     return merge_candidates(kept, stored(candidates(kept), "candidates"), merge_reach)
 
 
+def _stretches(batches: Iterator[pa.RecordBatch], parts: Sequence[str]) -> Iterator[pa.Table]:
+    """Sorted batches cut anew, so that rows of the same ``parts`` are in one table; a table has many such stretches or a long one."""
+    key = lambda b, i: [b.column(c)[i].as_py() for c in parts]
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last, low, high = key(batch, -1), 0, batch.num_rows - 1  # where the last stretch of the batch begins
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (low, middle) if key(batch, middle) == last else (middle + 1, high)
+        if low or (held and key(held[-1], -1) != last):
+            if low:
+                held.append(batch.slice(0, low))
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(batch.slice(low))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _seeds(on: list[tuple], place: list[list], alone: list[bool], radius: float) -> list[int]:
+    """The row that collects each row: rows are in stretches (``on``), in order of time within them."""
+    n, xyz = len(on), list(zip(*place))
+    known = [all(v is not None and math.isfinite(v) for v in p) for p in xyz]
+    seed, start = list(range(n)), 0
+    while start < n:
+        end = start + 1
+        while end < n and on[end] == on[start]:
+            end += 1
+        if end - start > 1:
+            free: dict[tuple[int, ...], list[int]] = {}
+            for i in range(start, end):
+                if known[i]:
+                    free.setdefault(tuple(math.floor(v / radius) for v in xyz[i]), []).append(i)
+            taken = set()
+            for i in range(start, end):
+                if i in taken or not known[i]:
+                    continue
+                taken.add(i)
+                if alone[i]:
+                    continue
+                x, y, z = xyz[i]
+                cx, cy, cz = (math.floor(v / radius) for v in xyz[i])
+                for cell in itertools.product((cx - 1, cx, cx + 1), (cy - 1, cy, cy + 1), (cz - 1, cz, cz + 1)):
+                    if not (some := free.get(cell)):
+                        continue
+                    left = []
+                    for j in some:
+                        if j in taken:
+                            continue
+                        u, v, w = xyz[j][0] - x, xyz[j][1] - y, xyz[j][2] - z
+                        if math.sqrt(u * u + v * v + w * w) <= radius:
+                            seed[j] = i
+                            taken.add(j)
+                        else:
+                            left.append(j)
+                    free[cell] = left
+        start = end
+    return seed
+
+
 def travel_order(frames: DataFrame, by: Sequence[str], radius: float = 10.0) -> DataFrame:
     """``<by>, frame_id, sort_index``: frames of each group in order of time, near ones in order of travel.
 
@@ -190,29 +253,19 @@ def travel_order(frames: DataFrame, by: Sequence[str], radius: float = 10.0) ->
     earliest = F.min(F.struct("time", "frame_id")).over(Window.partitionBy(*by))
     rows = first.withColumn("alone", F.struct("time", "frame_id") == earliest).select(*parts, "frame_id", "time", "x", "y", "z", "alone")
 
-    def collect(some: pd.DataFrame) -> pd.DataFrame:
-        some = some.sort_values(["time", "frame_id"], kind="stable", ignore_index=True)
-        place, alone = some[["x", "y", "z"]].to_numpy(float), some["alone"].to_numpy()
-        cell = np.floor(place / radius).astype(np.int64)
-        held: dict[tuple[int, ...], list[int]] = {}
-        for i, c in enumerate(map(tuple, cell.tolist())):
-            held.setdefault(c, []).append(i)
-        seed = np.full(len(some), -1)
-        for i, (x, y, z) in enumerate(cell.tolist()):
-            if seed[i] >= 0:
-                continue
-            seed[i] = i
-            if alone[i]:
-                continue
-            around = np.array([j for a in (x - 1, x, x + 1) for b in (y - 1, y, y + 1) for c in (z - 1, z, z + 1) for j in held.get((a, b, c), ())])
-            around = around[seed[around] < 0]
-            seed[around[np.linalg.norm(place[around] - place[i], axis=1) <= radius]] = i
-        told = some[[*by, "frame_id", "time", "x", "y", "z"]].copy()
-        return told.assign(seed_time=some["time"].to_numpy()[seed], seed_id=some["frame_id"].to_numpy()[seed])
+    dealt = dealt_out(rows, *parts).sortWithinPartitions(*parts, F.asc_nulls_last("time"), "frame_id")
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _stretches(batches, parts):
+            place = [some.column(c).to_pylist() for c in ("x", "y", "z")]
+            on = list(zip(*(some.column(c).to_pylist() for c in parts)))
+            seed = pa.array(_seeds(on, place, some.column("alone").to_pylist(), radius))
+            told = [*[some.column(c) for c in (*by, "frame_id", "time", "x", "y", "z")], some.column("time").take(seed), some.column("frame_id").take(seed)]
+            yield from pa.table(told, [*by, "frame_id", "time", "x", "y", "z", "seed_time", "seed_id"]).to_batches()
 
     types = dict(rows.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in (*by, "frame_id", "time", "x", "y", "z")) + f", seed_time {types['time']}, seed_id {types['frame_id']}"
-    taken = stored(rows.groupBy(*parts).applyInPandas(collect, schema), "collected")
+    taken = stored(dealt.mapInArrow(collect, schema), "collected")
     seeds = taken.filter(F.col("frame_id") == F.col("seed_id")).select(*by, "seed_id", "seed_time", "x", "y", "z")
     last = Window.partitionBy(*by).orderBy("seed_time", "seed_id")
     seeds = seeds.withColumns({f"w{c}": F.col(c) - F.lag(c).over(last) for c in "xyz"}).withColumn("length", F.expr("sqrt(wx * wx + wy * wy + wz * wz)"))

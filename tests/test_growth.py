@@ -6,6 +6,7 @@ import time
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,3 +230,46 @@ def test_clusters_across_blocks_and_of_equal_points(spark, axes):
                         lead[r[0]], changed = lead[s[0]], True
         found = spatial.clusters(df, "id", axes, 0.5, keys)
         assert {r.node: r.component for r in found.collect()} == lead
+
+
+def test_travel_order_takes_many_stretches_in_one_call(spark):
+    """Groups of a task come as sorted batches, cut where a stretch ends: a call for each group costs more than its rows."""
+    rng = random.Random(4)
+    rows = [(i % 5 if i < 200 else 7, i, float(rng.randrange(60)) if i % 41 else None, rng.uniform(0, 90) if i % 37 else None, rng.uniform(0, 30), 0.0) for i in range(320)]
+    df = spark.createDataFrame(rows, "grp long, frame_id long, time double, x double, y double, z double")
+    want = {}
+    for g in {r[0] for r in rows}:
+        todo, order, last = sorted((r for r in rows if r[0] == g), key=lambda r: (r[2] is None, r[2], r[1])), [], None
+        first = min(todo, key=lambda r: (r[2] is not None, r[2], r[1]))  # the first one of all, alone; no time comes before any
+        while todo:
+            seed = todo[0]
+            near = [r for r in todo if r is seed or seed is not first and None not in (r[3], seed[3]) and np.hypot(r[3] - seed[3], r[4] - seed[4]) <= 10]
+            order.append((seed, near))
+            todo = [r for r in todo if r not in near]
+        order.sort(key=lambda o: (o[0][2] is not None, o[0][2], o[0][1]))
+        n = 0
+        for seed, near in order:
+            way = (1.0, 0.0)
+            if last is not None and None not in (seed[3], last[3]):
+                d = np.hypot(seed[3] - last[3], seed[4] - last[4])
+                way = ((seed[3] - last[3]) / d, (seed[4] - last[4]) / d) if d >= 1e-6 else way
+            last = seed
+            for r in sorted(near, key=lambda r: (-np.inf if r[3] is None else r[3] * way[0] + r[4] * way[1], r[2] is not None, r[2], r[1])):
+                want[g, r[1]] = n
+                n += 1
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # stretches go across batches
+    try:
+        found = triangulation.travel_order(df, ["grp"])
+        assert {(r.grp, r.frame_id): r.sort_index for r in found.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_stretches_are_cut_from_batches():
+    keys = [0] * 3 + [1] * 9 + [2] + [3] * 4 + [4] * 2
+    for size in range(1, len(keys) + 1):
+        batches = [pa.record_batch({"k": keys[i : i + size], "n": list(range(i, min(i + size, len(keys))))}) for i in range(0, len(keys), size)]
+        got = list(triangulation._stretches(iter(batches), ["k"]))
+        assert [n for t in got for n in t.column("n").to_pylist()] == list(range(len(keys)))
+        seen = [set(t.column("k").to_pylist()) for t in got]
+        assert all(not a & b for i, a in enumerate(seen) for b in seen[:i])
