@@ -273,3 +273,19 @@ def test_stretches_are_cut_from_batches():
         assert [n for t in got for n in t.column("n").to_pylist()] == list(range(len(keys)))
         seen = [set(t.column("k").to_pylist()) for t in got]
         assert all(not a & b for i, a in enumerate(seen) for b in seen[:i])
+
+
+def test_equal_shapes_are_grown_once(spark):
+    """A shape of each row was grown before, however few unlike ones there are."""
+    square = lambda n: [[0.0, 0.0, n, 0.0, n, n, 0.0, n]]
+    rows = [(i, square(2.0 + i % 3)) for i in range(60)] + [(98, []), (99, None)]
+    worked = []
+
+    def work(unlike):
+        worked.append(unlike.count())
+        return unlike.select("s", outlines.grown(-0.5)("s").alias("t"))
+
+    got = {r.id: r.t for r in spatial.once_each(spark.createDataFrame(rows, "id long, s array<array<double>>"), "s", work).collect()}
+    assert worked == [4] and got == {i: t and [[0.5, 0.5, t - 0.5, 0.5, t - 0.5, t - 0.5, 0.5, t - 0.5]] for i, t in [(i, 2.0 + i % 3) for i in range(60)]} | {98: [], 99: None}
+    plan = plan_of(entry.queries()["grown_areas"](spark, "/root/testdata/sf0.001"))
+    assert "HashAggregate" in plan[plan.rindex("ArrowEvalPython") :]  # Python gets unlike shapes only
