@@ -314,3 +314,17 @@ def test_distances_are_rounded_as_numbers(spark):
     whole = spark.range(250001).select(F.sqrt(F.col("id").cast("double")).alias("d"))  # every distance that the query can have
     assert whole.filter(F.round("d", 6) != F.rint(F.col("d") * 1e6) / 1e6).isEmpty()
     assert " round(" not in plan_of(entry.queries()["radius_join"](spark, "/root/testdata/sf0.001"))
+
+
+def test_pairs_of_equal_areas_become_rows_last(spark, monkeypatch):
+    """Pairs of every row on the left were shuffled and sorted before; ids go as arrays, of several pieces where many areas are equal."""
+    monkeypatch.setattr(spatial, "PIECES", (2, 3))
+    square = lambda x: [x, 0.0, x + 4.0, 0.0, x + 4.0, 4.0, x, 4.0]
+    some = [(k, i, square(float(i % 3) * 3)) for k in (0, 1) for i in range(20 + k)] + [(0, 99, None)]
+    told = [(k, i, square(float(i % 4) * 3 + 1)) for k in (0, 1) for i in range(31 - k)] + [(1, 98, None), (2, 97, square(1.0))]
+    left, right = spark.createDataFrame(some, "k long, l long, left_ring array<double>"), spark.createDataFrame(told, "k long, r long, right_ring array<double>")
+    found = spatial.ring_pairs(left, right, "l", "r", ["k"], cell=4.0)
+    want = sorted((k, i, j) for k, i, p in some for h, j, q in told if k == h and p and q and abs(p[0] - q[0]) < 4)
+    assert sorted(map(tuple, found.collect())) == want and len(want) > 500
+    plan = plan_of(found)
+    assert plan.index("Generate explode(_rights") < plan.index("Generate explode(_lefts") < plan.index("Join") < plan.index("Exchange")
